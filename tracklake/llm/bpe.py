@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 #: The split before the merges; a fixed value of the vocabulary's format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept with their ids from batch to batch in a Python worker; beyond it the store starts anew.
-STORE_WORDS = 400_000
+STORE_WORDS = 800_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -211,7 +211,7 @@ def load(path: str) -> PairIndexBpe:
     return _LOADED[path]
 
 
-def _batches(column: pa.Array, limit: int = 1 << 25) -> Iterator[list[str]]:
+def _batches(column: pa.Array, limit: int = 1 << 23) -> Iterator[list[str]]:
     part, size = [], 0
     for t in column:
         t = t.as_py() or ""

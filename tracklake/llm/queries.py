@@ -17,6 +17,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracklake.llm.license_scan import license_scan
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan(docs).select("doc_id", "n_known_sentences", F.array_join("rules", ",").alias("rules"), F.array_join("licenses", ",").alias("licenses"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracklake.llm import bpe
 
@@ -38,6 +45,22 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracklake.llm.decontaminate import matched_items
+
+    return matched_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracklake.llm import toxicity as tox
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels")
+    grammar = tox.fit(docs, labels.where(~tox.held_out()))
+    scored = tox.toxicity(docs, grammar)
+    return scored.select("doc_id", tox.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracklake.llm.sharding import assign_shards, number_slots
 
