@@ -59,11 +59,11 @@ def binary_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes, or of one row."""
+    """Row ranges of at most ``limit`` bytes (and 8192 rows), or of one row."""
     row, n = 0, len(offsets) - 1
     while row < n:
         end = int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1
-        end = min(n, max(end, row + 1))
+        end = min(n, max(end, row + 1), row + (1 << 13))
         yield row, end
         row = end
 
