@@ -25,20 +25,23 @@ of the text comes first.  A null id comes after all others.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.llm.text import binary_column, mix
+from tracklake.llm.text import binary_column
 
 LENGTH, KMER = 100, 16
 #: Bytes of the fragments in one suffix array.
 BLOCK = 1 << 21
 _SPAN = 1 << 20
 _LOW = np.uint64(_SPAN - 1)
+_C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x94D049BB133111EB)
 
 
 def _anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,7 +66,10 @@ def _anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _runs(b: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same for texts that lie end to end between ``bounds``, less than ``_SPAN`` bytes in all."""
     word = np.ndarray(len(b) - 7, "<u8", b.data, 0, (1,))
-    h = mix(mix(word[:-8], 1) + word[8:], 2)  # of the KMER = 16 bytes from each place
+    h = word[:-8] * _C1 + word[8:] * _C2  # of the KMER = 16 bytes from each place
+    h ^= h >> np.uint64(29)
+    h *= _C3
+    h ^= h >> np.uint64(32)
     key = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
     width, reach = LENGTH - KMER + 1, 1
     while 2 * reach <= width:
@@ -103,7 +109,7 @@ def anchors(rows: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(d[row + of]), pa.array(rid[row + of]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "d", "rid", "at", "n"])
                 row = end
 
-    return rows.mapInArrow(run, "h bigint, d bigint, rid bigint, at int, n int")
+    return rows.mapInArrow(run, "h bigint, d bigint, rid int, at int, n int")
 
 
 def suffix_array(data: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,6 +214,7 @@ def kept_strings(rows: DataFrame, length: int = LENGTH, block: int = BLOCK) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[tuple] = []
         size = 0
+        before = None
         carried: list = [None, None]  # anchor, sorted strings of its earlier blocks
 
         def solve(part: list[tuple], more: bool) -> pa.RecordBatch:
@@ -234,19 +241,34 @@ def kept_strings(rows: DataFrame, length: int = LENGTH, block: int = BLOCK) -> D
             count = np.diff(np.r_[first, len(of)])
             d, rid, at = (np.array([r[k] for r in part], np.int64) for k in (2, 3, 4))
             f, a = of[first], at[of[first]] + offset[first]
-            return pa.RecordBatch.from_arrays([pa.array(d[f]), pa.array(rid[f]), pa.array(a.astype(np.int32)), pa.array((a + count).astype(np.int32))], ["d", "rid", "a", "b"])
-
-        for batch in batches:
-            for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            return pa.RecordBatch.from_arrays([pa.array(d[f]), pa.array(rid[f].astype(np.int32)), pa.array(a.astype(np.int32)), pa.array((a + count).astype(np.int32))], ["d", "rid", "a", "b"])
+
+        last: pa.RecordBatch | None = None  # the row before, whose anchor may go on
+        for batch in itertools.chain(batches, [None]):
+            t = pa.Table.from_batches([x for x in (last, batch) if x is not None], schema=(batch or last).schema) if batch is not None or last is not None else None
+            if t is None or not t.num_rows:
+                continue
+            h = t.column(0).to_numpy()
+            n = len(h) - (batch is not None)  # the last row waits for the next batch
+            fresh = np.r_[before != h[0] if before is not None else True, h[1:] != h[:-1]]
+            alone = (fresh & np.r_[fresh[1:], True])[:n]
+            if alone.any():  # the only fragment of its anchor: all its strings are first places
+                some = t.slice(0, n).filter(pa.array(alone))
+                yield pa.RecordBatch.from_arrays([*[some.column(k).combine_chunks() for k in (2, 3, 4)], pc.add(some.column(4), some.column(5)).combine_chunks()], ["d", "rid", "a", "b"])
+            rest = t.slice(0, n).filter(pa.array(~alone))
+            for r in zip(*[c.to_pylist() for c in rest.columns], strict=True):
                 if size >= block and (pending[-1][0] != r[0] or size >= 2 * block):
                     yield solve(pending, pending[-1][0] == r[0])
                     pending, size = [], 0
                 pending.append(r)
                 size += len(r[1])
+            if n:
+                before = h[n - 1]
+            last = t.slice(n).combine_chunks().to_batches()[0] if batch is not None else None
         if pending:
             yield solve(pending, False)
 
-    return rows.mapInArrow(run, "d bigint, rid bigint, a int, b int")
+    return rows.mapInArrow(run, "d bigint, rid int, a int, b int")
 
 
 def cut(rows: DataFrame) -> DataFrame:
@@ -299,18 +321,18 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """(key, n_bytes, n_removed, n_spans, kept_sha256, rest) of each row."""
     body = F.coalesce(F.col(text), F.lit(""))
     last = 2**63 - 1
-    rows = df.select(F.col(key).alias("id"), F.coalesce(F.col(key).cast("bigint"), F.lit(last)).alias("d"), F.xxhash64(body).alias("rid"), body.cast("binary").alias("t"))
-    found = anchors(rows.select("d", "rid", "t"))
+    rows = df.select(F.coalesce(F.col(key).cast("bigint"), F.lit(last)).alias("d"), F.hash(body).alias("rid"), body.cast("binary").alias("t"))
+    found = anchors(rows)
     repeated = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
     met = found.join(repeated, "h")
     by_doc = met.groupBy("d", "rid").agg(F.collect_set(F.struct("h", "at", "n")).alias("runs"))
-    texts = rows.select("d", "rid", "t")
-    # The shuffles of the texts and of the runs by document serve both joins with them.
-    pieces = texts.join(by_doc, ["d", "rid"]).select("d", "rid", "t", F.explode_outer("runs").alias("r"))
+    # One shuffle of the texts and one of the runs by document serve both joins with them.
+    pieces = rows.join(by_doc, ["d", "rid"]).select("d", "rid", "t", F.explode_outer("runs").alias("r"))
     fragments = pieces.select(F.col("r.h").alias("h"), F.substring("t", F.col("r.at") + 1, F.col("r.n") + (LENGTH - 1)).alias("frag"), F.col("r.n").alias("n"), F.struct("d", F.col("r.at").alias("at"), "rid").alias("place"))
     distinct = fragments.groupBy("h", "frag", "n").agg(F.min("place").alias("p"))
     placed = distinct.select("h", "frag", F.col("p.d").alias("d"), F.col("p.rid").alias("rid"), F.col("p.at").alias("at"), "n")
     kept = kept_strings(placed.repartition("h").sortWithinPartitions("h", "d", "at"))
     kept = kept.groupBy("d", "rid").agg(F.collect_list(F.struct("a", "b")).alias("kept"))
     joined = rows.join(by_doc, ["d", "rid"], "left").join(kept, ["d", "rid"], "left")
-    return cut(joined).withColumnRenamed("id", key)
+    id_ = F.when(F.col("d") != last, F.col("d")).cast(df.schema[key].dataType)
+    return cut(joined.withColumn("id", id_)).withColumnRenamed("id", key)
