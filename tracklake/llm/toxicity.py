@@ -29,7 +29,7 @@ FIT_ROWS = 8_000
 #: Lengths of word beginnings that may enter the lexicon, besides whole words.
 PREFIXES = (4, 5, 6, 7)
 #: Documents of label 1 that an entry must occur in, at least (also as a part of all of label 1).
-LEAST_DOCS, LEAST_PART = 4, 0.004
+LEAST_DOCS, LEAST_PART = 3, 0.006
 #: Least log odds of an entry.
 LEAST_LOG_ODDS = 3.5
 
@@ -37,7 +37,7 @@ LEAST_LOG_ODDS = 3.5
 TARGETS = "you your yours yourself u ur du dich dir dein deine ihr euch tu toi te ton ta vous votre vos tú usted ustedes vosotros eres es he she they them these those this".split()
 NEGATIONS = "not no never none neither nor without isn't aren't wasn't weren't don't doesn't nicht kein keine keinen nie niemals ohne ne pas jamais aucun sans nunca jamás ni sin".split()
 REPORTED = "said says say told tells called wrote writes quoted quote claimed claims reported sagte sagt schrieb nannte dit dire écrit dijo dice escribió".split()
-THREATS = "kill murder destroy hurt shoot stab burn hang die töten umbringen ermorden tuer détruire brûler matar destruir quemar".split()
+THREATS = "kill murder destroy hurt shoot stab burn hang töten umbringen ermorden tuer détruire brûler matar destruir quemar".split()
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 KINDS = ("plain", "targeted", "negated", "reported", "threat")
@@ -156,7 +156,11 @@ def fit_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
 def learn_lexicon(rows: DataFrame) -> tuple[str, ...]:
     """Words and word beginnings that mark label 1, from documents (t, y); at most 1 / LEAST_PART entries a text's word."""
     words = F.array_distinct(F.filter(F.split(F.lower("t"), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= 3) & (F.length(w) <= 40)))
-    entries = F.concat(words, *[F.transform(F.filter(words, lambda w, k=k: F.length(w) >= k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in PREFIXES])
+
+    def beginnings(k: int) -> Column:
+        return F.transform(F.filter(words, lambda w: F.length(w) >= k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
+
+    entries = F.concat(words, *map(beginnings, PREFIXES))
     # Only entries of label 1 can enter: the counts of the other label are taken for those alone.
     one = rows.where("y = 1").select(F.explode(F.array_distinct(entries)).alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("p"))
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -167,18 +171,34 @@ def learn_lexicon(rows: DataFrame) -> tuple[str, ...]:
     zero = rows.where("y = 0").select(F.explode(F.array_distinct(entries)).alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"))
     both = one.join(zero, "e", "left").select("e", "p", F.coalesce("n", F.lit(0)).alias("n"))
     odds = F.log(((F.col("p") + 0.5) / (n1 + 1.0)) / ((F.col("n") + 0.5) / (n0 + 1.0)))
-    found = {r["e"]: r["p"] for r in both.where(odds >= LEAST_LOG_ODDS).collect()}
-    # A beginning stands for its longer forms, unless one whole word makes nearly all of it.
-    out: set[str] = set()
-    for e in sorted(found, key=lambda e: (not e.endswith("*"), len(e), e)):
-        stem = e.rstrip("*")
-        if any(stem[:k] + "*" in out for k in PREFIXES if k <= len(stem)):
-            continue
-        if e.endswith("*"):
-            best = max((found[w] for w in found if not w.endswith("*") and w.startswith(stem)), default=0)
-            if best >= 0.9 * found[e]:
-                continue
-        out.add(e)
+    candidates = both.where(odds >= LEAST_LOG_ODDS).select("e")
+    # The candidates of each fitting row that has any, equal rows counted together: bounded by the fitting rows.
+    some = rows.select("__k", "y", F.explode(F.array_distinct(entries)).alias("e")).join(F.broadcast(candidates), "e")
+    held = some.groupBy("__k", "y").agg(F.array_sort(F.collect_set("e")).alias("es")).groupBy("y", "es").agg(F.count(F.lit(1)).alias("n")).collect()
+    return _cover([(r["es"], r["n"] if r["y"] else 0, 0 if r["y"] else r["n"]) for r in held], max(LEAST_DOCS, LEAST_PART * n1))
+
+
+def _cover(rows: list[tuple[list[str], int, int]], least: float) -> tuple[str, ...]:
+    """Entries one by one, each that with the most rows of label 1 that no earlier entry has, and at least ``least``.
+
+    Words that only keep company with insults have few such rows and do not enter.  Of
+    entries with the same rows the longest enters, the whole word first.
+    """
+    of: dict[str, set[int]] = {}
+    for k, (es, _, _) in enumerate(rows):
+        for e in es:
+            of.setdefault(e, set()).add(k)
+    left, out = set(range(len(rows))), []
+    while of:
+        gain = {e: (sum(rows[k][1] for k in ks) - 10 * sum(rows[k][2] for k in ks), not e.endswith("*"), len(e), e) for e, ks in of.items()}
+        e = max(gain, key=gain.__getitem__)
+        if gain[e][0] < least:
+            break
+        out.append(e)
+        left -= of[e]
+        # A row of label 0 goes on counting against other entries.
+        left |= {k for k in of[e] if rows[k][2]}
+        of = {x: ks for x, ks in ((x, ks & left) for x, ks in of.items()) if sum(rows[k][1] for k in ks) >= least}
     return tuple(sorted(out))
 
 
