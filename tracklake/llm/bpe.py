@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 #: The split before the merges; a fixed value of the vocabulary's format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept with their ids from batch to batch in a Python worker; beyond it the store starts anew.
-STORE_WORDS = 800_000
+STORE_WORDS = 500_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -211,7 +211,7 @@ def load(path: str) -> PairIndexBpe:
     return _LOADED[path]
 
 
-def _batches(column: pa.Array, limit: int = 1 << 23) -> Iterator[list[str]]:
+def _batches(column: pa.Array, limit: int = 1 << 22) -> Iterator[list[str]]:
     part, size = [], 0
     for t in column:
         t = t.as_py() or ""
@@ -224,22 +224,30 @@ def _batches(column: pa.Array, limit: int = 1 << 23) -> Iterator[list[str]]:
         yield part
 
 
-def encode(df: DataFrame, path: str, text: str = "text", to: str = "ids") -> DataFrame:
-    """Adds the token ids of each whole text, as little-endian unsigned 32-bit integers in one binary."""
-    schema = T.StructType([*df.schema.fields, T.StructField(to, T.BinaryType())])
-    names = df.columns
+def encode(df: DataFrame, path: str, text: str = "text", to: str = "ids", decoded: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Adds the token ids of each whole text, as little-endian unsigned 32-bit integers in one binary.
+
+    decoded: also adds the text of the ids under this name, in the same Python worker.
+    keep: the columns to pass on, if not all.
+    """
+    keep = df.columns if keep is None else keep
+    added = [T.StructField(to, T.BinaryType()), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    schema = T.StructType([*[df.schema[c] for c in keep], *added])
+    source = df.select(*keep, df[text].alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
             at = 0
-            for texts in _batches(batch.column(names.index(text))):
-                ids = pa.array(bpe.encode(texts), pa.binary())
-                part = batch.slice(at, len(texts))
+            for texts in _batches(batch.column(len(keep))):
+                ids = bpe.encode(texts)
+                new = [pa.array(ids, pa.binary())]
+                if decoded:
+                    new.append(pa.array([bpe.decode(i) for i in ids], pa.binary()).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(texts)).columns[: len(keep)], *new], schema.names)
                 at += len(texts)
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, to])
 
-    return df.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:

@@ -42,9 +42,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracklake.llm import bpe
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    path = tokenizer_path()
-    ids = bpe.encode(docs, path).drop("text")
-    return bpe.decode(ids, path).select(
+    return bpe.encode(docs, tokenizer_path(), decoded="decoded", keep=["doc_id"]).select(
         "doc_id",
         bpe.token_count().alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -171,7 +171,7 @@ def learn_lexicon(rows: DataFrame) -> tuple[str, ...]:
     zero = rows.where("y = 0").select(F.explode(F.array_distinct(entries)).alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"))
     both = one.join(zero, "e", "left").select("e", "p", F.coalesce("n", F.lit(0)).alias("n"))
     odds = F.log(((F.col("p") + 0.5) / (n1 + 1.0)) / ((F.col("n") + 0.5) / (n0 + 1.0)))
-    candidates = both.where(odds >= LEAST_LOG_ODDS).select("e")
+    candidates = both.where((odds >= LEAST_LOG_ODDS) & ~F.col("e").isin(*_CLOSED)).select("e")
     # The candidates of each fitting row that has any, equal rows counted together: bounded by the fitting rows.
     some = rows.select("__k", "y", F.explode(F.array_distinct(entries)).alias("e")).join(F.broadcast(candidates), "e")
     held = some.groupBy("__k", "y").agg(F.array_sort(F.collect_set("e")).alias("es")).groupBy("y", "es").agg(F.count(F.lit(1)).alias("n")).collect()
