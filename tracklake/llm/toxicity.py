@@ -29,7 +29,7 @@ FIT_ROWS = 8_000
 #: Lengths of word beginnings that may enter the lexicon, besides whole words.
 PREFIXES = (4, 5, 6, 7)
 #: Documents of label 1 that an entry must occur in, at least (also as a part of all of label 1).
-LEAST_DOCS, LEAST_PART = 3, 0.006
+LEAST_DOCS, LEAST_PART = 4, 0.006
 #: Least log odds of an entry.
 LEAST_LOG_ODDS = 3.5
 
@@ -175,7 +175,7 @@ def learn_lexicon(rows: DataFrame) -> tuple[str, ...]:
     # The candidates of each fitting row that has any, equal rows counted together: bounded by the fitting rows.
     some = rows.select("__k", "y", F.explode(F.array_distinct(entries)).alias("e")).join(F.broadcast(candidates), "e")
     held = some.groupBy("__k", "y").agg(F.array_sort(F.collect_set("e")).alias("es")).groupBy("y", "es").agg(F.count(F.lit(1)).alias("n")).collect()
-    return _cover([(r["es"], r["n"] if r["y"] else 0, 0 if r["y"] else r["n"]) for r in held], max(LEAST_DOCS, LEAST_PART * n1))
+    return _cover([(r["es"], r["n"] if r["y"] else 0, 0 if r["y"] else r["n"]) for r in held], max(2, LEAST_PART * n1))
 
 
 def _cover(rows: list[tuple[list[str], int, int]], least: float) -> tuple[str, ...]:
