@@ -30,8 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.llm.text import binary_column
@@ -208,13 +207,24 @@ def _strings(fragments: list[bytes], of: np.ndarray, offset: np.ndarray, length:
     return np.array([fragments[f][o : o + length] for f, o in zip(of.tolist(), offset.tolist(), strict=True)], f"V{length}").view(f"S{length}")
 
 
+def first_of_batch(rows: DataFrame) -> DataFrame:
+    """Of equal fragments (h, frag) in one Arrow batch the first place only: less to shuffle for passages met often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = pa.Table.from_batches([batch]).sort_by([("d", "ascending"), ("at", "ascending"), ("rid", "ascending")])
+            first = t.group_by(["h", "frag"], use_threads=False).aggregate([(c, "first") for c in ("d", "rid", "at", "n")])
+            yield from first.rename_columns(["h", "frag", "d", "rid", "at", "n"]).select(batch.schema.names).combine_chunks().to_batches()
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def kept_strings(rows: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
-    """(d, rid, a, b): runs of starts of first places that keep their strings, from distinct fragments (h, frag, d, rid, at, n) sorted by h, d, at."""
+    """(d, rid, a, b): runs of starts of first places that keep their strings, from fragments (h, frag, d, rid, at, n) sorted by h, d, at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[tuple] = []
         size = 0
-        before = None
         carried: list = [None, None]  # anchor, sorted strings of its earlier blocks
 
         def solve(part: list[tuple], more: bool) -> pa.RecordBatch:
@@ -243,30 +253,41 @@ def kept_strings(rows: DataFrame, length: int = LENGTH, block: int = BLOCK) -> D
             f, a = of[first], at[of[first]] + offset[first]
             return pa.RecordBatch.from_arrays([pa.array(d[f]), pa.array(rid[f].astype(np.int32)), pa.array(a.astype(np.int32)), pa.array((a + count).astype(np.int32))], ["d", "rid", "a", "b"])
 
-        last: pa.RecordBatch | None = None  # the row before, whose anchor may go on
+        group: list[tuple] = []  # the different fragments of the anchor that is being read
+        texts: set[bytes] = set()
+        lone: list[tuple] = []
+
+        def whole(part: list[tuple]) -> pa.RecordBatch:
+            """The only fragments of their anchors: all their strings are first places."""
+            d, rid, at, n = (np.array([r[k] for r in part], np.int64) for k in (2, 3, 4, 5))
+            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(rid.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array((at + n).astype(np.int32))], ["d", "rid", "a", "b"])
+
         for batch in itertools.chain(batches, [None]):
-            t = pa.Table.from_batches([x for x in (last, batch) if x is not None], schema=(batch or last).schema) if batch is not None or last is not None else None
-            if t is None or not t.num_rows:
-                continue
-            h = t.column(0).to_numpy()
-            n = len(h) - (batch is not None)  # the last row waits for the next batch
-            fresh = np.r_[before != h[0] if before is not None else True, h[1:] != h[:-1]]
-            alone = (fresh & np.r_[fresh[1:], True])[:n]
-            if alone.any():  # the only fragment of its anchor: all its strings are first places
-                some = t.slice(0, n).filter(pa.array(alone))
-                yield pa.RecordBatch.from_arrays([*[some.column(k).combine_chunks() for k in (2, 3, 4)], pc.add(some.column(4), some.column(5)).combine_chunks()], ["d", "rid", "a", "b"])
-            rest = t.slice(0, n).filter(pa.array(~alone))
-            for r in zip(*[c.to_pylist() for c in rest.columns], strict=True):
-                if size >= block and (pending[-1][0] != r[0] or size >= 2 * block):
-                    yield solve(pending, pending[-1][0] == r[0])
-                    pending, size = [], 0
-                pending.append(r)
-                size += len(r[1])
-            if n:
-                before = h[n - 1]
-            last = t.slice(n).combine_chunks().to_batches()[0] if batch is not None else None
+            table = zip(*[c.to_pylist() for c in batch.columns], strict=True) if batch is not None else [None]
+            for r in table:
+                if group and (r is None or group[0][0] != r[0]):  # the anchor is complete
+                    if len(group) == 1 and not (pending and pending[-1][0] == group[0][0]) and carried[0] != group[0][0]:
+                        lone.append(group[0])
+                    else:
+                        pending += group
+                        size += sum(len(x[1]) for x in group)
+                    group, texts = [], set()
+                    if size >= block:
+                        yield solve(pending, False)
+                        pending, size = [], 0
+                    if len(lone) >= 10_000:
+                        yield whole(lone)
+                        lone = []
+                if r is not None and r[1] not in texts:
+                    texts.add(r[1])
+                    group.append(r)
+                    if sum(map(len, texts)) >= 2 * block if len(texts) % 1000 == 0 else False:
+                        yield solve(pending + group, True)
+                        pending, size, group, texts = [], 0, [], set()
         if pending:
             yield solve(pending, False)
+        if lone:
+            yield whole(lone)
 
     return rows.mapInArrow(run, "d bigint, rid int, a int, b int")
 
@@ -322,16 +343,12 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     body = F.coalesce(F.col(text), F.lit(""))
     last = 2**63 - 1
     rows = df.select(F.coalesce(F.col(key).cast("bigint"), F.lit(last)).alias("d"), F.hash(body).alias("rid"), body.cast("binary").alias("t"))
-    found = anchors(rows)
-    repeated = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    met = found.join(repeated, "h")
+    met = anchors(rows).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("c > 1")
     by_doc = met.groupBy("d", "rid").agg(F.collect_set(F.struct("h", "at", "n")).alias("runs"))
     # One shuffle of the texts and one of the runs by document serve both joins with them.
     pieces = rows.join(by_doc, ["d", "rid"]).select("d", "rid", "t", F.explode_outer("runs").alias("r"))
-    fragments = pieces.select(F.col("r.h").alias("h"), F.substring("t", F.col("r.at") + 1, F.col("r.n") + (LENGTH - 1)).alias("frag"), F.col("r.n").alias("n"), F.struct("d", F.col("r.at").alias("at"), "rid").alias("place"))
-    distinct = fragments.groupBy("h", "frag", "n").agg(F.min("place").alias("p"))
-    placed = distinct.select("h", "frag", F.col("p.d").alias("d"), F.col("p.rid").alias("rid"), F.col("p.at").alias("at"), "n")
-    kept = kept_strings(placed.repartition("h").sortWithinPartitions("h", "d", "at"))
+    fragments = pieces.select(F.col("r.h").alias("h"), F.substring("t", F.col("r.at") + 1, F.col("r.n") + (LENGTH - 1)).alias("frag"), "d", "rid", F.col("r.at").alias("at"), F.col("r.n").alias("n"))
+    kept = kept_strings(first_of_batch(fragments).repartition("h").sortWithinPartitions("h", "d", "at", "rid"))
     kept = kept.groupBy("d", "rid").agg(F.collect_list(F.struct("a", "b")).alias("kept"))
     joined = rows.join(by_doc, ["d", "rid"], "left").join(kept, ["d", "rid"], "left")
     id_ = F.when(F.col("d") != last, F.col("d")).cast(df.schema[key].dataType)
