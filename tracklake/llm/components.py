@@ -2,26 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _shared_checkpoint(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder the cluster names; a temporary one only where none is set, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for all executors; a temporary one only where none is set, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        named = spark.conf.get("tracklake.temporary.dir", None)
         if named is None:
             import tempfile
 
-            named = tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(named)
-    return df.checkpoint()
+            named = tempfile.mkdtemp(prefix="shared-")
+            spark.conf.set("tracklake.temporary.dir", named)
+    return named
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage with files that all executors share."""
-    return _shared_checkpoint(df)
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows from a Parquet table in the shared folder: cuts the lineage, and later reads take single columns."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

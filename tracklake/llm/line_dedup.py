@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracklake.llm.components import written
 from tracklake.llm.minhash import shingle_similarity
 from tracklake.llm.text import binary_column, mix, slices, words
 
@@ -38,6 +39,8 @@ BUCKET_BITS, CHUNK = 20, 4096
 #: Rows of keys that are compared at once in a task, if their groups allow it.
 JOIN_ROWS = 1 << 20
 _SLICE = 1 << 19
+#: Tables of up to so many rows (of ids and line numbers, about 100 bytes) are broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def _line_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,11 +144,11 @@ def _sets(h: np.ndarray, number: np.ndarray, table: np.ndarray, threshold: float
 
 
 def first_candidates(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Of rows (key, d, line, rid, n, sig) sorted by key, d, line: each line's nearest earlier candidate of its key."""
-    least_ratio, difference = threshold, (1 - threshold) / (1 + threshold)
+    """Of rows (key, d, line, n, sig) sorted by key, d, line: each line's nearest earlier candidate of its key."""
+    difference = (1 - threshold) / (1 + threshold)
 
     def join(t: pa.Table) -> pa.RecordBatch:
-        key, d, line, rid, n, sig = (t.column(k).to_numpy() for k in range(6))
+        key, d, line, n, sig = (t.column(k).to_numpy() for k in range(5))
         sig = sig.view(np.uint64)
         probe = np.arange(len(key))
         left, right = [], []
@@ -155,14 +158,14 @@ def first_candidates(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFram
             probe = probe[key[probe] == key[probe - step]]
             other = probe - step
             a, b = n[probe], n[other]
-            ok = np.minimum(a, b) + 1 >= least_ratio * np.maximum(a, b)
+            ok = np.minimum(a, b) + 1 >= threshold * np.maximum(a, b)
             ok &= np.bitwise_count(sig[probe] ^ sig[other]) <= difference * (a + b) + 1
             left.append(probe[ok])
             right.append(other[ok])
             probe = probe[~ok]
             step += 1
         p, e = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (d[p], line[p], rid[p], d[e], line[e], rid[e])], ["d", "line", "rid", "d0", "line0", "rid0"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (d[p], line[p], d[e], line[e])], ["d", "line", "d0", "line0"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[pa.RecordBatch] = []
@@ -183,42 +186,49 @@ def first_candidates(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFram
         if rows:
             yield join(pa.Table.from_batches(pending).combine_chunks())
 
-    return keyed.select("key", "d", "line", "rid", "n", "sig").mapInArrow(run, "d bigint, line int, rid int, d0 bigint, line0 int, rid0 int")
+    return keyed.select("key", "d", "line", "n", "sig").mapInArrow(run, "d bigint, line int, d0 bigint, line0 int")
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """The table, marked for a broadcast if it has at most ``BROADCAST_ROWS`` rows; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(d, line, rid) of the later lines of pairs that are similar enough, from the lines' whole texts."""
-    ends = pairs.select("d", "line", "rid").union(pairs.select("d0", "line0", "rid0"))
-    wanted = ends.groupBy("d", "rid").agg(F.collect_set("line").alias("lines"))
-    split = texts.join(wanted, ["d", "rid"]).select("d", "rid", F.split(F.col("t").cast("string"), "\n").alias("all"), F.explode_outer("lines").alias("line"))
-    lines = split.select("d", "line", "rid", F.element_at("all", F.col("line") + 1).alias("text"))
-    later = pairs.join(lines.withColumnRenamed("text", "x"), ["d", "line", "rid"])
-    both = later.join(lines.select(F.col("d").alias("d0"), F.col("line").alias("line0"), F.col("rid").alias("rid0"), F.col("text").alias("y")), ["d0", "line0", "rid0"])
-    return shingle_similarity(both.select("d", "line", "rid", "x", "y"), "x", "y", width=1).where(F.col("similarity") >= threshold - 1e-12).select("d", "line", "rid").distinct()
+    ends = pairs.select("d", "line").union(pairs.select(F.col("d0").alias("d"), F.col("line0").alias("line")))
+    wanted = written(ends.groupBy("d").agg(F.collect_set("line").alias("lines")))
+    held = texts.join(_sized(wanted), "d").select("d", "rid", F.split(F.col("t").cast("string"), "\n").alias("all"), F.explode_outer("lines").alias("line"))
+    lines = held.select("d", "line", "rid", F.get("all", F.col("line")).alias("text")).where("text is not null")
+    later = pairs.join(lines.withColumnRenamed("text", "x"), ["d", "line"])
+    both = later.join(lines.select(F.col("d").alias("d0"), F.col("line").alias("line0"), F.col("rid").alias("rid0"), F.col("text").alias("y")), ["d0", "line0"])
+    both = both.where(F.struct(F.col("d0").alias("d"), F.col("line0").alias("line"), F.col("rid0").alias("rid")) < F.struct("d", "line", "rid"))
+    alike = shingle_similarity(both.select("d", "line", "rid", "x", "y"), "x", "y", width=1).where(F.col("similarity") >= threshold - 1e-12)
+    return written(alike.select("d", "line", "rid").distinct())
 
 
 def first_lines(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
-    """The rows with their internal ids (all columns, d, rid, t), and (d, rid, kept): the compared lines that stay."""
-    body = F.lower(F.coalesce(F.col(text), F.lit("")))
+    """The rows with their internal ids (all columns, d, rid), and (d, rid, kept): the compared lines that stay."""
     rows = df.withColumns({"d": F.coalesce(F.col(key).cast("bigint"), F.lit(2**63 - 1)), "rid": F.hash(F.coalesce(F.col(text), F.lit("")))})
-    plain = rows.select("d", "rid", body.cast("binary").alias("t"))
+    plain = rows.select("d", "rid", F.lower(F.coalesce(F.col(text), F.lit(""))).cast("binary").alias("t"))
     rarity = ranks(word_counts(plain.select("t")))
     sets = line_sets(plain, rarity, threshold, least)
     # Equal sets: a partial aggregate, so a line in a third of all documents moves once a task.
     whole = F.struct("d", "line", "rid", "n", "sig", "keys")
-    firsts = sets.groupBy("h1", "h2").agg(F.min(whole).alias("w")).select("w.*")
+    firsts = written(sets.groupBy("h1", "h2").agg(F.min(whole).alias("w")).select("w.*"))
     keyed = firsts.select(F.explode_outer("keys").alias("key"), "d", "line", "rid", "n", "sig").where("key is not null")
-    keyed = keyed.repartition("key").sortWithinPartitions("key", "d", "line", "rid")
-    near = first_candidates(keyed, threshold).distinct()
+    near = first_candidates(keyed.select("key", "d", "line", "n", "sig").repartition("key").sortWithinPartitions("key", "d", "line"), threshold)
+    near = written(near.distinct())
     found = _verified(near, plain, threshold)
     # Lines whose nearest candidates were false: all pairs with their other candidates, through their keys.
-    open_ = near.select("d", "line", "rid").distinct().join(found, ["d", "line", "rid"], "left_anti")
-    probes = keyed.join(open_, ["d", "line", "rid"], "left_semi").select(*[F.col(c).alias(f"p_{c}") for c in ("key", "d", "line", "rid", "n", "sig")])
+    marked = firsts.join(_sized(written(near.select("d", "line").distinct())), ["d", "line"], "left_semi")
+    open_ = written(marked.join(found, ["d", "line", "rid"], "left_anti").select(F.explode_outer("keys").alias("key"), "d", "line", "rid", "n", "sig").where("key is not null"))
+    probes = _sized(open_.select(*[F.col(c).alias(f"p_{c}") for c in open_.columns]))
     earlier = F.struct("d", "line", "rid") < F.struct(F.col("p_d").alias("d"), F.col("p_line").alias("line"), F.col("p_rid").alias("rid"))
     alike = (F.least("n", "p_n") + 1 >= threshold * F.greatest("n", "p_n")) & (F.bit_count(F.col("sig").bitwiseXOR(F.col("p_sig"))) <= (1 - threshold) / (1 + threshold) * (F.col("n") + F.col("p_n")) + 1)
-    again = keyed.join(probes, F.col("key") == F.col("p_key")).where(earlier & alike)
-    again = again.select(F.col("p_d").alias("d"), F.col("p_line").alias("line"), F.col("p_rid").alias("rid"), F.col("d").alias("d0"), F.col("line").alias("line0"), F.col("rid").alias("rid0")).distinct()
-    found = found.union(_verified(again, plain, threshold))
+    again = keyed.join(probes, (F.col("key") == F.col("p_key")) & earlier & alike)
+    again = written(again.select(F.col("p_d").alias("d"), F.col("p_line").alias("line"), F.col("d").alias("d0"), F.col("line").alias("line0")).distinct())
+    found = found.union(_verified(again, plain, threshold)).distinct()
     kept = firsts.select("d", "line", "rid").join(found, ["d", "line", "rid"], "left_anti")
     return rows, kept.groupBy("d", "rid").agg(F.collect_list("line").alias("kept"))
 
