@@ -101,4 +101,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others are held against brute force, a round trip or held-out labels in tests/llm."""
+    from tracklake.llm import sql
+
+    return {"op2_license_scan": sql.license_scan(), "op7_quality_rules": sql.quality_rules(), "op8_decontaminate": sql.decontaminate()}
