@@ -19,7 +19,8 @@ sorted strings of the earlier ones by binary search.
 
 Null texts are empty; texts shorter than ``LENGTH`` lose nothing.  Rows that repeat an id
 and text are one place and treated alike; of one id with several texts, the smaller hash
-of the text comes first.  A null id comes after all others.
+of the text comes first.  A null id comes after all others, as long as these are less than
+2^63 - 2^32; rows without an id stand in the order of two hashes of their texts.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 from tracklake.llm.text import binary_column
 
 LENGTH, KMER = 100, 16
+#: The lowest bits of an anchor's hash deal the places of an anchor that are known to be repeated.
+SALT_BITS = 10
 #: Bytes of the fragments in one suffix array.
 BLOCK = 1 << 21
 _SPAN = 1 << 20
@@ -87,12 +90,18 @@ def _runs(b: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def anchors(rows: DataFrame) -> DataFrame:
-    """(h, d, rid, at, n): the runs of strings of each text ``t`` that share an anchor."""
+    """(h, d, rid, place): the runs of strings of each text ``t`` that share an anchor.
+
+    h is the anchor's hash without its ``SALT_BITS`` lowest bits; these are 0 but for the
+    further places of an anchor in a batch.  place is 256 x start + 2 x number of starts,
+    plus 1 if the batch has the anchor more than once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, rid = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             buf, offsets = binary_column(batch.column(2))
+            parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             row = 0
             while row < len(d):
                 end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + _SPAN - 1, "right")) - 1)
@@ -104,11 +113,28 @@ def anchors(rows: DataFrame) -> DataFrame:
                     else:
                         at, n, h = _anchors(b)
                     of = np.searchsorted(offsets[row : end + 1] - offsets[row], at, "right") - 1
-                    at = at - (offsets[row + of] - offsets[row])
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(d[row + of]), pa.array(rid[row + of]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "d", "rid", "at", "n"])
+                    parts.append((h, row + of, ((at - (offsets[row + of] - offsets[row])) << 8) + 2 * n))
                 row = end
+            if parts:
+                h, of, place = (np.concatenate(c) for c in zip(*parts, strict=True))
+                h = (h >> np.uint64(SALT_BITS)) << np.uint64(SALT_BITS)
+                order = np.argsort(h, kind="stable")
+                same = h[order[1:]] == h[order[:-1]]
+                place[order[1:][same]] |= 1
+                place[order[:-1][same]] |= 1
+                further = order[1:][same]
+                salt = (_C1 * (place[further].astype(np.uint64) + d[of[further]].astype(np.uint64))) >> np.uint64(64 - SALT_BITS)
+                h[further] |= np.maximum(salt, np.uint64(1))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(d[of]), pa.array(rid[of]), pa.array(place)], ["h", "d", "rid", "place"])
+
+    return rows.mapInArrow(run, "h bigint, d bigint, rid int, place bigint")
+
 
-    return rows.mapInArrow(run, "h bigint, d bigint, rid int, at int, n int")
+def repeated_anchors(met: DataFrame) -> DataFrame:
+    """(h, d, rid, at, n): the runs whose anchor occurs more than once in the corpus."""
+    counted = met.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).where((F.col("c") > 1) | (F.col("place") % 2 == 1))
+    clear = F.col("h").bitwiseAND(F.lit(-(1 << SALT_BITS)))
+    return counted.select(clear.alias("h"), "d", "rid", F.shiftright("place", 8).cast("int").alias("at"), F.shiftright(F.col("place") % 256, 1).cast("int").alias("n"))
 
 
 def suffix_array(data: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -341,15 +367,23 @@ def _cut_batch(ids: pa.Array, out: list[list]) -> pa.RecordBatch:
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, rest) of each row."""
     body = F.coalesce(F.col(text), F.lit(""))
-    last = 2**63 - 1
-    rows = df.select(F.coalesce(F.col(key).cast("bigint"), F.lit(last)).alias("d"), F.hash(body).alias("rid"), body.cast("binary").alias("t"))
-    met = anchors(rows).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("c > 1")
-    by_doc = met.groupBy("d", "rid").agg(F.collect_set(F.struct("h", "at", "n")).alias("runs"))
-    # One shuffle of the texts and one of the runs by document serve both joins with them.
+    # Two hashes of 32 bits tell rows without an id apart.
+    beyond = 2**63 - 2**32
+    d = F.coalesce(F.col(key).cast("bigint"), F.lit(beyond) + F.shiftrightunsigned(F.xxhash64(body), 32))
+    rows = df.select(d.alias("d"), F.hash(body).alias("rid"), body.cast("binary").alias("t"))
+    place = F.struct(F.col("d"), F.col("rid"))
+    firsts = rows.select("d", "rid", F.unhex(F.sha2("t", 256)).alias("digest")).groupBy("digest").agg(F.min(place).alias("p")).select("p.d", "p.rid", F.lit(True).alias("first"))
+    # One shuffle of the texts by document serves all joins with them.
+    by_doc = repeated_anchors(anchors(rows.join(firsts, ["d", "rid"]).select("d", "rid", "t"))).groupBy("d", "rid").agg(F.collect_set(F.struct("h", "at", "n")).alias("runs"))
     pieces = rows.join(by_doc, ["d", "rid"]).select("d", "rid", "t", F.explode_outer("runs").alias("r"))
     fragments = pieces.select(F.col("r.h").alias("h"), F.substring("t", F.col("r.at") + 1, F.col("r.n") + (LENGTH - 1)).alias("frag"), "d", "rid", F.col("r.at").alias("at"), F.col("r.n").alias("n"))
     kept = kept_strings(first_of_batch(fragments).repartition("h").sortWithinPartitions("h", "d", "at", "rid"))
     kept = kept.groupBy("d", "rid").agg(F.collect_list(F.struct("a", "b")).alias("kept"))
-    joined = rows.join(by_doc, ["d", "rid"], "left").join(kept, ["d", "rid"], "left")
-    id_ = F.when(F.col("d") != last, F.col("d")).cast(df.schema[key].dataType)
+    joined = rows.join(firsts, ["d", "rid"], "left").join(by_doc, ["d", "rid"], "left").join(kept, ["d", "rid"], "left")
+    # A later one of equal texts: one run of all its starts, of which none is kept.
+    n = F.octet_length("t") - (LENGTH - 1)
+    copy = F.col("first").isNull() & (n > 0)
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("h"), F.lit(0).alias("at"), n.alias("n")))
+    joined = joined.withColumn("runs", F.when(copy, whole).otherwise(F.col("runs")))
+    id_ = F.when(F.col("d") < beyond, F.col("d")).cast(df.schema[key].dataType)
     return cut(joined.withColumn("id", id_)).withColumnRenamed("id", key)
