@@ -11,12 +11,13 @@ of fixed size; any order is right, a good one makes small groups.  Two similar l
 share a word among the first n - ceil(0.8 n) + 1 words of each, so these words are the
 join keys.  Within a key, lines of too different lengths, or of word-parity signatures
 that differ in too many bits for the lengths and positions, are passed over.  Each line
-stops at its first candidate; candidates are verified on the whole lines.  Lines whose
-first candidates all fail meet all their candidates in a second join.
+stops at the first candidate of each key, and the one that differs least is verified on
+the whole lines.  Lines for which it fails meet all their candidates in a second join.
 
 A null text has no lines.  Rows that repeat an id and text lose the same lines; of one id
 with several texts, the smaller hash of the text comes first at equal line numbers.  A
-null id comes after all others.  Extra columns are passed on.
+null id comes after all others, as long as these are less than 2^63 - 2^32.  Extra columns
+are passed on.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.llm.components import written
@@ -39,8 +40,10 @@ BUCKET_BITS, CHUNK = 20, 4096
 #: Rows of keys that are compared at once in a task, if their groups allow it.
 JOIN_ROWS = 1 << 20
 _SLICE = 1 << 19
-#: Tables of up to so many rows (of ids and line numbers, about 100 bytes) are broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Tables of up to so many documents with so many line numbers in all (16 bytes each) are broadcast.
+BROADCAST_ROWS, BROADCAST_LINES = 300_000, 2_000_000
+#: Lines of a batch that are held at once to find equal ones.
+_HELD = 1 << 18
 
 
 def _line_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,14 +93,41 @@ def ranks(counts: np.ndarray) -> np.ndarray:
 
 
 def line_sets(rows: DataFrame, rarity: np.ndarray, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
-    """(h1, h2, d, line, rid, n, sig, keys): each line's set of words by two hashes, its size, parity and prefix."""
+    """(h1, h2, d, line, rid, n, sig, keys, again): each line's set of words by two hashes, its size, parity and prefix.
+
+    again: an equal set stands earlier in the same batch; such a line has no keys, and h1 is spread.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(rarity)
+    names = ["h1", "h2", "d", "line", "rid", "n", "sig", "keys", "again"]
+
+    def told(parts: list[tuple]) -> pa.RecordBatch:
+        h1, h2, d, line, rid, n, sig = (np.concatenate(c) for c in list(zip(*parts, strict=True))[:7])
+        keys = pa.concat_arrays([p[7] for p in parts])
+        order = np.lexsort((rid, line, d, h2, h1))
+        again = np.zeros(len(h1), bool)
+        again[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
+        # A repeated row has the same lines at the same places: they are told once.
+        head = np.maximum.accumulate(np.where(again[order], 0, np.arange(len(order))))
+        first = np.empty(len(order), np.int64)
+        first[order] = order[head]
+        same = again & (d == d[first]) & (line == line[first]) & (rid == rid[first])
+        if same.any():
+            keep = np.flatnonzero(~same)
+            h1, h2, d, line, rid, n, sig, again = (c[keep] for c in (h1, h2, d, line, rid, n, sig, again))
+            keys = keys.take(pa.array(keep))
+        if again.any():
+            h1 = np.where(again, mix(h1.view(np.uint64) + d.view(np.uint64) * np.uint64(31) + line.astype(np.uint64), 23).view(np.int64), h1)
+            size = np.where(again, 0, np.diff(keys.offsets.to_numpy()))
+            values = keys.flatten().filter(pa.array(np.repeat(~again, np.diff(keys.offsets.to_numpy()))))
+            keys = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), values)
+        return pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(d), pa.array(line), pa.array(rid), pa.array(n), pa.array(sig), keys, pa.array(again)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
             d, rid = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             buf, offsets = binary_column(batch.column(2))
+            parts: list[tuple] = []
             for a, b in slices(offsets, _SLICE):
                 h, row, line = _line_words(buf, offsets[a : b + 1])
                 if not len(h):
@@ -112,12 +142,14 @@ def line_sets(rows: DataFrame, rarity: np.ndarray, threshold: float = THRESHOLD,
                     if out is not None:
                         of, h1, h2, n, sig, keys = out
                         r = row[first][of] + a
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(h1), pa.array(h2), pa.array(d[r]), pa.array(line[first][of].astype(np.int32)), pa.array(rid[r]), pa.array(n.astype(np.int32)), pa.array(sig), keys],
-                            ["h1", "h2", "d", "line", "rid", "n", "sig", "keys"],
-                        )
+                        parts.append((h1, h2, d[r], line[first][of].astype(np.int32), rid[r], n.astype(np.int32), sig, keys))
+                if sum(len(p[0]) for p in parts) >= _HELD:
+                    yield told(parts)
+                    parts = []
+            if parts:
+                yield told(parts)
 
-    return rows.mapInArrow(run, "h1 bigint, h2 bigint, d bigint, line int, rid int, n int, sig bigint, keys array<int>")
+    return rows.mapInArrow(run, "h1 bigint, h2 bigint, d bigint, line int, rid int, n int, sig bigint, keys array<int>, again boolean")
 
 
 def _sets(h: np.ndarray, number: np.ndarray, table: np.ndarray, threshold: float, least: int):
@@ -144,14 +176,14 @@ def _sets(h: np.ndarray, number: np.ndarray, table: np.ndarray, threshold: float
 
 
 def first_candidates(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Of rows (key, d, line, n, sig) sorted by key, d, line: each line's nearest earlier candidate of its key."""
+    """Of rows (key, d, line, n, sig) sorted by key, d, line: each line's nearest earlier candidate of its key, and the bits by which they differ."""
     difference = (1 - threshold) / (1 + threshold)
 
     def join(t: pa.Table) -> pa.RecordBatch:
         key, d, line, n, sig = (t.column(k).to_numpy() for k in range(5))
         sig = sig.view(np.uint64)
         probe = np.arange(len(key))
-        left, right = [], []
+        left, right, apart = [], [], []
         step = 1
         while len(probe):
             probe = probe[probe >= step]
@@ -159,13 +191,16 @@ def first_candidates(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFram
             other = probe - step
             a, b = n[probe], n[other]
             ok = np.minimum(a, b) + 1 >= threshold * np.maximum(a, b)
-            ok &= np.bitwise_count(sig[probe] ^ sig[other]) <= difference * (a + b) + 1
+            bits = np.bitwise_count(sig[probe] ^ sig[other])
+            ok &= bits <= difference * (a + b) + 1
             left.append(probe[ok])
             right.append(other[ok])
+            apart.append(bits[ok].astype(np.int32))
             probe = probe[~ok]
             step += 1
         p, e = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (d[p], line[p], d[e], line[e])], ["d", "line", "d0", "line0"])
+        bits = np.concatenate(apart) if apart else np.zeros(0, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (d[p], line[p], bits, d[e], line[e])], ["d", "line", "bits", "d0", "line0"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[pa.RecordBatch] = []
@@ -186,79 +221,72 @@ def first_candidates(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFram
         if rows:
             yield join(pa.Table.from_batches(pending).combine_chunks())
 
-    return keyed.select("key", "d", "line", "n", "sig").mapInArrow(run, "d bigint, line int, d0 bigint, line0 int")
+    return keyed.select("key", "d", "line", "n", "sig").mapInArrow(run, "d bigint, line int, bits int, d0 bigint, line0 int")
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """The table, marked for a broadcast if it has at most ``BROADCAST_ROWS`` rows; a larger one is joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _sized(df: DataFrame, lines: str | None = None) -> DataFrame:
+    """The table, marked for a broadcast if its rows and the entries of its column ``lines`` are few; a larger one is joined by a shuffle."""
+    r = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(lines)), F.lit(0)) if lines else F.lit(0)).first()
+    return F.broadcast(df) if r[0] <= BROADCAST_ROWS and r[1] <= BROADCAST_LINES else df
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(d, line, rid) of the later lines of pairs that are similar enough, from the lines' whole texts."""
-    ends = pairs.select("d", "line").union(pairs.select(F.col("d0").alias("d"), F.col("line0").alias("line")))
-    wanted = written(ends.groupBy("d").agg(F.collect_set("line").alias("lines")))
-    held = texts.join(_sized(wanted), "d").select("d", "rid", F.split(F.col("t").cast("string"), "\n").alias("all"), F.explode_outer("lines").alias("line"))
-    lines = held.select("d", "line", "rid", F.get("all", F.col("line")).alias("text")).where("text is not null")
-    later = pairs.join(lines.withColumnRenamed("text", "x"), ["d", "line"])
-    both = later.join(lines.select(F.col("d").alias("d0"), F.col("line").alias("line0"), F.col("rid").alias("rid0"), F.col("text").alias("y")), ["d0", "line0"])
+    line = lambda k: F.get("all", k)
+
+    def held(lists: DataFrame) -> DataFrame:
+        return texts.join(_sized(lists, "of"), "d").select("d", "rid", F.split(F.col("t").cast("string"), "\n").alias("all"), F.explode_outer("of").alias("of"))
+
+    of_later = written(pairs.groupBy("d").agg(F.collect_list(F.struct("line", "d0", "line0")).alias("of")))
+    of_earlier = written(pairs.groupBy(F.col("d0").alias("d")).agg(F.collect_set("line0").alias("of")))
+    later = held(of_later).select("d", "rid", "of.line", "of.d0", "of.line0", line(F.col("of.line")).alias("x")).where("x is not null")
+    earlier = held(of_earlier).select(F.col("d").alias("d0"), F.col("of").alias("line0"), F.col("rid").alias("rid0"), line(F.col("of")).alias("y")).where("y is not null")
+    both = later.join(earlier, ["d0", "line0"])
     both = both.where(F.struct(F.col("d0").alias("d"), F.col("line0").alias("line"), F.col("rid0").alias("rid")) < F.struct("d", "line", "rid"))
     alike = shingle_similarity(both.select("d", "line", "rid", "x", "y"), "x", "y", width=1).where(F.col("similarity") >= threshold - 1e-12)
     return written(alike.select("d", "line", "rid").distinct())
 
 
-def first_lines(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
-    """The rows with their internal ids (all columns, d, rid), and (d, rid, kept): the compared lines that stay."""
-    rows = df.withColumns({"d": F.coalesce(F.col(key).cast("bigint"), F.lit(2**63 - 1)), "rid": F.hash(F.coalesce(F.col(text), F.lit("")))})
-    plain = rows.select("d", "rid", F.lower(F.coalesce(F.col(text), F.lit(""))).cast("binary").alias("t"))
+def removed_lines(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
+    """The rows with their internal ids (all columns, d, rid), and (d, rid, gone): the numbers of the lines that go."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    # Two hashes of 32 bits tell rows without an id apart.
+    d = F.coalesce(F.col(key).cast("bigint"), F.lit(2**63 - 2**32) + F.shiftrightunsigned(F.xxhash64(body), 32))
+    rows = df.withColumns({"d": d, "rid": F.hash(body)})
+    plain = rows.select("d", "rid", F.lower(body).cast("binary").alias("t"))
     rarity = ranks(word_counts(plain.select("t")))
-    sets = line_sets(plain, rarity, threshold, least)
-    # Equal sets: a partial aggregate, so a line in a third of all documents moves once a task.
-    whole = F.struct("d", "line", "rid", "n", "sig", "keys")
-    firsts = written(sets.groupBy("h1", "h2").agg(F.min(whole).alias("w")).select("w.*"))
+    # Equal sets: of each batch one line goes into the group, so a line in a third of all documents is met once a batch.
+    group, place = Window.partitionBy("h1", "h2").orderBy("d", "line", "rid"), F.struct("d", "line", "rid")
+    sets = line_sets(plain, rarity, threshold, least).withColumns({"own": F.row_number().over(group), "first": F.first(place).over(group)})
+    sets = sets.where((F.col("own") == 1) | (place != F.col("first"))).withColumn("gone", F.col("again") | (F.col("own") > 1))
+    sets = written(sets.select("d", "line", "rid", "gone", "n", "sig", F.when(~F.col("gone"), F.col("keys")).alias("keys")))
+    firsts = sets.where("not gone").select("d", "line", "rid", "n", "sig", "keys")
     keyed = firsts.select(F.explode_outer("keys").alias("key"), "d", "line", "rid", "n", "sig").where("key is not null")
     near = first_candidates(keyed.select("key", "d", "line", "n", "sig").repartition("key").sortWithinPartitions("key", "d", "line"), threshold)
-    near = written(near.distinct())
+    near = written(near.groupBy("d", "line").agg(F.min(F.struct("bits", "d0", "line0")).alias("c")).select("d", "line", "c.d0", "c.line0"))
     found = _verified(near, plain, threshold)
-    # Lines whose nearest candidates were false: all pairs with their other candidates, through their keys.
-    marked = firsts.join(_sized(written(near.select("d", "line").distinct())), ["d", "line"], "left_semi")
+    # Lines whose best candidate was false: all pairs with their other candidates, through their keys.
+    marked = firsts.join(near.select("d", "line"), ["d", "line"], "left_semi")
     open_ = written(marked.join(found, ["d", "line", "rid"], "left_anti").select(F.explode_outer("keys").alias("key"), "d", "line", "rid", "n", "sig").where("key is not null"))
     probes = _sized(open_.select(*[F.col(c).alias(f"p_{c}") for c in open_.columns]))
     earlier = F.struct("d", "line", "rid") < F.struct(F.col("p_d").alias("d"), F.col("p_line").alias("line"), F.col("p_rid").alias("rid"))
     alike = (F.least("n", "p_n") + 1 >= threshold * F.greatest("n", "p_n")) & (F.bit_count(F.col("sig").bitwiseXOR(F.col("p_sig"))) <= (1 - threshold) / (1 + threshold) * (F.col("n") + F.col("p_n")) + 1)
     again = keyed.join(probes, (F.col("key") == F.col("p_key")) & earlier & alike)
     again = written(again.select(F.col("p_d").alias("d"), F.col("p_line").alias("line"), F.col("d").alias("d0"), F.col("line").alias("line0")).distinct())
-    found = found.union(_verified(again, plain, threshold)).distinct()
-    kept = firsts.select("d", "line", "rid").join(found, ["d", "line", "rid"], "left_anti")
-    return rows, kept.groupBy("d", "rid").agg(F.collect_list("line").alias("kept"))
+    gone = sets.where("gone").select("d", "line", "rid").union(found).union(_verified(again, plain, threshold))
+    return rows, written(gone.groupBy("d", "rid").agg(F.collect_set("line").alias("gone")))
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, least: int = LEAST_WORDS, to: str = "kept_text") -> DataFrame:
     """Adds n_lines (with a word), n_removed and the text of the lines that stay."""
-    rows, kept = first_lines(df, key, text, threshold, least)
-    joined = rows.join(kept, ["d", "rid"], "left")
-
-    @F.pandas_udf(f"n_lines long, n_removed long, `{to}` string")
-    def choose(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, stay in batches:
-            out = []
-            for t, k in zip(texts, stay, strict=True):
-                t = t or ""
-                raw = t.encode()
-                # The words of the lower-case text decide, as in the join.
-                low = t.lower().encode() if not t.isascii() else raw.lower()
-                b = np.frombuffer(low, np.uint8)
-                h, _, line = _line_words(b, np.array([0, len(b)], np.int64))
-                first = np.r_[True, line[1:] != line[:-1]] if len(line) else np.zeros(0, bool)
-                seen = line[first]
-                pair = np.unique(np.stack([line.astype(np.uint64), h]), axis=1)[0].astype(np.int64) if len(line) else line
-                size = np.bincount(pair)[seen] if len(line) else seen
-                gone = np.setdiff1d(seen[size >= least], k if k is not None else [])
-                if len(gone):
-                    drop = set(gone.tolist())
-                    t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop)
-                out.append((len(seen), len(gone), t))
-            yield pd.DataFrame(out, columns=["n_lines", "n_removed", to])
-
-    chosen = joined.withColumn("__c", choose(F.col(text), F.col("kept")))
-    return chosen.select(*df.columns, "__c.n_lines", "__c.n_removed", F.col(f"__c.{to}").alias(to))
+    rows, removed = removed_lines(df, key, text, threshold, least)
+    joined = rows.join(_sized(removed, "gone"), ["d", "rid"], "left")
+    body = F.coalesce(F.col(text), F.lit(""))
+    lines = F.split(body, "\n")
+    stay = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
+    added = {
+        "n_lines": F.size(F.filter(lines, lambda x: x.rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"))).cast("long"),
+        "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
+        to: F.when(F.col("gone").isNull(), body).otherwise(F.array_join(stay, "\n")),
+    }
+    return joined.select(*df.columns, *[c.alias(k) for k, c in added.items()])
