@@ -11,8 +11,8 @@ of fixed size; any order is right, a good one makes small groups.  Two similar l
 share a word among the first n - ceil(0.8 n) + 1 words of each, so these words are the
 join keys.  Within a key, lines of too different lengths, or of word-parity signatures
 that differ in too many bits for the lengths and positions, are passed over.  Each line
-stops at the first candidate of each key, and the one that differs least is verified on
-the whole lines.  Lines for which it fails meet all their candidates in a second join.
+stops at a few candidates of each key, and the one that differs least is verified on the
+whole lines.  Lines for which it fails meet all their candidates in a second join.
 
 A null text has no lines.  Rows that repeat an id and text lose the same lines; of one id
 with several texts, the smaller hash of the text comes first at equal line numbers.  A
@@ -41,7 +41,9 @@ BUCKET_BITS, CHUNK = 20, 4096
 JOIN_ROWS = 1 << 20
 _SLICE = 1 << 19
 #: Tables of up to so many documents with so many line numbers in all (16 bytes each) are broadcast.
-BROADCAST_ROWS, BROADCAST_LINES = 300_000, 2_000_000
+BROADCAST_ROWS, BROADCAST_LINES = 500_000, 2_000_000
+#: Candidates of a key after which a line stops; if the best one is false, the second join takes all.
+STOP_AFTER = 4
 #: Lines of a batch that are held at once to find equal ones.
 _HELD = 1 << 18
 
@@ -93,16 +95,16 @@ def ranks(counts: np.ndarray) -> np.ndarray:
 
 
 def line_sets(rows: DataFrame, rarity: np.ndarray, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
-    """(h1, h2, d, line, rid, n, sig, keys, again): each line's set of words by two hashes, its size, parity and prefix.
+    """(h1, h2, d, line, rid, n, sig, sig2, keys, again): each line's set of words by two hashes, its size, parity and prefix.
 
     again: an equal set stands earlier in the same batch; such a line has no keys, and h1 is spread.
     """
     shared = rows.sparkSession.sparkContext.broadcast(rarity)
-    names = ["h1", "h2", "d", "line", "rid", "n", "sig", "keys", "again"]
+    names = ["h1", "h2", "d", "line", "rid", "n", "sig", "sig2", "keys", "again"]
 
     def told(parts: list[tuple]) -> pa.RecordBatch:
-        h1, h2, d, line, rid, n, sig = (np.concatenate(c) for c in list(zip(*parts, strict=True))[:7])
-        keys = pa.concat_arrays([p[7] for p in parts])
+        h1, h2, d, line, rid, n, sig, sig2 = (np.concatenate(c) for c in list(zip(*parts, strict=True))[:8])
+        keys = pa.concat_arrays([p[8] for p in parts])
         order = np.lexsort((rid, line, d, h2, h1))
         again = np.zeros(len(h1), bool)
         again[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
@@ -113,14 +115,14 @@ def line_sets(rows: DataFrame, rarity: np.ndarray, threshold: float = THRESHOLD,
         same = again & (d == d[first]) & (line == line[first]) & (rid == rid[first])
         if same.any():
             keep = np.flatnonzero(~same)
-            h1, h2, d, line, rid, n, sig, again = (c[keep] for c in (h1, h2, d, line, rid, n, sig, again))
+            h1, h2, d, line, rid, n, sig, sig2, again = (c[keep] for c in (h1, h2, d, line, rid, n, sig, sig2, again))
             keys = keys.take(pa.array(keep))
         if again.any():
             h1 = np.where(again, mix(h1.view(np.uint64) + d.view(np.uint64) * np.uint64(31) + line.astype(np.uint64), 23).view(np.int64), h1)
             size = np.where(again, 0, np.diff(keys.offsets.to_numpy()))
             values = keys.flatten().filter(pa.array(np.repeat(~again, np.diff(keys.offsets.to_numpy()))))
             keys = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), values)
-        return pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(d), pa.array(line), pa.array(rid), pa.array(n), pa.array(sig), keys, pa.array(again)], names)
+        return pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(d), pa.array(line), pa.array(rid), pa.array(n), pa.array(sig), pa.array(sig2), keys, pa.array(again)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -140,16 +142,16 @@ def line_sets(rows: DataFrame, rarity: np.ndarray, threshold: float = THRESHOLD,
                     first = head[k : k + (1 << 16)]
                     out = _sets(h[lo:hi], number[lo:hi] - k, table, threshold, least)
                     if out is not None:
-                        of, h1, h2, n, sig, keys = out
+                        of, h1, h2, n, sig, sig2, keys = out
                         r = row[first][of] + a
-                        parts.append((h1, h2, d[r], line[first][of].astype(np.int32), rid[r], n.astype(np.int32), sig, keys))
+                        parts.append((h1, h2, d[r], line[first][of].astype(np.int32), rid[r], n.astype(np.int32), sig, sig2, keys))
                 if sum(len(p[0]) for p in parts) >= _HELD:
                     yield told(parts)
                     parts = []
             if parts:
                 yield told(parts)
 
-    return rows.mapInArrow(run, "h1 bigint, h2 bigint, d bigint, line int, rid int, n int, sig bigint, keys array<int>, again boolean")
+    return rows.mapInArrow(run, "h1 bigint, h2 bigint, d bigint, line int, rid int, n int, sig bigint, sig2 bigint, keys array<int>, again boolean")
 
 
 def _sets(h: np.ndarray, number: np.ndarray, table: np.ndarray, threshold: float, least: int):
@@ -162,7 +164,8 @@ def _sets(h: np.ndarray, number: np.ndarray, table: np.ndarray, threshold: float
     start = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
     n = np.diff(np.r_[start, len(h)])
     bit = np.uint64(1) << ((h >> np.uint64(36)) & np.uint64(63))
-    sig = np.bitwise_xor.reduceat(bit, start)
+    half = (h >> np.uint64(42)) & np.uint64(1) == 1  # 128 bits of parity in two halves
+    sig, sig2 = (np.bitwise_xor.reduceat(np.where(half == v, bit, np.uint64(0)), start) for v in (False, True))
     h1, h2 = np.add.reduceat(mix(h, 21), start), np.add.reduceat(mix(h, 22), start)
     enough = n >= least
     if not enough.any():
@@ -172,16 +175,17 @@ def _sets(h: np.ndarray, number: np.ndarray, table: np.ndarray, threshold: float
     use = (place < np.repeat(prefix, n)) & (rank > 0) & np.repeat(enough, n)
     size = np.add.reduceat(use.astype(np.int64), start)[enough]
     keys = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array((h[use] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
-    return number[start][enough], h1[enough].view(np.int64), h2[enough].view(np.int64), n[enough], sig[enough].view(np.int64), keys
+    return number[start][enough], h1[enough].view(np.int64), h2[enough].view(np.int64), n[enough], sig[enough].view(np.int64), sig2[enough].view(np.int64), keys
 
 
 def first_candidates(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Of rows (key, d, line, n, sig) sorted by key, d, line: each line's nearest earlier candidate of its key, and the bits by which they differ."""
+    """Of rows (key, d, line, n, sig, sig2) sorted by key, d, line: the best of each line's nearest earlier candidates of its key, and the bits by which they differ."""
     difference = (1 - threshold) / (1 + threshold)
 
     def join(t: pa.Table) -> pa.RecordBatch:
-        key, d, line, n, sig = (t.column(k).to_numpy() for k in range(5))
-        sig = sig.view(np.uint64)
+        key, d, line, n, sig, sig2 = (t.column(k).to_numpy() for k in range(6))
+        sig, sig2 = sig.view(np.uint64), sig2.view(np.uint64)
+        met = np.zeros(len(key), np.int8)
         probe = np.arange(len(key))
         left, right, apart = [], [], []
         step = 1
@@ -191,15 +195,19 @@ def first_candidates(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFram
             other = probe - step
             a, b = n[probe], n[other]
             ok = np.minimum(a, b) + 1 >= threshold * np.maximum(a, b)
-            bits = np.bitwise_count(sig[probe] ^ sig[other])
+            bits = np.bitwise_count(sig[probe] ^ sig[other]) + np.bitwise_count(sig2[probe] ^ sig2[other])
             ok &= bits <= difference * (a + b) + 1
             left.append(probe[ok])
             right.append(other[ok])
             apart.append(bits[ok].astype(np.int32))
-            probe = probe[~ok]
+            met[probe[ok]] += 1
+            probe = probe[met[probe] < STOP_AFTER]
             step += 1
         p, e = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         bits = np.concatenate(apart) if apart else np.zeros(0, np.int32)
+        order = np.lexsort((bits, p))
+        best = order[np.r_[True, p[order[1:]] != p[order[:-1]]]] if len(p) else order
+        p, e, bits = p[best], e[best], bits[best]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (d[p], line[p], bits, d[e], line[e])], ["d", "line", "bits", "d0", "line0"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +229,7 @@ def first_candidates(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFram
         if rows:
             yield join(pa.Table.from_batches(pending).combine_chunks())
 
-    return keyed.select("key", "d", "line", "n", "sig").mapInArrow(run, "d bigint, line int, bits int, d0 bigint, line0 int")
+    return keyed.select("key", "d", "line", "n", "sig", "sig2").mapInArrow(run, "d bigint, line int, bits int, d0 bigint, line0 int")
 
 
 def _sized(df: DataFrame, lines: str | None = None) -> DataFrame:
@@ -259,18 +267,19 @@ def removed_lines(df: DataFrame, key: str, text: str, threshold: float = THRESHO
     group, place = Window.partitionBy("h1", "h2").orderBy("d", "line", "rid"), F.struct("d", "line", "rid")
     sets = line_sets(plain, rarity, threshold, least).withColumns({"own": F.row_number().over(group), "first": F.first(place).over(group)})
     sets = sets.where((F.col("own") == 1) | (place != F.col("first"))).withColumn("gone", F.col("again") | (F.col("own") > 1))
-    sets = written(sets.select("d", "line", "rid", "gone", "n", "sig", F.when(~F.col("gone"), F.col("keys")).alias("keys")))
-    firsts = sets.where("not gone").select("d", "line", "rid", "n", "sig", "keys")
-    keyed = firsts.select(F.explode_outer("keys").alias("key"), "d", "line", "rid", "n", "sig").where("key is not null")
-    near = first_candidates(keyed.select("key", "d", "line", "n", "sig").repartition("key").sortWithinPartitions("key", "d", "line"), threshold)
+    sets = written(sets.select("d", "line", "rid", "gone", "n", "sig", "sig2", F.when(~F.col("gone"), F.col("keys")).alias("keys")))
+    firsts = sets.where("not gone").select("d", "line", "rid", "n", "sig", "sig2", "keys")
+    keyed = firsts.select(F.explode_outer("keys").alias("key"), "d", "line", "rid", "n", "sig", "sig2").where("key is not null")
+    near = first_candidates(keyed.select("key", "d", "line", "n", "sig", "sig2").repartition("key").sortWithinPartitions("key", "d", "line"), threshold)
     near = written(near.groupBy("d", "line").agg(F.min(F.struct("bits", "d0", "line0")).alias("c")).select("d", "line", "c.d0", "c.line0"))
     found = _verified(near, plain, threshold)
     # Lines whose best candidate was false: all pairs with their other candidates, through their keys.
     marked = firsts.join(near.select("d", "line"), ["d", "line"], "left_semi")
-    open_ = written(marked.join(found, ["d", "line", "rid"], "left_anti").select(F.explode_outer("keys").alias("key"), "d", "line", "rid", "n", "sig").where("key is not null"))
+    open_ = written(marked.join(found, ["d", "line", "rid"], "left_anti").select(F.explode_outer("keys").alias("key"), "d", "line", "rid", "n", "sig", "sig2").where("key is not null"))
     probes = _sized(open_.select(*[F.col(c).alias(f"p_{c}") for c in open_.columns]))
     earlier = F.struct("d", "line", "rid") < F.struct(F.col("p_d").alias("d"), F.col("p_line").alias("line"), F.col("p_rid").alias("rid"))
-    alike = (F.least("n", "p_n") + 1 >= threshold * F.greatest("n", "p_n")) & (F.bit_count(F.col("sig").bitwiseXOR(F.col("p_sig"))) <= (1 - threshold) / (1 + threshold) * (F.col("n") + F.col("p_n")) + 1)
+    bits = F.bit_count(F.col("sig").bitwiseXOR(F.col("p_sig"))) + F.bit_count(F.col("sig2").bitwiseXOR(F.col("p_sig2")))
+    alike = (F.least("n", "p_n") + 1 >= threshold * F.greatest("n", "p_n")) & (bits <= (1 - threshold) / (1 + threshold) * (F.col("n") + F.col("p_n")) + 1)
     again = keyed.join(probes, (F.col("key") == F.col("p_key")) & earlier & alike)
     again = written(again.select(F.col("p_d").alias("d"), F.col("p_line").alias("line"), F.col("d").alias("d0"), F.col("line").alias("line0")).distinct())
     gone = sets.where("gone").select("d", "line", "rid").union(found).union(_verified(again, plain, threshold))
