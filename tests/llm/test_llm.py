@@ -140,6 +140,32 @@ def test_near_duplicates(docs, rows, empty):
     assert near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_large_buckets(spark, monkeypatch):
+    """Pairs of texts that all share their buckets and are no near-duplicates of the leaders."""
+    from tracklake.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)
+    base = [f"b{k}" for k in range(200)]
+    table = []
+    for k in range(40):
+        own = base[:]
+        own[4 * k : 4 * k + 4], own[-30:] = [f"x{k}y{j}" for j in range(4)], [f"v{k}z{j}" for j in range(30)]
+        table += [(2 * k, " ".join(own)), (2 * k + 1, " ".join([*own, "end"]))]
+    want = brute_classes(table)
+    assert len(set(want.values())) == 40
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(table, "doc_id bigint, text string"), rows=1).collect()}
+    assert got == want
+
+
+def test_near_duplicates_with_repeated_shingles(spark):
+    """Like as sets of shingles, unlike by their numbers."""
+    from tracklake.llm.minhash import near_duplicates
+
+    base = [f"b{k}" for k in range(100)]
+    table = [(1, " ".join(base)), (2, " ".join([*base, *["z"] * 400])), (3, "z " * 300)]
+    assert {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(table, "doc_id bigint, text string")).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     import numpy as np
 
