@@ -107,6 +107,31 @@ def test_license_scan(spark, docs, rows, empty):
     assert license_scan(docs).count() == len(rows) and license_scan(empty).count() == 0
 
 
+def test_license_scan_wrapped(spark):
+    """Licence texts as they are wrapped, with and without comment marks, with lists, and unwrapped."""
+    import textwrap
+
+    from tracklake.llm.license_scan import SENTENCES, license_scan
+
+    mit = [SENTENCES["mit-grant"] + ":", SENTENCES["mit-condition"] + ".", SENTENCES["mit-asis"].upper() + ". IN NO EVENT more"]
+    gpl2 = ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+            "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."]
+    bsd = [SENTENCES["bsd-redistribution"] + ":", "1. " + SENTENCES["bsd-source"] + ".", "2. " + SENTENCES["bsd-binary"] + ".", "3. " + SENTENCES["bsd-endorse"] + "."]
+    apache = ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.']
+    texts = {"mit-text": mit, "gpl-2.0-header": gpl2, "bsd-3-text": bsd, "apache-2.0-header": apache}
+    table = []
+    for rule, paragraphs in texts.items():
+        for width in (30, 72, 10_000):
+            for mark in ("", "# ", " * ", "// "):
+                blocks = [textwrap.fill(p, width).split("\n") for p in paragraphs]
+                for between in ([""], []) if rule == "bsd-3-text" else ([""],):
+                    lines = [x for b in blocks for x in [*b, *between]]
+                    table.append((rule, "\n".join(["int x", "", *[mark + x for x in lines], "", "y"])))
+    table.append(("mit-licensed", "# Licensed under the MIT" + " " * 3000 + "License."))
+    for r in license_scan(spark.createDataFrame(table, "rule string, text string")).collect():
+        assert r.rules == [r.rule], (r.rule, r.rules, r.text)
+
+
 def brute_classes(rows):
     sets = {}
     for i, t in unique(rows):

@@ -1,10 +1,14 @@
 """License scans: known sentences become identifiers, identifier sequences match ordered rules.
 
-A text is cut into sentences at line ends and after ``.!?`` before white space.  A
-sentence is normalised (lower case, runs of other characters than letters and digits
+A text is cut into sentences in three ways: at line ends and after ``.!?`` before white
+space; by paragraphs, whose lines are joined (a line without letters and digits ends one,
+a list number begins a new sentence) and cut after ``.!?``; and so with ``;`` as a further
+cut.  So notices of one line and texts wrapped at any width, with or without comment marks
+that are no letters, are found alike.  A sentence is normalised (lower case, runs of other characters than letters and digits
 become one space) and looked up among the known sentences; an unknown one breaks a
-sequence.  The rules are tried in their order, and what a rule has matched is taken out,
-so that a full licence text is not also reported as its parts.
+sequence.  The rules are tried in their order on each cut, and what a rule has matched is
+taken out, so that a full licence text is not also reported as its parts; nor does a cut
+report the parts of what only another one has in full.
 
 Null and empty texts have no sentences and an empty result; every row is judged by
 itself, so ties and repeated rows need no rule; extra columns are passed on.
@@ -84,35 +88,59 @@ RULES: tuple[LicenseRule, ...] = (
 )
 
 CUT = r"\n+|(?<=[.!?])\s+"
+PARAGRAPH_CUT = r"\n[^\p{L}\p{N}\n]*(?:\d{1,2}|[A-Za-z])[.)][ \t]+|\n[^\p{L}\p{N}\n]*(?=\n)|(?<=[.!?])\s+"
+CLAUSE_CUT = PARAGRAPH_CUT + "|;"
 
 
-def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
+def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES, cut: str = CUT) -> Column:
     """The identifiers of the sentences of a text in their order; '' for a sentence that is not known."""
     table = F.create_map(*[F.lit(x) for k, v in sentences.items() for x in (v, k)])
-    longest = max(map(len, sentences.values()))
-    parts = F.split(F.coalesce(text, F.lit("")), CUT)
+    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^\\p{L}\\p{N}]+", " "))
+    known = lambda p: F.coalesce(F.try_element_at(table, p), F.lit(""))
+    parts = F.filter(F.split(F.coalesce(text, F.lit("")), cut), lambda s: F.length(F.trim(s)) > 0)
+    if cut == CUT:
+        return F.transform(parts, lambda s: known(plain(s)))
+    # Comment marks and list numbers that stand alone are no sentences.
+    return F.transform(F.filter(F.transform(parts, plain), lambda p: ~p.rlike("^([0-9]{1,2}|[a-z])?$")), known)
 
-    def identify(s: Column) -> Column:
-        plain = F.trim(F.regexp_replace(F.lower(s), "[^\\p{L}\\p{N}]+", " "))
-        # A sentence three times as long as the longest known one is no known one, whatever its punctuation.
-        return F.when(F.length(s) <= 3 * longest, F.coalesce(F.try_element_at(table, plain), F.lit(""))).otherwise(F.lit(""))
 
-    return F.transform(F.filter(parts, lambda s: F.length(F.trim(s)) > 0), identify)
-
-
-def license_scan(df: DataFrame, text: str = "text", sentences: dict[str, str] = SENTENCES, rules: tuple[LicenseRule, ...] = RULES) -> DataFrame:
-    """Adds n_known_sentences, rules (matched, in rule order) and licenses (distinct, sorted)."""
-    ids = "__ids"
-    df = df.withColumn(ids, sentence_ids(F.col(text), sentences))
-    df = df.withColumn("n_known_sentences", F.size(F.filter(ids, lambda x: x != "")).cast("long"))
+def _matched(ids: Column, rules: tuple[LicenseRule, ...]) -> Column:
+    """The rules that match a sequence of identifiers."""
     # Each identifier between bars; unknown sentences stay as empty fields and so part sequences.
-    df = df.withColumn(ids, F.when(F.col("n_known_sentences") > 0, F.concat(F.lit("|"), F.array_join(ids, "||"), F.lit("|"))))
-    rest, hits = F.col(ids), []
+    rest, hits = F.concat(F.lit("|"), F.array_join(ids, "||"), F.lit("|")), []
     for r in rules:
         pattern = "".join(f"|{s}|" for s in r.sentences)
         hits.append(F.when(rest.contains(pattern), F.lit(r.rule)))
         rest = F.replace(rest, F.lit(pattern), F.lit("||"))
+    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+
+
+def license_scan(df: DataFrame, text: str = "text", sentences: dict[str, str] = SENTENCES, rules: tuple[LicenseRule, ...] = RULES) -> DataFrame:
+    """Adds n_known_sentences, rules (matched, in rule order) and licenses (distinct, sorted)."""
+    cuts = {f"__ids{k}": cut for k, cut in enumerate((CUT, PARAGRAPH_CUT, CLAUSE_CUT))}
+    found = {c: f"{c}_rules" for c in cuts}
+    for c, cut in cuts.items():
+        df = df.withColumn(c, sentence_ids(F.col(text), sentences, cut))
+    # Each sentence as often as the cut that has it most often.
+    known = F.filter(F.array_distinct(F.concat(*cuts)), lambda x: x != "")
+    often = lambda x: F.greatest(*[F.size(F.filter(c, lambda y: y == x)) for c in cuts])
+    df = df.withColumn("n_known_sentences", F.aggregate(known, F.lit(0), lambda n, x: n + often(x)).cast("long"))
+    for c, to in found.items():
+        some = F.exists(c, lambda x: x != "")
+        df = df.withColumn(to, F.coalesce(F.when(some, _matched(F.col(c), rules)), F.array().cast("array<string>")))
+    parts = lambda r: [o.rule for o in rules if len(o.sentences) > len(r.sentences) and set(r.sentences) <= set(o.sentences)]
+    hits = []
+    for r in rules:
+        # What one cut has is no part of a longer match that only another cut has.
+        alone = lambda to: [F.array_contains(to, o) | ~F.array_contains(F.concat(*found.values()), o) for o in parts(r)]  # noqa: B023, E731
+        hit = F.lit(False)
+        for to in found.values():
+            one = F.array_contains(to, r.rule)
+            for condition in alone(to):
+                one &= condition
+            hit |= one
+        hits.append(F.when(hit, F.lit(r.rule)))
     by_rule = F.create_map(*[F.lit(x) for r in rules for x in (r.rule, r.license)])
-    found = F.when(F.col(ids).isNotNull(), F.filter(F.array(*hits), lambda x: x.isNotNull()))
-    df = df.withColumn("rules", F.coalesce(found, F.array().cast("array<string>")))
-    return df.withColumn("licenses", F.array_sort(F.array_distinct(F.transform("rules", lambda r: by_rule[r])))).drop(ids)
+    any_ = F.when(F.size(F.concat(*found.values())) > 0, F.filter(F.array(*hits), lambda x: x.isNotNull()))
+    df = df.withColumn("rules", F.coalesce(any_, F.array().cast("array<string>")))
+    return df.withColumn("licenses", F.array_sort(F.array_distinct(F.transform("rules", lambda r: by_rule[r])))).drop(*cuts, *found.values())
