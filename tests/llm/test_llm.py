@@ -392,6 +392,18 @@ def test_decontaminate_slots_must_agree(spark):
     assert got == {1: (True, False), 2: (False, True)}
 
 
+def test_decontaminate_items_of_few_literals(spark):
+    """Items whose windows are wholly or mostly numbers or names leak as copies."""
+    from tracklake.llm.decontaminate import matched_items
+
+    items = {1: "12 4 7 9 33 5 8 2 11 40", 2: "Alpha Beta Gamma Delta Epsilon Zeta Eta Theta", 3: "compute the sum of all these numbers now " + " ".join(str(k) for k in range(30))}
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    table = [(k, f"so we read: {t}, and then more") for k, t in items.items()]
+    table += [(11, items[1].replace("40", "41")), (12, items[2].replace("Theta", "Iota")), (13, "compute the sum of all other numbers now")]
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.leaked) for r in matched_items(spark.createDataFrame(table, "doc_id bigint, text string"), bench).collect()}
+    assert got == {(1, 1): (5, True), (2, 2): (3, True), (3, 3): (5, True)}
+
+
 def test_toxicity(spark, docs, rows, empty):
     from tracklake.llm import toxicity as tox
 
