@@ -51,7 +51,64 @@ def test_text(spark):
         tx.reply_decision(c("Decision: Failure\nConfidence: 80%\nReasoning: dropped it")), tx.reply_decision(c("looks like success")), tx.task_from_video_name(c("pick_up_cup_fail.mp4")), tx.task_from_video_name(c("open door, try 2.mp4")),
         tx.folder_parts(c("a_b_succ_3")), tx.folder_parts(c("a_b")), tx.third_at_part(c("a@b@c")), tx.third_at_part(c("ab")), tx.stable_shard(c("12345")), tx.sort_by_number(F.array(c("f10.png"), c("f2.png"), c("x.png"))), tx.number_list(c("[1, 2.5]")), tx.number_list(c("no")),
     )
-    assert got[:5] == (4, 2, None, "[1]\n", '[{"a": 1}]')
-    assert tuple(got[5]) == ("failure", 0.8, "dropped it") and got[6].label == "successful" and got[6].confidence == 0.6
+    assert got[:5] == (4, 2, None, "[1]", '[{"a": 1}]')
+    assert tuple(got[5]) == ("failure", 0.8, "Decision: Failure\nConfidence: 80%\nReasoning: dropped it") and got[6].label == "successful" and got[6].confidence == 0.6
     assert got[7] == "Pick up cup" and got[8] == "Open door" and tuple(got[9]) == ("a_b", "succ", "3") and got[10] is None
     assert got[11:14] == ("c", "ab", "shard_0012") and got[14] == ["x.png", "f2.png", "f10.png"] and got[15] == [1.0, 2.5] and got[16] == [0.0]
+
+
+def test_floor_of_wide_ranges(spark):
+    """The last frame is never lost to the rounding of a step."""
+    cases = [(n, k) for n in (2, 3, 9, 62, 63, 97, 200, 399) for k in range(2, 65)]
+    rows = spark.createDataFrame(cases, "n int, k int")
+    got = {(r.n, r.k): r.x for r in rows.select("n", "k", fr.floor_indices(F.col("n"), F.col("k")).alias("x")).collect()}
+    assert all(got[n, k] == (list(range(n)) if n <= k else np.unique(np.linspace(0, n - 1, k, dtype=int)).tolist()) for n, k in cases)
+    ends = rows.select("n", *[fr.spaced_ends(F.col("n"), k).alias(f"k{k}") for k in (1, 2, 8, 31)]).distinct().collect()
+    assert all(r[f"k{k}"] == np.linspace(1, r.n, k, dtype=int).tolist() for r in ends for k in (1, 2, 8, 31))
+
+
+def test_segments(spark):
+    c = F.lit
+    got = one(
+        spark, fr.segment_indices(c(1), c(0), c(5)), fr.segment_indices(c(2), c(1), c(0)), fr.segment_indices(c(2), c(1), c(0), max_frames=1), fr.segment_indices(c(5), c(9), c(2)), fr.segment_indices(c(5), c(-1), c(3), c(1)),
+        fr.segment_indices(c(6), c(1), c(2), c(4)), fr.segment_indices(c(6), c(1), c(None).cast("int")), fr.segment_indices(c(6), c(4), c(0), max_frames=1), fr.running_sum(F.array(c(0.5), c(0.25), c(-1.0))), fr.running_sum(F.array().cast("array<double>")),
+    )
+    assert list(got) == [[0], [0, 1], [0], [4, 3, 2], [0, 1, 2, 3], [1, 2, 3, 4, 3, 2], [1], [4], [0.5, 0.75, -0.25], []]
+
+
+def test_subsample_ends(spark):
+    rows = spark.range(1, 300).select("id", (F.col("id") % 9).cast("int").alias("n"))
+    key = F.col("id").cast("string")
+    for direction in ("forward", "reverse", "rewind", "bidirectional"):
+        kinds = set()
+        for r in rows.select("n", *[fr.subsample_ends(direction, F.col("n"), k, key).alias(f"k{k}") for k in (1, 2, 8)]).collect():
+            assert (r.k1 is None) == (r.n < 1) and (r.k2 is None) == (r.n < 2) and (r.k8 is None) == (r.n < 3)
+            if r.k1:
+                assert 0 <= r.k1.start < r.n and r.k1.end is None
+            if r.k2:
+                assert r.k2.middle is None and ((r.k2.end < r.k2.start) if direction == "reverse" else (r.k2.start < r.k2.end))
+            if r.k8:
+                a, m, e = r.k8
+                kinds.add("forward" if a < m < e else "reverse" if e < m < a else "rewind" if a < e < m else "?")
+        assert kinds == ({direction} if direction != "bidirectional" else {"forward", "reverse", "rewind"})
+
+
+def test_labels_of_any_case(spark):
+    i, n, p = F.array(*map(F.lit, [0, 1])), F.lit(2), F.array(F.lit(0.5), F.lit(1.0))
+    got = one(spark, fr.success_labels(p, F.lit("Failure"), F.lit(0.5)), fr.success_labels(p, F.lit(None).cast("string"), F.lit(0.6)), fr.last_frame_mask(i, n, F.lit(1.0), F.lit(True)), fr.last_frame_mask(i, n, F.lit(1.0), F.lit(False)))
+    assert list(got) == [[0.0, 0.0], [0.0, 1.0], [0.0, 1.0], [1.0, 1.0]]
+
+
+def test_replies(spark):
+    c = lambda s: F.lit(s)
+    replies = ["decision: success, not a failure\nconfidence: 0.7", "DECISION: maybe\nconfidence: 1.2.3", "no idea", "a success that did not fail", "decision: fail\ndecision: Success\nreasoning: it is in", "confidence: 90\nit failed"]
+    got = [tuple(x) for x in one(spark, *[tx.reply_decision(c(r)) for r in replies])]
+    assert got == [
+        ("successful", 0.7, replies[0]), ("unknown", 0.5, replies[1]), ("unknown", 0.5, "no idea"), ("failure", 0.6, replies[3]), ("successful", 0.5, "it is in"), ("failure", 0.6, replies[5]),
+    ]
+    assert list(one(spark, *[tx.score_1_to_5(c(s)) for s in ("ANSWER: 45", "ANSWER: 45 or 3", "answer: 5", "ANSWER: 99999999999999 2")])) == [None, 3, 5, 2]
+    assert list(one(spark, *[tx.json_block(c(s)) for s in ('[{"a": 1}] and [{"b": 2}]', "``` \n [1] \n ``` x ``` 2 ```", "none")])) == ['[{"a": 1}]', "[1]", ""]
+    assert list(one(spark, *[tx.task_from_video_name(c(s)) for s in ("d/open_the_door, 2.mp4", "success_fail.mp4", "x_Failure_y.mp4", ",a.mp4")])) == ["Open the door", "Complete the task", "X y", "Complete the task"]
+    assert list(one(spark, *[tx.third_at_part(c(s)) for s in ("a@b@ c @d", " ab ")])) == ["c", "ab"]
+    cut = "x_x_x_x_x_x_" + __import__("hashlib").md5(b"x_" * 40).hexdigest()[:8]
+    assert list(one(spark, tx.short_name(c("/data/x/")), tx.short_name(c("a b,c-d")), tx.short_name(c("x_" * 40), 21), tx.short_names(F.array(c("a/b"), c("long name")), {"a_b": "AB"}))) == ["data_x", "a_b_c-d", cut, "AB_long_name"]

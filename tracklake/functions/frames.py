@@ -33,6 +33,11 @@ def _linspace(i: Column, n: Column, k: Number) -> Column:
     return i * ((n - 1) / F.greatest(_c(k) - 1, F.lit(1)))
 
 
+def _floored(i: Column, n: Column, k: Number) -> Column:
+    """Rounded down; the last of several is the end itself, whatever the rounding of the step."""
+    return F.when((_c(k) > 1) & (i == _c(k) - 1), n - 1).otherwise(F.floor(_linspace(i, n, k))).cast("int")
+
+
 def linspace_indices(n: Column, k: int) -> Column:
     """Evenly spaced with both ends, rounded half to even; all if n <= k, the last if k = 1."""
     if k == 1:
@@ -40,11 +45,11 @@ def linspace_indices(n: Column, k: int) -> Column:
     return F.when(n <= k, all_indices(n)).otherwise(F.transform(_steps(k), lambda i: F.rint(_linspace(i, n, k)).cast("int")))
 
 
-def floor_indices(n: Column, k: int, distinct: bool = True) -> Column:
+def floor_indices(n: Column, k: Number, distinct: bool = True) -> Column:
     """Evenly spaced with both ends, rounded down; duplicates dropped or kept; k = -1 takes all."""
-    if k < 0:
+    if isinstance(k, int) and k < 0:
         return all_indices(n)
-    out = F.transform(_steps(k), lambda i: F.floor(_linspace(i, n, k)).cast("int"))
+    out = F.transform(_steps(k), lambda i: _floored(i, n, k))
     return F.when(n <= k, all_indices(n)).otherwise(F.array_distinct(out) if distinct else out)
 
 
@@ -62,7 +67,7 @@ def ends_and_middle_indices(n: Column, k: int, offset: float = 0.5) -> Column:
 def fps_indices(n: Column, native_fps: Number, fps: Number, max_frames: int) -> Column:
     """round(n fps / native_fps) frames, between 1 and n and at most max_frames, evenly spaced and rounded down."""
     k = F.least(F.greatest(F.rint(n * _c(fps) / _c(native_fps)).cast("int"), F.lit(1)), n.cast("int"), F.lit(max_frames))
-    return F.when(n < 1, _empty()).otherwise(F.transform(_steps(k), lambda i: F.floor(_linspace(i, n, k)).cast("int")))
+    return F.when(n < 1, _empty()).otherwise(F.transform(_steps(k), lambda i: _floored(i, n, k)))
 
 
 def interval_indices(n: Column, native_fps: Number, fps: Number) -> Column:
@@ -83,6 +88,51 @@ def segment_walk(start: Column, middle: Column, end: Column) -> Column:
     return F.concat(F.sequence(start, middle), F.slice(back, 2, F.greatest(F.size(back) - 1, F.lit(0))))
 
 
+def segment_indices(total: Column, start: Column, end: Column, middle: Column | None = None, max_frames: int = 8) -> Column:
+    """The walk start, middle, end with all of them held to the frames there are; without a middle straight to the end.
+
+    One frame: that; two frames: both (the first if only one is asked for); no end, or one
+    frame asked for: the start.
+    """
+    held = lambda x: F.greatest(F.lit(0), F.least(x, total - 1)).cast("int")
+    a, c = held(start), held(end)
+    straight = F.sequence(a, c)
+    out = straight if middle is None else F.when(middle.isNull(), straight).otherwise(segment_walk(a, held(middle), c))
+    out = F.when(end.isNull() | F.lit(max_frames == 1), F.array(a)).otherwise(out)
+    two = F.array(F.lit(0)) if max_frames == 1 else F.array(F.lit(0), F.lit(1))
+    return F.when(total == 1, F.array(F.lit(0))).when(total == 2, two).otherwise(out)
+
+
+def subsample_ends(direction: str, n: Column, max_frames: int, *key: Column | str) -> Column:
+    """(start, middle, end) of a walk over n frames, drawn by a hash of the key; null where there are too few frames.
+
+    One frame asked for: any.  Two: any but the last, then any after it; reverse swaps
+    them.  More: three of the frames in the order of the direction; bidirectional takes
+    forward, rewind or reverse, each alike.
+    """
+    null = F.lit(None).cast("int")
+
+    def upto(name: str, most: Column) -> Column:
+        """A whole number from 0 to most - 1."""
+        u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(name), *key)), 1, 8), 16, 10).cast("double") / float(2**32)
+        return F.floor(u * most).cast("int")
+
+    def ends(start: Column, middle: Column, end: Column) -> Column:
+        return F.struct(start.cast("int").alias("start"), middle.cast("int").alias("middle"), end.cast("int").alias("end"))
+
+    if max_frames == 1:
+        return F.when(n >= 1, ends(upto("one", n), null, null))
+    if max_frames == 2:
+        low = upto("low", n - 1)
+        high = low + 1 + upto("high", n - 1 - low)
+        return F.when(n >= 2, ends(high, null, low) if direction == "reverse" else ends(low, null, high))
+    a, b, c = (F.try_element_at(hashed_subset(n, 3, *key), F.lit(k)) for k in (1, 2, 3))
+    forms = {"forward": ends(a, b, c), "rewind": ends(a, c, b), "reverse": ends(c, b, a)}
+    which = upto("direction", F.lit(3))
+    any_ = F.when(which == 0, forms["forward"]).when(which == 1, forms["rewind"]).otherwise(forms["reverse"])
+    return F.when(n >= 3, forms.get(direction, any_))
+
+
 def walk(direction: str, three: Column) -> Column:
     """A walk over three sorted frames: forward, reverse or rewind."""
     a, b, c = (F.element_at(three, k) for k in (1, 2, 3))
@@ -111,8 +161,10 @@ def deltas(values: Column) -> Column:
 
 
 def running_sum(values: Column) -> Column:
-    """The inverse of deltas, up to the first value."""
-    return F.transform(F.sequence(F.lit(1), F.size(values)), lambda n: F.aggregate(F.slice(values, 1, n), F.lit(0.0), lambda a, x: a + x))
+    """The inverse of deltas, up to the first value: one pass that carries the sum so far."""
+    start = F.struct(F.lit(0.0).alias("sum"), _empty("double").alias("all"))
+    step = lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.array_append(a["all"], a["sum"] + x).alias("all"))
+    return F.aggregate(values, start, step, lambda a: a["all"])
 
 
 def partial_success_progress(indices: Column, progress: Column, total: Column, partial: Column) -> Column:
@@ -123,14 +175,17 @@ def partial_success_progress(indices: Column, progress: Column, total: Column, p
 
 
 def success_labels(progress: Column, quality: Column, threshold: Column) -> Column:
-    """Zeros for failure-like rows; else 1 where the progress reaches the threshold."""
-    bad = F.coalesce(quality.isin("suboptimal", "failure", "failed"), F.lit(False))
+    """Zeros for failure-like rows, whatever the case of their label; else 1 where the progress reaches the threshold."""
+    bad = F.coalesce(F.lower(quality).isin("suboptimal", "failure", "failed"), F.lit(False))
     return F.transform(progress, lambda p: F.when(~bad & (p >= threshold), 1.0).otherwise(0.0))
 
 
-def last_frame_mask(indices: Column, total: Column, partial: Column) -> Column:
-    """Ones; for partial success only at the positions of the last frame."""
-    return F.transform(indices, lambda i: F.when(partial.isNull() | (partial == 1.0) | (i == total - 1), 1.0).otherwise(0.0))
+def last_frame_mask(indices: Column, total: Column, partial: Column, preference_only: Column | None = None) -> Column:
+    """Ones; for partial success only at the positions of the last frame.  A whole success counts as partial in preference-only sources."""
+    whole = partial == 1.0
+    if preference_only is not None:
+        whole &= ~F.coalesce(preference_only, F.lit(False))
+    return F.transform(indices, lambda i: F.when(partial.isNull() | whole | (i == total - 1), 1.0).otherwise(0.0))
 
 
 def pad(values: Column, k: int, left: bool = False) -> Column:
@@ -195,7 +250,7 @@ def prefix_ends(total: Column, step: int) -> Column:
 
 def spaced_ends(total: Column, k: int) -> Column:
     """k prefix ends from 1 to total, evenly spaced and cut to whole numbers."""
-    return F.transform(_steps(k), lambda i: F.floor(1 + i * ((total - 1) / max(k - 1, 1))).cast("int"))
+    return F.transform(_steps(k), lambda i: F.when((i == k - 1) & F.lit(k > 1), total).otherwise(F.floor(1 + i * ((total - 1) / max(k - 1, 1)))).cast("int"))
 
 
 def gather(values: Column, indices: Column) -> Column:

@@ -17,15 +17,16 @@ def answer(text: Column) -> Column:
 
 
 def score_1_to_5(text: Column) -> Column:
-    """The digit after ANSWER:, else the last standalone digit of 1 to 5, else null."""
-    own = _found(text, r"(?i)ANSWER:\s*([1-5])")
+    """The number after the first ANSWER: if it is 1 to 5, else the last digit of 1 to 5 that stands alone, else null."""
+    own = _found(text, r"(?i)ANSWER:\s*(\d+)").try_cast("int")
     alone = F.regexp_extract_all(text, F.lit(r"\b([1-5])\b"), F.lit(1))
-    return F.coalesce(own, F.try_element_at(alone, F.lit(-1))).cast("int")
+    return F.coalesce(F.when(own.between(1, 5), own), F.try_element_at(alone, F.lit(-1)).cast("int"))
 
 
 def json_block(text: Column) -> Column:
-    """The body of a fenced block, else the first array of objects, else null."""
-    return F.coalesce(_found(text, r"```(?:json)?\s*([\s\S]*?)```"), _found(text, r"(\[\s*\{[\s\S]*\}\s*\])"))
+    """The body of the first fenced block, else the first and shortest array of objects, without outer space; else empty."""
+    body = F.coalesce(_found(text, r"```(?:json)?\s*([\s\S]*?)\s*```"), _found(text, r"(\[\s*\{[\s\S]*?\}\s*\])"), F.lit(""))
+    return F.regexp_replace(body, r"^\s+|\s+$", "")
 
 
 def number_list(text: Column) -> Column:
@@ -34,19 +35,38 @@ def number_list(text: Column) -> Column:
 
 
 def reply_decision(text: Column) -> Column:
-    """decision, confidence and reasoning lines of a reply; without them the words decide with confidence 0.6."""
-    decision = F.lower(F.trim(_found(text, r"(?im)^\s*decision\s*:\s*(.*)$")))
-    raw = F.regexp_replace(_found(text, r"(?im)^\s*confidence\s*:\s*(.*)$"), "[^0-9.]", "").try_cast("double")
-    confidence = F.when(raw > 1, raw / 100).otherwise(raw)
-    reason = F.trim(_found(text, r"(?im)^\s*reasoning\s*:\s*(.*)$"))
-    low = F.lower(text)
-    guess = F.when(low.contains("fail"), "failure").when(low.contains("success"), "successful")
-    label = F.when(decision.contains("fail"), "failure").when(decision.contains("success"), "successful")
-    return F.struct(
-        F.coalesce(label, guess).alias("label"),
-        F.when(label.isNotNull(), F.coalesce(confidence, F.lit(0.5))).when(guess.isNotNull(), F.lit(0.6)).alias("confidence"),
-        reason.alias("reasoning"),
-    )
+    """label, confidence and reasoning of a reply.
+
+    Lines that begin with decision: or confidence: count in any case, the last one of each
+    that can be read; reasoning: only in lower case, else the whole reply is the reasoning.
+    Success is looked for before failure.  Without a decision the words of the reply
+    decide with confidence 0.6, if they do; else the label is unknown.
+    """
+    start = F.struct(F.lit("unknown").alias("label"), F.lit(0.5).alias("confidence"), text.alias("reasoning"))
+
+    def read(state: Column, line: Column) -> Column:
+        low = F.lower(F.trim(line))
+        decision, said = F.when(low.startswith("decision:"), F.substring(low, 10, 1 << 30)), F.when(low.startswith("confidence:"), F.regexp_replace(low, "[^0-9.]", ""))
+        number = said.try_cast("double")
+        why = F.when(low.startswith("reasoning:") & line.contains("reasoning:"), F.trim(F.regexp_replace(line, r"^.*?reasoning:", "")))
+        return F.struct(
+            F.when(decision.contains("success"), "successful").when(decision.contains("fail"), "failure").otherwise(state["label"]).alias("label"),
+            F.when(number > 1, number / 100).when(number.isNotNull(), number).when(F.length(said) > 0, F.lit(0.5)).otherwise(state["confidence"]).alias("confidence"),
+            F.coalesce(why, state["reasoning"]).alias("reasoning"),
+        )
+
+    lines = F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), "\n")
+
+    def finish(state: Column) -> Column:
+        low, none = F.lower(text), state["label"] == "unknown"
+        guess = F.when(low.contains("success") & ~low.contains("fail"), "successful").when(low.contains("fail"), "failure")
+        return F.struct(
+            F.when(none, F.coalesce(guess, state["label"])).otherwise(state["label"]).alias("label"),
+            F.when(none & guess.isNotNull(), F.lit(0.6)).otherwise(state["confidence"]).alias("confidence"),
+            state["reasoning"].alias("reasoning"),
+        )
+
+    return F.aggregate(lines, start, read, finish)
 
 
 def capital_first(text: Column) -> Column:
@@ -60,10 +80,14 @@ def capitalize(text: Column) -> Column:
 
 
 def task_from_video_name(name: Column) -> Column:
-    """The part before a comma; else the name without success, fail and failure words; first letter in upper case."""
-    stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    words = F.filter(F.split(F.replace(stem, F.lit("_"), F.lit(" ")), " +"), lambda w: ~F.lower(w).isin("success", "fail", "failure", ""))
-    return capital_first(F.when(stem.contains(","), F.trim(F.split_part(stem, F.lit(","), F.lit(1)))).otherwise(F.array_join(words, " ")))
+    """The part before a comma, else the name without its success, fail and failure words; underscores become spaces, the first letter upper case.
+
+    Nothing left: Complete the task.
+    """
+    stem = F.regexp_replace(F.regexp_replace(name, r"^.*/", ""), r"(?<=.)\.[^.]+$", "")
+    words = F.filter(F.split(stem, "_"), lambda w: ~F.lower(w).isin("success", "fail", "failure"))
+    task = F.when(stem.contains(","), F.split_part(stem, F.lit(","), F.lit(1))).otherwise(F.array_join(words, "_"))
+    return F.when(task == "", "Complete the task").otherwise(capital_first(F.replace(task, F.lit("_"), F.lit(" "))))
 
 
 def folder_parts(name: Column) -> Column:
@@ -98,8 +122,8 @@ def episode_and_camera(key: Column) -> Column:
 
 
 def third_at_part(text: Column) -> Column:
-    """a@b@c: c; with fewer parts the whole text."""
-    return F.when(F.size(F.split(text, "@")) >= 3, F.split_part(text, F.lit("@"), F.lit(3))).otherwise(text)
+    """a@b@c: c; with fewer parts the whole text; without outer space."""
+    return F.regexp_replace(F.when(F.size(F.split(text, "@")) >= 3, F.split_part(text, F.lit("@"), F.lit(3))).otherwise(text), r"^\s+|\s+$", "")
 
 
 def stable_shard(key: Column, per: int = 1000) -> Column:
@@ -117,10 +141,20 @@ def cache_key(name: Column) -> Column:
     return F.translate(name, "/:", "__")
 
 
-def short_name(name: Column, limit: int = 60, head: int = 51) -> Column:
-    """Letters, digits and single underscores; a long name is cut and gets eight digits of its md5."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(name, "[^A-Za-z0-9_]+", "_"), "_+", "_"))
-    return F.when(F.length(plain) <= limit, plain).otherwise(F.concat(F.left(plain, F.lit(head)), F.lit("_"), F.left(F.md5(name), F.lit(8))))
+def short_name(name: Column, limit: int = 60) -> Column:
+    """Single underscores for what a file name must not hold; a long name is cut and gets eight digits of its md5."""
+    plain = F.btrim(F.regexp_replace(F.regexp_replace(name, r'[/\\:*?"<>| ,]', "_"), "_+", "_"), F.lit("_"))
+    head = F.rtrim(F.left(plain, F.lit(limit - 9)), F.lit("_"))
+    return F.when(F.length(plain) <= limit, plain).otherwise(F.concat(head, F.lit("_"), F.left(F.md5(name), F.lit(8))))
+
+
+def short_names(names: Column, mapping: dict[str, str] | None = None, limit: int = 60) -> Column:
+    """One name for a list of names: those of the mapping by their short forms, joined, cut and hashed like one."""
+    table = F.create_map(*[F.lit(x) for kv in (mapping or {"": ""}).items() for x in kv])
+    one = lambda x: F.coalesce(F.try_element_at(table, x), F.try_element_at(table, F.translate(x, "-/", "__")), short_name(x, 1 << 30))
+    plain = F.btrim(F.regexp_replace(F.array_join(F.transform(names, one), "_"), "_+", "_"), F.lit("_"))
+    head = F.rtrim(F.left(plain, F.lit(limit - 9)), F.lit("_"))
+    return F.when(F.length(plain) <= limit, plain).otherwise(F.concat(head, F.lit("_"), F.left(F.md5(F.array_join(names, "_")), F.lit(8))))
 
 
 def last_two_parts(path: Column) -> Column:

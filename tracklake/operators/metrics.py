@@ -24,38 +24,55 @@ def preference_accuracy(df: DataFrame, *by: str) -> DataFrame:
 
 
 def preference_from_progress(df: DataFrame) -> DataFrame:
-    """Share of pairs whose chosen series ends higher than the rejected one; null without pairs."""
+    """Share of pairs whose chosen series ends higher than the rejected one; rows without an end or a label are skipped and counted."""
     ok = F.try_element_at("chosen_progress", F.lit(-1)) > F.try_element_at("rejected_progress", F.lit(-1))
-    return df.where(ok.isNotNull()).agg(F.avg(ok.cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("total"))
+    ok = F.when(F.col("label").isNotNull(), ok) if "label" in df.columns else ok
+    right, total = F.coalesce(F.sum(ok.cast("bigint")), F.lit(0)), F.count(ok)
+    return df.agg(F.try_divide(right, total).alias("accuracy"), right.alias("correct"), total.alias("total"), (F.count(F.lit(1)) - total).alias("skipped"))
 
 
-def ranking_pairs(df: DataFrame) -> DataFrame:
-    """Pairs (lo_*, hi_*) of one task with a lower and a higher label and their rewards."""
-    rows = df.select("task", "id", "quality_label", "reward", quality_rank(F.col("quality_label")).alias("rank")).where("rank > 0 and reward is not null")
-    a = rows.select(*[F.col(c).alias(f"lo_{c}") for c in rows.columns])
-    b = rows.select(*[F.col(c).alias(f"hi_{c}") for c in rows.columns])
-    return a.join(b, (F.col("lo_task") == F.col("hi_task")) & (F.col("lo_rank") < F.col("hi_rank")))
+def ordered_pairs(df: DataFrame, by: list[str], level: str, order: str) -> DataFrame:
+    """(by, lower, higher, up, equal, total): pairs of rows of two levels, and how many of them have their orders likewise, or equal.
 
+    No pairs of rows are formed: rows of equal level and order are counted together, each
+    count takes part in the pairs of levels of its group, and sums that run along the order
+    give how many rows of the lower level come before.  The work is rows x levels of a group.
+    """
+    counts = df.where(F.col(level).isNotNull() & F.col(order).isNotNull()).groupBy(*by, level, order).agg(F.count(F.lit(1)).alias("__n"))
+    others = counts.select(*by, F.col(level).alias("__other")).distinct()
+    met = counts.join(others, by).where(F.col(level) != F.col("__other"))
+    upper = F.col(level) > F.col("__other")
+    sides = met.groupBy(*by, F.least(level, "__other").alias("lower"), F.greatest(level, "__other").alias("higher"), order).agg(
+        F.sum(F.when(upper, 0).otherwise(F.col("__n"))).alias("__lo"), F.sum(F.when(upper, F.col("__n")).otherwise(0)).alias("__hi")
+    )
+    before = F.sum("__lo").over(Window.partitionBy(*by, "lower", "higher").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    sides = sides.withColumn("__before", F.coalesce(before, F.lit(0)))
+    return sides.groupBy(*by, "lower", "higher").agg(F.sum(F.col("__hi") * F.col("__before")).alias("up"), F.sum(F.col("__hi") * F.col("__lo")).alias("equal"), (F.sum("__lo") * F.sum("__hi")).alias("total"))
 
-def pair_correct(strict: bool = False) -> Column:
-    """Whether the rewards stand in the order of the labels.
 
-    Equal rewards count as right if the lower label has the smaller id, which keeps the
+def ranking_pairs(df: DataFrame, level: str, strict: bool = False) -> DataFrame:
+    """(task, lower, higher, correct, up, equal, total): pairs of one task and two levels whose rewards stand in their order.
+
+    Equal rewards count as right if the lower level has the smaller id, which keeps the
     rule of comparing each pair once in the order of the rows; strict: never.
     """
-    up = F.col("hi_reward") > F.col("lo_reward")
-    return up if strict else up | ((F.col("hi_reward") == F.col("lo_reward")) & (F.col("lo_id") < F.col("hi_id")))
+    rows = df.where(F.col("reward").isNotNull())
+    pairs = ordered_pairs(rows, ["task"], level, "reward")
+    if strict:
+        return pairs.withColumn("correct", F.col("up"))
+    ties = ordered_pairs(rows, ["task", "reward"], level, "id").groupBy("task", "lower", "higher").agg(F.sum("up").alias("__ties"))
+    return pairs.join(ties, ["task", "lower", "higher"], "left").withColumn("correct", F.col("up") + F.coalesce("__ties", F.lit(0))).drop("__ties")
+
+
+def _ranked(df: DataFrame) -> DataFrame:
+    return df.withColumn("rank", quality_rank(F.col("quality_label"))).where("rank > 0")
 
 
 def ranking_accuracy(df: DataFrame, strict: bool = False) -> DataFrame:
-    """correct, total and accuracy by pair of labels, and over all (null labels)."""
-    return (
-        ranking_pairs(df)
-        .groupBy(F.col("lo_quality_label").alias("lower"), F.col("hi_quality_label").alias("higher"))
-        .agg(F.sum(pair_correct(strict).cast("bigint")).alias("correct"), F.count(F.lit(1)).alias("total"))
-        .groupBy("lower", "higher").agg(F.sum("correct").alias("correct"), F.sum("total").alias("total"))
-        .withColumn("accuracy", F.col("correct") / F.col("total"))
-    )
+    """correct, total and accuracy by pair of labels."""
+    names = F.create_map(*[F.lit(x) for name, rank in QUALITY_RANK.items() for x in (rank, name)])
+    sums = ranking_pairs(_ranked(df), "rank", strict).groupBy("lower", "higher").agg(F.sum("correct").alias("correct"), F.sum("total").alias("total"))
+    return sums.select(names[F.col("lower")].alias("lower"), names[F.col("higher")].alias("higher"), "correct", "total", (F.col("correct") / F.col("total")).alias("accuracy"))
 
 
 def ranking_by_task(df: DataFrame) -> DataFrame:
@@ -64,10 +81,8 @@ def ranking_by_task(df: DataFrame) -> DataFrame:
     Tau over the full product of one reward of each label is the mean over label pairs of
     the mean sign of the reward difference, by linearity: no product of three labels.
     """
-    pairs = ranking_pairs(df).groupBy(F.col("lo_task").alias("task"), "lo_quality_label", "hi_quality_label").agg(
-        F.avg(F.signum(F.col("hi_reward") - F.col("lo_reward"))).alias("sign"), F.sum(pair_correct().cast("bigint")).alias("correct"), F.count(F.lit(1)).alias("total")
-    )
-    tau = pairs.groupBy("task").agg(F.avg("sign").alias("tau"), F.sum("correct").alias("correct_pairs"), F.sum("total").alias("total_pairs"))
+    sign = (2 * F.col("up") + F.col("equal") - F.col("total")) / F.col("total")
+    tau = ranking_pairs(_ranked(df), "rank").groupBy("task").agg(F.avg(sign).alias("tau"), F.sum("correct").alias("correct_pairs"), F.sum("total").alias("total_pairs"))
     means = df.where("reward is not null").groupBy("task").agg(*[F.avg(F.when(F.col("quality_label") == q, F.col("reward"))).alias(q) for q in QUALITY_RANK])
     signs = [F.signum(F.col(b) - F.col(a)) for a, b in (("failure", "suboptimal"), ("suboptimal", "successful"), ("failure", "successful"))]
     some = F.filter(F.array(*signs), lambda x: x.isNotNull())
@@ -78,12 +93,17 @@ def ranking_by_task(df: DataFrame) -> DataFrame:
 
 
 def partial_success_ranking(df: DataFrame) -> DataFrame:
-    """Per task: pairs of different partial success in the order of their rewards, correct and in all."""
-    rows = df.select("task", "id", "partial_success", "reward").where("partial_success is not null and reward is not null")
-    a = rows.select(*[F.col(c).alias(f"lo_{c}") for c in rows.columns])
-    b = rows.select(*[F.col(c).alias(f"hi_{c}") for c in rows.columns])
-    pairs = a.join(b, (F.col("lo_task") == F.col("hi_task")) & (F.col("lo_partial_success") < F.col("hi_partial_success")))
-    return pairs.groupBy(F.col("lo_task").alias("task")).agg(F.sum((F.col("hi_reward") > F.col("lo_reward")).cast("bigint")).alias("correct"), F.count(F.lit(1)).alias("total"))
+    """Per task: pairs of different partial success in the order of their rewards, correct and in all, and tau of the mean rewards of three bins.
+
+    Equal rewards count as in ``ranking_pairs``.  The bins are thirds of 0 .. 1; fewer than two of them: null.
+    """
+    rows = df.where("partial_success is not null")
+    pairs = ranking_pairs(rows, "partial_success").groupBy("task").agg(F.sum("correct").alias("correct"), F.sum("total").alias("total"))
+    bin_ = F.when(F.col("partial_success") < 1 / 3, 0).when(F.col("partial_success") < 2 / 3, 1).otherwise(2)
+    means = rows.groupBy("task").agg(*[F.avg(F.when(bin_ == k, F.col("reward"))).alias(f"b{k}") for k in range(3)])
+    signs = F.filter(F.array(*[F.signum(F.col(f"b{j}") - F.col(f"b{i}")) for i, j in ((0, 1), (1, 2), (0, 2))]), lambda x: x.isNotNull())
+    tau = F.aggregate(signs, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(signs), F.lit(0))
+    return pairs.join(means.select("task", tau.alias("bin_tau")), "task")
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, to: str) -> DataFrame:
@@ -107,14 +127,13 @@ def pearson(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return df.groupBy(*by).agg(correlation(x, y).alias("pearson"), F.count(F.lit(1)).alias("n"))
 
 
-def tau_a(df: DataFrame, by: list[str], id_: str, x: str, y: str) -> DataFrame:
+def tau_a(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """(concordant - discordant) / (n (n - 1) / 2) per group; ties add nothing.  Null for fewer than two rows."""
-    rows = df.select(*by, id_, x, y)
-    a = rows.select(*by, *[F.col(c).alias(f"a_{c}") for c in (id_, x, y)])
-    b = rows.select(*by, *[F.col(c).alias(f"b_{c}") for c in (id_, x, y)])
-    pairs = a.join(b, by).where(F.col(f"a_{id_}") < F.col(f"b_{id_}"))
-    s = F.signum(F.col(f"a_{x}") - F.col(f"b_{x}")) * F.signum(F.col(f"a_{y}") - F.col(f"b_{y}"))
-    return pairs.groupBy(*by).agg((F.sum(s) / F.count(F.lit(1))).alias("tau_a"))
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    sums = ordered_pairs(rows, by, x, y).groupBy(*by).agg(F.sum(2 * F.col("up") + F.col("equal") - F.col("total")).alias("__s"))
+    n = F.col("__n")
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    return sizes.join(sums, by, "left").select(*by, F.when(n > 1, F.coalesce("__s", F.lit(0)) / (n * (n - 1) / 2)).alias("tau_a"))
 
 
 def average_precision(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
@@ -127,8 +146,10 @@ def average_precision(df: DataFrame, by: list[str], score: str, label: str) -> D
 
 
 def roc_auc(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
-    """By the rank sum; 0.5 if a group has one class."""
-    r = average_ranks(df, by, score, "__r").groupBy(*by).agg(F.sum(F.col("__r") * F.col(label)).alias("s"), F.sum(label).alias("p"), (F.count(F.lit(1)) - F.sum(label)).alias("q"))
+    """By the rank sum, from counts of equal scores; 0.5 if a group has one class."""
+    at = df.groupBy(*by, score).agg(F.sum(label).alias("p"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    r = at.withColumn("rank", before + (F.col("n") + 1) / 2).groupBy(*by).agg(F.sum(F.col("rank") * F.col("p")).alias("s"), F.sum("p").alias("p"), (F.sum("n") - F.sum("p")).alias("q"))
     return r.select(*by, F.coalesce(F.try_divide(F.col("s") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")), F.lit(0.5)).alias("auc"))
 
 

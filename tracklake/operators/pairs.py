@@ -56,27 +56,27 @@ def pick_same_task(refs: DataFrame, pool: DataFrame, seed: int, purpose: str, co
 
 
 def other_task(refs: DataFrame, pool: DataFrame, seed: int, purpose: str) -> DataFrame:
-    """For each ref another task, each task alike whatever its size, then a row of it.
+    """For each ref another task, each task alike whatever its size, then a row of it; nulls if there is no other task.
 
-    The tasks stand in the order of their draws on a ring; a ref takes the one after a
-    place of its own, or the next if that is its own task.
+    The tasks stand in the order of their draws on a ring; a ref takes the one at a place
+    of its own, or the next if that is its own task.
     """
     tasks = pool.select("task").where("task is not null").distinct()
-    n = tasks.count()
-    per = 4096  # tasks numbered in blocks: no window over all of them in one task
-    blocks = tasks.withColumn("d", draw(seed, purpose, "task")).withColumn("block", F.conv(F.substring("d", 1, 3), 16, 10).cast("int"))
+    # Tasks are numbered in 4096 blocks: no window over all of them in one task.
+    blocks = tasks.withColumn("d", draw(seed, purpose, "task")).withColumn("block", F.substring("d", 1, 3))
     sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("k"))
-    starts = sizes.select("block", F.coalesce(F.sum("k").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")).limit(per)
-    ring = blocks.join(F.broadcast(starts), "block").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("block").orderBy("d", "task")) - 1)
-    ring = ring.select("task", "place")
-    spot = (F.conv(F.substring(draw(seed, purpose + "-spot", "id"), 1, 8), 16, 10).cast("bigint") % F.lit(max(n, 1))).alias("place")
-    asked = refs.select(F.col("id").alias("ref_id"), F.col("task").alias("own"), spot)
-    first = asked.join(ring, "place").select("ref_id", "own", "place", "task")
-    again = first.where("task <=> own").select("ref_id", "own", ((F.col("place") + 1) % max(n, 1)).alias("place")).join(ring, "place").select("ref_id", "own", "place", "task")
-    chosen = first.where("not (task <=> own)").unionByName(again.where("not (task <=> own)"))
-    rows = pool.select(F.col("task").alias("t"), F.col("id").alias("pick_id"))
-    best = rows.groupBy("t").agg(F.min_by("pick_id", draw(seed, purpose + "-row", "pick_id")).alias("pick_id"))
-    return chosen.join(best, F.col("task") == F.col("t")).select("ref_id", "task", "pick_id")
+    order = Window.orderBy("block")  # over the counts of the blocks
+    starts = sizes.select("block", F.coalesce(F.sum("k").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("k").over(Window.partitionBy()).alias("n"))
+    ring = blocks.join(F.broadcast(starts), "block").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("block").orderBy("d", "task")) - 1).select("task", "place")
+    n = F.broadcast(starts.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")))  # one row
+    hexadecimal = F.conv(F.substring(draw(seed, purpose + "-spot", "id"), 1, 8), 16, 10).cast("bigint")
+    asked = refs.select(F.col("id").alias("ref_id"), F.col("task").alias("own"), hexadecimal.alias("spot")).crossJoin(n).withColumn("place", F.when(F.col("n") > 0, F.col("spot") % F.greatest("n", F.lit(1))))
+    first = asked.join(ring, "place", "left")
+    own = F.col("task").eqNullSafe(F.col("own"))
+    again = first.where(own & F.col("task").isNotNull()).select("ref_id", "own", ((F.col("place") + 1) % F.col("n")).alias("place")).join(ring, "place", "left").select("ref_id", F.when(~own, F.col("task")).alias("task"))
+    chosen = first.where(~(own & F.col("task").isNotNull())).select("ref_id", "task").unionByName(again)
+    best = pool.groupBy(F.col("task").alias("t")).agg(F.min_by("id", draw(seed, purpose + "-row", "id")).alias("pick_id"))
+    return chosen.join(best, F.col("task") == F.col("t"), "left").select("ref_id", "task", "pick_id")
 
 
 def paired_tasks(df: DataFrame) -> DataFrame:

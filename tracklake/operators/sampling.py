@@ -59,8 +59,8 @@ def balanced_draws(df: DataFrame, n: int, weights: dict[str, float], seed: int)
     spark = df.sparkSession
     asked = spark.range(n).select(F.col("id").alias("draw")).withColumn("u", uniform(seed, "source", "draw"))
     named = weighted_sources(asked, normalized_weights(df, weights))
-    blocks = 1024
-    dealt = df.select("data_source", "id", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
+    # The rows of a source are numbered in 4096 blocks, so that no source is numbered in one task.
+    dealt = df.select("data_source", "id", F.substring(draw(seed, "block", "id"), 1, 3).alias("b"))
     counts = dealt.groupBy("data_source", "b").agg(F.count(F.lit(1)).alias("k"))
     before = F.sum("k").over(Window.partitionBy("data_source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("data_source", "b", F.coalesce(before, F.lit(0)).alias("start"))

@@ -41,6 +41,8 @@ def _joined(c: Column) -> Column:
 _PAIRS = f"""WITH {TRAJ}, p AS (SELECT a.task, a.id lo_id, b.id hi_id, a.quality_label lo, b.quality_label hi, a.reward lo_r, b.reward hi_r
  FROM traj a JOIN traj b ON a.task = b.task AND a.rank < b.rank)"""
 _OK = "(hi_r > lo_r OR (hi_r = lo_r AND lo_id < hi_id))"
+#: Few tasks and few rewards: most of the pairs are tied.
+_TIED = f"{TRAJ}, t AS (SELECT id, rank, CAST(CAST(task AS BIGINT) % 20 AS VARCHAR) AS task, floor(reward / 20000) AS reward FROM traj)"
 
 
 @query(f"{_PAIRS} SELECT lo AS lower, hi AS higher, CAST(sum(CASE WHEN {_OK} THEN 1 ELSE 0 END) AS BIGINT) AS correct, count(*) AS total, round(avg(CASE WHEN {_OK} THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM p GROUP BY 1, 2")
@@ -59,10 +61,19 @@ def policy_ranking_by_task(spark, d):
     return t.select("task", r6(F.col("tau")).alias("tau"), "correct_pairs", "total_pairs", r6(F.col("tau_of_means")).alias("tau_of_means"), *[F.round(c, 4).alias(c) for c in ("succ_subopt", "subopt_fail", "succ_fail")])
 
 
-@query(f"""WITH {TRAJ} SELECT a.task, CAST(sum(CASE WHEN b.reward > a.reward THEN 1 ELSE 0 END) AS BIGINT) AS correct, count(*) AS total
- FROM traj a JOIN traj b ON a.task = b.task AND a.partial_success < b.partial_success GROUP BY 1""")
+@query(f"""WITH {TRAJ}, p AS (SELECT a.task, CAST(sum(CASE WHEN b.reward > a.reward OR (b.reward = a.reward AND a.id < b.id) THEN 1 ELSE 0 END) AS BIGINT) AS correct, count(*) AS total
+ FROM traj a JOIN traj b ON a.task = b.task AND a.partial_success < b.partial_success GROUP BY 1),
+ m AS (SELECT task, least(CAST(floor(partial_success * 3 + 1e-9) AS INT), 2) AS bin, avg(reward) AS r FROM traj GROUP BY 1, 2),
+ s AS (SELECT a.task, avg(sign(b.r - a.r)) AS bin_tau FROM m a JOIN m b ON a.task = b.task AND a.bin < b.bin GROUP BY 1) SELECT task, correct, total, round(bin_tau, 6) AS bin_tau FROM p LEFT JOIN s USING (task)""")
 def partial_success_ranking(spark, d):
-    return metrics.partial_success_ranking(trajectories(spark, d))
+    return metrics.partial_success_ranking(trajectories(spark, d)).withColumn("bin_tau", r6(F.col("bin_tau")))
+
+
+@query(f"""WITH {_TIED}, p AS (SELECT a.task, a.id lo_id, b.id hi_id, a.reward lo_r, b.reward hi_r FROM t a JOIN t b ON a.task = b.task AND a.rank < b.rank)
+ SELECT task, CAST(sum(CASE WHEN {_OK} THEN 1 ELSE 0 END) AS BIGINT) AS correct, CAST(sum(CASE WHEN hi_r > lo_r THEN 1 ELSE 0 END) AS BIGINT) AS strict, count(*) AS total FROM p GROUP BY 1""")
+def ranking_with_ties(spark, d):
+    t = trajectories(spark, d).withColumns({"task": (F.col("task").cast("bigint") % 20).cast("string"), "reward": F.floor(F.col("reward") / 20000).cast("double")})
+    return metrics.ranking_pairs(metrics._ranked(t), "rank").groupBy("task").agg(F.sum("correct").alias("correct"), F.sum("up").alias("strict"), F.sum("total").alias("total"))
 
 
 def _preferences(spark, d):
@@ -109,7 +120,7 @@ def spearman_by_task(spark, d):
 
 @query(f"WITH {TRAJ} SELECT a.task, round(sum(sign(a.partial_success - b.partial_success) * sign(a.reward - b.reward)) / count(*), 6) AS tau_a FROM traj a JOIN traj b ON a.task = b.task AND a.id < b.id GROUP BY 1")
 def kendall_tau_a(spark, d):
-    return metrics.tau_a(trajectories(spark, d), ["task"], "id", "partial_success", "reward").withColumn("tau_a", r6(F.col("tau_a")))
+    return metrics.tau_a(trajectories(spark, d), ["task"], "partial_success", "reward").withColumn("tau_a", r6(F.col("tau_a")))
 
 
 _SCORED = "s AS (SELECT l_returnflag AS g, l_quantity / 50 AS score, CAST(l_discount > 0.05 AS INT) AS y FROM lineitem)"
@@ -353,13 +364,33 @@ def lang_video_cross(spark, d):
     return pairs.task_cross(t.where("quality_label = 'successful'"), tasks).groupBy("lang_task").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
 
 
-@query(None)
+def _hex(*parts: str) -> str:
+    """32 bits of the md5 of a seed, a purpose and keys, in SQL."""
+    return f"CAST('0x' || left(md5(concat_ws('|', {', '.join(parts)})), 8) AS BIGINT)"
+
+
+def _u(*parts: str) -> str:
+    return f"({_hex(*parts)} / CAST(4294967296 AS DOUBLE))"
+
+
+def _other(seed: str, purpose: str, refs: str) -> str:
+    """CTEs of the ring of tasks and of ``other`` (ref_id, task, pick_id) for refs (id, task)."""
+    return f"""ring AS (SELECT task, row_number() OVER (ORDER BY md5(concat_ws('|', '{seed}', '{purpose}', task)), task) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT task FROM traj)),
+ asked AS (SELECT id AS ref_id, task AS own, {_hex(f"'{seed}'", f"'{purpose}-spot'", "CAST(id AS VARCHAR)")} % (SELECT max(n) FROM ring) AS spot FROM {refs}),
+ spot AS (SELECT ref_id, own, CASE WHEN ring.task = own THEN (spot + 1) % n ELSE spot END AS place FROM asked JOIN ring ON spot = place),
+ best AS (SELECT task, arg_min(id, md5(concat_ws('|', '{seed}', '{purpose}-row', CAST(id AS VARCHAR)))) AS pick_id FROM traj GROUP BY 1),
+ other AS (SELECT ref_id, ring.task, pick_id FROM spot JOIN ring USING (place) JOIN best ON best.task = ring.task)"""
+
+
+@query(f"WITH {TRAJ}, {_other('5', 'other', 'traj')} SELECT ref_id, task, pick_id FROM other")
 def different_task(spark, d):
     t = trajectories(spark, d)
     return pairs.other_task(t, t, 5, "other")
 
 
-@query(None)
+@query(f"""WITH {TRAJ}, own AS (SELECT * FROM traj QUALIFY row_number() OVER (PARTITION BY task, is_robot ORDER BY md5(concat_ws('|', '5', 'side', CAST(id AS VARCHAR))), id) <= 2),
+ slots AS (SELECT h.task, h.id AS human_id, r.id AS robot_id, s.slot, concat_ws('-', h.id, r.id, s.slot) AS id FROM own h JOIN own r ON h.task = r.task AND r.is_robot AND NOT h.is_robot CROSS JOIN (SELECT unnest([1, 2]) AS slot) s),
+ {_other('5', 'negative', 'slots')} SELECT slots.task, human_id, robot_id, CAST(slot AS INTEGER) AS slot, other.task AS negative_task, pick_id AS negative_id FROM slots JOIN other ON other.ref_id = slots.id""")
 def human_robot_triples(spark, d):
     return pairs.human_robot_triples(trajectories(spark, d), 5, 2)
 
@@ -406,20 +437,30 @@ def source_weights(spark, d):
     return sampling.normalized_weights(trajectories(spark, d), {"BUILDING": 3.0, "MACHINERY": 0.5}).withColumn("weight", r6(F.col("weight")))
 
 
-@query(None)
+@query(f"""WITH {TRAJ}, s AS (SELECT data_source, count(*) AS total, CASE data_source WHEN 'BUILDING' THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS raw FROM traj GROUP BY 1),
+ w AS (SELECT data_source, total, sum(raw / (SELECT sum(raw) FROM s)) OVER (ORDER BY data_source) AS hi, row_number() OVER (ORDER BY data_source DESC) = 1 AS last FROM s),
+ e AS (SELECT data_source, total, coalesce(lag(hi) OVER (ORDER BY data_source), 0) AS lo, CASE WHEN last THEN 2 ELSE hi END AS hi FROM w),
+ a AS (SELECT draw, {_u("'11'", "'source'", "CAST(draw AS VARCHAR)")} AS u, {_u("'11'", "'row'", "CAST(draw AS VARCHAR)")} AS v FROM range(1000) t(draw)),
+ r AS (SELECT data_source, id, row_number() OVER (PARTITION BY data_source ORDER BY left(md5(concat_ws('|', '11', 'block', CAST(id AS VARCHAR))), 3), id) - 1 AS rank FROM traj)
+ SELECT draw, e.data_source, id FROM a JOIN e ON u >= lo AND u < hi JOIN r ON r.data_source = e.data_source AND r.rank = CAST(floor(v * total) AS BIGINT)""")
 def balanced_draws(spark, d):
     return sampling.balanced_draws(trajectories(spark, d), 1000, {"BUILDING": 3.0}, 11)
 
 
-@query(None)
+_TYPES = {"preference": 0.5, "progress": 0.3, "similarity": 0.2}
+_STRATEGIES = {"rewind": 0.4, "suboptimal": 0.3, "different_task": 0.2, "reverse": 0.1}
+_FIRST_STRATEGY = "list_sort([" + ", ".join(f"{{'r': -pow({_u(chr(39) + '9' + chr(39), chr(39) + 'strategy-' + n + chr(39), 'CAST(id AS VARCHAR)')} + 1e-12, 1 / {w}::DOUBLE), 'name': '{n}'}}" for n, w in _STRATEGIES.items()) + "])[1].name"
+
+
+@query(f"""WITH {TRAJ}, u AS (SELECT *, {_u("'9'", "'type-0'", "CAST(id AS VARCHAR)")} AS u FROM traj)
+ SELECT id, CASE WHEN quality_label <> 'successful' OR u < 0.5 THEN 'preference' WHEN u < 0.8 THEN 'progress' ELSE 'similarity' END AS sample_type, {_FIRST_STRATEGY} AS strategy FROM u""")
 def sample_types(spark, d):
-    t = sampling.sample_type(trajectories(spark, d), {"preference": 0.5, "progress": 0.3, "similarity": 0.2}, 9)
-    return sampling.strategy(t, {"rewind": 0.4, "suboptimal": 0.3, "different_task": 0.2, "reverse": 0.1}, 9).select("id", "sample_type", "strategy")
+    return sampling.strategy(sampling.sample_type(trajectories(spark, d), _TYPES, 9), _STRATEGIES, 9).select("id", "sample_type", "strategy")
 
 
-@query(f"WITH {TRAJ} SELECT id, CAST(epoch AS INTEGER) AS epoch FROM traj, range(3) AS e(epoch) WHERE id < 100")
+@query(f"WITH {TRAJ} SELECT id, CAST(epoch AS INTEGER) AS epoch FROM traj, range(3) AS e(epoch)")
 def repeated(spark, d):
-    return sampling.repeat(trajectories(spark, d).where("id < 100"), 3).select("id", "epoch")
+    return sampling.repeat(trajectories(spark, d), 3).select("id", "epoch")
 
 
 # ---- frames and targets -----------------------------------------------------------------------
@@ -435,6 +476,16 @@ def _frame_query(name: str, expression: Callable[[Column], Column], sql: str) ->
 
 
 _ALL = "range(n)"
+#: Frame counts up to 400 and numbers of frames to take up to 64, one of each for every event.
+_WIDE = "(SELECT event_id AS id, CAST(event_id * 7919 % 400 + 1 AS INTEGER) AS n, CAST(event_id * 104729 % 63 + 2 AS INTEGER) AS k FROM events)"
+
+
+@query(f"""SELECT id, array_to_string(list_distinct_sorted, ',') AS indices FROM (SELECT id, CASE WHEN n <= k THEN range(n) ELSE list_sort(list_distinct(list_transform(range(k), lambda i: CASE WHEN i = k - 1 THEN n - 1 ELSE CAST(floor(i * ((n - 1) / (k - 1))) AS BIGINT) END))) END AS list_distinct_sorted FROM {_WIDE})""")
+def frames_floor_wide(spark, d):
+    t = table(spark, d, "events").selectExpr("event_id AS id", "CAST(event_id * 7919 % 400 + 1 AS INT) AS n", "CAST(event_id * 104729 % 63 + 2 AS INT) AS k")
+    return t.select("id", _joined(fr.floor_indices(F.col("n"), F.col("k"))).alias("indices"))
+
+
 _frame_query("frames_linspace", lambda n: fr.linspace_indices(n, 4), f"CASE WHEN n <= 4 THEN {_ALL} ELSE list_transform(range(4), lambda i: CAST(round_even(i * ((n - 1) / 3), 0) AS BIGINT)) END")
 _frame_query("frames_floor", lambda n: fr.floor_indices(n, 4), f"CASE WHEN n <= 4 THEN {_ALL} ELSE list_transform(range(4), lambda i: CAST(floor(i * ((n - 1) / 3)) AS BIGINT)) END")
 _frame_query("frames_stride", lambda n: fr.stride_indices(n, 4), f"CASE WHEN n <= 4 THEN {_ALL} ELSE list_transform(range(4), lambda i: i * n // 4) END")
@@ -470,10 +521,10 @@ _target_query("padding_mask", lambda i, n: fr.padding_mask(n, F.lit(8)), "CASE W
 _target_query("two_hot_bins", lambda i, n: fr.two_hot(F.col("partial_success") * 0.9, 6), "greatest(0, 1 - abs(partial_success * 0.9 * 5 - i))", "range(6)")
 
 
-@query("""WITH e AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings), s AS (SELECT vec_id, b, list_transform(b, lambda x: exp(x - list_max(b))) AS w FROM e)
- SELECT vec_id, round(list_sum(list_transform(range(8), lambda i: w[i + 1] * i / 7)) / list_sum(w), 6) AS soft, round((list_position(b, list_max(b)) - 1) / 7, 6) AS hard FROM s""")
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings), s AS (SELECT vec_id, b, list_transform(b, lambda x: exp(x - list_max(b))) AS w FROM e)
+ SELECT vec_id, round(list_sum(list_transform(range(len(b)), lambda i: w[i + 1] * i / (len(b) - 1))) / list_sum(w), 6) AS soft, round((list_position(b, list_max(b)) - 1) / (len(b) - 1), 6) AS hard FROM s""")
 def bins_to_values(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("b"))
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("b"))
     return e.select("vec_id", r6(fr.bins_to_value(F.col("b"), False)).alias("soft"), r6(fr.bins_to_value_hard(F.col("b"))).alias("hard"))
 
 
@@ -497,12 +548,13 @@ def frame_deltas(spark, d):
 # ---- text -----------------------------------------------------------------------------------
 
 
-@query("""SELECT e.event_id, CAST(CASE WHEN regexp_matches(t, '(?i)ANSWER:\\s*[1-5]') THEN regexp_extract(t, '(?i)ANSWER:\\s*([1-5])', 1) ELSE list_extract(regexp_extract_all(t, '\\b([1-5])\\b', 1), -1) END AS INTEGER) AS score
- FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Answer: ' || (event_id % 5 + 1) || ' of 5' WHEN event_id % 3 = 1 THEN 'maybe ' || (event_id % 7) || ' or ' || (event_id % 4) ELSE 'none' END AS t FROM events) e""")
+_REPLY = """CASE event_id % 4 WHEN 0 THEN 'Answer: ' || (event_id % 47) || ' of 5' WHEN 1 THEN 'maybe ' || (event_id % 7) || ' or ' || (event_id % 4) WHEN 2 THEN 'answer:' || (event_id % 9) ELSE 'none' END"""
+
+
+@query(f"""WITH t AS (SELECT event_id, {_REPLY} AS t FROM events), n AS (SELECT *, TRY_CAST(nullif(regexp_extract(t, '(?i)ANSWER:\\s*(\\d+)', 1), '') AS INTEGER) AS own, list_extract(regexp_extract_all(t, '\\b([1-5])\\b', 1), -1) AS last FROM t)
+ SELECT event_id, CASE WHEN own BETWEEN 1 AND 5 THEN own ELSE CAST(last AS INTEGER) END AS score FROM n""")
 def reply_scores(spark, d):
-    k = F.col("event_id")
-    t = F.when(k % 3 == 0, F.concat(F.lit("Answer: "), k % 5 + 1, F.lit(" of 5"))).when(k % 3 == 1, F.concat(F.lit("maybe "), k % 7, F.lit(" or "), k % 4)).otherwise("none")
-    return table(spark, d, "events").select("event_id", tx.score_1_to_5(t).alias("score"))
+    return table(spark, d, "events").select("event_id", tx.score_1_to_5(F.expr(_REPLY)).alias("score"))
 
 
 @query("""SELECT o_orderkey, regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', '_', 'g') || '_' || o_orderstatus AS task, CAST(o_custkey AS VARCHAR) AS attempt FROM orders""")
@@ -522,9 +574,10 @@ def cache_keys(spark, d):
     return table(spark, d, "pages").select("url", tx.cache_key(F.col("url")).alias("cache_key"), F.md5("url").alias("config_hash"))
 
 
-@query("""WITH s AS (SELECT url, trim(regexp_replace(regexp_replace(url, '[^A-Za-z0-9_]+', '_', 'g'), '_+', '_', 'g')) AS p FROM pages) SELECT url, CASE WHEN length(p) <= 30 THEN p ELSE left(p, 21) || '_' || left(md5(url), 8) END AS short FROM s""")
+@query("""WITH s AS (SELECT url, trim(regexp_replace(regexp_replace('/' || url || ' -x/', '[/:*?"<>| ,]', '_', 'g'), '_+', '_', 'g'), '_') AS p FROM pages)
+ SELECT url, CASE WHEN length(p) <= 36 THEN p ELSE rtrim(left(p, 27), '_') || '_' || left(md5('/' || url || ' -x/'), 8) END AS short FROM s""")
 def short_names(spark, d):
-    return table(spark, d, "pages").select("url", tx.short_name(F.col("url"), 30, 21).alias("short"))
+    return table(spark, d, "pages").select("url", tx.short_name(F.concat(F.lit("/"), "url", F.lit(" -x/")), 36).alias("short"))
 
 
 @query("""SELECT p_partkey, upper(left(lower(p_name), 1)) || substr(replace(lower(p_name), '_', ' '), 2) AS pretty FROM part""")
