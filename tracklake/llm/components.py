@@ -21,6 +21,15 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name for an internal column that no column of the table has."""
+    names = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in names:
+        name = f"_{name}"
+    return name
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage with files that all executors share."""
     sc = df.sparkSession.sparkContext
@@ -30,10 +39,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The same rows from a Parquet table in the shared folder: cuts the lineage, and later reads take single columns."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The same rows from a Parquet table in the shared folder: cuts the lineage, and later reads take single columns.
+
+    Shuffle files behind the table go as soon as it is written, since nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

@@ -2,22 +2,30 @@
 
 A line is the set of its lower-case words.  A line is removed if an earlier line (of a
 smaller id, or above in the same document) has a Jaccard similarity of ``THRESHOLD`` or
-more; lines are judged on the input, not on what is left.  Lines of fewer than
-``LEAST_WORDS`` different words are not compared and stay.
+more; lines are judged on the input, not on what is left.  Lines without words stay.
 
 Lines of equal sets are grouped first, and their first one stands for them in the join.
 The words of a line are put in order of rarity, by counts over all documents in a table
-of fixed size; any order is right, a good one makes small groups.  Two similar lines
-share a word among the first n - ceil(0.8 n) + 1 words of each, so these words are the
-join keys.  Within a key, lines of too different lengths, or of word-parity signatures
-that differ in too many bits for the lengths and positions, are passed over.  Each line
-stops at a few candidates of each key, and the one that differs least is verified on the
-whole lines.  Lines for which it fails meet all their candidates in a second join.
-
-A null text has no lines.  Rows that repeat an id and text lose the same lines; of one id
-with several texts, the smaller hash of the text comes first at equal line numbers.  A
-null id comes after all others, as long as these are less than 2^63 - 2^32.  Extra columns
-are passed on.
+of fixed size; any order is right, a good one makes small groups.  Two similar lines of n
+and m words share a word among the first n - ceil(0.8 n) + 1 words of each: the prefix,
+whose words are the join keys.  A word met more than ``HOT`` times is no key of its own:
+each of its pairs with a later word of the prefix and one more is one, as lines that are
+similar share a second word there.
+
+Within a key the rows are in order of their numbers of words.  Two rows are a candidate pair if
+they pass four filters: length (m >= 0.8 n); position (what is left of the lines from the
+key on still allows the overlap that is needed); first meeting (lines whose words before
+the key are the same word meet in that word's group as well); and signature (the parities
+of the words by 128 bits differ in too many bits for the overlap).  Only rows that have a
+candidate go on, with their whole sets of words: once more grouped by key, each is
+compared there with its candidates until an earlier one is similar enough.  No pairs are
+written, only the lines that have a candidate and the lines that go.
+
+A null text has no lines; a text of any length is read whole, in slices; an empty table
+gives an empty one.  Rows that repeat an id and text lose the same lines; of one id with
+several texts, the smaller hash of the text comes first at equal line numbers.  A null id
+comes after all others, as long as these are less than 2^63 - 2^32.  Extra columns are
+passed on, whatever their names; a column of the name of an added one is replaced.
 """
 
 from __future__ import annotations
@@ -30,22 +38,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklake.llm.components import written
-from tracklake.llm.minhash import shingle_similarity
+from tracklake.llm.components import unused, written
 from tracklake.llm.text import binary_column, mix, slices, words
 
-THRESHOLD, LEAST_WORDS = 0.8, 5
+THRESHOLD, LEAST_WORDS = 0.8, 1
 #: The table of word counts: 2^20 buckets of words, a fixed 4 MB.
 BUCKET_BITS, CHUNK = 20, 4096
-#: Rows of keys that are compared at once in a task, if their groups allow it.
-JOIN_ROWS = 1 << 20
+#: Words of a bucket met more often are keys only together with a second word.
+HOT = 1 << 12
+#: Rows of keys, and bytes of words, that a task compares at once.
+JOIN_ROWS, JOIN_BYTES = 1 << 19, 1 << 25
 _SLICE = 1 << 19
-#: Tables of up to so many documents with so many line numbers in all (16 bytes each) are broadcast.
-BROADCAST_ROWS, BROADCAST_LINES = 500_000, 2_000_000
-#: Candidates of a key after which a line stops; if the best one is false, the second join takes all.
-STOP_AFTER = 4
 #: Lines of a batch that are held at once to find equal ones.
 _HELD = 1 << 18
+#: Rows of a key that are compared step by step before each open one is compared with all.
+_STEPS = 64
+#: The lowest bits of a word of a prefix: it is hot, it was met once.
+_IS_HOT, _LONE = np.uint32(1), np.uint32(2)
+
+
+def _rank(count: float) -> float:
+    return 1 + min(np.log2(max(count, 1)) * 1000, 65000)
 
 
 def _line_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,13 +107,26 @@ def ranks(counts: np.ndarray) -> np.ndarray:
     return np.where(counts <= 1, 0, 1 + np.minimum(np.log2(np.maximum(counts, 1)) * 1000, 65000)).astype(np.uint16)
 
 
-def line_sets(rows: DataFrame, rarity: np.ndarray, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
+def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
+    return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+
+
+def _parity(h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of parity, in two halves, of each set of words that begins at ``start``."""
+    bit = np.uint64(1) << ((h >> np.uint64(36)) & np.uint64(63))
+    half = (h >> np.uint64(42)) & np.uint64(1) == 1
+    return tuple(np.bitwise_xor.reduceat(np.where(half == v, bit, np.uint64(0)), start) for v in (False, True))
+
+
+def line_sets(rows: DataFrame, rarity: np.ndarray, threshold: float = THRESHOLD, least: int = LEAST_WORDS, hot: int = HOT) -> DataFrame:
     """(h1, h2, d, line, rid, n, sig, sig2, keys, again): each line's set of words by two hashes, its size, parity and prefix.
 
+    keys: the prefix and one more word, 30 bits each and two flags.
     again: an equal set stands earlier in the same batch; such a line has no keys, and h1 is spread.
     """
     shared = rows.sparkSession.sparkContext.broadcast(rarity)
     names = ["h1", "h2", "d", "line", "rid", "n", "sig", "sig2", "keys", "again"]
+    often = _rank(hot)
 
     def told(parts: list[tuple]) -> pa.RecordBatch:
         h1, h2, d, line, rid, n, sig, sig2 = (np.concatenate(c) for c in list(zip(*parts, strict=True))[:8])
@@ -122,7 +148,7 @@ def line_sets(rows: DataFrame, rarity: np.ndarray, threshold: float = THRESHOLD,
             size = np.where(again, 0, np.diff(keys.offsets.to_numpy()))
             values = keys.flatten().filter(pa.array(np.repeat(~again, np.diff(keys.offsets.to_numpy()))))
             keys = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), values)
-        return pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(d), pa.array(line), pa.array(rid), pa.array(n), pa.array(sig), pa.array(sig2), keys, pa.array(again)], names)
+        return pa.RecordBatch.from_arrays([*map(pa.array, (h1, h2, d, line, rid, n, sig, sig2)), keys, pa.array(again)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -140,7 +166,7 @@ def line_sets(rows: DataFrame, rarity: np.ndarray, threshold: float = THRESHOLD,
                 for k in range(0, len(head), 1 << 16):
                     lo, hi = head[k], head[k + (1 << 16)] if k + (1 << 16) < len(head) else len(h)
                     first = head[k : k + (1 << 16)]
-                    out = _sets(h[lo:hi], number[lo:hi] - k, table, threshold, least)
+                    out = _sets(h[lo:hi], number[lo:hi] - k, table, threshold, least, often)
                     if out is not None:
                         of, h1, h2, n, sig, sig2, keys = out
                         r = row[first][of] + a
@@ -154,7 +180,7 @@ def line_sets(rows: DataFrame, rarity: np.ndarray, threshold: float = THRESHOLD,
     return rows.mapInArrow(run, "h1 bigint, h2 bigint, d bigint, line int, rid int, n int, sig bigint, sig2 bigint, keys array<int>, again boolean")
 
 
-def _sets(h: np.ndarray, number: np.ndarray, table: np.ndarray, threshold: float, least: int):
+def _sets(h: np.ndarray, number: np.ndarray, table: np.ndarray, threshold: float, least: int, often: float):
     """The sets of up to 2^16 lines."""
     rank = table[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
     order = np.argsort((number.astype(np.uint64) << np.uint64(48)) | (rank.astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF)))
@@ -163,139 +189,275 @@ def _sets(h: np.ndarray, number: np.ndarray, table: np.ndarray, threshold: float
     h, number, rank = h[fresh], number[fresh], rank[fresh]
     start = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
     n = np.diff(np.r_[start, len(h)])
-    bit = np.uint64(1) << ((h >> np.uint64(36)) & np.uint64(63))
-    half = (h >> np.uint64(42)) & np.uint64(1) == 1  # 128 bits of parity in two halves
-    sig, sig2 = (np.bitwise_xor.reduceat(np.where(half == v, bit, np.uint64(0)), start) for v in (False, True))
+    sig, sig2 = _parity(h, start)
     h1, h2 = np.add.reduceat(mix(h, 21), start), np.add.reduceat(mix(h, 22), start)
     enough = n >= least
     if not enough.any():
         return None
-    prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
     place = np.arange(len(h)) - np.repeat(start, n)
-    use = (place < np.repeat(prefix, n)) & (rank > 0) & np.repeat(enough, n)
+    use = (place <= np.repeat(prefix_length(n, threshold), n)) & np.repeat(enough, n)
     size = np.add.reduceat(use.astype(np.int64), start)[enough]
-    keys = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array((h[use] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
+    token = (h[use] & np.uint64(0xFFFFFFFC)).astype(np.uint32) | np.where(rank[use] > often, _IS_HOT, np.where(rank[use] == 0, _LONE, np.uint32(0)))
+    keys = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(token.view(np.int32)))
     return number[start][enough], h1[enough].view(np.int64), h2[enough].view(np.int64), n[enough], sig[enough].view(np.int64), sig2[enough].view(np.int64), keys
 
 
-def first_candidates(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Of rows (key, d, line, n, sig, sig2) sorted by key, d, line: the best of each line's nearest earlier candidates of its key, and the bits by which they differ."""
-    difference = (1 - threshold) / (1 + threshold)
+def key_rows(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, d, sig, sig2, place, before) of each line and key.
 
-    def join(t: pa.Table) -> pa.RecordBatch:
-        key, d, line, n, sig, sig2 = (t.column(k).to_numpy() for k in range(6))
+    key is 32 bits of the key << 32 | number of words, place the line << 32 | what is left of it from the key on, before the word before the key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d, line, n, sig, sig2 = (batch.column(k).to_numpy().astype(np.int64) for k in range(5))
+            lists = batch.column(5)
+            token = lists.flatten().to_numpy().view(np.uint32)
+            size = np.diff(lists.offsets.to_numpy())
+            at = np.r_[0, np.cumsum(size)]
+            row = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(token)) - at[:-1][row]
+            before = np.where(place > 0, np.r_[np.uint32(0), token[:-1]], np.uint32(0)).view(np.int32)
+            inside = place < prefix_length(n, threshold)[row]
+            one = np.flatnonzero(inside & (token & np.uint32(3) == 0))
+            hot = np.flatnonzero(inside & (token & _IS_HOT != 0))
+            # A hot word with each later one: lines that meet there first meet in that one next.
+            more = at[1:][row[hot]] - hot - 1
+            first = np.repeat(hot, more)
+            second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(more) - more, more)
+            some = token[second] & _LONE == 0
+            first, second = first[some], second[some]
+            r = np.r_[row[one], row[first]]
+            both = mix(token[first].astype(np.uint64) << np.uint64(32) | token[second].astype(np.uint64), 9) >> np.uint64(32)
+            key = np.r_[token[one].astype(np.uint64), both].astype(np.int64) << 32 | n[r]
+            left = np.r_[n[row[one]] - place[one], n[row[first]] - place[second] + 1]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, d[r], sig[r], sig2[r], line[r] << 32 | left, before[np.r_[one, first]])], ["key", "d", "sig", "sig2", "place", "before"])
+
+    return sets.select("d", "line", "n", "sig", "sig2", "keys").mapInArrow(run, "key bigint, d bigint, sig bigint, sig2 bigint, place bigint, before int")
+
+
+def by_key(rows: DataFrame) -> DataFrame:
+    """The rows of a key in one partition, in the order of their keys and numbers of words: one number, which Spark sorts by its bits."""
+    return rows.repartition(F.shiftright("key", 32)).sortWithinPartitions("key")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], threshold: float, rows: int, size: int) -> Iterator[pa.Table]:
+    """Parts of rows in the order of column 0, key << 32 | number of words, each with all pairs of numbers that can be similar.
+
+    A group that goes on beyond a part is carried on by the rows that are long enough for the following ones.
+    """
+    pending: list[pa.RecordBatch] = []
+    held = fresh = weight = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        pending.append(batch)
+        held += batch.num_rows
+        fresh += batch.num_rows
+        weight += batch.nbytes
+        if fresh >= rows or weight >= size:
+            t = pa.Table.from_batches(pending).combine_chunks()
+            code = t.column(0).to_numpy()
+            cut = int(np.searchsorted(code, code[-1] >> 32 << 32))  # the last group may go on
+            if cut:
+                yield t.slice(0, cut).combine_chunks()
+            else:
+                yield t
+                n = code & 0xFFFFFFFF
+                cut = int(np.searchsorted(n, np.ceil(threshold * n[-1] - 1e-9)))
+            t = t.slice(cut)
+            pending, held, fresh, weight = t.to_batches(), t.num_rows, 0, 0
+    if held:
+        yield pa.Table.from_batches(pending).combine_chunks()
+
+
+def _alike(n: np.ndarray, sig: np.ndarray, sig2: np.ndarray, p: np.ndarray, o: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the signatures of the rows p and o allow them to be similar."""
+    apart = np.bitwise_count(sig[p] ^ sig[o]) + np.bitwise_count(sig2[p] ^ sig2[o])
+    return apart <= (1 - threshold) / (1 + threshold) * (n[p] + n[o]) + 1e-9
+
+
+def involved(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, d, line): the rows, sorted by key, that are in a candidate pair; key without the number of words."""
+
+    def marks(t: pa.Table) -> pa.RecordBatch:
+        code, d, sig, sig2, place, prev = (t.column(k).to_numpy() for k in range(6))
+        key, n, left = code >> 32, code & 0xFFFFFFFF, place & 0xFFFFFFFF
         sig, sig2 = sig.view(np.uint64), sig2.view(np.uint64)
-        met = np.zeros(len(key), np.int8)
-        probe = np.arange(len(key))
-        left, right, apart = [], [], []
-        step = 1
+        marked = np.zeros(len(key), bool)
+        probe, step = np.arange(len(key)), 1
         while len(probe):
             probe = probe[probe >= step]
-            probe = probe[key[probe] == key[probe - step]]
             other = probe - step
-            a, b = n[probe], n[other]
-            ok = np.minimum(a, b) + 1 >= threshold * np.maximum(a, b)
-            bits = np.bitwise_count(sig[probe] ^ sig[other]) + np.bitwise_count(sig2[probe] ^ sig2[other])
-            ok &= bits <= difference * (a + b) + 1
-            left.append(probe[ok])
-            right.append(other[ok])
-            apart.append(bits[ok].astype(np.int32))
-            met[probe[ok]] += 1
-            probe = probe[met[probe] < STOP_AFTER]
+            on = (key[probe] == key[other]) & (n[other] >= threshold * n[probe] - 1e-9)
+            probe, other = probe[on], other[on]
+            new = ~(marked[probe] & marked[other])
+            p, o = (probe, other) if new.all() else (probe[new], other[new])
+            ok = (prev[p] != prev[o]) | (prev[p] == 0)
+            p, o = p[ok], o[ok]
+            ok = _alike(n, sig, sig2, p, o, threshold)
+            p, o = p[ok], o[ok]
+            ok = np.minimum(left[p], left[o]) >= threshold / (1 + threshold) * (n[p] + n[o]) - 1e-9
+            marked[p[ok]] = marked[o[ok]] = True
             step += 1
-        p, e = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        bits = np.concatenate(apart) if apart else np.zeros(0, np.int32)
-        order = np.lexsort((bits, p))
-        best = order[np.r_[True, p[order[1:]] != p[order[:-1]]]] if len(p) else order
-        p, e, bits = p[best], e[best], bits[best]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (d[p], line[p], bits, d[e], line[e])], ["d", "line", "bits", "d0", "line0"])
+        return pa.RecordBatch.from_arrays([pa.array(key[marked].astype(np.int32)), pa.array(d[marked]), pa.array((place[marked] >> 32).astype(np.int32))], ["key", "d", "line"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return map(marks, _groups(batches, threshold, JOIN_ROWS, 1 << 40))
+
+    return keyed.mapInArrow(run, "key int, d bigint, line int")
+
+
+def line_tokens(texts: DataFrame) -> DataFrame:
+    """(key, d, rid, line, sig, sig2, words) of the lines that rows (d, rid, of, t, ...) name in ``of``, a list of (line, key); 48 bits a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: list[pa.RecordBatch] = []
-        rows = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            pending.append(batch)
-            rows += batch.num_rows
-            if rows >= JOIN_ROWS:
-                t = pa.Table.from_batches(pending).combine_chunks()
-                key = t.column(0).to_numpy()
-                cut = int(np.searchsorted(key, key[-1]))  # the last group may go on
-                if cut:
-                    yield join(t.slice(0, cut).combine_chunks())
-                    t = t.slice(cut)
-                pending, rows = t.to_batches(), t.num_rows
-        if rows:
-            yield join(pa.Table.from_batches(pending).combine_chunks())
-
-    return keyed.select("key", "d", "line", "n", "sig", "sig2").mapInArrow(run, "d bigint, line int, bits int, d0 bigint, line0 int")
-
-
-def _sized(df: DataFrame, lines: str | None = None) -> DataFrame:
-    """The table, marked for a broadcast if its rows and the entries of its column ``lines`` are few; a larger one is joined by a shuffle."""
-    r = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(lines)), F.lit(0)) if lines else F.lit(0)).first()
-    return F.broadcast(df) if r[0] <= BROADCAST_ROWS and r[1] <= BROADCAST_LINES else df
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(d, line, rid) of the later lines of pairs that are similar enough, from the lines' whole texts."""
-    line = lambda k: F.get("all", k)
-
-    def held(lists: DataFrame) -> DataFrame:
-        return texts.join(_sized(lists, "of"), "d").select("d", "rid", F.split(F.col("t").cast("string"), "\n").alias("all"), F.explode_outer("of").alias("of"))
-
-    of_later = written(pairs.groupBy("d").agg(F.collect_list(F.struct("line", "d0", "line0")).alias("of")))
-    of_earlier = written(pairs.groupBy(F.col("d0").alias("d")).agg(F.collect_set("line0").alias("of")))
-    later = held(of_later).select("d", "rid", "of.line", "of.d0", "of.line0", line(F.col("of.line")).alias("x")).where("x is not null")
-    earlier = held(of_earlier).select(F.col("d").alias("d0"), F.col("of").alias("line0"), F.col("rid").alias("rid0"), line(F.col("of")).alias("y")).where("y is not null")
-    both = later.join(earlier, ["d0", "line0"])
-    both = both.where(F.struct(F.col("d0").alias("d"), F.col("line0").alias("line"), F.col("rid0").alias("rid")) < F.struct("d", "line", "rid"))
-    alike = shingle_similarity(both.select("d", "line", "rid", "x", "y"), "x", "y", width=1).where(F.col("similarity") >= threshold - 1e-12)
-    return written(alike.select("d", "line", "rid").distinct())
-
-
-def removed_lines(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
-    """The rows with their internal ids (all columns, d, rid), and (d, rid, gone): the numbers of the lines that go."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    # Two hashes of 32 bits tell rows without an id apart.
-    d = F.coalesce(F.col(key).cast("bigint"), F.lit(2**63 - 2**32) + F.shiftrightunsigned(F.xxhash64(body), 32))
-    rows = df.withColumns({"d": d, "rid": F.hash(body)})
-    plain = rows.select("d", "rid", F.lower(body).cast("binary").alias("t"))
+            d, rid = (batch.column(k).to_numpy() for k in (0, 1))
+            of = batch.column(2)
+            buf, offsets = binary_column(batch.column(3))
+            row = np.repeat(np.arange(len(d)), np.diff(of.offsets.to_numpy()))
+            named = of.flatten()
+            line, key = named.field(0).to_numpy(), named.field(1).to_numpy()
+            lo, hi = int(offsets[0]), int(offsets[-1])
+            breaks = np.r_[np.flatnonzero(buf[lo:hi] == 10) + lo, hi]
+            before = np.searchsorted(breaks, offsets[:-1])
+            n_lines = np.searchsorted(breaks[:-1], offsets[1:]) - before + 1
+            real = line < n_lines[row]  # of one id with several texts a shorter one may lack the line
+            row, line, key = row[real], line[real], key[real]
+            place, at = np.unique(row.astype(np.int64) << 32 | line, return_inverse=True)
+            r, k = place >> 32, place & 0xFFFFFFFF
+            start = np.where(k == 0, offsets[r], breaks[np.maximum(before[r] + k - 1, 0)] + 1)
+            end = np.minimum(breaks[before[r] + k], offsets[r + 1])
+            bounds = np.r_[0, np.cumsum(end - start)]
+            for a, b in slices(bounds):
+                size = np.diff(bounds[a : b + 1])
+                part = buf[np.repeat(start[a:b] - bounds[a:b], size) + np.arange(bounds[a], bounds[b])]
+                _, _, h, ends = words(part, bounds[a : b + 1] - bounds[a])
+                number = np.repeat(np.arange(b - a), np.diff(ends))
+                order = np.lexsort((h, number))
+                h, number = h[order], number[order]
+                fresh = np.r_[True, (h[1:] != h[:-1]) | (number[1:] != number[:-1])] if len(h) else np.zeros(0, bool)
+                h, number = h[fresh], number[fresh]
+                n = np.bincount(number, minlength=b - a)
+                cut = np.r_[0, np.cumsum(n)]
+                sig, sig2 = np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64)
+                if len(h):
+                    sig[n > 0], sig2[n > 0] = _parity(h, cut[:-1][n > 0])
+                sets = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((6 * cut).astype(np.int32)), pa.py_buffer(h.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes())])
+                mine = np.flatnonzero((at >= a) & (at < b))
+                to = at[mine] - a
+                keep = n[to] > 0
+                mine, to = mine[keep], to[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (key[mine].astype(np.int64) << 32 | n[to], d[row[mine]], rid[row[mine]], line[mine], sig[to].view(np.int64), sig2[to].view(np.int64))] + [sets.take(pa.array(to))],
+                    ["key", "d", "rid", "line", "sig", "sig2", "words"],
+                )
+
+    return texts.mapInArrow(run, "key bigint, d bigint, rid int, line int, sig bigint, sig2 bigint, words binary")
+
+
+def similar_lines(dealt: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(d, rid, line): of rows of ``line_tokens`` sorted by key, the lines that an earlier one of their key is similar to."""
+
+    def matched(t: pa.Table) -> pa.RecordBatch:
+        code, d, rid, line, sig, sig2 = (t.column(k).to_numpy() for k in range(6))
+        buf, offsets = binary_column(t.column(6).combine_chunks())
+        token = np.zeros((len(buf) // 6, 8), np.uint8)
+        token[:, 2:] = buf[: 6 * len(token)].reshape(-1, 6)
+        token = token.view(np.uint64).ravel()
+        at = offsets // 6
+        key, n, sig, sig2 = code >> 32, code & 0xFFFFFFFF, sig.view(np.uint64), sig2.view(np.uint64)
+        found = np.zeros(len(key), bool)
+
+        def compare(p: np.ndarray, o: np.ndarray) -> None:
+            """Marks the later ones of pairs of rows, of which p has no fewer words."""
+            ok = _alike(n, sig, sig2, p, o, threshold)
+            p, o = p[ok], o[ok]
+            before = (d[p] < d[o]) | (d[p] == d[o]) & ((line[p] < line[o]) | (line[p] == line[o]) & (rid[p] < rid[o]))
+            same = (d[p] == d[o]) & (line[p] == line[o]) & (rid[p] == rid[o])
+            later = np.where(before, o, p)
+            todo = ~found[later] & ~same
+            p, o, later = p[todo], o[todo], later[todo]
+            for k in range(0, len(p), 1 << 13):
+                a, b = p[k : k + (1 << 13)], o[k : k + (1 << 13)]
+                rows, pair = np.r_[a, b], np.r_[np.arange(len(a)), np.arange(len(a))]
+                many = n[rows]
+                where = np.repeat(at[rows] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(int(many.sum()))
+                pair = np.repeat(pair, many)
+                value = mix(token[where] + pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 5)
+                order = np.argsort(value)
+                twice = value[order[1:]] == value[order[:-1]]
+                common = np.bincount(pair[order[1:][twice]], minlength=len(a))
+                found[later[k : k + (1 << 13)][common >= threshold * (n[a] + n[b] - common) - 1e-9]] = True
+
+        probe = np.arange(len(key))
+        for step in range(1, _STEPS + 1):
+            probe = probe[probe >= step]
+            probe = probe[(key[probe] == key[probe - step]) & (n[probe - step] >= threshold * n[probe] - 1e-9)]
+            if not len(probe):
+                break
+            compare(probe, probe - step)
+        # Larger groups: those that are still open with all rows of their key that are not too short or long.
+        if len(probe):
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            ends = np.r_[starts[1:], len(key)]
+            group = np.searchsorted(starts, np.arange(len(key)), "right") - 1
+            for i in np.flatnonzero(~found & ((ends - starts)[group] > _STEPS)).tolist():
+                a, b = starts[group[i]], ends[group[i]]
+                lo = a + np.searchsorted(n[a:b], np.ceil(threshold * n[i] - 1e-9))
+                hi = a + np.searchsorted(n[a:b], np.floor(n[i] / threshold + 1e-9), "right")
+                o = np.r_[np.arange(lo, max(lo, i - _STEPS)), np.arange(min(hi, i + _STEPS + 1), hi)]
+                o = o[(d[o] < d[i]) | (d[o] == d[i]) & ((line[o] < line[i]) | (line[o] == line[i]) & (rid[o] < rid[i]))]
+                for k in range(0, len(o), 256):
+                    if found[i]:
+                        break
+                    compare(np.full(len(o[k : k + 256]), i), o[k : k + 256])
+        return pa.RecordBatch.from_arrays([pa.array(d[found]), pa.array(rid[found]), pa.array(line[found].astype(np.int32))], ["d", "rid", "line"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return map(matched, _groups(batches, threshold, JOIN_ROWS, JOIN_BYTES))
+
+    return dealt.mapInArrow(run, "d bigint, rid int, line int")
+
+
+def removed_lines(rows: DataFrame, d: str, rid: str, body: str, threshold: float = THRESHOLD, least: int = LEAST_WORDS, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """The rows dealt by document (column ``d``; ``rid`` tells texts of one id apart), and (d, gone): the list of (rid, line) that go."""
+    text = F.lower(F.coalesce(F.col(body), F.lit(""))).cast("binary")
+    plain = rows.select(F.col(d).alias("d"), F.col(rid).alias("rid"), text.alias("t"))
     rarity = ranks(word_counts(plain.select("t")))
     # Equal sets: of each batch one line goes into the group, so a line in a third of all documents is met once a batch.
     group, place = Window.partitionBy("h1", "h2").orderBy("d", "line", "rid"), F.struct("d", "line", "rid")
-    sets = line_sets(plain, rarity, threshold, least).withColumns({"own": F.row_number().over(group), "first": F.first(place).over(group)})
+    sets = line_sets(plain, rarity, threshold, least, hot).withColumns({"own": F.row_number().over(group), "first": F.first(place).over(group)})
     sets = sets.where((F.col("own") == 1) | (place != F.col("first"))).withColumn("gone", F.col("again") | (F.col("own") > 1))
     sets = written(sets.select("d", "line", "rid", "gone", "n", "sig", "sig2", F.when(~F.col("gone"), F.col("keys")).alias("keys")))
-    firsts = sets.where("not gone").select("d", "line", "rid", "n", "sig", "sig2", "keys")
-    keyed = firsts.select(F.explode_outer("keys").alias("key"), "d", "line", "rid", "n", "sig", "sig2").where("key is not null")
-    near = first_candidates(keyed.select("key", "d", "line", "n", "sig", "sig2").repartition("key").sortWithinPartitions("key", "d", "line"), threshold)
-    near = written(near.groupBy("d", "line").agg(F.min(F.struct("bits", "d0", "line0")).alias("c")).select("d", "line", "c.d0", "c.line0"))
-    found = _verified(near, plain, threshold)
-    # Lines whose best candidate was false: all pairs with their other candidates, through their keys.
-    marked = firsts.join(near.select("d", "line"), ["d", "line"], "left_semi")
-    open_ = written(marked.join(found, ["d", "line", "rid"], "left_anti").select(F.explode_outer("keys").alias("key"), "d", "line", "rid", "n", "sig", "sig2").where("key is not null"))
-    probes = _sized(open_.select(*[F.col(c).alias(f"p_{c}") for c in open_.columns]))
-    earlier = F.struct("d", "line", "rid") < F.struct(F.col("p_d").alias("d"), F.col("p_line").alias("line"), F.col("p_rid").alias("rid"))
-    bits = F.bit_count(F.col("sig").bitwiseXOR(F.col("p_sig"))) + F.bit_count(F.col("sig2").bitwiseXOR(F.col("p_sig2")))
-    alike = (F.least("n", "p_n") + 1 >= threshold * F.greatest("n", "p_n")) & (bits <= (1 - threshold) / (1 + threshold) * (F.col("n") + F.col("p_n")) + 1)
-    again = keyed.join(probes, (F.col("key") == F.col("p_key")) & earlier & alike)
-    again = written(again.select(F.col("p_d").alias("d"), F.col("p_line").alias("line"), F.col("d").alias("d0"), F.col("line").alias("line0")).distinct())
-    gone = sets.where("gone").select("d", "line", "rid").union(found).union(_verified(again, plain, threshold))
-    return rows, written(gone.groupBy("d", "rid").agg(F.collect_set("line").alias("gone")))
-
-
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, least: int = LEAST_WORDS, to: str = "kept_text") -> DataFrame:
+    keyed = by_key(key_rows(sets.where("not gone"), threshold))
+    of = unused(rows, "of")
+    near = written(involved(keyed, threshold).groupBy(F.col("d").alias(of)).agg(F.collect_set(F.struct("line", "key")).alias("keys")))
+    # All columns are read here as well, so that one shuffle of the texts serves this join and that of the result.
+    dealt = rows.repartition(d)
+    others = [F.col(f"`{c}`") for c in rows.columns if c not in (d, rid, body)]
+    texts = dealt.join(near.select(of, F.col("keys").alias(of + "_keys")).hint("shuffle_hash"), F.col(d) == F.col(of)).select(F.col(d).alias("d"), F.col(rid).alias("rid"), F.col(of + "_keys").alias("of"), text.alias("t"), F.struct(*others).alias("others"))
+    found = similar_lines(by_key(line_tokens(texts)), threshold)
+    gone = sets.where("gone").select("d", "rid", "line").union(found)
+    return dealt, gone.groupBy("d").agg(F.collect_set(F.struct("rid", "line")).alias("gone"))
+
+
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, least: int = LEAST_WORDS, to: str = "kept_text", hot: int = HOT) -> DataFrame:
     """Adds n_lines (with a word), n_removed and the text of the lines that stay."""
-    rows, removed = removed_lines(df, key, text, threshold, least)
-    joined = rows.join(_sized(removed, "gone"), ["d", "rid"], "left")
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.split(body, "\n")
-    stay = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
+    d, rid, of, gone = (unused(df, c) for c in ("d", "rid", "doc", "gone"))
+    # Two hashes of 32 bits tell rows without an id apart.
+    place = F.coalesce(F.col(key).cast("bigint"), F.lit(2**63 - 2**32) + F.shiftrightunsigned(F.xxhash64(body), 32))
+    dealt, removed = removed_lines(df.withColumns({d: place, rid: F.hash(body)}), d, rid, text, threshold, least, hot)
+    joined = dealt.join(removed.select(F.col("d").alias(of), F.col("gone").alias(gone)).hint("shuffle_hash"), F.col(d) == F.col(of), "left")
+    own = F.transform(F.filter(gone, lambda x: x["rid"] == F.col(rid)), lambda x: x["line"])
+    lines, numbers = F.split(body, "\n"), F.col(gone)
+    stay = F.filter(lines, lambda x, i: ~F.array_contains(numbers, i))
     added = {
         "n_lines": F.size(F.filter(lines, lambda x: x.rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"))).cast("long"),
-        "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
-        to: F.when(F.col("gone").isNull(), body).otherwise(F.array_join(stay, "\n")),
+        "n_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long"),
+        to: F.when(F.coalesce(F.size(gone), F.lit(0)) == 0, body).otherwise(F.array_join(stay, "\n")),
     }
-    return joined.select(*df.columns, *[c.alias(k) for k, c in added.items()])
+    joined = joined.withColumn(gone, F.when(F.col(gone).isNotNull(), own)).withColumns(added)
+    return joined.select(*[f"`{c}`" for c in df.columns if c not in added], *added)
