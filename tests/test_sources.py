@@ -127,3 +127,38 @@ def test_models(spark):
     assert {r.id: r.score for r in out} == {k: 1.0 if k % 2 else 2.0 for k in range(6)}
     got = df.select(models.fit_length(F.col("values"), F.lit(3)).alias("v")).collect()
     assert got[0].v == [0.5, 0.0, 0.0] and got[4].v == [0.005, 0.04, 0.04]
+
+
+def test_decoders(spark, tmp_path):
+    import io
+    import pickle
+    import tarfile
+
+    import numpy as np
+
+    from tracklake.sources import decoders as dec
+
+    frames = np.arange(24, dtype=np.uint8).reshape(4, 2, 3)
+    np.savez(tmp_path / "a.npz", frames=frames, shape=np.array(frames.shape))
+    np.savez(tmp_path / "e.npz", video_embeddings=np.ones((2, 3)), text_embedding=np.zeros(2))
+    (tmp_path / "broken.npz").write_bytes(b"no archive")
+    np.save(tmp_path / "m.npy", np.array([[1, 2], [3, 4]]))
+    with tarfile.open(tmp_path / "t.tar", "w") as t:
+        for name, body in (("7/videos/head.mp4", b"abc"), ("7/meta.json", b"{}")):
+            info = tarfile.TarInfo(name)
+            info.size = len(body)
+            t.addfile(info, io.BytesIO(body))
+    (tmp_path / "p.pkl").write_bytes(pickle.dumps([{"task": "wipe", "n": 3}, {"task": None}]))
+    (tmp_path / "bad.pkl").write_bytes(pickle.dumps(io.BytesIO))
+    npz = dec.files(spark, str(tmp_path), "*.npz")
+    got = {(r.path.rsplit("/", 1)[1], r.frame_idx): r for r in dec.npz_frames(npz).collect()}
+    assert [bytes(got["a.npz", k].payload) for k in range(4)] == [f.tobytes() for f in frames] and got["a.npz", 0].shape == [2, 3]
+    assert "KeyError" in got["e.npz", None].error and got["broken.npz", None].error and len(got) == 6
+    e = next(r for r in dec.npz_embeddings(npz).collect() if r.error is None)
+    assert e.video_embeddings == [[1.0] * 3] * 2 and e.text_embedding == [0.0, 0.0]
+    assert sorted((r.row, r.column, r.value) for r in dec.npy_matrix(dec.files(spark, str(tmp_path), "*.npy")).collect()) == [(0, 0, 1.0), (0, 1, 2.0), (1, 0, 3.0), (1, 1, 4.0)]
+    assert [(r.member, bytes(r.payload)) for r in dec.tar_members(dec.files(spark, str(tmp_path), "*.tar"), ".mp4").collect()] == [("7/videos/head.mp4", b"abc")]
+    p = {(r.path.rsplit("/", 1)[1], r.pos): r for r in dec.pickled_records(dec.files(spark, str(tmp_path), "*.pkl"), ("task", "n")).collect()}
+    assert p["p.pkl", 0].record == {"task": "wipe", "n": "3"} and p["p.pkl", 1].record == {"task": None, "n": None} and "not allowed" in p["bad.pkl", None].error
+    fits = dec.stated_shape(dec.npz_frames(npz), F.array(F.lit(4), F.lit(2), F.lit(3))).collect()
+    assert [(r.n_frames, r.fits) for r in fits] == [(4, True)]

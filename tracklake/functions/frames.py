@@ -262,3 +262,26 @@ def resize_geometry(width: Column, height: Column, shortest: int) -> Column:
     scale = shortest / F.least(width, height)
     even = lambda x: (F.rint(x * scale / 2) * 2).cast("int")
     return F.struct(even(width).alias("width"), even(height).alias("height"))
+
+
+def discrete_target(target: Column, bins: int) -> Column:
+    """The value of a bin's index."""
+    return target / (bins - 1)
+
+
+def shuffled(n: Column, *key: Column | str) -> Column:
+    """A permutation of 0 .. n-1 by a hash of the key that leaves the first frame where it is."""
+    rest = F.filter(all_indices(n), lambda i: i > 0)
+    drawn = F.array_sort(F.transform(rest, lambda i: F.struct(F.md5(F.concat_ws("|", *key, i.cast("string"))).alias("h"), i.alias("i"))))
+    return F.when(n >= 1, F.concat(F.array(F.lit(0)), F.transform(drawn, lambda x: x["i"]))).otherwise(_empty())
+
+
+def unshuffled(values: Column, permutation: Column) -> Column:
+    """Values that stand in the order of the permutation, in the order of the frames; frames without a value are left out."""
+    placed = F.transform(F.arrays_zip(permutation.alias("i"), values.alias("v")), lambda x: F.struct(x["i"].alias("i"), x["v"].alias("v")))
+    return F.transform(F.array_sort(F.filter(placed, lambda x: x["i"].isNotNull() & x["v"].isNotNull())), lambda x: x["v"])
+
+
+def every_other(values: Column, first: int) -> Column:
+    """The values at even places (first = 0) or at odd ones."""
+    return F.filter(values, lambda _, k: k % 2 == first)

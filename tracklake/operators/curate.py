@@ -114,3 +114,18 @@ def resolve_keys(names: Sequence[object], groups: DataFrame) -> DataFrame:
     got = asked.join(groups.select(F.col("name"), F.posexplode("members").alias("sub", "member")), "name", "left")
     got = got.select("pos", F.coalesce("sub", F.lit(0)).alias("sub"), F.coalesce("member", "name").alias("dataset"))
     return got.groupBy("dataset").agg(F.min(F.struct("pos", "sub")).alias("at")).orderBy("at").select("dataset")
+
+
+def with_cutoffs(df: DataFrame, cutoffs: DataFrame, default: float) -> DataFrame:
+    """Adds cutoff: the success percent of the row's source in (data_source, success_percent), else the default."""
+    joined = df.join(cutoffs.select("data_source", "success_percent"), "data_source", "left")
+    return joined.withColumn("cutoff", F.coalesce("success_percent", F.lit(default))).drop("success_percent")
+
+
+def numbered_tasks(df: DataFrame) -> DataFrame:
+    """(task, place): the different tasks in their order; those of equal first two characters are numbered together."""
+    tasks = df.select("task").where("task is not null").distinct().withColumn("__b", F.left("task", F.lit(2)))
+    counts = tasks.groupBy("__b").agg(F.count(F.lit(1)).alias("__k"))
+    before = F.coalesce(F.sum("__k").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over the counts
+    own = F.row_number().over(Window.partitionBy("__b").orderBy("task"))
+    return tasks.join(counts.select("__b", before.alias("__s")), "__b").select("task", (F.col("__s") + own).cast("bigint").alias("place"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracklake.functions import frames as fr
 from tracklake.functions import text as tx
 from tracklake.functions.draws import draw
-from tracklake.operators import curate, metrics, pairs, sampling
+from tracklake.operators import curate, metrics, pairs, samples, sampling
 from tracklake.plans.canonical import FRAMES, TRAJ, frames, table, trajectories
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -344,17 +344,42 @@ def paired_tasks(spark, d):
     return p.select("task", F.size("robot").cast("bigint").alias("robots"), F.size("human").cast("bigint").alias("humans"), F.get("robot", F.lit(0)).alias("robot"))
 
 
-@query(f"""WITH {TRAJ}, r AS (SELECT * FROM traj WHERE rank < 3), s AS (SELECT * FROM traj WHERE rank = 3)
- SELECT r.id AS ref_id, arg_min(s.id, md5(concat_ws('|', '7', 'same', CAST(r.id AS VARCHAR), CAST(s.id AS VARCHAR)))) AS pick_id FROM r LEFT JOIN s ON r.task = s.task AND r.id <> s.id GROUP BY 1""")
+def _hex(*parts: str) -> str:
+    """32 bits of the md5 of a seed, a purpose and keys, in SQL."""
+    return f"CAST('0x' || left(md5(concat_ws('|', {', '.join(parts)})), 8) AS BIGINT)"
+
+
+def _u(*parts: str) -> str:
+    return f"({_hex(*parts)} / CAST(4294967296 AS DOUBLE))"
+
+
+def spot(seed: int, purpose: str, id_: str = "id") -> str:
+    return _hex(f"'{seed}'", f"'{purpose}-spot'", f"CAST({id_} AS VARCHAR)")
+
+
+def numbered(pool: str, keys: str, seed: int, purpose: str) -> str:
+    return f"""(SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY left(md5(concat_ws('|', '{seed}', '{purpose}', CAST(id AS VARCHAR))), 3), id) - 1 AS place, count(*) OVER (PARTITION BY {keys}) AS n_rows FROM {pool})"""
+
+
+def picked(name: str, refs: str, pool: str, keys: list[str], seed: int, purpose: str) -> str:
+    """CTEs up to ``name`` (ref_id, pick_id): a row of the pool with the ref's keys that is not the ref."""
+    by = ", ".join(keys)
+    on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys)
+    return f"""{name}_p AS {numbered(pool, by, seed, purpose)}, {name}_z AS (SELECT {by}, max(n_rows) AS n FROM {name}_p GROUP BY {by}),
+ {name}_a AS (SELECT r.*, o.place AS own, z.n - CASE WHEN o.id IS NULL THEN 0 ELSE 1 END AS m, {spot(seed, purpose, "r.id")} AS spot FROM {refs} r LEFT JOIN {name}_p o ON o.id = r.id AND {on("o", "r")} LEFT JOIN {name}_z z ON {on("z", "r")}),
+ {name} AS (SELECT a.id AS ref_id, p.id AS pick_id FROM {name}_a a LEFT JOIN {name}_p p ON {on("p", "a")} AND m > 0 AND p.place = spot % greatest(m, 1) + CASE WHEN spot % greatest(m, 1) >= own THEN 1 ELSE 0 END)"""
+
+
+@query(f"WITH {TRAJ}, {picked('x', '(SELECT * FROM traj WHERE rank < 3)', '(SELECT * FROM traj WHERE rank = 3)', ['task'], 7, 'same')} SELECT ref_id, pick_id FROM x")
 def same_task_optimal(spark, d):
     t = trajectories(spark, d)
-    return pairs.pick_same_task(t.where("quality_label <> 'successful'"), t.where("quality_label = 'successful'"), 7, "same")
+    return samples.pick(t.where("quality_label <> 'successful'"), t.where("quality_label = 'successful'"), ["task"], 7, "same")
 
 
-@query(f"""WITH {TRAJ} SELECT r.id AS ref_id, arg_min(s.id, md5(concat_ws('|', '7', 'opposite', CAST(r.id AS VARCHAR), CAST(s.id AS VARCHAR)))) AS pick_id FROM traj r LEFT JOIN traj s ON r.task = s.task AND r.id <> s.id AND r.is_robot <> s.is_robot GROUP BY 1""")
+@query(f"WITH {TRAJ}, {picked('x', '(SELECT * REPLACE (NOT is_robot AS is_robot) FROM traj)', 'traj', ['task', 'is_robot'], 7, 'opposite')} SELECT ref_id, pick_id FROM x")
 def paired_opposite(spark, d):
     t = trajectories(spark, d)
-    return pairs.pick_same_task(t, t, 7, "opposite", F.col("ref_is_robot") != F.col("pick_is_robot"))
+    return samples.pick(t.withColumn("is_robot", ~F.col("is_robot")), t, ["task", "is_robot"], 7, "opposite")
 
 
 @query(f"""WITH {TRAJ}, l AS (SELECT DISTINCT task FROM traj ORDER BY md5(concat_ws('|', '3', 'lang', task)), task LIMIT 5) SELECT l.task AS lang_task, count(*) AS n, min(id) AS first FROM traj CROSS JOIN l WHERE rank = 3 GROUP BY 1""")
@@ -364,21 +389,12 @@ def lang_video_cross(spark, d):
     return pairs.task_cross(t.where("quality_label = 'successful'"), tasks).groupBy("lang_task").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
 
 
-def _hex(*parts: str) -> str:
-    """32 bits of the md5 of a seed, a purpose and keys, in SQL."""
-    return f"CAST('0x' || left(md5(concat_ws('|', {', '.join(parts)})), 8) AS BIGINT)"
-
-
-def _u(*parts: str) -> str:
-    return f"({_hex(*parts)} / CAST(4294967296 AS DOUBLE))"
-
-
-def _other(seed: str, purpose: str, refs: str) -> str:
+def _other(seed: str, purpose: str, refs: str, pool: str = "traj") -> str:
     """CTEs of the ring of tasks and of ``other`` (ref_id, task, pick_id) for refs (id, task)."""
-    return f"""ring AS (SELECT task, row_number() OVER (ORDER BY md5(concat_ws('|', '{seed}', '{purpose}', task)), task) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT task FROM traj)),
+    return f"""ring AS (SELECT task, row_number() OVER (ORDER BY md5(concat_ws('|', '{seed}', '{purpose}', task)), task) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT task FROM {pool})),
  asked AS (SELECT id AS ref_id, task AS own, {_hex(f"'{seed}'", f"'{purpose}-spot'", "CAST(id AS VARCHAR)")} % (SELECT max(n) FROM ring) AS spot FROM {refs}),
  spot AS (SELECT ref_id, own, CASE WHEN ring.task = own THEN (spot + 1) % n ELSE spot END AS place FROM asked JOIN ring ON spot = place),
- best AS (SELECT task, arg_min(id, md5(concat_ws('|', '{seed}', '{purpose}-row', CAST(id AS VARCHAR)))) AS pick_id FROM traj GROUP BY 1),
+ best AS (SELECT task, arg_min(id, md5(concat_ws('|', '{seed}', '{purpose}-row', CAST(id AS VARCHAR)))) AS pick_id FROM {pool} GROUP BY 1),
  other AS (SELECT ref_id, ring.task, pick_id FROM spot JOIN ring USING (place) JOIN best ON best.task = ring.task)"""
 
 
@@ -612,3 +628,6 @@ def tasks_by_source(spark, d):
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
     x = c.join(n, c.c_nationkey == n.n_nationkey).groupBy(F.col("c_mktsegment").alias("data_source"))
     return x.agg(F.get(F.array_sort(F.collect_set("n_regionkey")), F.lit(0)).alias("first"), F.size(F.collect_set("c_nationkey")).cast("bigint").alias("tasks"))
+
+
+from tracklake.plans import metric_queries, sample_queries  # noqa: E402, F401  (they add their queries)
