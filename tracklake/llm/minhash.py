@@ -17,7 +17,9 @@ classes in a bucket, all its pairs between classes are compared, block against b
 Documents without words are equal if their texts are.
 
 The class of a document is the least id of its connected component.  A null text is
-empty; a null id is a class of its own; rows that repeat an id share its class.
+empty; a null id has a null class; rows that repeat an id share its class, and one id with
+several texts is linked through each of them.  A text of any length is read whole, in
+slices; an empty table gives an empty one.  Only the id and the class are returned.
 """
 
 from __future__ import annotations
@@ -232,15 +234,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     sketch = checkpoint(signatures(df, key, text, bands, rows))
     groups = sketch.where("id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.min_by("band_keys", "id").alias("band_keys"))
     reps = groups.select(F.col("rep").alias("id"), "band_keys")
-    # One id with several texts: each of its texts links to the others through the id.
     met = checkpoint(buckets(reps))
     pairs = checkpoint(candidate_pairs(met))
     wanted = pairs.select(F.col("a").alias("w")).union(pairs.select(F.col("b").alias("w"))).distinct()
     texts = df.select(F.col(key).alias("w"), F.col(text).alias("t")).join(wanted, "w", "left_semi")
-    texts = checkpoint(texts.groupBy("w").agg(F.min("t").alias("t")))
+    # One id with several texts has a row for each: it is linked through any of them.
+    texts = checkpoint(texts.groupBy("w", F.sha2(F.coalesce("t", F.lit("")), 256)).agg(F.min("t").alias("t")).select("w", "t"))
     joined = pairs.join(texts.select(F.col("w").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("w").alias("b"), F.col("t").alias("tb")), "b")
     links = shingle_similarity(joined.select("a", "b", "ta", "tb"), "ta", "tb").where(F.col("similarity") >= threshold).select("a", "b")
-    classes = components(links)
+    members = sketch.select("id", "digest").join(groups.select("digest", "rep"), "digest", "left")
+    several = members.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("id", "lo")
+    own = members.join(several, "id").where("lo < rep").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
+    classes = components(links.union(own))
     large = met.where(F.col("n") > SMALL)
     if not large.isEmpty():
         # What leaders have not joined: few links, as those between members of one class are not asked for.
@@ -248,8 +253,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
         more = checkpoint(bucket_links(large, classes, texts, threshold))
         if not more.isEmpty():
             classes = components(more.union(classes.select("node", "component")))
-    members = sketch.select("id", "digest").join(groups.select("digest", "rep"), "digest", "left")
-    # Copies of a text link to its representative; so do the texts of one id.
+    # Copies of a text link to its representative.
     named = members.join(classes.withColumnRenamed("node", "rep"), "rep", "left")
     return named.select(F.col("id").alias(key), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep")).alias("class_id"))
 
