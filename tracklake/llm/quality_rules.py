@@ -2,7 +2,9 @@
 
 Words are runs of characters other than space, tab, line feed, vertical tab, form feed
 and carriage return.  A null text counts as empty; an empty text has no words and fails
-the base rules.  Repeated rows are judged one by one; extra columns are passed on.
+the base rules.  Repeated rows are judged one by one; a text of any length is read whole;
+an empty table gives an empty one.  Extra columns are passed on; those of the names of the
+measures and verdicts are replaced.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ of the highest score.  One more shard takes records only into itself, and a shar
 twice the weight takes twice the records.  Only built-in functions are used.
 
 Null keys go to one shard as if the key were the empty string.  Repeated rows go to the
-same shard and get slots of their own.  A null text has size 1.
+same shard and get slots of their own.  A null text has size 1; texts of any length count
+whole.  An empty table gives an empty one.  Extra columns are passed on; those of the names
+of the added ones are replaced.
 """
 
 from __future__ import annotations
