@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 #: The split before the merges; a fixed value of the vocabulary's format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept with their ids from batch to batch in a Python worker; beyond it the store starts anew.
-STORE_WORDS = 500_000
+STORE_WORDS = 200_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -230,13 +230,14 @@ def encode(df: DataFrame, path: str, text: str = "text", to: str = "ids", decode
     decoded: also adds the text of the ids under this name, in the same Python worker.
     keep: the columns to pass on, if not all.
     """
-    keep = df.columns if keep is None else keep
+    keep = [c for c in (df.columns if keep is None else keep) if c not in (to, decoded)]
     added = [T.StructField(to, T.BinaryType()), *([T.StructField(decoded, T.StringType())] if decoded else [])]
     schema = T.StructType([*[df.schema[c] for c in keep], *added])
     source = df.select(*keep, df[text].alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
+        bpe.store.clear()  # the words of another task
         for batch in batches:
             at = 0
             for texts in _batches(batch.column(len(keep))):
@@ -246,12 +247,14 @@ def encode(df: DataFrame, path: str, text: str = "text", to: str = "ids", decode
                     new.append(pa.array([bpe.decode(i) for i in ids], pa.binary()).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, len(texts)).columns[: len(keep)], *new], schema.names)
                 at += len(texts)
+        bpe.store.clear()
 
     return source.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """Adds the text of the ids, special tokens included; null ids give an empty text."""
+    df = df.drop(to)
     schema = T.StructType([*df.schema.fields, T.StructField(to, T.StringType())])
     names = df.columns
 

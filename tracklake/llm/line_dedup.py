@@ -49,8 +49,8 @@ HOT = 1 << 12
 #: Rows of keys, and bytes of words, that a task compares at once.
 JOIN_ROWS, JOIN_BYTES = 1 << 19, 1 << 25
 _SLICE = 1 << 19
-#: Lines of a batch that are held at once to find equal ones.
-_HELD = 1 << 18
+#: Lines that are held at once to find equal ones.
+_HELD = 1 << 17
 #: Rows of a key that are compared step by step before each open one is compared with all.
 _STEPS = 64
 #: The lowest bits of a word of a prefix: it is hot, it was met once.
@@ -152,10 +152,10 @@ def line_sets(rows: DataFrame, rarity: np.ndarray, threshold: float = THRESHOLD,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
+        parts: list[tuple] = []
         for batch in batches:
             d, rid = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             buf, offsets = binary_column(batch.column(2))
-            parts: list[tuple] = []
             for a, b in slices(offsets, _SLICE):
                 h, row, line = _line_words(buf, offsets[a : b + 1])
                 if not len(h):
@@ -174,8 +174,8 @@ def line_sets(rows: DataFrame, rarity: np.ndarray, threshold: float = THRESHOLD,
                 if sum(len(p[0]) for p in parts) >= _HELD:
                     yield told(parts)
                     parts = []
-            if parts:
-                yield told(parts)
+        if parts:
+            yield told(parts)
 
     return rows.mapInArrow(run, "h1 bigint, h2 bigint, d bigint, line int, rid int, n int, sig bigint, sig2 bigint, keys array<int>, again boolean")
 
@@ -426,7 +426,7 @@ def removed_lines(rows: DataFrame, d: str, rid: str, body: str, threshold: float
     text = F.lower(F.coalesce(F.col(body), F.lit(""))).cast("binary")
     plain = rows.select(F.col(d).alias("d"), F.col(rid).alias("rid"), text.alias("t"))
     rarity = ranks(word_counts(plain.select("t")))
-    # Equal sets: of each batch one line goes into the group, so a line in a third of all documents is met once a batch.
+    # Equal sets: of the lines that a task holds one goes into the group, so a line in a third of all documents is met a few times a task.
     group, place = Window.partitionBy("h1", "h2").orderBy("d", "line", "rid"), F.struct("d", "line", "rid")
     sets = line_sets(plain, rarity, threshold, least, hot).withColumns({"own": F.row_number().over(group), "first": F.first(place).over(group)})
     sets = sets.where((F.col("own") == 1) | (place != F.col("first"))).withColumn("gone", F.col("again") | (F.col("own") > 1))
