@@ -1,7 +1,9 @@
 """A training-data pipeline over ``documents``: five stages, each written as Parquet and read again.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``, and extra ones.  Null and empty
+texts, texts of any length, ties, repeated rows, null ids and empty tables are treated as
+the operators say; none of them makes a stage drop a row but as stated there.
 """
 
 from __future__ import annotations
@@ -21,8 +23,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOXIC = 0.7
 
 
+def _batches(spark: SparkSession) -> None:
+    """Long texts go to Python in smaller Arrow batches than Spark's 10,000 rows: about 3 MB each instead of 30."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a score below ``TOXIC``; the grammar is learnt from the training part of ``labels``."""
+    _batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     grammar = tox.fit(docs, labels.where(~tox.held_out()))
     return tox.toxicity(docs, grammar).where(F.col("score") < TOXIC).select(*docs.columns)
@@ -30,6 +38,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, without the lines that are like an earlier line; a text of such lines alone becomes empty."""
+    _batches(spark)
     out = line_dedup.dedup_lines(docs)
     changed = F.col("n_removed") > 0
     return out.select(
@@ -41,17 +50,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of the least id of each group of near-duplicates."""
+    """The rows of the least id of each group of near-duplicates, and those without an id."""
+    _batches(spark)
     return minhash.drop_near_duplicates(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that leak no item of ``benchmark``."""
+    """Rows that leak no item of ``benchmark``; repeated rows leak alike."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each text, with whether they decode to it."""
+    """The token ids of each text (null: of the empty text), with whether they decode to it."""
+    _batches(spark)
     kept = docs.withColumn("__own", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     ids = bpe.encode(kept, tokenizer_path(), decoded="decoded", keep=["doc_id", "lang", "source", "n_chars", "__own"])
     whole = F.sha2("decoded", 256) == F.col("__own")
