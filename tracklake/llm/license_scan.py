@@ -11,16 +11,21 @@ taken out, so that a full licence text is not also reported as its parts; nor do
 report the parts of what only another one has in full.
 
 Null and empty texts have no sentences and an empty result; every row is judged by
-itself, so ties and repeated rows need no rule; extra columns are passed on.
+itself, so ties and repeated rows need no rule; a text of any length is read whole; an
+empty table gives an empty one.  Extra columns are passed on; those of the names of the
+added ones are replaced.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracklake.llm.components import unused
+
 
 @dataclass(frozen=True)
 class LicenseRule:
@@ -59,20 +64,126 @@ SENTENCES: dict[str, str] = {
     "cc0": "licensed under cc0 1 0",
     "mpl2-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "rights-reserved": "all rights reserved",
+    "mit-liable": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "bsd-asis": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "bsd-liable": "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "bsd-advertising": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-asis": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "isc-liable": "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "unlicense-free": "this is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "unlicense-dedicate": "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain",
+    "zlib-asis": "this software is provided as is without any express or implied warranty",
+    "zlib-liable": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "postgresql-grant": "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies",
+    "mpl2-copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "mpl2-copy-http": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "mpl11-contents": "the contents of this file are subject to the mozilla public license version 1 1 the license you may not use this file except in compliance with the license",
+    "cddl-contents": "the contents of this file are subject to the terms of the common development and distribution license the license",
+    "epl2-available": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "epl1-available": "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html",
+    "gpl-copy": "you should have received a copy of the gnu general public license along with this program",
+    "lgpl-copy": "you should have received a copy of the gnu lesser general public license along with this library",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl-details": "see the gnu lesser general public license for more details",
+    "agpl-details": "see the gnu affero general public license for more details",
 }
 
+# Licences by their public identifiers, with their names as they stand in notices.
+NAMES: dict[str, tuple[str, ...]] = {
+    "MIT": ("mit license", "mit licence", "expat license"),
+    "Apache-2.0": ("apache license version 2 0", "apache license 2 0", "apache 2 0 license", "apache software license version 2 0"),
+    "BSD-2-Clause": ("bsd 2 clause license", "simplified bsd license", "2 clause bsd license"),
+    "BSD-3-Clause": ("bsd 3 clause license", "new bsd license", "modified bsd license", "3 clause bsd license"),
+    "GPL-2.0-only": ("gnu general public license version 2", "gnu general public license v2", "gnu general public license v2 0", "gnu gpl v2", "gplv2", "gpl 2 0"),
+    "GPL-3.0-only": ("gnu general public license version 3", "gnu general public license v3", "gnu general public license v3 0", "gnu gpl v3", "gplv3", "gpl 3 0"),
+    "LGPL-2.1-only": ("gnu lesser general public license version 2 1", "gnu lesser general public license v2 1", "gnu lgpl v2 1", "lgpl 2 1", "lgplv2 1"),
+    "LGPL-3.0-only": ("gnu lesser general public license version 3", "gnu lesser general public license v3", "gnu lgpl v3", "lgpl 3 0", "lgplv3"),
+    "AGPL-3.0-only": ("gnu affero general public license version 3", "gnu affero general public license v3", "gnu agpl v3", "agpl 3 0", "agplv3"),
+    "MPL-1.1": ("mozilla public license version 1 1", "mpl 1 1"),
+    "MPL-2.0": ("mozilla public license version 2 0", "mozilla public license v 2 0", "mozilla public license 2 0", "mpl 2 0"),
+    "EPL-1.0": ("eclipse public license v1 0", "eclipse public license version 1 0", "eclipse public license 1 0"),
+    "EPL-2.0": ("eclipse public license v2 0", "eclipse public license version 2 0", "eclipse public license 2 0"),
+    "CDDL-1.0": ("common development and distribution license", "cddl 1 0"),
+    "ISC": ("isc license", "isc licence"),
+    "Zlib": ("zlib license",),
+    "BSL-1.0": ("boost software license version 1 0", "boost software license 1 0"),
+    "Unlicense": ("unlicense", "unlicence"),
+    "PostgreSQL": ("postgresql license",),
+    "Artistic-2.0": ("artistic license 2 0", "artistic license version 2 0"),
+    "PSF-2.0": ("python software foundation license version 2", "psf license"),
+    "OFL-1.1": ("sil open font license version 1 1", "sil open font license 1 1"),
+    "0BSD": ("bsd zero clause license", "zero clause bsd license"),
+    "CC0-1.0": ("creative commons zero v1 0 universal license", "cc0 1 0 universal license", "cc0 license", "cc0 1 0"),
+    **{
+        f"CC-{short.upper().replace(' ', '-')}-{v}": (
+            f"creative commons {long} {v.replace('.', ' ')} international license", f"creative commons {long} {v.replace('.', ' ')} license", f"creative commons {long} {v.replace('.', ' ')} unported license", f"cc {short} {v.replace('.', ' ')} license", f"cc {short} {v.replace('.', ' ')}",
+        )
+        for short, long in (("by", "attribution"), ("by sa", "attribution sharealike"), ("by nc", "attribution noncommercial"), ("by nd", "attribution noderivatives"), ("by nc sa", "attribution noncommercial sharealike"), ("by nc nd", "attribution noncommercial noderivatives"))
+        for v in ("3.0", "4.0")
+    },
+}
+#: A notice of one sentence: what it is, how it is given, and the name of a licence.
+NOTICE = r"^(?:this (?:work|project|software|file|code|program|library|package) is )?(?:licensed|released|distributed|made available|available|published) under (?:the terms of )?(?:the |a )?(.+)$|^spdx license identifier (.+)$"
+
+
+def _plain(text: str) -> str:
+    return " ".join("".join(c if c.isalnum() else " " for c in text.lower()).split())
+
+
+def _free(subject: str, gnu: str, version: str) -> str:
+    return f"this {subject} is free software you can redistribute it and or modify it under the terms of the gnu {gnu} as published by the free software foundation either version {version} of the license or at your option any later version"
+
+
+#: Grants of the GNU licences: identifier, name and version.
+GNU = tuple((f"{short}-{v}-or-later", name, v.removesuffix(".0").replace(".", " ")) for short, name, versions in (("GPL", "general public license", ("2.0", "3.0")), ("LGPL", "lesser general public license", ("2.1", "3.0")), ("AGPL", "affero general public license", ("3.0",))) for v in versions)
+
+
+def known_names() -> dict[str, str]:
+    """Name of a licence, as it stands in notices, to the identifier of a notice of it."""
+    return {n: f"notice-{k}" for k, names in NAMES.items() for n in (*names, _plain(k))}
+
+
+def known_sentences() -> dict[str, str]:
+    """Normalised sentence to identifier: grants by their subjects, and the fixed sentences."""
+    free = {_free(subject, name, v): f"free-{k}" for k, name, v in GNU for subject in ("program", "library", "software", "file", "project", "package")}
+    return free | {v: k for k, v in SENTENCES.items()}
+
+
+KNOWN, KNOWN_NAMES = known_sentences(), known_names()
+
 #: Tried in this order; a rule's sentences must follow each other.
 RULES: tuple[LicenseRule, ...] = (
     LicenseRule("apache-2.0-header", "Apache-2.0", ("apache2-notice-long", "apache2-compliance")),
     LicenseRule("apache-2.0-long-notice", "Apache-2.0", ("apache2-notice-long",)),
     LicenseRule("mit-text", "MIT", ("mit-grant", "mit-condition", "mit-asis")),
     LicenseRule("mit-grant", "MIT", ("mit-grant",)),
+    LicenseRule("isc-text", "ISC", ("isc-grant", "isc-asis")),
+    LicenseRule("isc-grant", "ISC", ("isc-grant",)),
     LicenseRule("gpl-3.0-header", "GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-details")),
     LicenseRule("gpl-3.0-free", "GPL-3.0-or-later", ("gpl-free",)),
     LicenseRule("gpl-2.0-header", "GPL-2.0-or-later", ("gpl2-free", "gpl-hope", "gpl-details")),
     LicenseRule("gpl-2.0-free", "GPL-2.0-or-later", ("gpl2-free",)),
+    *(LicenseRule(f"{k.lower()}-header", k, (f"free-{k}", hope, details)) for k, _, _ in GNU for hope, details in (("lgpl-hope", "lgpl-details"),) if k[0] == "L"),
+    *(LicenseRule(f"{k.lower()}-header", k, (f"free-{k}", "gpl-hope", "agpl-details")) for k, _, _ in GNU if k[0] == "A"),
+    *(LicenseRule(f"{k.lower()}-free", k, (f"free-{k}",)) for k, _, _ in GNU),
+    LicenseRule("bsd-4-text", "BSD-4-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-advertising")),
     LicenseRule("bsd-3-text", "BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
     LicenseRule("bsd-2-text", "BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
+    LicenseRule("unlicense-text", "Unlicense", ("unlicense-free", "unlicense-anyone")),
+    LicenseRule("unlicense-free", "Unlicense", ("unlicense-free",)),
+    LicenseRule("zlib-text", "Zlib", ("zlib-asis", "zlib-liable", "zlib-grant")),
+    LicenseRule("boost-grant", "BSL-1.0", ("boost-grant",)),
+    LicenseRule("postgresql-grant", "PostgreSQL", ("postgresql-grant",)),
+    LicenseRule("mpl-2.0-header", "MPL-2.0", ("mpl2-notice", "mpl2-copy")),
+    LicenseRule("mpl-2.0-header-http", "MPL-2.0", ("mpl2-notice", "mpl2-copy-http")),
+    LicenseRule("mpl-1.1-header", "MPL-1.1", ("mpl11-contents",)),
+    LicenseRule("cddl-1.0-header", "CDDL-1.0", ("cddl-contents",)),
+    LicenseRule("epl-2.0-header", "EPL-2.0", ("epl2-available",)),
+    LicenseRule("epl-1.0-header", "EPL-1.0", ("epl1-available",)),
     LicenseRule("apache-2.0-notice", "Apache-2.0", ("apache2-notice",)),
     LicenseRule("mit-notice", "MIT", ("mit-notice",)),
     LicenseRule("mit-licensed", "MIT", ("mit-licensed",)),
@@ -85,18 +196,34 @@ RULES: tuple[LicenseRule, ...] = (
     LicenseRule("cc0-1.0", "CC0-1.0", ("cc0",)),
     LicenseRule("mpl-2.0", "MPL-2.0", ("mpl2-notice",)),
     LicenseRule("all-rights-reserved", "proprietary", ("rights-reserved",)),
+    *(LicenseRule(f"{k.lower()}-named", k, (f"notice-{k}",)) for k in NAMES),
 )
 
-CUT = r"\n+|(?<=[.!?])\s+"
-PARAGRAPH_CUT = r"\n[^\p{L}\p{N}\n]*(?:\d{1,2}|[A-Za-z])[.)][ \t]+|\n[^\p{L}\p{N}\n]*(?=\n)|(?<=[.!?])\s+"
+#: Short forms whose point does not end a sentence.
+SHORT = ("v", "ver", "no", "inc", "ltd", "corp", "co", "e.g", "i.e")
+_END = "(?<=[.!?])" + "".join(rf"(?<!(?<![\p{{L}}\p{{N}}])(?i:{x.replace('.', chr(92) + '.')})\.)" for x in SHORT) + r"\s+"
+CUT = r"\n+|" + _END
+PARAGRAPH_CUT = r"\n[^\p{L}\p{N}\n]*(?:\d{1,2}|[A-Za-z])[.)][ \t]+|\n[^\p{L}\p{N}\n]*(?=\n)|" + _END
 CLAUSE_CUT = PARAGRAPH_CUT + "|;"
 
 
-def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES, cut: str = CUT) -> Column:
+def telling_words(sentences: dict[str, str]) -> list[str]:
+    """Words of which every known sentence has one, chosen by how many have them; those of notices besides."""
+    left, out = [set(s.split()) for s in sentences], ["under", "spdx"]
+    while left := [words for words in left if not words.intersection(out)]:
+        counts = Counter(w for words in left for w in words if len(w) > 4 or max(map(len, words)) <= 4)
+        out.append(min(counts, key=lambda w: (-counts[w], w)))
+    return out
+
+
+def sentence_ids(text: Column, sentences: dict[str, str] = KNOWN, names: dict[str, str] = KNOWN_NAMES, cut: str = CUT) -> Column:
     """The identifiers of the sentences of a text in their order; '' for a sentence that is not known."""
-    table = F.create_map(*[F.lit(x) for k, v in sentences.items() for x in (v, k)])
+    table, named = (F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) for d in (sentences, names))
     plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^\\p{L}\\p{N}]+", " "))
-    known = lambda p: F.coalesce(F.try_element_at(table, p), F.lit(""))
+    name = lambda p: F.concat(F.regexp_extract(p, NOTICE, 1), F.regexp_extract(p, NOTICE, 2))
+    # The tests by words and by a hash set come first: the maps are searched for few sentences.
+    notice = lambda p: F.coalesce(F.when(p.contains(" under ") | p.startswith("spdx "), F.try_element_at(named, name(p))), F.lit(""))
+    known = lambda p: F.when(p.isin(*sentences), F.try_element_at(table, p)).otherwise(notice(p))
     parts = F.filter(F.split(F.coalesce(text, F.lit("")), cut), lambda s: F.length(F.trim(s)) > 0)
     if cut == CUT:
         return F.transform(parts, lambda s: known(plain(s)))
@@ -105,42 +232,51 @@ def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES, cut: str =
 
 
 def _matched(ids: Column, rules: tuple[LicenseRule, ...]) -> Column:
-    """The rules that match a sequence of identifiers."""
+    """The rules that match a sequence of identifiers, tried in their order; what one has matched is taken out."""
     # Each identifier between bars; unknown sentences stay as empty fields and so part sequences.
-    rest, hits = F.concat(F.lit("|"), F.array_join(ids, "||"), F.lit("|")), []
-    for r in rules:
-        pattern = "".join(f"|{s}|" for s in r.sentences)
-        hits.append(F.when(rest.contains(pattern), F.lit(r.rule)))
-        rest = F.replace(rest, F.lit(pattern), F.lit("||"))
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+    start = F.struct(F.concat(F.lit("|"), F.array_join(ids, "||"), F.lit("|")).alias("rest"), F.array().cast("array<string>").alias("hits"))
+    table = F.array(*[F.struct(F.lit(r.rule).alias("rule"), F.lit("".join(f"|{s}|" for s in r.sentences)).alias("pattern")) for r in rules])
+
+    def step(state: Column, r: Column) -> Column:
+        taken = F.struct(F.replace(state["rest"], r["pattern"], F.lit("||")).alias("rest"), F.array_append(state["hits"], r["rule"]).alias("hits"))
+        return F.when(state["rest"].contains(r["pattern"]), taken).otherwise(state)
 
+    return F.aggregate(table, start, step, lambda state: state["hits"])
 
-def license_scan(df: DataFrame, text: str = "text", sentences: dict[str, str] = SENTENCES, rules: tuple[LicenseRule, ...] = RULES) -> DataFrame:
+
+def license_scan(df: DataFrame, text: str = "text", sentences: dict[str, str] = KNOWN, names: dict[str, str] = KNOWN_NAMES, rules: tuple[LicenseRule, ...] = RULES) -> DataFrame:
     """Adds n_known_sentences, rules (matched, in rule order) and licenses (distinct, sorted)."""
-    cuts = {f"__ids{k}": cut for k, cut in enumerate((CUT, PARAGRAPH_CUT, CLAUSE_CUT))}
-    found = {c: f"{c}_rules" for c in cuts}
+    cuts = {unused(df, f"ids{k}"): cut for k, cut in enumerate((CUT, PARAGRAPH_CUT, CLAUSE_CUT))}
+    columns = [unused(df, f"rules{k}") for k in range(len(cuts))]
+    # A text without any of these words has no known sentence: it is not cut.
+    body = F.when(F.lower(text).rlike("|".join(telling_words(sentences))), F.col(text))
+    added = df
     for c, cut in cuts.items():
-        df = df.withColumn(c, sentence_ids(F.col(text), sentences, cut))
+        added = added.withColumn(c, sentence_ids(body, sentences, names, cut))
+    for c, to in zip(cuts, columns, strict=True):
+        some = F.exists(c, lambda x: x != "")
+        added = added.withColumn(to, F.coalesce(F.when(some, _matched(F.col(c), rules)), F.array().cast("array<string>")))
     # Each sentence as often as the cut that has it most often.
     known = F.filter(F.array_distinct(F.concat(*cuts)), lambda x: x != "")
     often = lambda x: F.greatest(*[F.size(F.filter(c, lambda y: y == x)) for c in cuts])
-    df = df.withColumn("n_known_sentences", F.aggregate(known, F.lit(0), lambda n, x: n + often(x)).cast("long"))
-    for c, to in found.items():
-        some = F.exists(c, lambda x: x != "")
-        df = df.withColumn(to, F.coalesce(F.when(some, _matched(F.col(c), rules)), F.array().cast("array<string>")))
-    parts = lambda r: [o.rule for o in rules if len(o.sentences) > len(r.sentences) and set(r.sentences) <= set(o.sentences)]
-    hits = []
-    for r in rules:
-        # What one cut has is no part of a longer match that only another cut has.
-        alone = lambda to: [F.array_contains(to, o) | ~F.array_contains(F.concat(*found.values()), o) for o in parts(r)]  # noqa: B023, E731
+    # What one cut has is no part of a longer match that only another cut has.
+    # Nor is the line of a wrapped text that names its licence.
+    part = lambda r, o: set(r.sentences) < set(o.sentences) or (r.sentences[0].startswith("notice-") and o.license == r.license and o.rule != r.rule)
+    longer = lambda r: [o.rule for o in rules if part(r, o)]
+    table = F.array(*[F.struct(F.lit(r.rule).alias("rule"), F.lit(r.license).alias("license"), F.array(*map(F.lit, longer(r))).cast("array<string>").alias("longer")) for r in rules])
+    found = [F.col(c) for c in columns]
+    every = F.concat(*found)
+
+    def kept(r: Column) -> Column:
         hit = F.lit(False)
-        for to in found.values():
-            one = F.array_contains(to, r.rule)
-            for condition in alone(to):
-                one &= condition
-            hit |= one
-        hits.append(F.when(hit, F.lit(r.rule)))
-    by_rule = F.create_map(*[F.lit(x) for r in rules for x in (r.rule, r.license)])
-    any_ = F.when(F.size(F.concat(*found.values())) > 0, F.filter(F.array(*hits), lambda x: x.isNotNull()))
-    df = df.withColumn("rules", F.coalesce(any_, F.array().cast("array<string>")))
-    return df.withColumn("licenses", F.array_sort(F.array_distinct(F.transform("rules", lambda r: by_rule[r])))).drop(*cuts, *found.values())
+        for f in found:
+            hit |= F.array_contains(f, r["rule"]) & F.forall(r["longer"], lambda o: F.array_contains(f, o) | ~F.array_contains(every, o))  # noqa: B023
+        return hit
+
+    hits = F.when(F.size(every) > 0, F.filter(table, kept))
+    out = {
+        "n_known_sentences": F.aggregate(known, F.lit(0), lambda n, x: n + often(x)).cast("long"),
+        "rules": F.coalesce(F.transform(hits, lambda r: r["rule"]), F.array().cast("array<string>")),
+        "licenses": F.coalesce(F.array_sort(F.array_distinct(F.transform(hits, lambda r: r["license"]))), F.array().cast("array<string>")),
+    }
+    return added.select(*[f"`{c}`" for c in df.columns if c not in out], *[c.alias(k) for k, c in out.items()])

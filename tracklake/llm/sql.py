@@ -31,18 +31,24 @@ def quality_rules() -> str:
 
 
 def license_scan() -> str:
-    known = ", ".join(f"('{v}', '{k}')" for k, v in ls.SENTENCES.items())
-    rest, rules, licenses = "s", [], []
-    for r in ls.RULES:
+    known = ", ".join(f"('{v}', '{k}')" for v, k in ls.KNOWN.items())
+    names = ", ".join(f"('{v}', '{k}')" for v, k in ls.KNOWN_NAMES.items())
+    # Points of short forms are set aside before the text is cut.
+    short = "|".join(x.replace(".", "[.]") for x in ls.SHORT)
+    text = f"regexp_replace(coalesce(text, ''), '(^|[^\\p{{L}}\\p{{N}}])({short})[.](\\s)', '\\1\\2' || chr(1) || '\\3', 'gi')"
+    rules, licenses, steps = [], [], ["s0 AS (SELECT doc_id, c, s AS r0 FROM q WHERE c > 0)"]
+    for k, r in enumerate(ls.RULES):
         pattern = "".join(f"|{x}|" for x in r.sentences)
-        rules.append(f"CASE WHEN contains({rest}, '{pattern}') THEN '{r.rule}' END")
+        rules.append(f"CASE WHEN contains(r{k}, '{pattern}') THEN '{r.rule}' END")
         licenses.append(f"('{r.rule}', '{r.license}')")
-        rest = f"replace({rest}, '{pattern}', '||')"
-    return f"""WITH k(plain, id) AS (VALUES {known}), lic(rule, license) AS (VALUES {", ".join(licenses)}),
- p AS (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM (SELECT doc_id, string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+') AS parts FROM documents)),
+        steps.append(f"s{k + 1} AS (SELECT *, replace(r{k}, '{pattern}', '||') AS r{k + 1} FROM s{k})")
+    return f"""WITH k(plain, id) AS (VALUES {known}), kn(name, nid) AS (VALUES {names}), lic(rule, license) AS (VALUES {", ".join(licenses)}),
+ p AS (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM (SELECT doc_id, string_split_regex(regexp_replace({text}, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+') AS parts FROM documents)),
  n AS (SELECT doc_id, i, trim(regexp_replace(lower(part), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS plain FROM p WHERE length(trim(part)) > 0),
- q AS (SELECT doc_id, count(id) AS c, '|' || string_agg(coalesce(id, ''), '||' ORDER BY i) || '|' AS s FROM n LEFT JOIN k USING (plain) GROUP BY 1),
- r AS (SELECT doc_id, c, list_filter([{", ".join(rules)}], lambda x: x IS NOT NULL) AS rs FROM q WHERE c > 0),
+ q AS (SELECT doc_id, count(coalesce(id, nid)) AS c, '|' || string_agg(coalesce(id, nid, ''), '||' ORDER BY i) || '|' AS s
+  FROM n LEFT JOIN k USING (plain) LEFT JOIN kn ON name = regexp_extract(plain, '{ls.NOTICE}', 1) || regexp_extract(plain, '{ls.NOTICE}', 2) GROUP BY 1),
+ {", ".join(steps)},
+ r AS (SELECT doc_id, c, list_filter([{", ".join(rules)}], lambda x: x IS NOT NULL) AS rs FROM s{len(ls.RULES)}),
  l AS (SELECT doc_id, list_sort(list(DISTINCT license)) AS li FROM (SELECT doc_id, unnest(rs) AS rule FROM r) JOIN lic USING (rule) GROUP BY 1)
  SELECT d.doc_id, coalesce(c, 0) AS n_known_sentences, coalesce(array_to_string(rs, ','), '') AS rules, coalesce(array_to_string(li, ','), '') AS licenses
  FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN l ON d.doc_id = l.doc_id"""
@@ -68,6 +74,9 @@ def decontaminate() -> str:
  f AS (SELECT d, b, diag, count(*) AS n_slots, sum(CASE WHEN lo <> hi THEN 1 ELSE 0 END) AS conflicts FROM s GROUP BY ALL),
  a AS (SELECT d, b, diag, coalesce(n_slots, 0) AS n_slots, coalesce(conflicts, 0) AS conflicts FROM (SELECT DISTINCT d, b, diag FROM hit) LEFT JOIN f USING (d, b, diag)),
  t AS (SELECT d, b, sum(n_slots) AS n_slots, sum(conflicts) AS n_conflicts FROM a GROUP BY 1, 2),
- w AS (SELECT d, b, count(DISTINCT bi) AS n FROM hit JOIN a USING (d, b, diag) WHERE conflicts = 0 GROUP BY 1, 2)
+ x AS (SELECT hit.*, bc.v AS bv, dc.v AS dv, s.lo <> s.hi AS bad FROM hit JOIN bc ON bc.k = hit.b AND bc.i BETWEEN bi AND bi + {dc.WINDOW - 1} JOIN dc ON dc.k = hit.d AND dc.i = bc.i + hit.diag
+  LEFT JOIN s ON s.d = hit.d AND s.b = hit.b AND s.diag = hit.diag AND s.value = bc.v AND {slot.replace("c IN", "bc.c IN")}),
+ g AS (SELECT d, b, diag, bi FROM x GROUP BY ALL HAVING bool_and(bv = dv) OR NOT bool_or(coalesce(bad, false))),
+ w AS (SELECT d, b, count(DISTINCT bi) AS n FROM g GROUP BY 1, 2)
  SELECT t.d AS doc_id, t.b AS item_id, coalesce(w.n, 0) AS n_windows, tot.n AS n_item_windows, CAST(t.n_slots AS BIGINT) AS n_slots, CAST(t.n_conflicts AS BIGINT) AS n_conflicts,
  coalesce(w.n, 0) >= least({dc.LEAST_WINDOWS}, tot.n) AND coalesce(w.n, 0) >= {dc.LEAST_COVER} * tot.n AS leaked FROM t JOIN tot ON tot.k = t.b LEFT JOIN w ON w.d = t.d AND w.b = t.b"""
