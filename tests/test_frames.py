@@ -112,3 +112,12 @@ def test_replies(spark):
     assert list(one(spark, *[tx.third_at_part(c(s)) for s in ("a@b@ c @d", " ab ")])) == ["c", "ab"]
     cut = "x_x_x_x_x_x_" + __import__("hashlib").md5(b"x_" * 40).hexdigest()[:8]
     assert list(one(spark, tx.short_name(c("/data/x/")), tx.short_name(c("a b,c-d")), tx.short_name(c("x_" * 40), 21), tx.short_names(F.array(c("a/b"), c("long name")), {"a_b": "AB"}))) == ["data_x", "a_b_c-d", cut, "AB_long_name"]
+
+
+def test_similar_names(spark):
+    from tracklake.functions.similar import best_match, similarity
+
+    rows = spark.createDataFrame([("Move the Cup",), ("cup",), ("zzz",), (None,)], "n string")
+    got = rows.select("n", similarity(F.col("n"), F.lit("move the mug")).alias("s"), best_match(F.col("n"), ["move the mug", "move the cap", "cup"]).alias("b")).collect()
+    assert got[0].b == "move the cap" and got[1].b == "cup" and got[2].b is None and got[3].b is None and got[3].s is None
+    assert got[0].s == pytest.approx(__import__("difflib").SequenceMatcher(None, "move the cup", "move the mug").ratio())

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracklake.schema import TEXT_VECTOR
+from tracklake.schema import TEXT_VECTOR, TRAJECTORY
 
 
 def drop_reason(keywords: Sequence[str] = (), min_frames: int | None = None, labels: Sequence[str] = ()) -> Column:
@@ -76,13 +77,26 @@ def violations(df: DataFrame) -> DataFrame:
     return df.select("id", F.explode(found).alias("v")).select("id", "v.level", "v.problem")
 
 
+def percentiles(df: DataFrame, by: str, value: str, parts: dict[str, float]) -> DataFrame:
+    """Exact percentiles of each group, between neighbours by their distance: from counts of the different values, which Spark can spill."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(by)
+    counts = counts.withColumn("__upto", F.sum("__n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__all", F.sum("__n").over(w))
+    out = []
+    for name, q in parts.items():
+        at = F.col("__all") * q - q
+        holds = lambda k: (F.col("__upto") - F.col("__n") <= k) & (k < F.col("__upto"))
+        low, high = F.max(F.when(holds(F.floor(at)), F.col(value))), F.max(F.when(holds(F.ceil(at)), F.col(value)))
+        rest = F.max(at - F.floor(at))
+        out.append((low + (high - low) * rest).cast("double").alias(name))
+    return counts.groupBy(by).agg(*out)
+
+
 def frame_statistics(df: DataFrame, by: str) -> DataFrame:
     """Count, sum, range, mean, median, population deviation and quartiles of num_frames."""
     x = F.col("num_frames")
-    return df.groupBy(by).agg(
-        F.count(x).alias("n"), F.sum(x).alias("total"), F.min(x).alias("least"), F.max(x).alias("most"), F.avg(x).alias("mean"),
-        F.percentile(x, F.lit(0.5)).alias("median"), F.stddev_pop(x).alias("deviation"), F.percentile(x, F.lit(0.25)).alias("q25"), F.percentile(x, F.lit(0.75)).alias("q75"),
-    )
+    sums = df.groupBy(by).agg(F.count(x).alias("n"), F.sum(x).alias("total"), F.min(x).alias("least"), F.max(x).alias("most"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("deviation"))
+    return sums.join(percentiles(df, by, "num_frames", {"median": 0.5, "q25": 0.25, "q75": 0.75}), by, "left")
 
 
 def rolled_counts(df: DataFrame, *levels: str) -> DataFrame:
@@ -98,22 +112,19 @@ def noop_frames(actions: DataFrame, key: str, order: Sequence[str], motion: str,
 
 
 def inverted_index(df: DataFrame, *keys: str) -> DataFrame:
-    """(kind, key, ids): the ids of each value of each key column; null values have no entry."""
-    parts = [df.where(F.col(k).isNotNull()).groupBy(F.lit(k).alias("kind"), F.col(k).cast("string").alias("key")).agg(F.array_sort(F.collect_list("id")).alias("ids")) for k in keys]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(kind, key, id): an entry for each value of each key column of a row; null values have none.  No list of ids is gathered."""
+    entries = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("key")) for k in keys])
+    return df.select("id", F.explode(entries).alias("e")).where("e.key is not null").select("e.kind", "e.key", "id")
 
 
 def resolve_keys(names: Sequence[object], groups: DataFrame) -> DataFrame:
-    """Group names become their members, other names stay; the first place of each counts."""
+    """(dataset, place): group names become their members, other names stay; the first place of each counts."""
     spark = groups.sparkSession
     flat = [n for x in names for n in (x if isinstance(x, list | tuple) else [x])]
     asked = spark.createDataFrame(list(enumerate(flat)), "pos int, name string")
     got = asked.join(groups.select(F.col("name"), F.posexplode("members").alias("sub", "member")), "name", "left")
     got = got.select("pos", F.coalesce("sub", F.lit(0)).alias("sub"), F.coalesce("member", "name").alias("dataset"))
-    return got.groupBy("dataset").agg(F.min(F.struct("pos", "sub")).alias("at")).orderBy("at").select("dataset")
+    return got.groupBy("dataset").agg(F.min(F.struct("pos", "sub")).alias("at")).select("dataset", F.row_number().over(Window.orderBy("at")).alias("place"))  # a short list of names
 
 
 def with_cutoffs(df: DataFrame, cutoffs: DataFrame, default: float) -> DataFrame:
@@ -129,3 +140,18 @@ def numbered_tasks(df: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("__k").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over the counts
     own = F.row_number().over(Window.partitionBy("__b").orderBy("task"))
     return tasks.join(counts.select("__b", before.alias("__s")), "__b").select("task", (F.col("__s") + own).cast("bigint").alias("place"))
+
+
+def filter_by_source(df: DataFrame, rules: dict[str, dict]) -> DataFrame:
+    """Rows that the rules of their source keep; a source without rules keeps all."""
+    keep = F.lit(True)
+    for source, rule in rules.items():
+        keep = F.when(F.col("data_source") == source, drop_reason(**rule).isNull()).otherwise(keep)
+    return df.where(F.coalesce(keep, F.lit(True)))
+
+
+def type_violations(df: DataFrame, schema: T.StructType = TRAJECTORY) -> DataFrame:
+    """(column, expected, found) of the schema's columns that are missing (null) or of another type."""
+    have = {f.name: f.dataType.simpleString() for f in df.schema}
+    rows = [(f.name, f.dataType.simpleString(), have.get(f.name)) for f in schema if have.get(f.name) != f.dataType.simpleString()]
+    return df.sparkSession.createDataFrame(rows, "column string, expected string, found string")

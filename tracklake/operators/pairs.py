@@ -66,9 +66,14 @@ def other_task(refs: DataFrame, pool: DataFrame, seed: int, purpose: str) -> Dat
 
 
 def paired_tasks(df: DataFrame) -> DataFrame:
-    """(task, robot, human): sorted ids of tasks that have both kinds."""
-    out = df.groupBy("task").agg(F.array_sort(F.collect_list(F.when(F.col("is_robot"), F.col("id")))).alias("robot"), F.array_sort(F.collect_list(F.when(~F.col("is_robot"), F.col("id")))).alias("human"))
-    return out.where((F.size("robot") > 0) & (F.size("human") > 0))
+    """(task, robots, humans): tasks that have both kinds, with their numbers of rows."""
+    out = df.groupBy("task").agg(F.count(F.when(F.col("is_robot"), 1)).alias("robots"), F.count(F.when(~F.col("is_robot"), 1)).alias("humans"))
+    return out.where("robots > 0 and humans > 0")
+
+
+def paired_rows(df: DataFrame) -> DataFrame:
+    """The rows of tasks that have both kinds: the index of the paired ones."""
+    return df.join(paired_tasks(df).select("task"), "task", "left_semi")
 
 
 def human_robot_triples(df: DataFrame, seed: int, negatives: int, per_side: int = 2) -> DataFrame:

@@ -282,3 +282,14 @@ def video_tasks(spark, d):
 @query(f"WITH {TRAJ}, w AS (SELECT data_source, count(*) AS n FROM traj GROUP BY 1) SELECT data_source, round(1.0 / count(*) OVER (), 6) AS weight FROM w")
 def equal_weights(spark, d):
     return sampling.normalized_weights(trajectories(spark, d), {s: 0.0 for s in ("BUILDING", "MACHINERY", "FURNITURE", "AUTOMOBILE", "HOUSEHOLD")}).withColumn("weight", r6(F.col("weight")))
+
+
+@query(f"""WITH {TRAJ} SELECT id, data_source FROM traj WHERE CASE data_source WHEN 'BUILDING' THEN NOT (task LIKE '%3%') WHEN 'MACHINERY' THEN coalesce(num_frames, 99) > 3 AND rank = 3 ELSE true END""")
+def filter_by_source(spark, d):
+    rules = {"BUILDING": {"keywords": ["3"]}, "MACHINERY": {"min_frames": 3, "labels": ["successful"]}}
+    return curate.filter_by_source(trajectories(spark, d), rules).select("id", "data_source")
+
+
+@query("""SELECT * FROM (VALUES ('id', 'string', 'bigint'), ('lang_vector', 'array<float>', NULL), ('frames', 'string', NULL), ('partial_success', 'float', 'double')) v("column", expected, found)""")
+def type_violations(spark, d):
+    return curate.type_violations(trajectories(spark, d))

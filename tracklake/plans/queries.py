@@ -118,7 +118,7 @@ def spearman_by_task(spark, d):
     return metrics.spearman(trajectories(spark, d), ["task"], "partial_success", "reward").withColumn("spearman", r6(F.col("spearman")))
 
 
-@query(f"WITH {TRAJ} SELECT a.task, round(sum(sign(a.partial_success - b.partial_success) * sign(a.reward - b.reward)) / count(*), 6) AS tau_a FROM traj a JOIN traj b ON a.task = b.task AND a.id < b.id GROUP BY 1")
+@query(f"WITH {TRAJ}, p AS (SELECT a.task, sum(sign(a.partial_success - b.partial_success) * sign(a.reward - b.reward)) / count(*) AS t FROM traj a JOIN traj b ON a.task = b.task AND a.id < b.id GROUP BY 1) SELECT task, round(t, 6) AS tau_a FROM (SELECT DISTINCT task FROM traj) LEFT JOIN p USING (task)")
 def kendall_tau_a(spark, d):
     return metrics.tau_a(trajectories(spark, d), ["task"], "partial_success", "reward").withColumn("tau_a", r6(F.col("tau_a")))
 
@@ -233,8 +233,9 @@ def top_checkpoints(spark, d):
 
 @query("""SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(avg(l_extendedprice), 4) AS mean FROM lineitem GROUP BY 1""")
 def latency_summary(spark, d):
-    x = F.col("l_extendedprice")
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(*[F.round(F.percentile(x, F.lit(p)), 4).alias(n) for n, p in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95))], F.round(F.avg(x), 4).alias("mean"))
+    li = table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice")
+    p = curate.percentiles(li, "l_returnflag", "l_extendedprice", {"p50": 0.5, "p90": 0.9, "p95": 0.95})
+    return p.join(li.groupBy("l_returnflag").agg(F.round(F.avg("l_extendedprice"), 4).alias("mean")), "l_returnflag").select("l_returnflag", *[F.round(c, 4).alias(c) for c in ("p50", "p90", "p95")], "mean")
 
 
 @query("""SELECT l_returnflag, round(avg(greatest(x, 0) + ln(1 + exp(-abs(x))) - x * y), 6) AS preference_loss, round(avg(greatest(-z, 0) + ln(1 + exp(-abs(z)))), 6) AS similarity_loss, round(avg(1 / (1 + exp(-x))), 6) AS probability
@@ -304,7 +305,7 @@ def schema_violations(spark, d):
 @query(f"""WITH {TRAJ} SELECT 'data_source' AS kind, data_source AS key, count(*) AS n, min(id) AS first FROM traj GROUP BY 2 UNION ALL SELECT 'quality_label', quality_label, count(*), min(id) FROM traj GROUP BY 2""")
 def inverted_indices(spark, d):
     i = curate.inverted_index(trajectories(spark, d), "data_source", "quality_label")
-    return i.select("kind", "key", F.size("ids").cast("bigint").alias("n"), F.get("ids", F.lit(0)).alias("first"))
+    return i.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
 
 
 @query(f"""WITH {FRAMES}, a AS (SELECT id, frame_idx, value, floor(value) % 2 AS grip FROM fr), b AS (SELECT *, lag(grip) OVER (PARTITION BY id ORDER BY frame_idx) AS g FROM a)
@@ -340,8 +341,9 @@ def partial_success_band(spark, d):
 
 @query(f"WITH {TRAJ} SELECT task, list_count(list(id) FILTER (is_robot)) AS robots, list_count(list(id) FILTER (NOT is_robot)) AS humans, min(id) FILTER (is_robot) AS robot FROM traj GROUP BY 1 HAVING bool_or(is_robot) AND bool_or(NOT is_robot)")
 def paired_tasks(spark, d):
-    p = pairs.paired_tasks(trajectories(spark, d))
-    return p.select("task", F.size("robot").cast("bigint").alias("robots"), F.size("human").cast("bigint").alias("humans"), F.get("robot", F.lit(0)).alias("robot"))
+    t = trajectories(spark, d)
+    first = pairs.paired_rows(t).where("is_robot").groupBy("task").agg(F.min("id").alias("robot"))
+    return pairs.paired_tasks(t).join(first, "task").select("task", "robots", "humans", "robot")
 
 
 def _hex(*parts: str) -> str:
@@ -616,7 +618,8 @@ def tasks_without_failure(spark, d):
     return t.join(t.where("quality_label = 'failure'").select("task").distinct(), "task", "left_anti").select("id", "task")
 
 
-@query("""WITH g AS (SELECT n_regionkey AS name, n_name AS member, n_nationkey AS sub FROM nation WHERE n_regionkey IN (0, 1)) SELECT n AS dataset FROM (SELECT member AS n FROM g UNION SELECT 'extra')""")
+@query("""WITH g AS (SELECT n_regionkey AS pos, n_name AS dataset, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS sub FROM nation WHERE n_regionkey IN (0, 1) UNION ALL SELECT 2, 'extra', 0)
+ SELECT dataset, CAST(row_number() OVER (ORDER BY pos, sub) AS INTEGER) AS place FROM g""")
 def resolved_keys(spark, d):
     n = table(spark, d, "nation")
     groups = n.groupBy(F.col("n_regionkey").cast("string").alias("name")).agg(F.array_sort(F.collect_list("n_name")).alias("members"))
@@ -630,4 +633,4 @@ def tasks_by_source(spark, d):
     return x.agg(F.get(F.array_sort(F.collect_set("n_regionkey")), F.lit(0)).alias("first"), F.size(F.collect_set("c_nationkey")).cast("bigint").alias("tasks"))
 
 
-from tracklake.plans import metric_queries, sample_queries  # noqa: E402, F401  (they add their queries)
+from tracklake.plans import metric_queries, sample_queries, source_queries  # noqa: E402, F401  (they add their queries)
