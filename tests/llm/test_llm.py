@@ -63,8 +63,8 @@ def test_line_dedup(docs, rows, empty):
         for x in (t or "").split("\n"):
             w = frozenset(WORD.findall(x.lower()))
             n_lines += bool(w)
-            gone = len(w) >= 5 and any(len(w & s) >= 0.8 * len(w | s) for s in seen + own)
-            if len(w) >= 5:
+            gone = bool(w) and any(len(w & s) >= 0.8 * len(w | s) for s in seen + own)
+            if w:
                 own.append(w)
             removed += gone
             if not gone:
@@ -75,7 +75,49 @@ def test_line_dedup(docs, rows, empty):
     assert dedup_lines(empty).count() == 0
 
 
-def test_line_dedup_second_join(spark):
+def like_earlier(sets):
+    """Whether an earlier set is like each one."""
+    return [any(len(x & s) >= 0.8 * len(x | s) for s in sets[:k]) for k, x in enumerate(sets)]
+
+
+@pytest.mark.parametrize("hot", [1, 20, 4096])
+def test_line_dedup_hot_words(spark, monkeypatch, hot):
+    """Made of few words, one of them in a third of all lines: as keys of one word, or of two, in parts of any size."""
+    from tracklake.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "JOIN_ROWS", 300)
+    monkeypatch.setattr(line_dedup, "JOIN_BYTES", 1 << 14)
+    monkeypatch.setattr(line_dedup, "_STEPS", 4)
+    rng = random.Random(hot)
+    vocabulary = [f"v{k}" for k in range(40)]
+    lines = []
+    for k in range(700):
+        own = rng.sample(vocabulary, rng.randint(1, 14)) + (["rare", f"n{k % 9}"] if k % 3 == 0 else [])
+        if k > 20 and k % 2:
+            own = lines[rng.randrange(k)].split()
+            for _ in range(rng.randint(0, 2)):
+                own[rng.randrange(len(own))] = rng.choice(vocabulary)
+        lines.append(" ".join(own))
+    d = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(d, hot=hot).collect()}
+    want = like_earlier([set(x.split()) for x in lines])
+    assert [bool(got[k]) for k in range(len(lines))] == want and 100 < sum(want) < 600
+
+
+def test_line_dedup_names(spark):
+    """Columns of any name are passed on, that of an added one is replaced."""
+    from tracklake.llm.line_dedup import dedup_lines
+
+    names = ["gone", "d", "rid", "__d", "__rid", "__gone", "of", "t", "key", "line", "n_lines"]
+    d = spark.createDataFrame([(1, "a b c\nA B c", *names), (2, "x", *names), (2, "x y\nc b a", *names)], ["doc_id", "text", *names])
+    out = dedup_lines(d)
+    assert sorted(out.columns) == sorted([*d.columns, "n_removed", "kept_text"])
+    rows = out.collect()
+    assert sorted((r.doc_id, r.kept_text, r.n_lines) for r in rows) == [(1, "a b c", 2), (2, "x", 1), (2, "x y", 2)]
+    assert all(r[c] == c for r in rows for c in names[:-1])
+
+
+def test_line_dedup_near_misses(spark):
     """Near misses that pass the filters do not hide a later candidate."""
     from tracklake.llm.line_dedup import dedup_lines
 
@@ -88,9 +130,7 @@ def test_line_dedup_second_join(spark):
             words[j] = f"u{rng.randint(0, 60)}"
         table.append((k, " ".join(words)))
     got = {r.doc_id: r.n_removed for r in dedup_lines(spark.createDataFrame(table, "doc_id bigint, text string")).collect()}
-    sets = [set(t.split()) for _, t in table]
-    for k in range(len(sets)):
-        assert got[k] == any(len(sets[k] & s) >= 0.8 * len(sets[k] | s) for s in sets[:k]), k
+    assert [bool(got[k]) for k in range(len(table))] == like_earlier([set(t.split()) for _, t in table])
 
 
 def test_license_scan(spark, docs, rows, empty):
@@ -107,6 +147,43 @@ def test_license_scan(spark, docs, rows, empty):
     assert license_scan(docs).count() == len(rows) and license_scan(empty).count() == 0
 
 
+GENUINE = {
+    "mpl-2.0-header": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\nint x;",
+    "lgpl-2.1-or-later-header": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n\n"
+    "This library is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU\nLesser General Public License for more details.",
+    "agpl-3.0-or-later-header": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\n"
+    "This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU Affero General Public License for more details.",
+    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\n"
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\nREGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY\nAND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR',
+    "unlicense-text": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.",
+    "zlib-text": "This software is provided 'as-is', without any express or implied\nwarranty.  In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin",
+    "epl-2.0-header": "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/\n\nContributors: one",
+    "apache-2.0-named": "// SPDX-License-Identifier: Apache-2.0\npackage x",
+    "lgpl-3.0-only-named": "This file is distributed under the terms of the GNU Lesser General Public License v3.",
+    "cc-by-nc-sa-4.0-named": "# Note\nThis work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.\n",
+    "epl-1.0-named": "Released under the Eclipse Public License, ver. 1.0, see Acme Inc. for more\n",
+    "mit-notice": "Released under the MIT License\n" + "=" * 2000,
+}
+
+
+def test_license_scan_genuine(spark):
+    """Notices as they stand in files; points of short forms end no sentence."""
+    from tracklake.llm.license_scan import KNOWN, KNOWN_NAMES, RULES, license_scan
+
+    assert {i for r in RULES for i in r.sentences} <= {*KNOWN.values(), *KNOWN_NAMES.values()} and len(RULES) > 70
+    got = {r.rule: r.rules for r in license_scan(spark.createDataFrame([(k, v) for k, v in GENUINE.items()], "rule string, text string")).collect()}
+    wanted = {k: [k] for k in GENUINE} | {"epl-1.0-named": []}
+    assert got == wanted
+
+
+def test_license_scan_columns(spark):
+    from tracklake.llm.license_scan import license_scan
+
+    d = spark.createDataFrame([("All rights reserved", "a", "b", 9)], "text string, rules string, __ids0 string, n_known_sentences int")
+    r = license_scan(d).first()
+    assert list(r.rules) == ["all-rights-reserved"] and r["__ids0"] == "b" and r.n_known_sentences == 1
+
+
 def test_license_scan_wrapped(spark):
     """Licence texts as they are wrapped, with and without comment marks, with lists, and unwrapped."""
     import textwrap
@@ -182,6 +259,36 @@ def test_near_duplicates_of_large_buckets(spark, monkeypatch):
     assert got == want
 
 
+def test_near_duplicates_of_one_id(spark):
+    """One id with several texts is one document with the links of each."""
+    from tracklake.llm.minhash import near_duplicates
+
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    table = [(1, a), (5, a), (5, b), (7, b), (9, b + " end"), (11, "other words here"), (11, None), (12, "")]
+    got = collections.defaultdict(set)
+    for r in near_duplicates(spark.createDataFrame(table, "doc_id bigint, text string")).collect():
+        got[r.doc_id].add(r.class_id)
+    assert got == {1: {1}, 5: {1}, 7: {1}, 9: {1}, 11: {11}, 12: {11}}
+
+
+def test_near_duplicates_recall(spark):
+    """A bucket of hundreds of near copies of every degree, against all pairs: no link between different texts is lost."""
+    from tracklake.llm.minhash import near_duplicates
+
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(150)]
+    table = []
+    for k in range(400):
+        own = base[:]
+        for _ in range(rng.randint(0, 12)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+        table.append((k, " ".join(own)))
+    want = brute_classes(table)
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(table, "doc_id bigint, text string")).collect()}
+    assert len(set(want.values())) > 100
+    assert sum(got[k] == want[k] for k in want) >= 0.99 * len(want)
+
+
 def test_near_duplicates_with_repeated_shingles(spark):
     """Like as sets of shingles, unlike by their numbers."""
     from tracklake.llm.minhash import near_duplicates
@@ -251,23 +358,78 @@ PAGE = (
 )
 
 
+def texts_of(spark, table, columns="page_id int, url string, html string"):
+    from tracklake.llm.html_extract import extract_main_text
+
+    got = collections.defaultdict(set)
+    for r in extract_main_text(spark.createDataFrame(table, columns)).collect():
+        got[r.page_id].add(r.text)
+    return got
+
+
 def test_html_extract(spark):
-    from tracklake.llm.html_extract import deduce_templates, extract_main_text, page_tokens
+    from tracklake.llm.html_extract import deduce_templates, extract_main_text, page_tokens, token_vectors
 
     table = [(k, f"https://h.example/{k}", PAGE % (k, k * k)) for k in range(8)]
     table += [(100, "https://solo.example/", PAGE % (1, 1)), (101, "nonsense", "plain < text &lt;b&gt;"), (102, None, None), (103, "https://h.example/9", ""), table[0]]
     pages = spark.createDataFrame(table, "page_id int, url string, html string")
-    got = collections.defaultdict(set)
-    for r in extract_main_text(pages).collect():
-        got[r.page_id].add(r.text)
-    assert got[3] == {"Head 3 & more First bold text 9"}  # the lines that all pages of the host have are gone
+    got = texts_of(spark, table)
+    # Paragraphs of one slot vary: it is content, with the lines that all pages have.
+    assert got[3] == {"Head 3 & more First bold text 9 next Share this story"}
     assert got[100] == {"Head 1 & more First bold text 1 next Share this story"}
     assert got[101] == {"plain < text <b>"} and got[102] == got[103] == {""}
-    classes = deduce_templates(page_tokens(pages)).collect()
-    assert any(len(c.texts) >= 3 and len(c.paths) >= 5 for c in classes)
+    templates = deduce_templates(token_vectors(page_tokens(pages))).collect()
+    assert len(templates) == 1 and len(templates[0].texts) >= 3 and len(templates[0].paths) >= 5
     assert extract_main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bound", [0, 500_000])
+def test_html_templates_decide(spark, monkeypatch, bound):
+    """Two layouts of one host without telling names: menus and notes go as they are constant, by layout; alone they stay."""
+    from tracklake.llm import html_extract
+
+    monkeypatch.setattr(html_extract, "BROADCAST_TOKENS", bound)
+    one = "<body><div class=a1><div class=a2>Start Topics Shop</div><div class=a3><h1>Story %d</h1><p>Text of %d</p><p>The same closing words</p></div><div class=a4>%s</div></div></body>"
+    two = "<body><div class=b1><span>Alpha</span><div class=b2><p>Other %d</p><p>and %d</p></div><div class=b3>%s</div><div class=b4>Imprint of two</div></div></body>"
+    note, end = "We keep all rights to what you read here. " * 8, "Written by the staff"
+    table = [(k, f"https://lay.example/{k}", one % (k, k * 7, note)) for k in range(18)]
+    table += [(k, f"https://lay.example/{k}", two % (k, k * 7, end)) for k in range(18, 30)]
+    table += [(99, "https://alone.example/", one % (5, 35, note)), (100, "https://lay.example/x", None)]
+    got = texts_of(spark, table)
+    assert all(got[k] == {f"Story {k} Text of {k * 7} The same closing words"} for k in range(18))
+    assert all(got[k] == {f"Other {k} and {k * 7}"} for k in range(18, 30))
+    assert got[99] == {f"Start Topics Shop Story 5 Text of 35 The same closing words {note.strip()}"} and got[100] == {""}
+
+
+def test_html_copies_of_an_article(spark):
+    """Copies of one article with menus of their own: its paragraphs stay, a note without a telling name goes."""
+    page = "<body><div><a>%d</a></div><article><h1>The title</h1><p>The same text</p><div class=x9>Only a note</div></article></body>"
+    got = texts_of(spark, [(k, f"https://copies.example/{k}", page % k) for k in range(20)])
+    assert all(got[k] == {"The title The same text"} for k in range(20))
+
+
+def test_html_attributes(spark):
+    """Names count as values of class and id alone, not on the page's whole, and a post's own header is no page header."""
+    pages = [
+        '<body class="no-sidebar"><article style="overflow:hidden" data-id="share"><div class="post-header"><h1>Title</h1></div><p>Text</p></article></body>',
+        '<body><div class="site-header">Site</div><article id=comment-story><header><h2>Head</h2><span>by one</span></header><p title="a > b">Body</p><div class="newsletterBox">Subscribe</div></article></body>',
+        '<body><main class="form"><p hidden>no</p><p aria-hidden="false">yes</p><div role=Navigation>nav</div></main><footer>foot</footer></body>',
+        "<body><article><nav>only a menu</nav></article><p>The text is here</p></body>",
+    ]
+    got = texts_of(spark, [(k, f"https://s{k}.example/", p) for k, p in enumerate(pages)])
+    assert [got[k] for k in range(4)] == [{"Title Text"}, {"Head Body"}, {"yes"}, {"The text is here"}]
+
+
+def test_html_columns_and_long_pages(spark):
+    from tracklake.llm.html_extract import extract_main_text
+
+    names = ["host", "paths", "texts", "__host", "__texts", "text"]
+    long = "<p>" + "word " * 200_000 + "</p>"
+    d = spark.createDataFrame([(1, "https://x.example/", long, *names), (1, "https://x.example/", long, *names)], ["page_id", "url", "html", *names])
+    rows = extract_main_text(d).collect()
+    assert len(rows) == 2 and all(r.text == ("word " * 200_000).strip() and all(r[c] == c for c in names[:-1]) for r in rows)
+
+
 def test_html_pages_table(spark):
     from tracklake.llm.queries import op5_main_text
 
@@ -326,14 +488,19 @@ def test_suffix_array_blocks(spark):
         assert lcp[order[k]] == next((j for j in range(min(len(a), len(b), 100)) if a[j] != b[j]), min(len(a), len(b), 100))
     base = bytes(rng.randrange(97, 123) for _ in range(140))
     fragments = [(9, base[: k % 30] + bytes([65 + k % 3]) + base[k % 30 + 1 :], k, 0, 0, 41) for k in range(60)]
+    # The blocks are full after eight fragments: strings of 11 blocks of one anchor, then another anchor.
+    other = bytes(rng.randrange(97, 123) for _ in range(140))
+    fragments += [(10, other[:k] + bytes([50 + k]) + other[k + 1 :], 100 + k, 0, 0, 41) for k in range(5)]
     df = spark.createDataFrame(fragments, "h bigint, frag binary, d bigint, rid int, at int, n int").coalesce(1).sortWithinPartitions("h", "d", "at")
     got = {(r.d, k) for r in kept_strings(df, block=500).collect() for k in range(r.a, r.b)}
     seen, want = set(), set()
-    for _, f, d, *_ in fragments:
-        own = {(f[k : k + 100], k) for k in range(41)}
+    for h, f, d, *_ in fragments:
+        own = {((h, f[k : k + 100]), k) for k in range(41)}
         want |= {(d, k) for w, k in own if w not in seen}
         seen |= {w for w, _ in own}
     assert got == want
+    # In blocks or in one: the binary search over earlier blocks gives what one suffix array gives.
+    assert got == {(r.d, k) for r in kept_strings(df).collect() for k in range(r.a, r.b)}
 
 
 def test_quality_rules(docs, rows, empty):
@@ -383,13 +550,25 @@ def test_decontaminate(spark, docs, rows, empty):
 
 
 def test_decontaminate_slots_must_agree(spark):
+    """A conflicting value takes out the windows that hold it, not those of the same words."""
     from tracklake.llm.decontaminate import matched_items
 
     item = "from 7 apples take away 2 apples and then add those same 7 apples back to the basket again"
     bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
-    d = spark.createDataFrame([(1, item.replace("7", "8")), (2, item.replace("7", "8", 1))], "doc_id bigint, text string")
-    got = {r.doc_id: (r.leaked, r.n_conflicts > 0) for r in matched_items(d, bench).collect()}
-    assert got == {1: (True, False), 2: (False, True)}
+    other = item.replace("7", "8", 1).replace("2", "3").replace("same 7 apples", "same 9 apples")
+    d = spark.createDataFrame([(1, item.replace("7", "8")), (2, item.replace("7", "8", 1)), (3, other)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.leaked, r.n_conflicts > 0, r.n_windows) for r in matched_items(d, bench).collect()}
+    assert got == {1: (True, False, 14), 2: (True, True, 12), 3: (True, True, 6)}
+
+
+def test_decontaminate_by_shuffle(spark, monkeypatch):
+    """Beyond the bound of the broadcast the rows are the same."""
+    from tracklake.llm import decontaminate as dc
+    from tracklake.llm.queries import op8_decontaminate
+
+    want = sorted(op8_decontaminate(spark, SF).collect())
+    monkeypatch.setattr(dc, "BROADCAST_WINDOWS", 0)
+    assert want == sorted(op8_decontaminate(spark, SF).collect()) and want
 
 
 def test_decontaminate_items_of_few_literals(spark):
@@ -436,12 +615,64 @@ def test_toxicity_contexts():
 
     lexer = Lexer(("moron", "blor*"))
     kind = lambda t: {k for k, n in zip(KINDS, lexer.clauses(t), strict=True) if n}
-    assert kind("what a moron. fine") == {"plain"}
-    assert kind("You absolute blorxx") == {"targeted"}
-    assert kind("he is not a moron") == {"negated"}
-    assert kind("they said moron") == {"reported"} or kind("someone said moron") == {"reported"}
-    assert kind("i will kill you") == set() and kind("you i will kill") == {"threat"}
-    assert kind("") == kind("nothing here") == set()
+    cases = {
+        "what a moron. fine": "plain", "You absolute blorxx": "targeted", "what a moron you are": "targeted", "moron, you": "targeted", "he is not a moron": "negated", "a moron he is not": "negated",
+        "someone said moron": "reported", "moron, he said": "reported", "he wrote: moron": "reported", "he wrote: fine. moron": "plain",
+        "i will kill you": "threat", "you i will kill": "threat", "ich werde dich töten": "threat", "je vais te tuer": "threat", "voy a matarte": "threat", "ich bringe dich um": "threat", "you're dead": "threat",
+        "burn them": "threat", "i will not kill you": "negated", "he said he will hurt them": "reported", "kill weeds in spring": "", "you kill": "threat", "die burn": "", "": "", "nothing here": "",
+    }
+    for text, want in cases.items():
+        assert kind(text) == ({want} if want else set()), text
+    assert kind("you moron i will kill you") == {"targeted", "threat"}
+    assert lexer.clauses("moron. moron! you moron") == [2, 1, 0, 0, 0]
+
+
+def test_toxicity_automaton():
+    """The table of the context transducer against the rules said clause by clause, for every string of symbols up to five."""
+    import itertools
+
+    from tracklake.llm import toxicity as tox
+
+    def kinds(clause, carried):
+        def open_(symbols):
+            hits = [k for k, s in enumerate(clause) if s in symbols]
+            return hits, any(tox.NEGATION not in clause[max(0, k - tox.REACH) : k] for k in hits) and clause[-1] != tox.NEGATION
+
+        report = carried or tox.REPORT in clause
+        out = set()
+        hits, free = open_((tox.INSULT,))
+        if hits:
+            out.add("negated" if not free else "reported" if report else "targeted" if {tox.TARGET, tox.OBJECT} & set(clause) else "plain")
+        hits, free = open_((tox.THREAT, tox.HARM))
+        if hits and {tox.OBJECT, tox.HARM} & set(clause):
+            out.add("negated" if not free else "reported" if report else "threat")
+        return out
+
+    for n in range(6):
+        for string in itertools.product(range(10), repeat=n):
+            want, clause, carried = collections.Counter(), [], False
+            for s in [*string, tox.END]:
+                if s < tox.END:
+                    clause.append(s)
+                    continue
+                want.update(kinds(clause, carried) if clause else ())
+                carried, clause = s == tox.COLON and (carried or tox.REPORT in clause), []
+            got, state = collections.Counter(), 0
+            for s in [*string, tox.END]:
+                if s >= tox.END:
+                    got.update(tox.KINDS[k] for k in tox._OUT[state])
+                state = tox._TO[state][s]
+            assert got == want, string
+
+
+def test_toxicity_columns(spark):
+    from tracklake.llm import toxicity as tox
+
+    names = ["y", "t", "__k", "clauses", "score"]
+    d = spark.createDataFrame([(k, f"text {k} blorgan" if k % 2 else f"text {k} fine", *names) for k in range(40)], ["doc_id", "text", *names])
+    y = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, toxic int")
+    rows = tox.toxicity(d, tox.fit(d, y)).collect()
+    assert all((r.score > 0.5) == bool(r.doc_id % 2) and r.y == "y" and r.t == "t" for r in rows) and len(rows) == 40
 
 
 def test_held_out_scores(spark):
@@ -454,6 +685,35 @@ def test_held_out_scores(spark):
     assert sum(r.predicted > y[r.doc_id] for r in rows) <= 0.02 * len(rows)
 
 
+def test_sharding_query(spark):
+    """Every column of every row against the law: the hash of the key, the shard and the seed, step by step."""
+    import math
+    import struct
+    import zlib
+
+    import xxhash
+
+    from tracklake.llm.queries import op10_sharding
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    long, low = lambda x, h: xxhash.xxh64_intdigest(struct.pack("<q", x), h), lambda x, h: xxhash.xxh64_intdigest(struct.pack("<i", x), h)
+
+    def shard(key, n):
+        draws = [low(0, low(i, xxhash.xxh64_intdigest(str(key).encode(), 42))) >> 11 for i in range(n)]
+        return max((-1 / math.log((u + 0.5) / 2.0**53), i) for i, u in enumerate(draws))[1]
+
+    got = {r.doc_id: r for r in op10_sharding(spark, SF).collect()}
+    assert set(got) == set(texts)
+    blocks = collections.defaultdict(list)
+    for k, t in texts.items():
+        size, crc = len(t.encode()) + 1, zlib.crc32(t.encode())
+        r = got[k]
+        assert (r.size, r.text_crc32, r.law, r.shard, r.grown_shard) == (size, crc, "key", shard(k, 8), shard(k, 9)), k
+        h = low(17, long(crc, long(size, long(k, 42))))
+        blocks[r.shard].append(((h - (1 << 64) if h >> 63 else h) % 1024, k))
+    assert all([got[k].slot for _, k in sorted(b)] == list(range(len(b))) for b in blocks.values())
+
+
 def test_sharding(spark, docs, rows, empty):
     from pyspark.sql import functions as F
 
