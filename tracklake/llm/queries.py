@@ -96,6 +96,39 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number_slots(dealt, "shard", ["doc_id", "size", "text_crc32"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracklake.llm.chat_format import format_chat, read_chat
+
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    out = read_chat(format_chat(turns, tokenizer_path()), tokenizer_path())
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracklake.llm.fill_in_middle import fill_in_middle
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fill_in_middle(docs).select("doc_id", *[f"fim.{c}" for c in ("n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")])
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracklake.llm.hard_negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives(rows, F.col("id") % 100 == 0)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[:2] == "op" and k[2].isdigit()}
 
@@ -104,4 +137,4 @@ def oracle_sql() -> dict[str, str]:
     """The others are held against brute force, a round trip or held-out labels in tests/llm."""
     from tracklake.llm import sql
 
-    return {"op2_license_scan": sql.license_scan(), "op7_quality_rules": sql.quality_rules(), "op8_decontaminate": sql.decontaminate()}
+    return {"op2_license_scan": sql.license_scan(), "op7_quality_rules": sql.quality_rules(), "op8_decontaminate": sql.decontaminate(), "op11_chat_format": sql.chat_format(), "op12_fill_in_middle": sql.fill_in_middle(), "op13_hard_negatives": sql.hard_negatives()}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from tracklake.llm import chat_format as cf
 from tracklake.llm import decontaminate as dc
+from tracklake.llm import fill_in_middle as fm
 from tracklake.llm import license_scan as ls
 from tracklake.llm import quality_rules as qr
 
@@ -80,3 +82,38 @@ def decontaminate() -> str:
  w AS (SELECT d, b, count(DISTINCT bi) AS n FROM g GROUP BY 1, 2)
  SELECT t.d AS doc_id, t.b AS item_id, coalesce(w.n, 0) AS n_windows, tot.n AS n_item_windows, CAST(t.n_slots AS BIGINT) AS n_slots, CAST(t.n_conflicts AS BIGINT) AS n_conflicts,
  coalesce(w.n, 0) >= least({dc.LEAST_WINDOWS}, tot.n) AND coalesce(w.n, 0) >= {dc.LEAST_COVER} * tot.n AS leaked FROM t JOIN tot ON tot.k = t.b LEFT JOIN w ON w.d = t.d AND w.b = t.b"""
+
+
+def chat_format() -> str:
+    # Control strings neither overlap nor hold one another, so each occurrence is broken by one character.
+    broken = " + ".join(f"(length(x) - length(replace(x, {_quoted([c])}, ''))) // {len(c)}" for c in cf.control_strings())
+    grown = f"length(x) + length(x) - length(replace(x, '{cf.ESCAPE}', '')) + {broken}"
+    marks = " ".join(f"WHEN '{role}' THEN {len(''.join(pair))}" for role, pair in cf.TEMPLATE.items())
+    others = len("[ROLE][/ROLE][/TURN]")
+    return f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS x FROM conversations
+  UNION ALL SELECT -1, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) AS r(k)),
+ s AS (SELECT *, {grown} AS text_chars, CASE role {marks} ELSE {others} + (SELECT {grown} FROM (SELECT role AS x)) END AS mark_chars FROM c),
+ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, role, x) AS turns,
+  coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, x) FILTER (role = 'assistant'), '') AS loss, 3 + sum(text_chars + mark_chars) AS chars FROM s GROUP BY 1)
+ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g"""
+
+
+def fill_in_middle() -> str:
+    number = ", ".join(f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT) AS h{k + 1}" for k in range(4))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h, regexp_extract_all(coalesce(text, ''), '{fm.UNIT}') AS u FROM documents),
+ e AS (SELECT doc_id, t, u, len(u) AS n, {number} FROM d),
+ f AS (SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '{fm.PREFIX}') OR contains(t, '{fm.SUFFIX}') OR contains(t, '{fm.MIDDLE}') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(u[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS p, array_to_string(u[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS m,
+  array_to_string(u[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], '') AS s FROM e)
+ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{fm.PREFIX}' || p || '{fm.SUFFIX}' || s || '{fm.MIDDLE}' || m ELSE '{fm.SUFFIX}' || s || '{fm.PREFIX}' || p || '{fm.MIDDLE}' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM f"""
+
+
+def hard_negatives() -> str:
+    return """WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.id AS a, r.id, a.label = r.label AS same, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score FROM r AS a JOIN r ON a.id <> r.id WHERE a.id % 100 = 0),
+ p AS (SELECT a, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id) <= 5)
+ SELECT p.a AS anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+ FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+ QUALIFY row_number() OVER (PARTITION BY p.a, p.id ORDER BY s.score DESC, s.id) <= 5"""
