@@ -55,3 +55,103 @@ def test_other_task_of_one_task(spark):
     two = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id bigint, task string")
     got = {r.ref_id: r.task for r in other_task(two, two, 1, "x").collect()}
     assert got[1] == "b" and got[2] == "a" and got[3] in ("a", "b")
+
+
+def test_picks_of_other_partial_success_are_even(spark):
+    """Continuous values: only rows that differ enough are picked, each about equally often."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(k, "a" if k % 4 else "b", rng.choice([rng.random(), 0.5, 0.7])) for k in range(120)] + [(900, "c", 0.5), (901, "c", 0.6), (902, "a", None)]
+    df = spark.createDataFrame(rows, "id bigint, task string, partial_success double").repartition(3)
+    value, task = {r[0]: r[2] for r in rows}, {r[0]: r[1] for r in rows}
+    hits = collections.Counter()
+    for seed in range(12):
+        got = samples.pick_other_partial(df, 0.2, seed, "x").collect()
+        assert len(got) == len(rows)
+        for r in got:
+            if r.pick_id is None:
+                others = [v for i, v in value.items() if v is not None and task[i] == task[r.ref_id] and value[r.ref_id] is not None and (v <= value[r.ref_id] - 0.2 or v >= value[r.ref_id] + 0.2)]
+                assert not others
+            else:
+                assert task[r.pick_id] == task[r.ref_id]
+                a, b = value[r.ref_id], value[r.pick_id]
+                assert b <= a - 0.2 or b >= a + 0.2
+                hits[r.pick_id] += 1
+    assert sum(1 for i in range(120) if hits[i]) > 110
+
+
+def test_other_task_is_even_and_of_the_source(spark):
+    from tracklake.operators.pairs import other_task
+
+    rows = [(k, f"t{k % 5}", "s" if k % 5 < 3 else "z", k % 2) for k in range(1000)]
+    rows += [(2000 + k, "only bad", "s", 0) for k in range(5)]
+    df = spark.createDataFrame(rows, "id bigint, task string, data_source string, good int")
+    pool = df.where("good = 1")
+    by = {r[0]: r for r in rows}
+    got = other_task(df, pool, 3, "x").collect()
+    assert len(got) == len(rows) and len({r.pick_id for r in got}) > 400  # not one row a task
+    n = collections.Counter((by[r.ref_id][1], r.task) for r in got)
+    assert all(by[r.pick_id][1] == r.task != by[r.ref_id][1] and by[r.pick_id][3] == 1 for r in got)
+    for t in range(5):
+        assert all(25 < n[f"t{t}", f"t{o}"] < 80 for o in range(5) if o != t)
+    near = other_task(df, pool, 3, "x", 1.0, df).collect()
+    for r in near:
+        if r.task is not None:
+            assert by[r.pick_id][2] == by[r.ref_id][2]
+    # One of the three other tasks of source s has no row in the pool: two draws of it give none.
+    lost = [r for r in near if r.task is None]
+    assert all(by[r.ref_id][2] == "s" for r in lost) and 0.04 < len(lost) / sum(r[2] == "s" for r in rows) < 0.2
+    half = other_task(df, pool, 3, "x", 0.5, df).collect()
+    share = sum(r.task is not None and by[r.pick_id][2] == by[r.ref_id][2] for r in half) / len(half)
+    assert 0.5 < share < 0.85
+
+
+def test_tries_against_step_by_step_draws(spark):
+    import hashlib
+
+    weights = {"a": 1.0, "b": 2.0, "c": 0.5, "none": 0.0}
+    rows = [(k, bool(k & 1), bool(k & 2), bool(k & 4), bool(k & 8)) for k in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, a boolean, b boolean, c boolean, known boolean")
+    out = df.select("id", samples.tried(weights, {n: F.col(n) for n in "abc"}, 7, "p", {"b": F.col("known")}, 3, 6).alias("s")).collect()
+    seen = collections.Counter()
+    for r in out:
+        can = dict(zip("abc", rows[r.id][1:4], strict=True))
+        left = {n: w for n, w in weights.items() if w > 0 and (n != "b" or rows[r.id][4])}
+        failed, want = collections.Counter(), None
+        for i in range(1, 7):
+            if not left:
+                break
+            u = int(hashlib.md5(f"7|p|{r.id}|{i}".encode()).hexdigest()[:8], 16) / 2**32 * sum(left.values())
+            below = 0.0
+            for n, w in left.items():
+                below += w
+                if u < below:
+                    break
+            if can[n]:
+                want = (n, i)
+                break
+            failed[n] += 1
+            if failed[n] == 3:
+                del left[n]
+        assert (None if r.s is None else tuple(r.s)) == want
+        seen[want and want[1]] += 1
+    assert seen[None] and max(k for k in seen if k) >= 4
+
+
+def test_dominated_pairs_by_all_pairs(spark):
+    import random
+
+    from tracklake.operators import metrics
+
+    rng = random.Random(5)
+    rows = [(k, "ab"[k % 2], rng.choice([round(rng.random(), 1), rng.random()]), rng.choice([float(rng.randint(0, 9)), rng.random()])) for k in range(300)] + [(900, "c", 1.0, 1.0), (901, "a", None, 1.0), (902, "a", 1.0, None)]
+    df = spark.createDataFrame(rows, "id bigint, g string, x double, y double")
+    got = {r.g: (r.up, r.equal, r.total) for r in metrics.dominated_pairs(df, ["g"], "x", F.col("y")).collect()}
+    for g in "abc":
+        p = [(x, y) for _, h, x, y in rows if h == g and x is not None and y is not None]
+        pairs = [(a, b) for a in p for b in p if a[0] < b[0]]
+        assert got[g] == (sum(a[1] < b[1] for a, b in pairs), sum(a[1] == b[1] for a, b in pairs), len(pairs))
+    many = spark.range(60_000).select(F.lit("g").alias("g"), F.md5(F.col("id").cast("string")).alias("x"), F.md5(F.concat(F.lit("y"), F.col("id").cast("string"))).alias("y"))
+    r = metrics.dominated_pairs(many, ["g"], "x", F.col("y")).first()
+    assert r.total == 60_000 * 59_999 // 2 and abs(r.up / r.total - 0.5) < 0.01

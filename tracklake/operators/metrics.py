@@ -50,6 +50,34 @@ def ordered_pairs(df: DataFrame, by: list[str], level: str, order: str) -> DataF
     return sides.groupBy(*by, "lower", "higher").agg(F.sum(F.col("__hi") * F.col("__before")).alias("up"), F.sum(F.col("__hi") * F.col("__lo")).alias("equal"), (F.sum("__lo") * F.sum("__hi")).alias("total"))
 
 
+def dominated_pairs(df: DataFrame, by: list[str], level: str, order: Column) -> DataFrame:
+    """(by, up, equal, total): pairs of rows of different levels, and how many have the lower level before, or an equal order.
+
+    For levels of many values.  Orders become ranks 0, 1, ...; two ranks first differ in one
+    binary digit, so the rows that share the digits above it are one small problem for each
+    digit: how many rows of digit 0 and a lower level each row of digit 1 has.  Sums that
+    run along the levels answer it.  The work is n log n for n different rows of a group.
+    """
+    given = df.where(F.col(level).isNotNull() & order.isNotNull()).select(*by, F.col(level).alias("__level"), order.alias("__order"))
+    rows = given.groupBy(*by, "__level", "__order").agg(F.count(F.lit(1)).alias("__n"))
+    group = Window.partitionBy(*by)
+    rows = rows.select(*by, "__n", (F.dense_rank().over(group.orderBy("__level")) - 1).alias("__l"), (F.dense_rank().over(group.orderBy("__order")) - 1).alias("__r"))
+    rows = rows.withColumn("__digits", F.length(F.bin(F.max("__r").over(group))))
+    each = rows.select(*by, "__n", "__l", "__r", F.explode(F.sequence(F.lit(0), F.col("__digits") - 1)).alias("__bit"))
+    bit = F.expr("shiftright(__r, __bit) & 1")
+    each = each.withColumn("__above", F.expr("shiftright(__r, __bit + 1)"))
+    sides = each.groupBy(*by, "__bit", "__above", "__l").agg(F.sum(F.when(bit == 0, F.col("__n")).otherwise(0)).alias("__lo"), F.sum(F.when(bit == 1, F.col("__n")).otherwise(0)).alias("__hi"))
+    below = F.sum("__lo").over(Window.partitionBy(*by, "__bit", "__above").orderBy("__l").rowsBetween(Window.unboundedPreceding, -1))
+    up = sides.withColumn("__below", F.coalesce(below, F.lit(0))).groupBy(*by).agg(F.sum(F.col("__hi") * F.col("__below")).alias("up"))
+    # Pairs that are equal in one thing, or differ in it, follow from sums of squares.
+    n = F.col("__n")
+    squares = rows.groupBy(*by).agg(F.sum(n).alias("__all"), F.sum(n * n).alias("__q"))
+    same = lambda c, to: rows.groupBy(*by, c).agg(F.sum("__n").alias("__s")).groupBy(*by).agg(F.sum(F.col("__s") * F.col("__s")).alias(to))
+    out = up.join(squares, by).join(same("__l", "__ql"), by).join(same("__r", "__qr"), by)
+    half = lambda c: F.expr(f"({c}) div 2")
+    return out.select(*by, "up", half("__qr - __q").alias("equal"), half("__all * __all - __ql").alias("total"))
+
+
 def ranking_pairs(df: DataFrame, level: str, strict: bool = False) -> DataFrame:
     """(task, lower, higher, correct, up, equal, total): pairs of one task and two levels whose rewards stand in their order.
 
@@ -98,7 +126,9 @@ def partial_success_ranking(df: DataFrame) -> DataFrame:
     Equal rewards count as in ``ranking_pairs``.  The bins are thirds of 0 .. 1; fewer than two of them: null.
     """
     rows = df.where("partial_success is not null")
-    pairs = ranking_pairs(rows, "partial_success").groupBy("task").agg(F.sum("correct").alias("correct"), F.sum("total").alias("total"))
+    # Along (reward, id), an equal reward counts as right if the lower partial success has the smaller id.
+    along = F.when(F.col("reward").isNotNull(), F.struct("reward", "id"))
+    pairs = dominated_pairs(rows, ["task"], "partial_success", along).where("total > 0").select("task", F.col("up").alias("correct"), "total")
     bin_ = F.when(F.col("partial_success") < 1 / 3, 0).when(F.col("partial_success") < 2 / 3, 1).otherwise(2)
     means = rows.groupBy("task").agg(*[F.avg(F.when(bin_ == k, F.col("reward"))).alias(f"b{k}") for k in range(3)])
     signs = F.filter(F.array(*[F.signum(F.col(f"b{j}") - F.col(f"b{i}")) for i, j in ((0, 1), (1, 2), (0, 2))]), lambda x: x.isNotNull())
@@ -130,7 +160,7 @@ def pearson(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 def tau_a(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """(concordant - discordant) / (n (n - 1) / 2) per group; ties add nothing.  Null for fewer than two rows."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    sums = ordered_pairs(rows, by, x, y).groupBy(*by).agg(F.sum(2 * F.col("up") + F.col("equal") - F.col("total")).alias("__s"))
+    sums = dominated_pairs(rows, by, x, F.col(y)).select(*by, (2 * F.col("up") + F.col("equal") - F.col("total")).alias("__s"))
     n = F.col("__n")
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     return sizes.join(sums, by, "left").select(*by, F.when(n > 1, F.coalesce("__s", F.lit(0)) / (n * (n - 1) / 2)).alias("tau_a"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklake.functions.draws import draw
+from tracklake.functions.draws import draw, uniform
 from tracklake.schema import quality_rank
 
 
@@ -41,28 +43,62 @@ def task_cross(df: DataFrame, tasks: DataFrame) -> DataFrame:
     return df.withColumnRenamed("task", "video_task").crossJoin(F.broadcast(tasks.select(F.col("task").alias("lang_task"))))
 
 
-def other_task(refs: DataFrame, pool: DataFrame, seed: int, purpose: str) -> DataFrame:
-    """For each ref another task, each task alike whatever its size, then a row of it; nulls if there is no other task.
+def numbered(df: DataFrame, keys: Sequence[str], seed: int, purpose: str, id_: str = "id") -> DataFrame:
+    """Adds place, from 0 in each group of keys, and n, its rows; counted in 4096 blocks, so that no group is numbered in one task."""
+    dealt = df.withColumn("__b", F.substring(draw(seed, purpose, id_), 1, 3))
+    counts = dealt.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__k"))
+    w = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("__k").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*keys, "__b", before.alias("__start"), F.sum("__k").over(w).alias("n"))
+    own = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(id_)) - 1
+    return dealt.join(starts, [*keys, "__b"]).withColumn("place", F.col("__start") + own).drop("__b", "__start")
+
+
+def spot(seed: int, purpose: str, *key: Column | str) -> Column:
+    """A whole number of 32 bits of a row's own."""
+    return F.conv(F.substring(draw(seed, purpose + "-spot", *(key or ("id",))), 1, 8), 16, 10).cast("bigint")
+
+
+def without_own(number: Column, n: Column, own: Column) -> Column:
+    """A place below n, each alike but the row's own; null if there is none."""
+    m = n - own.isNotNull().cast("int")
+    place = F.when(m > 0, number % F.greatest(m, F.lit(1)))
+    return place + F.coalesce((place >= own).cast("int"), F.lit(0))
+
+
+def other_task(refs: DataFrame, pool: DataFrame, seed: int, purpose: str, same_source: float = 0.0, everything: DataFrame | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """(ref_id, task, pick_id, carried columns): for each ref another task, each task alike whatever its size, then a row of it, each alike; nulls if there is none.
 
-    The tasks stand in the order of their draws on a ring; a ref takes the one at a place
-    of its own, or the next if that is its own task.
+    same_source: the share of refs (with data_source) that take a task of their own source,
+    of all rows of ``everything``; one that has no row in the pool is drawn once more, and
+    two of them give no pick.  Refs whose source has no other task take any task.
     """
-    tasks = pool.select("task").where("task is not null").distinct()
-    # Tasks are numbered in 4096 blocks: no window over all of them in one task.
-    blocks = tasks.withColumn("d", draw(seed, purpose, "task")).withColumn("block", F.substring("d", 1, 3))
-    sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("k"))
-    order = Window.orderBy("block")  # over the counts of the blocks
-    starts = sizes.select("block", F.coalesce(F.sum("k").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("k").over(Window.partitionBy()).alias("n"))
-    ring = blocks.join(F.broadcast(starts), "block").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("block").orderBy("d", "task")) - 1).select("task", "place")
-    n = F.broadcast(starts.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")))  # one row
-    hexadecimal = F.conv(F.substring(draw(seed, purpose + "-spot", "id"), 1, 8), 16, 10).cast("bigint")
-    asked = refs.select(F.col("id").alias("ref_id"), F.col("task").alias("own"), hexadecimal.alias("spot")).crossJoin(n).withColumn("place", F.when(F.col("n") > 0, F.col("spot") % F.greatest("n", F.lit(1))))
-    first = asked.join(ring, "place", "left")
-    own = F.col("task").eqNullSafe(F.col("own"))
-    again = first.where(own & F.col("task").isNotNull()).select("ref_id", "own", ((F.col("place") + 1) % F.col("n")).alias("place")).join(ring, "place", "left").select("ref_id", F.when(~own, F.col("task")).alias("task"))
-    chosen = first.where(~(own & F.col("task").isNotNull())).select("ref_id", "task").unionByName(again)
-    best = pool.groupBy(F.col("task").alias("t")).agg(F.min_by("id", draw(seed, purpose + "-row", "id")).alias("pick_id"))
-    return chosen.join(best, F.col("task") == F.col("t"), "left").select("ref_id", "task", "pick_id")
+    tasks = numbered(pool.select("task").where("task is not null").distinct().withColumn("one", F.lit(1)), ["one"], seed, purpose, "task")
+    sized = tasks.select("task", F.col("place").alias("own"), "n")
+    total = F.broadcast(tasks.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")))  # one row
+    asked = refs.select(F.col("id").alias("ref_id"), "task", *(["data_source"] if same_source > 0 else []))
+    asked = asked.crossJoin(total).join(sized.drop("n"), "task", "left")
+    asked = asked.withColumn("any_place", without_own(spot(seed, purpose, "ref_id"), F.col("n"), F.col("own"))).drop("n", "own")
+    places = tasks.select(F.col("place").alias("any_place"), F.col("task").alias("any_task"))
+    chosen = asked.join(places, "any_place", "left").select("ref_id", *(["task", "data_source"] if same_source > 0 else []), "any_task")
+    if same_source > 0:
+        of = (pool if everything is None else everything).select("data_source", "task").where("task is not null and data_source is not null").distinct()
+        named = numbered(of, ["data_source"], seed, purpose + "-source", "task").join(tasks.select("task", F.lit(True).alias("good")), "task", "left")
+        sizes = F.broadcast(named.groupBy("data_source").agg(F.max("n").alias("n")))  # one row a source
+        coin = uniform(seed, purpose + "-coin", "ref_id") < same_source
+        own = named.select("data_source", "task", F.col("place").alias("own"))
+        near = chosen.where(coin).join(sizes, "data_source").join(own, ["data_source", "task"], "left")
+        near = near.select("ref_id", "data_source", "n", "own", F.explode(F.array(F.lit(1), F.lit(2))).alias("try"))
+        near = near.withColumn("place", without_own(spot(seed, purpose + "-near", "ref_id", "try"), F.col("n"), F.col("own"))).where("place is not null")
+        hits = near.join(named.select("data_source", "place", F.col("task").alias("hit"), "good"), ["data_source", "place"])
+        best = hits.groupBy("ref_id").agg(F.min_by("hit", F.when(F.col("good"), F.col("try"))).alias("near_task"), F.lit(True).alias("near"))
+        chosen = chosen.join(best, "ref_id", "left").withColumn("any_task", F.when(F.col("near"), F.col("near_task")).otherwise(F.col("any_task")))
+    rows = numbered(pool.select("id", "task", *carry).where("task is not null"), ["task"], seed, purpose + "-row")
+    counts = rows.groupBy("task").agg(F.max("n").alias("n"))
+    wanted = chosen.select("ref_id", F.col("any_task").alias("task")).join(counts, "task", "left")
+    wanted = wanted.withColumn("place", spot(seed, purpose + "-pick", "ref_id") % F.col("n")).drop("n")
+    found = rows.select("task", "place", F.col("id").alias("pick_id"), *[F.col(c).alias(f"pick_{c}") for c in carry])
+    return wanted.join(found, ["task", "place"], "left").select("ref_id", "task", "pick_id", *[f"pick_{c}" for c in carry])
 
 
 def paired_tasks(df: DataFrame) -> DataFrame:

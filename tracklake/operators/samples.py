@@ -1,8 +1,8 @@
 """Training samples as joins: partners for every row, strategies that a row can have, walks over its frames.
 
-The samplers of a training loop draw until something fits.  Here every partner is looked
-up once, what does not fit is blocked, and the first strategy that is free in the order of
-weighted draws is taken, which gives each the same probability as drawing again would.
+Every partner is looked up once, which tells what strategies a row can have.  Strategies are
+then drawn by weight until one fits; one that has failed a few times is drawn no more.  The
+draws depend on the row and the number of the try alone.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.functions import frames as fr
-from tracklake.functions.draws import draw, ladder, uniform
-from tracklake.operators.pairs import other_task
+from tracklake.functions.draws import ladder, uniform
+from tracklake.operators.pairs import numbered, other_task, spot, without_own
 
 PREFERENCE = {"rewind": 1.0, "suboptimal": 1.0, "different_task": 1.0, "reverse_progress": 1.0}
 PROGRESS = {"different_task_instruction": 1.0, "forward_progress": 1.0, "reverse_progress": 1.0, "rewind": 1.0}
@@ -25,21 +25,6 @@ WALKS = {"rewind": "rewind", "reverse_progress": "reverse"}
 LEAST_FRAMES = 3
 
 
-def numbered(df: DataFrame, keys: Sequence[str], seed: int, purpose: str) -> DataFrame:
-    """Adds place, from 0 in each group of keys, and n, its rows; counted in 4096 blocks, so that no group is numbered in one task."""
-    dealt = df.withColumn("__b", F.substring(draw(seed, purpose, "id"), 1, 3))
-    counts = dealt.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__k"))
-    w = Window.partitionBy(*keys)
-    before = F.coalesce(F.sum("__k").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(*keys, "__b", before.alias("__start"), F.sum("__k").over(w).alias("n"))
-    own = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy("id")) - 1
-    return dealt.join(starts, [*keys, "__b"]).withColumn("place", F.col("__start") + own).drop("__b", "__start")
-
-
-def _spot(seed: int, purpose: str) -> Column:
-    return F.conv(F.substring(draw(seed, purpose + "-spot", "id"), 1, 8), 16, 10).cast("bigint")
-
-
 def pick(refs: DataFrame, pool: DataFrame, keys: Sequence[str], seed: int, purpose: str, carry: Sequence[str] = ()) -> DataFrame:
     """(ref_id, pick_id, carried columns): for each ref another row of the pool with its keys, each alike; nulls if there is none.
 
@@ -51,61 +36,127 @@ def pick(refs: DataFrame, pool: DataFrame, keys: Sequence[str], seed: int, purpo
     own = places.select(F.col("id"), *keys, F.col("place").alias("own"))
     asked = refs.select("id", *keys).join(own, ["id", *keys], "left").join(sizes, list(keys), "left")
     m = F.col("n") - F.col("own").isNotNull().cast("int")
-    asked = asked.withColumn("m", m).withColumn("place", F.when(F.col("m") > 0, _spot(seed, purpose) % F.greatest("m", F.lit(1))))
+    asked = asked.withColumn("m", m).withColumn("place", F.when(F.col("m") > 0, spot(seed, purpose) % F.greatest("m", F.lit(1))))
     asked = asked.withColumn("place", F.col("place") + F.coalesce((F.col("place") >= F.col("own")).cast("int"), F.lit(0)))
     found = places.select(*keys, "place", F.col("id").alias("pick_id"), *[F.col(c).alias(f"pick_{c}") for c in carry])
     return asked.select(F.col("id").alias("ref_id"), *keys, "place").join(found, [*keys, "place"], "left").drop(*keys, "place")
 
 
 def pick_other_partial(df: DataFrame, least: float, seed: int, purpose: str, carry: Sequence[str] = ()) -> DataFrame:
-    """(ref_id, pick_id, carried columns): for each row with a partial success another of its task whose value differs by ``least`` or more.
+    """(ref_id, pick_id, carried columns): for each row with a partial success another of its task whose value is lower or higher by ``least`` or more, each alike.
 
-    The values of a task that are far enough from each value share a range of numbers by
-    their rows; a ref's number names the value, and the row among those of the value.
+    The rows of a task have places along their values.  Those that are low enough come
+    first, those that are high enough last; how many they are is looked up for each value
+    in one pass along all values and all bounds, so no pairs of values are formed.
     """
+    return df.select(F.col("id").alias("ref_id")).join(_other_partial(df, least, seed, purpose, carry), "ref_id", "left")
+
+
+def _other_partial(df: DataFrame, least: float, seed: int, purpose: str, carry: Sequence[str]) -> DataFrame:
+    """The rows of ``pick_other_partial`` that have a pick."""
     rows = df.where(F.col("partial_success").isNotNull()).select("id", "task", F.col("partial_success").alias("ps"), *carry)
     places = numbered(rows, ["task", "ps"], seed, purpose)
     sizes = places.groupBy("task", "ps").agg(F.max("n").alias("n"))
-    far = sizes.select("task", "ps").join(sizes.select("task", F.col("ps").alias("other"), "n"), "task").where(F.abs(F.col("ps") - F.col("other")) >= least)
-    w = Window.partitionBy("task", "ps")
-    far = far.withColumn("hi", F.sum("n").over(w.orderBy("other").rowsBetween(Window.unboundedPreceding, 0))).withColumn("m", F.sum("n").over(w))
-    asked = rows.select("id", "task", "ps", _spot(seed, purpose).alias("spot")).join(far, ["task", "ps"])
-    spot = F.col("spot") % F.col("m")
-    asked = asked.where((spot < F.col("hi")) & (spot >= F.col("hi") - F.col("n"))).select("id", "task", F.col("other").alias("ps"), (spot - F.col("hi") + F.col("n")).alias("place"))
-    found = places.select("task", "ps", "place", F.col("id").alias("pick_id"), *[F.col(c).alias(f"pick_{c}") for c in carry])
-    got = asked.join(found, ["task", "ps", "place"]).select(F.col("id").alias("ref_id"), "pick_id", *[f"pick_{c}" for c in carry])
-    return df.select(F.col("id").alias("ref_id")).join(got, "ref_id", "left")
-
-
-def partners(df: DataFrame, seed: int, least: float = 0.2) -> DataFrame:
+    # Bounds stand behind (low) or before (high) the values that are equal to them.
+    kinds = [(F.col("ps"), 1, F.col("n")), (F.col("ps") - least, 2, F.lit(0)), (F.col("ps") + least, 0, F.lit(0))]
+    marks = sizes.select("task", "ps", F.explode(F.array(*[F.struct(x.alias("x"), F.lit(k).alias("kind"), n.cast("bigint").alias("k")) for x, k, n in kinds])).alias("m")).select("task", "ps", "m.*")
+    w = Window.partitionBy("task")
+    marks = marks.withColumn("until", F.sum("k").over(w.orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("k").over(w))
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, c))
+    known = marks.groupBy("task", "ps").agg(of(1, F.col("until") - F.col("k")).alias("start"), of(2, F.col("until")).alias("low"), of(0, F.col("until")).alias("high"), F.max("all").alias("all"))
+    placed = places.join(known, ["task", "ps"]).withColumn("at", F.col("start") + F.col("place"))
+    m = F.col("low") + F.col("all") - F.col("high")
+    number = F.when(m > 0, spot(seed, purpose) % F.greatest(m, F.lit(1)))
+    asked = placed.select(F.col("id").alias("ref_id"), "task", F.when(number < F.col("low"), number).otherwise(F.col("high") + number - F.col("low")).alias("at"))
+    found = placed.select("task", "at", F.col("id").alias("pick_id"), *[F.col(c).alias(f"pick_{c}") for c in carry])
+    return asked.join(found, ["task", "at"]).drop("task", "at")
+
+
+#: Rows of a task by (successful, robot): the cells of which partners are drawn.
+CELLS = {"optimal": (2, 3), "plain": (0, 1), "robot": (1,)}
+
+
+def partners(df: DataFrame, seed: int, least: float = 0.2, same_source: float = 0.5) -> DataFrame:
     """Each row with its partners (struct of id, task, num_frames, partial_success; null: none).
 
     optimal: a successful row of its task; suboptimal: a row of its task that is not, or
     one of another partial success where the row has one; other: a row of another task
-    that has successful ones; opposite: a successful row of the other kind, human or robot;
-    robot: a robot's row that is not successful.
+    that has successful ones, for ``same_source`` of the rows of a task of their source;
+    opposite: a successful row of the other kind, human or robot; robot: a robot's row that
+    is not successful.  Rows are numbered once, by task and cell; the four picks of a row
+    within its task are numbers of one or two cells, and are looked up together.
     """
     carry = ["num_frames", "partial_success"]
-    good, bad = df.where("quality_label = 'successful'"), df.where("quality_label <> 'successful'")
-    flipped = df.withColumn("is_robot", ~F.col("is_robot"))
+    cell = 2 * F.coalesce((F.col("quality_label") == "successful").cast("int"), F.lit(0)) + F.coalesce(F.col("is_robot").cast("int"), F.lit(0))
+    rows = df.where("quality_label is not null").select("id", "task", "is_robot", cell.alias("cell"), *carry)
+    places = numbered(rows, ["task", "cell"], seed, "cell")
+    sizes = places.groupBy("task").agg(*[F.coalesce(F.max(F.when(F.col("cell") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(4)])
+    asked = places.select("id", "task", "is_robot", F.col("cell").alias("own_cell"), F.col("place").alias("own")).join(sizes, "task")
+    wants = []
+    for name, cells in [*CELLS.items(), ("human", (2,)), ("machine", (3,))]:
+        purpose = "opposite" if name in ("human", "machine") else name
+        first, both = F.col(f"n{cells[0]}"), sum(F.col(f"n{c}") for c in cells)
+        own = F.when(F.col("own_cell") == cells[0], F.col("own"))
+        if len(cells) == 2:
+            own = own.when(F.col("own_cell") == cells[1], first + F.col("own"))
+        at = without_own(spot(seed, purpose), both, own)
+        if name in ("human", "machine"):  # the kind that the row is not
+            at = F.when(F.col("is_robot") == (name == "human"), at)
+        wants.append(F.struct(F.lit(purpose).alias("name"), F.when(at < first, cells[0]).otherwise(cells[-1]).alias("cell"), F.when(at < first, at).otherwise(at - first).alias("place")))
+    wanted = asked.select(F.col("id").alias("ref_id"), "task", F.explode(F.filter(F.array(*wants), lambda x: x["place"].isNotNull())).alias("w")).select("ref_id", "task", "w.*")
+    found = wanted.join(places.select("task", "cell", "place", F.struct("id", *carry).alias("got")), ["task", "cell", "place"])
+    picks = found.groupBy(F.col("ref_id").alias("id")).agg(*[F.max(F.when(F.col("name") == n, F.col("got"))).alias(n) for n in ("optimal", "plain", "robot", "opposite")])
 
     def named(picks: DataFrame, name: str) -> DataFrame:
         return picks.select(F.col("ref_id").alias("id"), F.when(F.col("pick_id").isNotNull(), F.struct(F.col("pick_id").alias("id"), *[F.col(f"pick_{c}").alias(c) for c in carry])).alias(name))
 
-    plain = named(pick(df, bad, ["task"], seed, "suboptimal", carry), "plain")
-    partial = named(pick_other_partial(df, least, seed, "partial", carry), "partial")
-    found = other_task(df, good, seed, "other").join(good.select(F.col("id").alias("pick_id"), *carry), "pick_id", "left")
-    other = found.select(F.col("ref_id").alias("id"), F.when(F.col("pick_id").isNotNull(), F.struct(F.col("pick_id").alias("id"), *carry)).alias("other"), F.col("task").alias("other_task"))
-    robots = bad.where("is_robot")
+    partial = named(_other_partial(df, least, seed, "partial", carry), "partial")
+    drawn = other_task(df, df.where("quality_label = 'successful'"), seed, "other", same_source, df, carry)
+    got = F.when(F.col("pick_id").isNotNull(), F.struct(F.col("pick_id").alias("id"), *[F.col(f"pick_{c}").alias(c) for c in carry]))
+    other = drawn.select(F.col("ref_id").alias("id"), got.alias("other"), F.col("task").alias("other_task"))
     out = df
-    for part in (
-        named(pick(df, good, ["task"], seed, "optimal", carry), "optimal"), plain, partial, other,
-        named(pick(flipped, good, ["task", "is_robot"], seed, "opposite", carry), "opposite"), named(pick(df, robots, ["task"], seed, "robot", carry), "robot"),
-    ):
+    for part in (picks, partial, other):
         out = out.join(part, "id", "left")
     return out.withColumn("suboptimal", F.when(F.col("partial_success").isNotNull(), F.col("partial")).otherwise(F.col("plain"))).drop("plain", "partial")
 
 
+#: Tries in all, and failures after which a strategy is drawn no more.
+MOST_TRIES, MOST_FAILURES, MOST_SIMILARITY_FAILURES = 10, 3, 4
+
+
+def tried(weights: dict[str, float], can: dict[str, Column], seed: int, purpose: str, has: dict[str, Column] | None = None, failures: int = MOST_FAILURES, tries: int = MOST_TRIES) -> Column:
+    """(name, attempt): the first strategy that succeeds, drawn by weight again and again; null if none does.
+
+    A strategy that has failed ``failures`` times is drawn no more, and the others share its
+    weight; after ``tries`` draws, or with no strategy left, there is none.  can: whether a
+    row's strategy succeeds; has: whether the row's draws know the strategy at all.  A fold
+    over the draws carries the failures of each strategy.
+    """
+    names = [n for n, w in weights.items() if w > 0]
+    known = [F.coalesce((has or {}).get(n, F.lit(True)), F.lit(False)) for n in names]
+    fine = F.array(*[F.coalesce(can[n], F.lit(False)) for n in names])
+    start = F.struct(F.lit(None).cast("string").alias("name"), F.lit(0).alias("attempt"), F.array(*[F.when(k, 0).otherwise(failures) for k in known]).alias("failed"))
+
+    def once(state: Column, i: Column) -> Column:
+        left = [F.when(F.get(state["failed"], F.lit(k)) < failures, float(weights[n])).otherwise(0.0) for k, n in enumerate(names)]
+        total = sum(left, F.lit(0.0))
+        u = uniform(seed, purpose, "id", i) * total
+        at, below = F.lit(None).cast("int"), F.lit(0.0)
+        branches = []
+        for k in range(len(names)):
+            below = below + left[k]
+            branches.append(F.when((left[k] > 0) & (u < below), k))
+        # Rounding may leave u above all sums: the last one that is left.
+        at = F.coalesce(*branches, *[F.when(left[k] > 0, k) for k in reversed(range(len(names)))], at)
+        hit = F.get(fine, at)
+        failed = F.transform(state["failed"], lambda f, k: F.when((k == at) & ~hit, f + 1).otherwise(f))
+        drawn = F.struct(F.when(hit, F.get(F.array(*map(F.lit, names)), at)).alias("name"), (state["attempt"] + 1).alias("attempt"), failed.alias("failed"))
+        return F.when(state["name"].isNotNull() | at.isNull(), state).otherwise(drawn)
+
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(tries)), start, once)
+    return F.transform(F.array(end), lambda e: F.when(e["name"].isNotNull(), F.struct(e["name"].alias("name"), e["attempt"].alias("attempt"))))[0]
+
+
 def first_free(weights: dict[str, float], free: dict[str, Column], seed: int, purpose: str) -> Column:
     """(name, attempt): the first option in the order of weighted draws that is free, and its place in that order; null if none is."""
     ranked = F.array_sort(F.array(*[F.struct((-F.pow(uniform(seed, f"{purpose}-{n}", "id") + 1e-12, 1 / w)).alias("r"), F.lit(n).alias("name"), F.coalesce(free[n], F.lit(False)).alias("free")) for n, w in weights.items() if w > 0]))
@@ -118,6 +169,23 @@ def _enough(side: str | None = None) -> Column:
     return (F.col("num_frames") if side is None else F.col(f"{side}.num_frames")) >= LEAST_FRAMES
 
 
+def preference_can() -> dict[str, Column]:
+    return {"rewind": _enough(), "reverse_progress": _enough(), "suboptimal": _enough() & _enough("suboptimal"), "different_task": _enough() & _enough("other")}
+
+
+def progress_can() -> dict[str, Column]:
+    return {"different_task_instruction": _enough() & F.col("other_task").isNotNull(), "forward_progress": _enough(), "reverse_progress": _enough(), "rewind": _enough()}
+
+
+def similarity_can() -> dict[str, Column]:
+    """Of rows with a reference's right; the sources that know a strategy are not asked here."""
+    return {
+        "rewind": F.col("optimal").isNotNull() & _enough(),
+        "suboptimal": F.col("optimal").isNotNull() & F.col("suboptimal").isNotNull(),
+        "paired_human_robot": F.col("opposite").isNotNull() & (F.col("robot").isNotNull() | F.col("other").isNotNull()),
+    }
+
+
 def preference_samples(rows: DataFrame, seed: int, weights: dict[str, float] = PREFERENCE) -> DataFrame:
     """(id, chosen_id, rejected_id, strategy, chosen_walk, rejected_walk, attempt) of rows with partners; nulls where nothing fits.
 
@@ -127,8 +195,7 @@ def preference_samples(rows: DataFrame, seed: int, weights: dict[str, float] = P
     partial successes the greater one is chosen.
     """
     whole = (F.col("quality_label") != "successful") & F.col("partial_success").isNull() & F.col("optimal").isNotNull()
-    free = {"rewind": _enough(), "reverse_progress": _enough(), "suboptimal": _enough() & _enough("suboptimal"), "different_task": _enough() & _enough("other")}
-    s = rows.withColumn("s", F.when(whole, F.struct(F.lit("suboptimal").alias("name"), F.lit(1).alias("attempt"))).otherwise(first_free(weights, free, seed, "preference")))
+    s = rows.withColumn("s", F.when(whole, F.struct(F.lit("suboptimal").alias("name"), F.lit(1).alias("attempt"))).otherwise(tried(weights, preference_can(), seed, "preference")))
     name = F.col("s.name")
     rejected = F.when(whole, F.col("id")).when(name == "suboptimal", F.col("suboptimal.id")).when(name == "different_task", F.col("other.id")).when(name.isNotNull(), F.col("id"))
     chosen = F.when(whole, F.col("optimal.id")).when(name.isNotNull(), F.col("id"))
@@ -144,8 +211,7 @@ def preference_samples(rows: DataFrame, seed: int, weights: dict[str, float] = P
 
 def progress_samples(rows: DataFrame, seed: int, weights: dict[str, float] = PROGRESS) -> DataFrame:
     """(id, task, instruction, strategy, walk, is_other, attempt); is_other: the instruction is another task's, so all its targets are 0."""
-    free = {"different_task_instruction": _enough() & F.col("other_task").isNotNull(), "forward_progress": _enough(), "reverse_progress": _enough(), "rewind": _enough()}
-    s = rows.withColumn("s", first_free(weights, free, seed, "progress"))
+    s = rows.withColumn("s", tried(weights, progress_can(), seed, "progress"))
     name = F.col("s.name")
     walk = F.when(name == "reverse_progress", "reverse").when(name == "rewind", "rewind").when(name.isNotNull(), "forward")
     other = name == "different_task_instruction"
@@ -163,13 +229,9 @@ def similarity_samples(rows: DataFrame, seed: int, failures: Sequence[str], pair
     coin = uniform(seed, "diff", "id") < 0.5
     diff = F.when(F.col("robot").isNull() | (~coin & F.col("other").isNotNull()), F.col("other.id")).otherwise(F.col("robot.id"))
     fit = F.col("partial_success").isNotNull() | (F.col("quality_label") == "successful")
-    free = {
-        "rewind": F.col("optimal").isNotNull() & _enough(),
-        "suboptimal": source.isin(*failures) & F.col("optimal").isNotNull() & F.col("suboptimal").isNotNull(),
-        "paired_human_robot": source.isin(*paired) & F.col("opposite").isNotNull() & diff.isNotNull(),
-    }
+    has = {"rewind": F.lit(True), "suboptimal": source.isin(*failures), "paired_human_robot": source.isin(*paired)}
     boosted = {n: w if n == "rewind" else 2 * w for n, w in weights.items()}
-    s = rows.where(fit).withColumn("s", first_free(boosted, free, seed, "similarity"))
+    s = rows.where(fit).withColumn("s", tried(boosted, similarity_can(), seed, "similarity", has, MOST_SIMILARITY_FAILURES))
     name = F.col("s.name")
     return s.select(
         "id", F.when(name == "paired_human_robot", F.col("opposite.id")).when(name.isNotNull(), F.col("optimal.id")).alias("sim_id"),
@@ -224,36 +286,62 @@ def trajectory_view(df: DataFrame, max_frames: int, seed: int, walk: str = "walk
     return df.drop("__path", "__progress", "__keep", "__target")
 
 
-def strategy_first(df: DataFrame, n: int, kinds: dict[str, float], strategies: dict[str, dict[str, float]], sources: dict[str, Sequence[str]], seed: int) -> DataFrame:
-    """(draw, kind, strategy, data_source, id): n draws of a kind, a strategy of it, a source that suits it, and a row of the source.
+def row_class(strategy: Column, kind: Column) -> Column:
+    """What a row must be to be drawn for a strategy: good, mixed (its task has both labels) or any."""
+    own = (strategy == "rewind") | ((strategy == "reverse_progress") & kind.isin("preference", "progress")) | ((strategy == "forward_progress") & (kind == "progress"))
+    return F.when(own, "good").when((strategy == "suboptimal") & kind.isin("preference", "similarity"), "mixed").otherwise("any")
+
+
+def strategy_first(rows: DataFrame, n: int, kinds: dict[str, float], strategies: dict[str, dict[str, float]], sources: dict[str, Sequence[str]], seed: int, preference_only: Sequence[str] = (), tries: int = MOST_TRIES) -> DataFrame:
+    """(draw, kind, strategy, made, data_source, id, attempt): n draws of a kind and a strategy of it, then up to ``tries`` draws of a source and a row of it until one can have the strategy.
 
-    ``sources`` names those that suit a strategy; other strategies, and those that none of
-    the table's sources suits, take any.  Sources count alike.
+    rows: with partners.  ``sources`` names those that suit a strategy; other strategies,
+    and those that none of the table's sources suits, take any.  Sources count alike; rows
+    are drawn among those that suit the strategy, and none of them is a failed try.  made:
+    the kind of the sample, preference for rows that are not successful and for
+    preference-only sources.  Draws without a row are left out.  All tries of a draw are
+    looked up together; the first that succeeds counts.
     """
-    spark = df.sparkSession
+    spark = rows.sparkSession
     asked = spark.range(n).select(F.col("id").alias("draw"), F.col("id"))
     asked = asked.withColumn("kind", ladder(uniform(seed, "kind", "id"), kinds))
     name = F.lit(None).cast("string")
     for kind, ratios in strategies.items():
         name = F.when(F.col("kind") == kind, ladder(uniform(seed, f"strategy-{kind}", "id"), ratios)).otherwise(name)
-    asked = asked.withColumn("strategy", name)
-    places = numbered(df.select("id", "data_source"), ["data_source"], seed, "row")
-    sizes = places.groupBy("data_source").agg(F.max("n").alias("n"))
-    have = sizes.agg(F.array_sort(F.collect_list("data_source")).alias("have"))  # a short list of names
+    asked = asked.withColumn("strategy", name).withColumn("class", row_class(F.col("strategy"), F.col("kind")))
+    good = F.col("quality_label") == "successful"
+    both = rows.groupBy("task").agg((F.max(good.cast("int")) + F.max((~good).cast("int"))).alias("k")).where("k = 2").select("task", F.lit(True).alias("both"))
+    exempt = F.coalesce(F.lower("data_source").rlike("roboarena|roboreward"), F.lit(False))
+    classes = F.filter(F.array(F.when(good, "good"), F.when(exempt | F.col("both"), "mixed"), F.lit("any")), lambda x: x.isNotNull())
+    known = rows.join(both, "task", "left").select("data_source", "id", F.explode(classes).alias("class"))
+    places = numbered(known, ["data_source", "class"], seed, "row")
+    sizes = F.broadcast(places.groupBy("data_source", "class").agg(F.max("n").alias("n")))  # three rows a source
+    have = rows.agg(F.array_sort(F.collect_set("data_source")).alias("have"))  # a short list of names
     suits = F.col("have")
     for strategy, names in sources.items():
         some = F.filter("have", lambda x: x.isin(*names))  # noqa: B023
         suits = F.when((F.col("strategy") == strategy) & (F.size(some) > 0), some).otherwise(suits)
-    asked = asked.crossJoin(F.broadcast(have)).withColumn("suits", suits)
-    at = F.floor(uniform(seed, "source", "id") * F.size("suits")).cast("int")
-    asked = asked.withColumn("data_source", F.get("suits", at)).join(F.broadcast(sizes), "data_source")
-    asked = asked.withColumn("place", F.floor(uniform(seed, "place", "id") * F.col("n")).cast("bigint")).select("draw", "kind", "strategy", "data_source", "place")
-    return asked.join(places.select("data_source", "place", "id"), ["data_source", "place"]).drop("place")
+    each = asked.crossJoin(F.broadcast(have)).withColumn("suits", suits).withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(tries))))
+    at = F.floor(uniform(seed, "source", "id", "attempt") * F.size("suits")).cast("int")
+    each = each.withColumn("data_source", F.get("suits", at)).join(sizes, ["data_source", "class"])
+    each = each.withColumn("place", F.floor(uniform(seed, "place", "id", "attempt") * F.col("n")).cast("bigint")).drop("id", "n", "have", "suits")
+    drawn = each.join(places.select("data_source", "class", "place", "id"), ["data_source", "class", "place"])
+    can = {"preference": preference_can(), "progress": progress_can(), "similarity": similarity_can()}
+    able = rows.select("id", good.alias("good"), (F.col("quality_label") == "successful").alias("reference"), F.col("partial_success").isNotNull().alias("partial"), *[F.coalesce(c, F.lit(False)).alias(f"{k}-{s}") for k, of in can.items() for s, c in of.items()])
+    met = drawn.join(able, "id")
+    made = F.when(~F.coalesce("good", F.lit(False)) | F.col("data_source").isin(*preference_only), "preference").otherwise(F.col("kind"))
+    fits = F.lit(False)
+    for k, of in can.items():
+        for s in of:
+            right = F.col(f"{k}-{s}") & (F.col("reference") | F.col("partial") if k == "similarity" else F.lit(True))
+            fits = F.when((F.col("made") == k) & (F.col("strategy") == s), right).otherwise(fits)
+    best = met.withColumn("made", made).where(fits).groupBy("draw").agg(F.min(F.struct("attempt", "kind", "strategy", "made", "data_source", "id")).alias("b"))
+    return best.select("draw", "b.kind", "b.strategy", "b.made", "b.data_source", "b.id", "b.attempt")
 
 
 def suits_strategy(strategy: Column, kind: Column, tasks_with_both: Column) -> Column:
     """Whether a row can be drawn for a strategy: successful rows for walks of their own, tasks with both labels for suboptimal partners, save sources with partial success."""
     good = F.col("quality_label") == "successful"
-    own = (strategy == "rewind") | ((strategy == "reverse_progress") & kind.isin("preference", "progress")) | ((strategy == "forward_progress") & (kind == "progress"))
     exempt = F.coalesce(F.lower("data_source").rlike("roboarena|roboreward"), F.lit(False))
-    return F.when(own, good).when((strategy == "suboptimal") & kind.isin("preference", "similarity") & ~exempt, tasks_with_both).otherwise(F.lit(True))
+    asked = row_class(strategy, kind)
+    return F.when(asked == "good", good).when((asked == "mixed") & ~exempt, tasks_with_both).otherwise(F.lit(True))

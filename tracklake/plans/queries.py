@@ -391,13 +391,32 @@ def lang_video_cross(spark, d):
     return pairs.task_cross(t.where("quality_label = 'successful'"), tasks).groupBy("lang_task").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
 
 
-def _other(seed: str, purpose: str, refs: str, pool: str = "traj") -> str:
-    """CTEs of the ring of tasks and of ``other`` (ref_id, task, pick_id) for refs (id, task)."""
-    return f"""ring AS (SELECT task, row_number() OVER (ORDER BY md5(concat_ws('|', '{seed}', '{purpose}', task)), task) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT task FROM {pool})),
- asked AS (SELECT id AS ref_id, task AS own, {_hex(f"'{seed}'", f"'{purpose}-spot'", "CAST(id AS VARCHAR)")} % (SELECT max(n) FROM ring) AS spot FROM {refs}),
- spot AS (SELECT ref_id, own, CASE WHEN ring.task = own THEN (spot + 1) % n ELSE spot END AS place FROM asked JOIN ring ON spot = place),
- best AS (SELECT task, arg_min(id, md5(concat_ws('|', '{seed}', '{purpose}-row', CAST(id AS VARCHAR)))) AS pick_id FROM {pool} GROUP BY 1),
- other AS (SELECT ref_id, ring.task, pick_id FROM spot JOIN ring USING (place) JOIN best ON best.task = ring.task)"""
+def _without_own(number: str, n: str, own: str) -> str:
+    m = f"({n} - CASE WHEN {own} IS NULL THEN 0 ELSE 1 END)"
+    return f"CASE WHEN {m} > 0 THEN {number} % greatest({m}, 1) + CASE WHEN {number} % greatest({m}, 1) >= {own} THEN 1 ELSE 0 END END"
+
+
+def _other(seed: str, purpose: str, refs: str, pool: str = "traj", same_source: float = 0.0, everything: str = "traj") -> str:
+    """CTEs up to ``other`` (ref_id, task, pick_id) for refs (id, task, and data_source for same_source)."""
+    order = lambda p, k: f"left(md5(concat_ws('|', '{seed}', '{p}', {k})), 3), {k}"
+    number = lambda p, *k: _hex(f"'{seed}'", f"'{p}-spot'", *k)
+    out = f"""ot AS (SELECT task, row_number() OVER (ORDER BY {order(purpose, "task")}) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT task FROM {pool})),
+ oa AS (SELECT r.id AS ref_id, r.task, {"r.data_source," if same_source else ""} {_without_own(number(purpose, "CAST(r.id AS VARCHAR)"), "(SELECT max(n) FROM ot)", "ot.place")} AS any_place FROM {refs} r LEFT JOIN ot ON ot.task = r.task),
+ oc AS (SELECT oa.*, ot.task AS any_task FROM oa LEFT JOIN ot ON ot.place = any_place),"""
+    task = "any_task"
+    if same_source:
+        out += f"""
+ os AS (SELECT data_source, task, task IN (SELECT task FROM ot) AS good, row_number() OVER (PARTITION BY data_source ORDER BY {order(purpose + "-source", "task")}) - 1 AS place, count(*) OVER (PARTITION BY data_source) AS n FROM (SELECT DISTINCT data_source, task FROM {everything})),
+ oz AS (SELECT data_source, max(n) AS n FROM os GROUP BY 1),
+ oy AS (SELECT oc.ref_id, oc.data_source, k, {_without_own(number(purpose + "-near", "CAST(oc.ref_id AS VARCHAR)", "CAST(k AS VARCHAR)"), "oz.n", "os.place")} AS place FROM oc JOIN oz USING (data_source) LEFT JOIN os ON os.data_source = oc.data_source AND os.task = oc.task, range(1, 3) t(k)
+  WHERE {_u(f"'{seed}'", f"'{purpose}-coin'", "CAST(oc.ref_id AS VARCHAR)")} < {same_source}),
+ oh AS (SELECT ref_id, arg_min(os.task, k) FILTER (os.good) AS near_task FROM oy JOIN os ON os.data_source = oy.data_source AND os.place = oy.place GROUP BY 1),
+ ow AS (SELECT oc.ref_id, CASE WHEN oh.ref_id IS NOT NULL THEN near_task ELSE any_task END AS task FROM oc LEFT JOIN oh ON oh.ref_id = oc.ref_id),"""
+    else:
+        out += " ow AS (SELECT ref_id, any_task AS task FROM oc),"
+    return out + f"""
+ op AS (SELECT id, task, row_number() OVER (PARTITION BY task ORDER BY {order(purpose + "-row", "CAST(id AS VARCHAR)").rsplit(", ", 1)[0]}, id) - 1 AS place, count(*) OVER (PARTITION BY task) AS n FROM {pool}),
+ other AS (SELECT ref_id, ow.task, op.id AS pick_id FROM ow LEFT JOIN op ON op.task = ow.task AND op.place = {number(purpose + "-pick", "CAST(ow.ref_id AS VARCHAR)")} % op.n)"""
 
 
 @query(f"WITH {TRAJ}, {_other('5', 'other', 'traj')} SELECT ref_id, task, pick_id FROM other")
