@@ -176,6 +176,35 @@ def test_license_scan_genuine(spark):
     assert got == wanted
 
 
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS ``AS IS''."""
+ENDORSE = "3. Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+
+
+def test_license_scan_of_any_holder(spark):
+    from tracklake.llm.license_scan import license_scan
+
+    cases = {
+        BSD.format(ENDORSE.format("the University")): ["BSD-3-Clause"], BSD.format(ENDORSE.format("Google Inc.")): ["BSD-3-Clause"], BSD.format(ENDORSE.format("the copyright holder")): ["BSD-3-Clause"],
+        BSD.format("3. The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.\n"): ["BSD-3-Clause"], BSD.format(""): ["BSD-2-Clause"],
+        "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n": ["Apache-2.0"],
+        "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n": ["GPL-3.0-only"],
+        "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999\n": ["LGPL-2.1-only"], "Mozilla Public License Version 2.0\n==================================\n": ["MPL-2.0"],
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.": ["GPL-2.0-only"],
+        "SPDX-License-Identifier: (MIT OR Apache-2.0)": ["Apache-2.0", "MIT"], "// SPDX-License-Identifier: GPL-2.0-or-later": ["GPL-2.0-or-later"], "/* SPDX-License-Identifier: GPL-2.0-or-later OR MIT */": ["GPL-2.0-or-later", "MIT"],
+        "Released under the terms of the MIT license, see the file LICENSE.": ["MIT"], "Licensed under the GNU GPL v3 or later.": ["GPL-3.0-or-later"], "Licensed under the MIT license and the Apache License, Version 2.0.": ["Apache-2.0", "MIT"],
+        "She said the name of the author may be used with care.": [],
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id int, text string")
+    got = {r.doc_id: r.licenses for r in license_scan(df).collect()}
+    for k, (text, want) in enumerate(cases.items()):
+        assert got[k] == want, text
+
+
 def test_license_scan_columns(spark):
     from tracklake.llm.license_scan import license_scan
 
@@ -420,6 +449,25 @@ def test_html_attributes(spark):
     assert [got[k] for k in range(4)] == [{"Title Text"}, {"Head Body"}, {"yes"}, {"The text is here"}]
 
 
+WRAPPERS = ['div class="layout with-sidebar"', 'div class="has-sidebar content"', 'div id="page" class="no-sidebar"', 'div class="post comments-open"', 'div class="social-science"', 'div class="form-of-government"', 'div class="cookie-recipes"', 'section class="article-header-body"', 'div class="content-ad-free"']
+OTHERS = ['div class="site-header"', 'div class="cookie-banner"', 'div id="sidebar-left"', 'ul class="comment-list"', 'div class="ad"', 'div class="adSlot3"', 'div class="newsletter-box"', 'div class="user-comments"', 'div class="share-links"', 'div class="post-comments"', 'div class="navBar"']
+
+
+def test_html_names_of_wrappers(spark):
+    """A name marks other content only where it names it: wrappers that tell of a state or of a topic keep their text."""
+    from tracklake.llm.html_extract import extract_main_text
+
+    rows = [(k, f"<body><{w}><p>The main text {k}.</p></{w.split()[0]}></body>") for k, w in enumerate(WRAPPERS)]
+    rows += [(100 + k, f"<body><{w}><p>Other things</p></{w.split()[0]}><div><p>Kept {k}.</p></div></body>") for k, w in enumerate(OTHERS)]
+    rows += [(200, "<main><article>A teaser</article><p>The main text, which is much longer than that.</p></main>"), (201, "<main><article>The article, which is long enough to be it.</article><p>Short.</p></main>")]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame([(k, f"https://h{k}.org/", h) for k, h in rows], "page_id int, url string, html string")).collect()}
+    for k in range(len(WRAPPERS)):
+        assert got[k] == f"The main text {k}.", WRAPPERS[k]
+    for k in range(len(OTHERS)):
+        assert got[100 + k] == f"Kept {k}.", OTHERS[k]
+    assert got[200] == "A teaser The main text, which is much longer than that." and got[201] == "The article, which is long enough to be it."
+
+
 def test_html_columns_and_long_pages(spark):
     from tracklake.llm.html_extract import extract_main_text
 
@@ -549,6 +597,36 @@ def test_decontaminate(spark, docs, rows, empty):
     assert decontaminate(d, bench.limit(0)).count() == len(table)
 
 
+@pytest.mark.parametrize("bound", [0, 200_000])
+def test_decontaminate_in_any_case(spark, monkeypatch, bound):
+    from tracklake.llm import decontaminate as dc
+
+    monkeypatch.setattr(dc, "BROADCAST_WINDOWS", bound)
+    item = "a small shop sells apples near the old river, and yesterday Maria Lopez bought seven of them for her mother before the rain began to fall"
+    other = "entirely different words stand here about trains that leave the city at night and never come back to the same platform again"
+    around = "Some other words come first. {} And then the document goes on as it likes."
+    docs = [(1, item), (2, item.upper()), (3, item.title()), (4, item.lower()), (5, around.format(item.title())), (6, around.format(item.upper())), (7, other.title()), (8, around.format(other.upper())), (9, "John Paul George Ringo " * 20), (None, item.upper()), (2, other)]
+    d = spark.createDataFrame([(k, t, "x", "y", "z") for k, t in docs], "doc_id int, text string, __bad string, gone string, __own string")
+    b = spark.createDataFrame([(1, item)], "item_id int, text string")
+    got = {r.doc_id for r in dc.matched_items(d, b).where("leaked").collect()}
+    assert got == {1, 2, 3, 4, 5, 6, None}
+    assert sorted(r.doc_id for r in dc.decontaminate(d, b).collect()) == [7, 8, 9] and dc.decontaminate(d, b).columns == d.columns
+
+
+def test_columns_of_internal_names_stay(spark):
+    """Input columns named as internal ones are passed on."""
+    from tracklake.llm import minhash, quality_rules, sharding
+
+    names = ["__gone", "__s", "__b", "__n", "__start", "__block", "__q_words", "__q_text"]
+    text = " ".join(f"word{k}" for k in range(40))
+    df = spark.createDataFrame([(k, text if k < 3 else f"other text number {k} of its own", *names) for k in range(6)], ["doc_id", "text", *names])
+    kept = minhash.drop_near_duplicates(df)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 5] and kept.columns == df.columns
+    for out in (quality_rules.quality_rules(df), sharding.number_slots(df.withColumn("shard", df.doc_id % 2), "shard", ["doc_id"])):
+        rows = out.collect()
+        assert len(rows) == 6 and all(r[n] == n for r in rows for n in names)
+
+
 def test_decontaminate_slots_must_agree(spark):
     """A conflicting value takes out the windows that hold it, not those of the same words."""
     from tracklake.llm.decontaminate import matched_items
@@ -618,8 +696,8 @@ def test_toxicity_contexts():
     cases = {
         "what a moron. fine": "plain", "You absolute blorxx": "targeted", "what a moron you are": "targeted", "moron, you": "targeted", "he is not a moron": "negated", "a moron he is not": "negated",
         "someone said moron": "reported", "moron, he said": "reported", "he wrote: moron": "reported", "he wrote: fine. moron": "plain",
-        "i will kill you": "threat", "you i will kill": "threat", "ich werde dich töten": "threat", "je vais te tuer": "threat", "voy a matarte": "threat", "ich bringe dich um": "threat", "you're dead": "threat",
-        "burn them": "threat", "i will not kill you": "negated", "he said he will hurt them": "reported", "kill weeds in spring": "", "you kill": "threat", "die burn": "", "": "", "nothing here": "",
+        "i will kill you": "threat", "you i will kill": "", "ich werde dich töten": "threat", "je vais te tuer": "threat", "voy a matarte": "threat", "ich bringe dich um": "threat", "you're dead": "threat",
+        "burn them": "", "i will not kill you": "negated", "he said he will hurt you": "reported", "kill weeds in spring": "", "you kill": "", "die burn": "", "": "", "nothing here": "",
     }
     for text, want in cases.items():
         assert kind(text) == ({want} if want else set()), text
@@ -627,6 +705,24 @@ def test_toxicity_contexts():
     assert lexer.clauses("moron. moron! you moron") == [2, 1, 0, 0, 0]
 
 
+def test_toxicity_threats_are_meant():
+    """Threats in frames of intent or desert with a person as object, and sentences that only have the words."""
+    from tracklake.llm.toxicity import KINDS, Lexer
+
+    lexer = Lexer(("moron",))
+    threat = lambda t: lexer.clauses(t)[KINDS.index("threat")] > 0
+    for t in [
+        "I am going to kill your family", "You people deserve to be shot", "I hope somebody stabs you", "someone should shoot him", "we'll burn you alive", "I'm gonna hurt you", "you deserve to die", "i want to strangle her", "they deserve to be hanged.",
+        "ich will dich töten", "ich werde ihn umbringen", "je veux te tuer", "quiero matarte", "voy a golpear a tu madre", "mereces morir", "watch your back",
+    ]:
+        assert threat(t), t
+    for t in [
+        "Hang them on the wall.", "Shoot us an email if you have questions.", "The film is about an attempt to kill him.", "I will kill the process and restart it.", "You can burn the disc.", "Who will kill the lights? You?", "They hang out with you.",
+        "This may hurt you a little", "I will hang the picture for you", "the stain will burn off, trust her", "you deserve a break", "matar el tiempo contigo", "Die Sonne wird dich nicht töten", "we should shoot the video", "i hope you like it. burn the candle",
+    ]:
+        assert not threat(t), t
+
+
 def test_toxicity_automaton():
     """The table of the context transducer against the rules said clause by clause, for every string of symbols up to five."""
     import itertools

@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for all executors; a temporary one only where none is set, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = spark.conf.get("tracklake.temporary.dir", None)
-        if named is None:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="shared-")
-            spark.conf.set("tracklake.temporary.dir", named)
-    return named
+from tracklake.sources.shared import fresh_folder, shared_folder
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -44,7 +31,7 @@ def written(df: DataFrame) -> DataFrame:
     Shuffle files behind the table go as soon as it is written, since nothing reads them again.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, "table")
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(cleanup)
     spark.conf.set(cleanup, "true")

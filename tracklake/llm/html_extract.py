@@ -16,7 +16,8 @@ copies of one article on most pages of a host stay whole.
 Of the remaining slots those under navigation, headers, footers, sidebars, notices,
 adverts, forms and reader comments are left out by their tags and names, as their texts
 can differ from page to page; the others hold the main text.  If a page has article (or
-else main) elements with any text left, only their slots count.
+else main) elements with any text left, only their slots count; articles with less than
+half of the main element's text are teasers in it, and all of it counts.
 
 Null and empty pages give an empty text.  Hosts of few pages have no valid class and rely
 on tags and names.  Repeated pages count once in the vectors.  A page of any length is
@@ -56,6 +57,10 @@ NAMES = set(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent"
     " gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended comment comments commentlist disqus respond reply replies form toolbar pagination pager skip copyright".split()
 )
+#: What may stand beside such a word in a name without changing what it is.
+GENERIC = set("container wrapper wrap box list item items slot bar block area inner outer top bottom left right primary secondary global site page sub mini small big large fixed sticky panel link links unit text body row col column zone region section group holder set first last fluid desktop mobile".split())
+#: Words after or before which a name tells of a state or of what is absent, not of what it holds.
+STATES = set("no not non with without has have is are open closed enabled disabled show hide hidden layout theme page".split())
 #: Words that make a header that of a post, and elements whose names say nothing of what they hold.
 POSTS, WHOLES = {"post", "entry", "article", "story", "content", "section"}, {"html", "body", "main", "article"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -69,6 +74,21 @@ _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+def _other_content(words: list[str]) -> bool:
+    """Whether the words of one class or id name other content: as its last word, or beside generic words.
+
+    A word of state makes the name that of something around or beside such content; a
+    header of a post is no site header.
+    """
+    names = NAMES - {"header", "masthead"} if POSTS.intersection(words) else NAMES
+    if not names.intersection(words):
+        return False
+    rest = [w for w in words if w not in names and not w.isdigit()]
+    if not STATES.isdisjoint(words[:-1]) or words[-1] in STATES:
+        return GENERIC.issuperset(rest) and STATES.isdisjoint(words)
+    return words[-1] in names or all(w in GENERIC or w in POSTS for w in rest)
+
+
 def _marks(attributes: str, whole: bool = False) -> tuple[str, bool]:
     """The class and id as text for the path, and whether role, state or (unless ``whole``) names mark other content."""
     shown, out = [], False
@@ -81,11 +101,7 @@ def _marks(attributes: str, whole: bool = False) -> tuple[str, bool]:
         elif name in ("class", "id"):
             shown.append(value)
             for one in value.split():
-                words = {w.lower() for w in _NAME_WORDS.findall(one)}
-                marks = words & NAMES
-                if words & POSTS:
-                    marks -= {"header", "masthead"}
-                out |= bool(marks) and not whole
+                out |= not whole and _other_content([w.lower() for w in _NAME_WORDS.findall(one)])
     return "." + " ".join(shown).replace("/", "_") if shown else "", out
 
 
@@ -243,10 +259,11 @@ def slots(parsed: Page, paths: set[int], texts: set[int]) -> list[str]:
         return True
 
     left = [b for b in parsed.blocks if not b[2] and not constant(b[0], b[1], b[3] or b[4])]
-    for k in (3, 4):
-        if any(b[k] for b in left):
-            return [b[1] for b in left if b[k]]
-    return [b[1] for b in left]
+    article, main = ([b[1] for b in left if b[k]] for k in (3, 4))
+    # Articles that are a small part of the main element are teasers in it.
+    if article and 2 * sum(map(len, article)) >= sum(map(len, main)):
+        return article
+    return main or article or [b[1] for b in left]
 
 
 def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", to: str = "text") -> DataFrame:

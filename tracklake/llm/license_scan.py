@@ -5,8 +5,9 @@ space; by paragraphs, whose lines are joined (a line without letters and digits
 a list number begins a new sentence) and cut after ``.!?``; and so with ``;`` as a further
 cut.  So notices of one line and texts wrapped at any width, with or without comment marks
 that are no letters, are found alike.  A sentence is normalised (lower case, runs of other characters than letters and digits
-become one space) and looked up among the known sentences; an unknown one breaks a
-sequence.  The rules are tried in their order on each cut, and what a rule has matched is
+become one space) and looked up among the known sentences; some hold a gap for any holder's
+name; a notice may name several licences, as expressions of identifiers do; an unknown one
+breaks a sequence.  The rules are tried in their order on each cut, and what a rule has matched is
 taken out, so that a full licence text is not also reported as its parts; nor does a cut
 report the parts of what only another one has in full.
 
@@ -90,6 +91,30 @@ SENTENCES: dict[str, str] = {
     "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "lgpl-details": "see the gnu lesser general public license for more details",
     "agpl-details": "see the gnu affero general public license for more details",
+    # Heads of full texts, line by line and as one paragraph.
+    "apache2-version": "version 2 0 january 2004",
+    "apache2-head": "apache license version 2 0 january 2004 http www apache org licenses",
+    "gpl-title": "gnu general public license",
+    "lgpl-title": "gnu lesser general public license",
+    "agpl-title": "gnu affero general public license",
+    "gnu3-version": "version 3 29 june 2007",
+    "agpl3-version": "version 3 19 november 2007",
+    "gpl2-version": "version 2 june 1991",
+    "lgpl21-version": "version 2 1 february 1999",
+    "gpl3-head": "gnu general public license version 3 29 june 2007",
+    "gpl2-head": "gnu general public license version 2 june 1991",
+    "lgpl3-head": "gnu lesser general public license version 3 29 june 2007",
+    "lgpl21-head": "gnu lesser general public license version 2 1 february 1999",
+    "agpl3-head": "gnu affero general public license version 3 19 november 2007",
+    "mpl2-title": "mozilla public license version 2 0",
+}
+
+# Sentences with a gap for a holder, as a part that each has, and their pattern.
+GAPS: dict[str, tuple[str, str]] = {
+    "bsd-endorse": (
+        "endorse or promote products derived from this software",
+        "^(?:[0-9] )?(?:neither the names? of .{1,200} nor the names of (?:its|any|their|other) (?:contributors|authors|developers)|the names? of .{1,200}) may (?:not )?be used to endorse or promote products derived from this software without (?:specific )?prior written permission$",
+    )
 }
 
 # Licences by their public identifiers, with their names as they stand in notices.
@@ -125,7 +150,15 @@ NAMES: dict[str, tuple[str, ...]] = {
         for short, long in (("by", "attribution"), ("by sa", "attribution sharealike"), ("by nc", "attribution noncommercial"), ("by nd", "attribution noderivatives"), ("by nc sa", "attribution noncommercial sharealike"), ("by nc nd", "attribution noncommercial noderivatives"))
         for v in ("3.0", "4.0")
     },
+    **{
+        f"{short}-{v}-or-later": tuple(f"{name} {mark}{n} or {later}" for name in (f"gnu {long}", f"gnu {short.lower()}", short.lower()) for n in dict.fromkeys((v.replace(".", " "), v.removesuffix(".0").replace(".", " "))) for mark in ("version ", "v") for later in ("later", "any later version"))
+        for short, long, versions in (("GPL", "general public license", ("2.0", "3.0")), ("LGPL", "lesser general public license", ("2.1", "3.0")), ("AGPL", "affero general public license", ("3.0",)))
+        for v in versions
+    },
 }
+#: What may follow a licence's name in its notice, and what parts the names of several; "or later" is part of a name.
+TAIL, BETWEEN = " (?:see|as published by|which|a copy of which|found in|included in|whose|in the file) .*$", " (?:or|and|with) (?:the )?"
+_LATER = (" or later", " or any later version")
 #: A notice of one sentence: what it is, how it is given, and the name of a licence.
 NOTICE = r"^(?:this (?:work|project|software|file|code|program|library|package) is )?(?:licensed|released|distributed|made available|available|published) under (?:the terms of )?(?:the |a )?(.+)$|^spdx license identifier (.+)$"
 
@@ -150,7 +183,15 @@ def known_names() -> dict[str, str]:
 def known_sentences() -> dict[str, str]:
     """Normalised sentence to identifier: grants by their subjects, and the fixed sentences."""
     free = {_free(subject, name, v): f"free-{k}" for k, name, v in GNU for subject in ("program", "library", "software", "file", "project", "package")}
-    return free | {v: k for k, v in SENTENCES.items()}
+    only = {
+        f"this {subject} is free software you can redistribute it and or modify it under the terms of {terms} as published by the free software foundation": f"free-{short}-{v}-only"
+        for short, name, versions in (("GPL", "general public license", ("2.0", "3.0")), ("LGPL", "lesser general public license", ("2.1", "3.0")), ("AGPL", "affero general public license", ("3.0",)))
+        for v in versions
+        for n in (v.removesuffix(".0").replace(".", " "),)
+        for subject in ("program", "library", "software", "file", "project", "package")
+        for terms in (f"the gnu {name} version {n}", f"version {n} of the gnu {name}")
+    }
+    return free | only | {v: k for k, v in SENTENCES.items()}
 
 
 KNOWN, KNOWN_NAMES = known_sentences(), known_names()
@@ -170,6 +211,20 @@ RULES: tuple[LicenseRule, ...] = (
     *(LicenseRule(f"{k.lower()}-header", k, (f"free-{k}", hope, details)) for k, _, _ in GNU for hope, details in (("lgpl-hope", "lgpl-details"),) if k[0] == "L"),
     *(LicenseRule(f"{k.lower()}-header", k, (f"free-{k}", "gpl-hope", "agpl-details")) for k, _, _ in GNU if k[0] == "A"),
     *(LicenseRule(f"{k.lower()}-free", k, (f"free-{k}",)) for k, _, _ in GNU),
+    *(LicenseRule(f"{k.lower()}-free", k, (f"free-{k}",)) for k in ("GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only")),
+    LicenseRule("apache-2.0-text", "Apache-2.0", ("apache2-version",)),
+    LicenseRule("apache-2.0-text-head", "Apache-2.0", ("apache2-head",)),
+    LicenseRule("gpl-3.0-text", "GPL-3.0-only", ("gpl-title", "gnu3-version")),
+    LicenseRule("gpl-3.0-text-head", "GPL-3.0-only", ("gpl3-head",)),
+    LicenseRule("gpl-2.0-text", "GPL-2.0-only", ("gpl-title", "gpl2-version")),
+    LicenseRule("gpl-2.0-text-head", "GPL-2.0-only", ("gpl2-head",)),
+    LicenseRule("lgpl-3.0-text", "LGPL-3.0-only", ("lgpl-title", "gnu3-version")),
+    LicenseRule("lgpl-3.0-text-head", "LGPL-3.0-only", ("lgpl3-head",)),
+    LicenseRule("lgpl-2.1-text", "LGPL-2.1-only", ("lgpl-title", "lgpl21-version")),
+    LicenseRule("lgpl-2.1-text-head", "LGPL-2.1-only", ("lgpl21-head",)),
+    LicenseRule("agpl-3.0-text", "AGPL-3.0-only", ("agpl-title", "agpl3-version")),
+    LicenseRule("agpl-3.0-text-head", "AGPL-3.0-only", ("agpl3-head",)),
+    LicenseRule("mpl-2.0-text", "MPL-2.0", ("mpl2-title",)),
     LicenseRule("bsd-4-text", "BSD-4-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-advertising")),
     LicenseRule("bsd-3-text", "BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
     LicenseRule("bsd-2-text", "BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
@@ -209,7 +264,7 @@ CLAUSE_CUT = PARAGRAPH_CUT + "|;"
 
 def telling_words(sentences: dict[str, str]) -> list[str]:
     """Words of which every known sentence has one, chosen by how many have them; those of notices besides."""
-    left, out = [set(s.split()) for s in sentences], ["under", "spdx"]
+    left, out = [set(s.split()) for s in sentences], ["under", "spdx", *(part.split()[0] for part, _ in GAPS.values())]
     while left := [words for words in left if not words.intersection(out)]:
         counts = Counter(w for words in left for w in words if len(w) > 4 or max(map(len, words)) <= 4)
         out.append(min(counts, key=lambda w: (-counts[w], w)))
@@ -222,8 +277,25 @@ def sentence_ids(text: Column, sentences: dict[str, str] = KNOWN, names: dict[st
     plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^\\p{L}\\p{N}]+", " "))
     name = lambda p: F.concat(F.regexp_extract(p, NOTICE, 1), F.regexp_extract(p, NOTICE, 2))
     # The tests by words and by a hash set come first: the maps are searched for few sentences.
-    notice = lambda p: F.coalesce(F.when(p.contains(" under ") | p.startswith("spdx "), F.try_element_at(named, name(p))), F.lit(""))
-    known = lambda p: F.when(p.isin(*sentences), F.try_element_at(table, p)).otherwise(notice(p))
+
+    def several(p: Column) -> Column:
+        """The notices of one sentence, of each name that it gives."""
+        held = name(p)
+        for k, later in enumerate(_LATER):
+            held = F.replace(held, F.lit(later), F.lit(chr(1 + k)))
+        each = F.split(F.regexp_replace(held, TAIL, ""), BETWEEN)
+        for k, later in enumerate(_LATER):
+            each = F.transform(each, lambda x: F.replace(x, F.lit(chr(1 + k)), F.lit(later)))  # noqa: B023
+        return F.array_join(F.transform(each, lambda x: F.try_element_at(named, x)), "||")
+
+    notice = lambda p: F.coalesce(F.when(p.contains(" under ") | p.startswith("spdx "), several(p)), F.lit(""))
+
+    def known(p: Column) -> Column:
+        out = F.when(p.isin(*sentences), F.try_element_at(table, p))
+        for k, (part, pattern) in GAPS.items():
+            out = out.when(p.contains(part) & p.rlike(pattern), k)
+        return out.otherwise(notice(p))
+
     parts = F.filter(F.split(F.coalesce(text, F.lit("")), cut), lambda s: F.length(F.trim(s)) > 0)
     if cut == CUT:
         return F.transform(parts, lambda s: known(plain(s)))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.llm.components import checkpoint, components
+from tracklake.llm.components import checkpoint, components, unused
 from tracklake.llm.text import binary_column, mix, shingles, slices, words
 
 WORDS, THRESHOLD = 5, 0.8
@@ -261,5 +261,6 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """Keeps one row of each class, the one of the least id; rows with a null id are kept."""
     classes = near_duplicates(df, key, text, **settings)
-    gone = classes.where(F.col(key) != F.col("class_id")).select(F.col(key).alias("__gone")).distinct()
-    return df.join(gone, df[key] == F.col("__gone"), "left_anti")
+    name = unused(df, "gone")
+    gone = classes.where(F.col(key) != F.col("class_id")).select(F.col(key).alias(name)).distinct()
+    return df.join(gone, df[key] == F.col(name), "left_anti")

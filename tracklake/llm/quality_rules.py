@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracklake.llm.components import unused
+
 #: White space other than the space, and symbols; fixed by the definition of the measures.
 OTHER_SPACE = "\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -51,7 +53,7 @@ RULES = (
 
 def measures(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and n_stop_words."""
-    c = {k: f"__q_{k}" for k in ("text", "words", "lines", "grams", "order", "same", "at")}
+    c = {k: unused(df, f"q_{k}") for k in ("text", "words", "lines", "grams", "order", "same", "at")}
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     df = df.withColumn(c["text"], body)
     body = F.col(c["text"])

@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklake.llm.components import unused
+
 #: Blocks in which the slots of one shard are counted; a block's rows are numbered in one task.
 BLOCKS = 1024
 
@@ -43,14 +45,15 @@ def number_slots(df: DataFrame, shard: str, order: Sequence[str], blocks: int =
     """Adds a gapless number from 0 within each shard, in blocks, so that no shard is numbered in one task.
 
     The rows of a shard are dealt into ``blocks`` blocks by a hash of ``order``; only the
-    counts of the blocks (shards x blocks rows) are summed in one place.
+    counts of the blocks (shards x blocks rows) are summed in one place.  Rows that are equal
+    in ``order`` share a block; copies of one row are numbered in one task.
     """
-    block = "__block"
+    block, count, of, its, start = (unused(df, c) for c in ("block", "n", "s", "b", "start"))
     dealt = df.withColumn(block, F.pmod(F.xxhash64(*order, F.lit(17)), F.lit(blocks)).cast("int"))
-    counts = dealt.groupBy(shard, block).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(shard).orderBy(block).rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(F.col(shard).alias("__s"), F.col(block).alias("__b"), F.coalesce(before, F.lit(0)).alias("__start"))
+    counts = dealt.groupBy(shard, block).agg(F.count(F.lit(1)).alias(count))
+    before = F.sum(count).over(Window.partitionBy(shard).orderBy(block).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(F.col(shard).alias(of), F.col(block).alias(its), F.coalesce(before, F.lit(0)).alias(start))
     own = F.row_number().over(Window.partitionBy(shard, block).orderBy(*order)) - 1
     # shards x blocks rows at most, whatever the input.
-    joined = dealt.join(F.broadcast(starts), (F.col(shard) == F.col("__s")) & (F.col(block) == F.col("__b")))
-    return joined.withColumn(to, (F.col("__start") + own).cast("long")).drop(block, "__s", "__b", "__start")
+    joined = dealt.join(F.broadcast(starts), (F.col(shard) == F.col(of)) & (F.col(block) == F.col(its)))
+    return joined.withColumn(to, (F.col(start) + own).cast("long")).drop(block, of, its, start)

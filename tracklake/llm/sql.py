@@ -38,6 +38,12 @@ def license_scan() -> str:
     # Points of short forms are set aside before the text is cut.
     short = "|".join(x.replace(".", "[.]") for x in ls.SHORT)
     text = f"regexp_replace(coalesce(text, ''), '(^|[^\\p{{L}}\\p{{N}}])({short})[.](\\s)', '\\1\\2' || chr(1) || '\\3', 'gi')"
+    held = f"regexp_extract(plain, '{ls.NOTICE}', 1) || regexp_extract(plain, '{ls.NOTICE}', 2)"
+    back = "x"
+    for k, later in enumerate(ls._LATER):
+        held, back = f"replace({held}, '{later}', chr({1 + k}))", f"replace({back}, chr({1 + k}), '{later}')"
+    tail = f"regexp_replace(held, '{ls.TAIL}', '')"
+    gaps = ", ".join(f"CASE WHEN regexp_matches(plain, '{p}') THEN '{k}' END" for k, (_, p) in ls.GAPS.items())
     rules, licenses, steps = [], [], ["s0 AS (SELECT doc_id, c, s AS r0 FROM q WHERE c > 0)"]
     for k, r in enumerate(ls.RULES):
         pattern = "".join(f"|{x}|" for x in r.sentences)
@@ -47,8 +53,11 @@ def license_scan() -> str:
     return f"""WITH k(plain, id) AS (VALUES {known}), kn(name, nid) AS (VALUES {names}), lic(rule, license) AS (VALUES {", ".join(licenses)}),
  p AS (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM (SELECT doc_id, string_split_regex(regexp_replace({text}, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+') AS parts FROM documents)),
  n AS (SELECT doc_id, i, trim(regexp_replace(lower(part), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS plain FROM p WHERE length(trim(part)) > 0),
- q AS (SELECT doc_id, count(coalesce(id, nid)) AS c, '|' || string_agg(coalesce(id, nid, ''), '||' ORDER BY i) || '|' AS s
-  FROM n LEFT JOIN k USING (plain) LEFT JOIN kn ON name = regexp_extract(plain, '{ls.NOTICE}', 1) || regexp_extract(plain, '{ls.NOTICE}', 2) GROUP BY 1),
+ o AS (SELECT doc_id, i, {tail} AS held FROM (SELECT doc_id, i, {held} AS held FROM n)),
+ e AS (SELECT doc_id, i, unnest(parts) AS name, unnest(range(len(parts))) AS j FROM (SELECT doc_id, i, list_transform(string_split_regex(held, '{ls.BETWEEN}'), lambda x: {back}) AS parts FROM o)),
+ kk AS (SELECT doc_id, i, string_agg(nid, '||' ORDER BY j) AS nid FROM e JOIN kn USING (name) GROUP BY 1, 2),
+ m AS (SELECT n.*, coalesce(k.id, {gaps}, kk.nid) AS id FROM n LEFT JOIN k USING (plain) LEFT JOIN kk ON kk.doc_id = n.doc_id AND kk.i = n.i),
+ q AS (SELECT doc_id, count(id) AS c, '|' || string_agg(coalesce(id, ''), '||' ORDER BY i) || '|' AS s FROM m GROUP BY 1),
  {", ".join(steps)},
  r AS (SELECT doc_id, c, list_filter([{", ".join(rules)}], lambda x: x IS NOT NULL) AS rs FROM s{len(ls.RULES)}),
  l AS (SELECT doc_id, list_sort(list(DISTINCT license)) AS li FROM (SELECT doc_id, unnest(rs) AS rule FROM r) JOIN lic USING (rule) GROUP BY 1)
@@ -61,17 +70,22 @@ def decontaminate() -> str:
     later = " || ' ' || ".join(["c", *[f"lead(c, {k}) OVER p" for k in range(1, dc.WINDOW)]])
 
     def side(name: str, table: str, key: str) -> str:
+        runs = f"AND capitals < {dc.CAPITALS}" if name == "d" else ""
         return f"""{name}w AS (SELECT {key} AS k, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT {key}, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM {table})),
  {name}b AS (SELECT k, i, w, trim(w, '{marks}') AS bare, coalesce(right(lag(w) OVER (PARTITION BY k ORDER BY i), 1), '.') AS before FROM {name}w),
  {name}c AS (SELECT k, i, lower(bare) AS v, CASE WHEN left(bare, 1) BETWEEN '0' AND '9' THEN '<num>' WHEN lower(bare) IN ({_quoted(dc.UNITS)}) THEN '<unit>'
-  WHEN left(bare, 1) <> left(lower(bare), 1) AND before NOT IN ('.', '!', '?', ':') THEN '<name>' ELSE lower(bare) END AS c FROM {name}b),
+  WHEN left(bare, 1) <> left(lower(bare), 1) AND before NOT IN ('.', '!', '?', ':') {runs} THEN '<name>' ELSE lower(bare) END AS c
+  FROM (SELECT *, count(*) FILTER (cased = 1) OVER (PARTITION BY k, run) AS capitals FROM (SELECT *, sum(CASE WHEN cased = -1 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i) AS run
+   FROM (SELECT *, CASE WHEN left(bare, 1) <> left(lower(bare), 1) THEN 1 WHEN upper(left(bare, 1)) <> left(lower(bare), 1) THEN -1 ELSE 0 END AS cased FROM {name}b)))),
  {name}g AS (SELECT * FROM (SELECT k, i, {later} AS g FROM {name}c WINDOW p AS (PARTITION BY k ORDER BY i)) WHERE g IS NOT NULL)"""
 
     slot = "c IN ('<num>', '<name>', '<unit>')"
     return f"""WITH {side("d", "documents", "doc_id")}, {side("b", "benchmark", "item_id")},
  tot AS (SELECT k, count(*) AS n FROM bg GROUP BY 1),
  lit AS (SELECT bg.k, bg.i, bg.g FROM bg JOIN bc ON bg.k = bc.k AND bc.i BETWEEN bg.i AND bg.i + {dc.WINDOW - 1} GROUP BY ALL HAVING count(*) FILTER (NOT {slot}) >= {dc.LITERALS}),
- hit AS (SELECT dg.k AS d, lit.k AS b, lit.i AS bi, dg.i - lit.i AS diag FROM dg JOIN lit ON dg.g = lit.g),
+ pg AS (SELECT * FROM (SELECT k, i, {later} AS g FROM (SELECT k, i, CASE WHEN c = '<name>' THEN v ELSE c END AS c FROM bc) WINDOW p AS (PARTITION BY k ORDER BY i)) WHERE g IS NOT NULL),
+ al AS (SELECT * FROM lit UNION SELECT pg.* FROM pg JOIN lit ON lit.k = pg.k AND lit.i = pg.i),
+ hit AS (SELECT dg.k AS d, lit.k AS b, lit.i AS bi, dg.i - lit.i AS diag FROM dg JOIN al AS lit ON dg.g = lit.g),
  s AS (SELECT d, b, diag, bc.v AS value, min(dc.v) AS lo, max(dc.v) AS hi FROM hit JOIN bc ON bc.k = hit.b AND bc.i BETWEEN bi AND bi + {dc.WINDOW - 1} AND {slot.replace("c IN", "bc.c IN")} JOIN dc ON dc.k = hit.d AND dc.i = bc.i + diag GROUP BY ALL),
  f AS (SELECT d, b, diag, count(*) AS n_slots, sum(CASE WHEN lo <> hi THEN 1 ELSE 0 END) AS conflicts FROM s GROUP BY ALL),
  a AS (SELECT d, b, diag, coalesce(n_slots, 0) AS n_slots, coalesce(conflicts, 0) AS conflicts FROM (SELECT DISTINCT d, b, diag FROM hit) LEFT JOIN f USING (d, b, diag)),
