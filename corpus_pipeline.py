@@ -8,7 +8,6 @@ the operators say; none of them makes a stage drop a row but as stated there.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from tracklake.llm import bpe, decontaminate, line_dedup, minhash
 from tracklake.llm import toxicity as tox
 from tracklake.llm.queries import tokenizer_path
+from tracklake.sources.shared import fresh_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Scores from which a document is rejected as toxic.
@@ -81,19 +81,9 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """A folder all executors share: the cluster's checkpoint folder, a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="pipeline-")
-    return f"{folder}/pipeline-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of the last stage over the whole of ``documents``."""
-    folder = _shared_folder(spark)
+    folder = fresh_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}_{name}"
