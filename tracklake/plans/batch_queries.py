@@ -131,3 +131,36 @@ def answer_labels(spark, d):
     text = F.concat(F.lit("ANS: no, "), "p_name", F.when(F.col("p_partkey") % 5 == 0, "").otherwise(F.concat(F.lit("\nANS: "), "p_size")))
     pieces = F.regexp_extract_all(text, F.lit(r"(?s).{1,3}"), F.lit(0))
     return p.select("p_partkey", _joined(batches.answer_labels(F.transform(pieces, lambda x: F.length(x)), pieces)).alias("labels"))
+
+
+@query("""WITH b AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, CAST(floor(value * 1000) AS BIGINT) & 4294967295 AS v FROM events WHERE value IS NOT NULL),
+ s AS (SELECT *, lag(v) OVER (PARTITION BY id ORDER BY k) AS p FROM b),
+ x AS (SELECT id, k, CASE WHEN p IS NULL THEN 0 ELSE (abs((v & 255) - (p & 255)) + abs((v >> 8 & 255) - (p >> 8 & 255)) + abs((v >> 16 & 255) - (p >> 16 & 255)) + abs((v >> 24 & 255) - (p >> 24 & 255))) / 4 END AS score FROM s),
+ y AS (SELECT *, k = min(k) OVER (PARTITION BY id) OR k = max(k) OVER (PARTITION BY id) AS at_end FROM x)
+ SELECT id, k AS frame_idx, round(score, 6) AS score FROM y QUALIFY row_number() OVER (PARTITION BY id ORDER BY at_end DESC, score DESC, k) <= 8""")
+def moving_frames(spark, d):
+    """Events as frames of four bytes: the ends of each user's series, and the frames that differ most from those before."""
+    from pyspark.sql import Window
+
+    from tracklake.operators import motion
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, d, "events").where("value is not null").withColumn("frame_idx", (F.row_number().over(w) - 1).cast("bigint"))
+    number = F.floor(F.col("value") * 1000).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))
+    frames = e.select(F.col("user_id").alias("id"), "frame_idx", F.array(F.lit(2), F.lit(2)).alias("shape"), F.unhex(F.lpad(F.hex(number), 8, "0")).alias("payload"))
+    return motion.moving_frames(frames, 8, "id").select("id", "frame_idx", F.round("score", 6).alias("score"))
+
+
+@query("""WITH t AS (SELECT CAST(o_custkey AS VARCHAR) AS grp, o_orderkey AS id, o_orderstatus AS label FROM orders),
+ s AS (SELECT grp, id, CAST(row_number() OVER (PARTITION BY grp ORDER BY md5('7|' || id)) AS INTEGER) AS place FROM t),
+ p AS (SELECT a.grp, a.id AS first_id, min(b.id) AS second_id FROM t a JOIN t b ON a.grp = b.grp AND a.label <> b.label AND b.id > a.id GROUP BY 1, 2)
+ SELECT 'sample_rows' AS sampler, grp, id, CAST(place AS BIGINT) AS other FROM s WHERE place <= 3 UNION ALL SELECT 'pair_next', grp, first_id, second_id FROM p""")
+def sampler_functions(spark, d):
+    """Two samplers called by SQL over the orders of each customer."""
+    from tracklake.operators import table_functions
+
+    table_functions.register(spark)
+    t = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("grp"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("label"))
+    sampled = spark.sql("SELECT 'sample_rows' AS sampler, grp, id, CAST(place AS BIGINT) AS other FROM sample_rows(TABLE(SELECT grp, id FROM {t}) PARTITION BY (grp), 3, 7)", t=t)
+    paired = spark.sql("SELECT 'pair_next' AS sampler, grp, first_id AS id, second_id AS other FROM pair_next(TABLE(SELECT grp, id, label FROM {t}) PARTITION BY (grp) ORDER BY (id))", t=t)
+    return sampled.unionByName(paired)
