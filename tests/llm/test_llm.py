@@ -783,20 +783,17 @@ def test_held_out_scores(spark):
 
 def test_sharding_query(spark):
     """Every column of every row against the law: the hash of the key, the shard and the seed, step by step."""
+    import hashlib
     import math
-    import struct
     import zlib
 
-    import xxhash
-
     from tracklake.llm.queries import op10_sharding
 
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    long, low = lambda x, h: xxhash.xxh64_intdigest(struct.pack("<q", x), h), lambda x, h: xxhash.xxh64_intdigest(struct.pack("<i", x), h)
+    draw = lambda digits, *parts: int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:digits], 16)
 
     def shard(key, n):
-        draws = [low(0, low(i, xxhash.xxh64_intdigest(str(key).encode(), 42))) >> 11 for i in range(n)]
-        return max((-1 / math.log((u + 0.5) / 2.0**53), i) for i, u in enumerate(draws))[1]
+        return max((-1 / math.log((draw(12, 0, i, key) + 0.5) / 2.0**48), i) for i in range(n))[1]
 
     got = {r.doc_id: r for r in op10_sharding(spark, SF).collect()}
     assert set(got) == set(texts)
@@ -805,8 +802,7 @@ def test_sharding_query(spark):
         size, crc = len(t.encode()) + 1, zlib.crc32(t.encode())
         r = got[k]
         assert (r.size, r.text_crc32, r.law, r.shard, r.grown_shard) == (size, crc, "key", shard(k, 8), shard(k, 9)), k
-        h = low(17, long(crc, long(size, long(k, 42))))
-        blocks[r.shard].append(((h - (1 << 64) if h >> 63 else h) % 1024, k))
+        blocks[r.shard].append((draw(8, k, size, crc) % 1024, k))
     assert all([got[k].slot for _, k in sorted(b)] == list(range(len(b))) for b in blocks.values())
 
 

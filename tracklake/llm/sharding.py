@@ -21,6 +21,13 @@ from tracklake.llm.components import unused
 
 #: Blocks in which the slots of one shard are counted; a block's rows are numbered in one task.
 BLOCKS = 1024
+#: Hexadecimal digits of a draw: 48 bits, exact in a double.
+DRAW_DIGITS = 12
+
+
+def _draw(digits: int, *parts: Column) -> Column:
+    """The first digits of the md5 of the parts, as a number; any other engine draws the same."""
+    return F.conv(F.left(F.md5(F.concat_ws("|", *parts)), F.lit(digits)), 16, 10).cast("long")
 
 
 def rendezvous(key: Column, weights: Sequence[float], seed: int = 0) -> Column:
@@ -30,8 +37,7 @@ def rendezvous(key: Column, weights: Sequence[float], seed: int = 0) -> Column:
     text = F.coalesce(key.cast("string"), F.lit(""))
     scores = []
     for i, w in enumerate(weights):
-        draw = F.shiftrightunsigned(F.xxhash64(text, F.lit(i), F.lit(seed)), 11)
-        u = (draw + F.lit(0.5)) / F.lit(float(2**53))
+        u = (_draw(DRAW_DIGITS, F.lit(str(seed)), F.lit(str(i)), text) + F.lit(0.5)) / F.lit(float(16**DRAW_DIGITS))
         scores.append(F.struct((F.lit(-float(w)) / F.log(u)).alias("score"), F.lit(i).alias("shard")))
     return (F.greatest(*scores) if len(scores) > 1 else scores[0])["shard"]
 
@@ -49,7 +55,7 @@ def number_slots(df: DataFrame, shard: str, order: Sequence[str], blocks: int =
     in ``order`` share a block; copies of one row are numbered in one task.
     """
     block, count, of, its, start = (unused(df, c) for c in ("block", "n", "s", "b", "start"))
-    dealt = df.withColumn(block, F.pmod(F.xxhash64(*order, F.lit(17)), F.lit(blocks)).cast("int"))
+    dealt = df.withColumn(block, (_draw(8, *[F.col(c).cast("string") for c in order]) % blocks).cast("int"))
     counts = dealt.groupBy(shard, block).agg(F.count(F.lit(1)).alias(count))
     before = F.sum(count).over(Window.partitionBy(shard).orderBy(block).rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select(F.col(shard).alias(of), F.col(block).alias(its), F.coalesce(before, F.lit(0)).alias(start))

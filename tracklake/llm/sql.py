@@ -7,6 +7,7 @@ from tracklake.llm import decontaminate as dc
 from tracklake.llm import fill_in_middle as fm
 from tracklake.llm import license_scan as ls
 from tracklake.llm import quality_rules as qr
+from tracklake.llm import sharding as sh
 
 
 def _quoted(words) -> str:
@@ -123,6 +124,16 @@ def fill_in_middle() -> str:
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{fm.PREFIX}' || p || '{fm.SUFFIX}' || s || '{fm.MIDDLE}' || m ELSE '{fm.SUFFIX}' || s || '{fm.PREFIX}' || p || '{fm.MIDDLE}' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM f"""
 
 
+def sharding() -> str:
+    # The remainders of the 256 byte values by the reflected polynomial, then one step for each byte of the text.
+    best = lambda n: f"list_reduce(list_transform(range({n}), lambda i: {{'score': -1 / ln((CAST('0x' || left(md5('0|' || i || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), {sh.DRAW_DIGITS}) AS BIGINT) + CAST(0.5 AS DOUBLE)) / {16**sh.DRAW_DIGITS}), 'shard': i}}), lambda a, b: CASE WHEN b.score >= a.score THEN b ELSE a END).shard"
+    return f"""WITH r AS (SELECT list(c ORDER BY k) AS t FROM (SELECT k, list_reduce(list_concat([k], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS b(k))),
+ d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+ s AS (SELECT doc_id, strlen(x) + 1 AS size, xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32,
+  CAST({best(8)} AS INTEGER) AS shard, CAST({best(9)} AS INTEGER) AS grown_shard FROM d, r)
+ SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || left(md5(concat_ws('|', doc_id, size, text_crc32)), 8) AS BIGINT) % {sh.BLOCKS}, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard FROM s"""
+
+
 def hard_negatives() -> str:
     return """WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
