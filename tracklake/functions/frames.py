@@ -146,25 +146,36 @@ def absolute_progress(indices: Column, total: Column, cutoff: Number = 1.0) -> C
     return F.transform(indices, lambda i: F.when(i >= cut, F.lit(1.0)).otherwise((i + 1) / total))
 
 
+def _once(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def first_frame_progress(indices: Column, total: Column, cutoff: Number | None = None) -> Column:
     """(i - s) / max(1, total - s - 1) from the least index s; with a cutoff min(1, (i - s) / max(1, int(cutoff total) - s - 1))."""
-    s = F.array_min(indices)
-    if cutoff is None:
-        return F.transform(indices, lambda i: (i - s) / F.greatest(F.lit(1), total - s - 1))
-    cut = F.floor(_c(cutoff) * total)
-    return F.transform(indices, lambda i: F.least(F.lit(1.0), (i - s) / F.greatest(F.lit(1), cut - s - 1)))
+
+    def since(s: Column) -> Column:
+        if cutoff is None:
+            return F.transform(indices, lambda i: (i - s) / F.greatest(F.lit(1), total - s - 1))
+        cut = F.floor(_c(cutoff) * total)
+        return F.transform(indices, lambda i: F.least(F.lit(1.0), (i - s) / F.greatest(F.lit(1), cut - s - 1)))
+
+    return _once(F.array_min(indices), since)
 
 
 def deltas(values: Column) -> Column:
     """0, then each value less the one before."""
-    return F.transform(values, lambda x, i: F.when(i == 0, F.lit(0.0)).otherwise(x - F.get(values, i - 1)))
+    return _once(values, lambda v: F.transform(v, lambda x, i: F.when(i == 0, F.lit(0.0)).otherwise(x - F.get(v, i - 1))))
 
 
 def running_sum(values: Column) -> Column:
-    """The inverse of deltas, up to the first value: one pass that carries the sum so far."""
-    start = F.struct(F.lit(0.0).alias("sum"), _empty("double").alias("all"))
-    step = lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.array_append(a["all"], a["sum"] + x).alias("all"))
-    return F.aggregate(values, start, step, lambda a: a["all"])
+    """The inverse of deltas, up to the first value: sums over 1, 2, 4, ... places, so n log n for n values."""
+
+    def summed(v: Column) -> Column:
+        steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda s: s < F.size(v))
+        return F.aggregate(steps, v, lambda a, s: F.transform(a, lambda x, i: F.when(i >= s, x + F.get(a, i - s)).otherwise(x)))
+
+    return _once(values.cast("array<double>"), summed)
 
 
 def partial_success_progress(indices: Column, progress: Column, total: Column, partial: Column) -> Column:

@@ -29,6 +29,29 @@ def json_block(text: Column) -> Column:
     return F.regexp_replace(body, r"^\s+|\s+$", "")
 
 
+def reply_items(text: Column) -> Column:
+    """The list of {frame_number, task_completion_percentage} in a reply; null if there is none or it cannot be read."""
+    block = json_block(text)
+    return F.when(block.startswith("["), F.from_json(block, "array<struct<frame_number: int, task_completion_percentage: double>>", {"mode": "PERMISSIVE"}))
+
+
+def reply_completion(text: Column, permutation: Column) -> Column:
+    """Completion from 0 to 1 in the order of the frames, of a reply on frames shown in the order of the permutation.
+
+    The last item for a shown place counts; places without one are left out.  A reply that
+    cannot be read gives an empty list.
+    """
+    empty = F.array().cast("array<struct<frame_number: int, task_completion_percentage: double>>")
+
+    def placed(items: Column) -> Column:
+        said = lambda j: F.try_element_at(F.filter(items, lambda x: x["frame_number"] == j), F.lit(-1))["task_completion_percentage"]
+        return F.transform(permutation, lambda i, j: F.struct(i.alias("i"), (said(j) / 100).alias("v")))
+
+    # An array of one list, so that the reply is parsed once.
+    rows = F.get(F.transform(F.array(F.coalesce(reply_items(text), empty)), placed), F.lit(0))
+    return F.transform(F.array_sort(F.filter(rows, lambda x: x["v"].isNotNull())), lambda x: x["v"])
+
+
 def number_list(text: Column) -> Column:
     """A list of numbers; [0.0] if it cannot be read."""
     return F.coalesce(F.from_json(text, "array<double>"), F.array(F.lit(0.0)))

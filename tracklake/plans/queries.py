@@ -652,4 +652,4 @@ def tasks_by_source(spark, d):
     return x.agg(F.get(F.array_sort(F.collect_set("n_regionkey")), F.lit(0)).alias("first"), F.size(F.collect_set("c_nationkey")).cast("bigint").alias("tasks"))
 
 
-from tracklake.plans import batch_queries, binary_queries, metric_queries, sample_queries, source_queries  # noqa: E402, F401  (they add their queries)
+from tracklake.plans import batch_queries, binary_queries, layout_queries, metric_queries, sample_queries, source_queries  # noqa: E402, F401  (they add their queries)

@@ -9,6 +9,7 @@ from tracklake.operators import models
 from tracklake.plans.canonical import TRAJ, table, trajectories
 from tracklake.plans.queries import _joined, query, r6
 from tracklake.schema import normalize_quality
+from tracklake.sources import layouts
 from tracklake.sources import readers as rd
 
 _REWARDS = "r AS (SELECT event_id, event_id % 7 AS reward FROM events WHERE event_id % 7 BETWEEN 1 AND 5)"
@@ -77,24 +78,35 @@ def shared_instructions(spark, d):
     return rd.shared_instructions(p.where("video_path % 2 = 1"), p.where("video_path % 2 = 0")).select("task", "is_robot", "frames")
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'failure' WHEN 1 THEN 'successful' WHEN 2 THEN 'successful' WHEN 3 THEN 'failure' WHEN 4 THEN 'suboptimal' WHEN 5 THEN 'successful' ELSE 'odd' END AS quality_label FROM orders""")
+_WORDS = "CASE o_orderstatus WHEN 'P' THEN 'success' WHEN 'O' THEN 'optimal' ELSE 'failed' END"
+
+
+def _label_word():
+    return F.when(F.col("o_orderstatus") == "P", "success").when(F.col("o_orderstatus") == "O", "optimal").otherwise("failed")
+
+
+@query(f"""WITH w AS (SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN o_orderpriority WHEN o_custkey % 7 <> 0 THEN {_WORDS} END AS label FROM orders)
+ SELECT o_orderkey, CASE WHEN label IN ('success', 'optimal') OR label IS NULL THEN 'successful' WHEN label = 'failed' THEN 'failure' ELSE label END AS quality_label FROM w""")
 def quality_names(spark, d):
-    names = F.array(*map(F.lit, ["failed", "optimal", "GT", "all_fail", "close_succ"]))
-    k = (F.col("o_orderkey") % 7).cast("int")
-    return table(spark, d, "orders").select("o_orderkey", normalize_quality(F.when(k < 5, F.get(names, k)).when(k == 6, "odd")).alias("quality_label"))
+    label = F.when(F.col("o_custkey") % 5 == 0, F.col("o_orderpriority")).when(F.col("o_custkey") % 7 != 0, _label_word())
+    return table(spark, d, "orders").select("o_orderkey", normalize_quality(label).alias("quality_label"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'suboptimal' WHEN 1 THEN 'failure' ELSE 'successful' END AS by_folder, CASE o_orderkey % 4 WHEN 0 THEN 'suboptimal' WHEN 1 THEN 'failure' ELSE 'successful' END AS by_stem FROM orders""")
+@query("""WITH w AS (SELECT o_orderkey, replace(lower(o_orderpriority), ' ', '_') || '_' || o_custkey || CASE o_orderstatus WHEN 'P' THEN '_suboptimal' WHEN 'F' THEN '_failure' ELSE '' END AS folder,
+ c_name || CASE o_orderstatus WHEN 'P' THEN '_Close_Succ_' WHEN 'F' THEN '_fail_succ_' ELSE '_SUCC_' END || o_orderkey AS stem FROM orders JOIN customer ON c_custkey = o_custkey)
+ SELECT o_orderkey, CASE WHEN contains(folder, 'suboptimal') THEN 'suboptimal' WHEN contains(folder, 'failure') THEN 'failure' ELSE 'successful' END AS by_folder,
+ CASE WHEN contains(lower(stem), 'close_succ') THEN 'suboptimal' WHEN contains(lower(stem), 'fail') THEN 'failure' ELSE 'successful' END AS by_stem FROM w""")
 def quality_of_names(spark, d):
-    k = (F.col("o_orderkey") % 4).cast("int")
-    folder = F.get(F.array(*map(F.lit, ["x_suboptimal_failure", "a_failure", "a", "b"])), k)
-    stem = F.get(F.array(*map(F.lit, ["Clip_Close_Succ_1", "fail_succ", "SUCC_2", "x_success"])), k)
-    return table(spark, d, "orders").select("o_orderkey", tx.quality_from_directory(folder).alias("by_folder"), tx.quality_from_stem(stem).alias("by_stem"))
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    by = lambda p, f, other: F.when(F.col("o_orderstatus") == "P", p).when(F.col("o_orderstatus") == "F", f).otherwise(other)
+    folder = F.concat(F.replace(F.lower("o_orderpriority"), F.lit(" "), F.lit("_")), F.lit("_"), "o_custkey", by("_suboptimal", "_failure", ""))
+    stem = F.concat("c_name", by("_Close_Succ_", "_fail_succ_", "_SUCC_"), "o_orderkey")
+    return o.select("o_orderkey", tx.quality_from_directory(folder).alias("by_folder"), tx.quality_from_stem(stem).alias("by_stem"))
 
 
 @query(f"WITH {TRAJ}, g AS (SELECT task FROM traj GROUP BY 1 HAVING bool_or(rank = 3) AND bool_or(rank = 1)) SELECT id, task FROM traj WHERE task IN (SELECT task FROM g)")
 def tasks_need_both(spark, d):
-    return rd.need_both(trajectories(spark, d)).select("id", "task")
+    return layouts.tasks_with_both(trajectories(spark, d)).select("id", "task")
 
 
 @query(f"WITH {TRAJ} SELECT id, task FROM traj QUALIFY row_number() OVER (PARTITION BY task ORDER BY id) <= 3")

@@ -250,13 +250,6 @@ def dictionary_or_contains(files: DataFrame, tasks: DataFrame) -> DataFrame:
     return best.select(F.coalesce("found", tx.prettify(F.col("folder"))).alias("task"), F.col("path").alias("frames"), F.lit("failure").alias("quality_label"))
 
 
-def need_both(df: DataFrame, good: str = "successful", bad: str = "failure") -> DataFrame:
-    """Rows of tasks that have a success and a failure."""
-    w = Window.partitionBy("task")
-    both = (F.max((F.col("quality_label") == good).cast("int")).over(w) == 1) & (F.max((F.col("quality_label") == bad).cast("int")).over(w) == 1)
-    return df.withColumn("__b", both).where("__b").drop("__b")
-
-
 def need_success(df: DataFrame) -> DataFrame:
     """The rows; a task without a success is an error when they are read."""
     some = F.max((F.col("quality_label") == "successful").cast("int")).over(Window.partitionBy("task")) == 1
