@@ -29,6 +29,28 @@ def round_robin(df: DataFrame, group: str, key: str, k: int, seed: int, purpose:
     return rounds.withColumn("place", F.row_number().over(outer)).where(F.col("place") <= k)
 
 
+def circular(df: DataFrame, group: str, key: str, k: int | None, seed: int, purpose: str) -> DataFrame:
+    """Up to k rows of each group with several keys: round after round one drawn row of each key in the order of the keys, until k or all are taken; null: all.  Adds place."""
+    several = df.groupBy(group).agg((F.min(key) != F.max(key)).alias("__several")).where("__several").select(group)
+    rows = df.where(F.col(key).isNotNull()).join(several, group, "left_semi")
+    inner = Window.partitionBy(group, key).orderBy(draw(seed, purpose, "id"), "id")
+    rows = rows.withColumn("__round", F.row_number().over(inner))
+    if k is not None:
+        rows = rows.where(F.col("__round") <= k)
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("__round", key))).drop("__round")
+    return placed if k is None else placed.where(F.col("place") <= k)
+
+
+def cap_pairs(pairs: DataFrame, per_task: int | None, most: int | None, seed: int, id_: str = "id") -> DataFrame:
+    """At most ``per_task`` pairs of each task, then at most ``most`` of what is left, both by their draws; null: all."""
+    return cap_all(cap_per(pairs, ["task"], per_task, seed, "pairs of a task", id_), most, seed, "pairs", id_)
+
+
+def allowed_successes(df: DataFrame, tasks: DataFrame, k: int | None, seed: int) -> DataFrame:
+    """At most k successful rows of the listed tasks (task) by their draws; null: all."""
+    return cap_all(df.where("quality_label = 'successful'").join(tasks.select("task"), "task", "left_semi"), k, seed, "allowed")
+
+
 def cap_tasks(df: DataFrame, k: int, seed: int, purpose: str) -> DataFrame:
     """The rows of k tasks, chosen by their draws."""
     some = df.select("task").where("task is not null").distinct().orderBy(draw(seed, purpose, "task"), "task").limit(k)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracklake.functions import frames as fr
 from tracklake.functions import text as tx
-from tracklake.operators import pairs
+from tracklake.operators import pairs, sampling
 from tracklake.plans.canonical import TRAJ, table, trajectories
 from tracklake.plans.queries import _joined, query, r6
 from tracklake.sources import layouts
@@ -164,3 +164,74 @@ def robots_by_path(spark, d):
     p = table(spark, d, "part")
     path = F.concat_ws("/", F.lit("/m"), "p_brand", F.when(F.col("p_partkey") % 3 == 2, "human_motion").otherwise("Stretch_motion"), "p_name")
     return p.select("p_partkey", layouts.robot_of_path(path).alias("is_robot"))
+
+
+@query(f"""WITH {TRAJ}, s AS (SELECT task FROM traj GROUP BY 1 HAVING count(DISTINCT partial_success) > 1), r AS (SELECT id, task, partial_success, row_number() OVER (PARTITION BY task, partial_success ORDER BY md5('7|circular|' || id), id) AS r FROM traj WHERE task IN (SELECT task FROM s))
+ SELECT id, task, CAST(row_number() OVER (PARTITION BY task ORDER BY r, partial_success) AS INTEGER) AS place FROM r QUALIFY row_number() OVER (PARTITION BY task ORDER BY r, partial_success) <= 7""")
+def circular_samples(spark, d):
+    """Seven rows of each task, taken in turn from its partial successes."""
+    return sampling.circular(trajectories(spark, d), "task", "partial_success", 7, 7, "circular").select("id", "task", "place")
+
+
+@query(f"""WITH {TRAJ}, p AS (SELECT a.task, concat_ws('-', a.id, b.id) AS id FROM traj a JOIN traj b ON a.task = b.task AND a.rank > b.rank AND a.is_robot AND b.is_robot), c AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY task ORDER BY md5('7|pairs of a task|' || id), id) <= 3)
+ SELECT id, task FROM c ORDER BY md5('7|pairs|' || id), id LIMIT 500""")
+def capped_pairs(spark, d):
+    """Quality pairs, at most three of a task and five hundred in all."""
+    p = pairs.quality_pairs(trajectories(spark, d)).select(F.col("chosen_task").alias("task"), F.concat_ws("-", F.col("chosen_id").cast("string"), F.col("rejected_id").cast("string")).alias("id"))
+    return sampling.cap_pairs(p, 3, 500, 7).select("id", "task")
+
+
+@query(f"WITH {TRAJ} SELECT id, task FROM traj WHERE rank = 3 AND CAST(task AS BIGINT) IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12) ORDER BY md5('7|allowed|' || id), id LIMIT 400")
+def allowed_successes(spark, d):
+    tasks = table(spark, d, "customer").where("c_nationkey < 12").select(F.col("c_custkey").cast("string").alias("task"))
+    return sampling.allowed_successes(trajectories(spark, d), tasks, 400, 7).select("id", "task")
+
+
+@query("""WITH a AS (SELECT n_nationkey AS k, n_name, n_regionkey % 2 = 1 AS is_robot FROM nation WHERE n_nationkey % 5 <> 0), c AS (SELECT c_nationkey AS k, c_name, c_custkey, unnest(['right', 'left']) AS part FROM customer)
+ SELECT n_name AS task_name, c_name AS task, '/p/' || c_custkey AS frames, is_robot, part FROM c JOIN a USING (k) WHERE (part = 'right' AND c_custkey % 2 = 0) OR (part = 'left' AND c_custkey % 3 = 0)""")
+def camera_rows(spark, d):
+    """Files of tasks with attributes in one JSON text, a row for each camera that a file holds."""
+    n = table(spark, d, "nation")
+    kind = F.struct(F.when(F.col("n_regionkey") % 2 == 1, "two_arms").otherwise("a_Human").alias("embodiment_type"))
+    attributes = n.where("n_nationkey % 5 <> 0").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("n_name", kind)))).alias("per_task_attributes"))
+    has = F.array_compact(F.array(F.when(F.col("c_custkey") % 2 == 0, "right"), F.when(F.col("c_custkey") % 3 == 0, "left"), F.lit("top")))
+    files = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("task_name"), F.concat(F.lit("/p/"), "c_custkey").alias("path"), F.col("c_name").alias("description"), has.alias("cameras"))
+    return layouts.camera_rows(files, attributes)
+
+
+@query("""WITH s AS (SELECT user_id, event_id, event_type, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+ r AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS run FROM s)
+ SELECT user_id, run, min(event_id) AS "first", max(event_id) AS "last", count(*) AS n, 'do ' || event_type AS task FROM r WHERE event_type <> (SELECT min(event_type) FROM events) GROUP BY user_id, run, event_type""")
+def runs_of_tasks(spark, d):
+    e = table(spark, d, "events").withColumn("part", F.col("user_id"))
+    least = e.agg(F.min("event_type").alias("least"))  # one row
+    tasks = e.select("event_type").distinct().join(F.broadcast(least), F.col("event_type") != F.col("least")).select("event_type", F.concat(F.lit("do "), "event_type").alias("task"))
+    runs = layouts.runs_of_tasks(rd.sessionize(e, "event_type", "event_id"), tasks, "event_type", "event_id")
+    return runs.select(F.col("part").alias("user_id"), "run", "first", "last", "n", "task")
+
+
+@query("""WITH f AS (SELECT o_orderpriority AS folder, o_orderkey || CASE o_orderstatus WHEN 'P' THEN '_Closs_Succ' WHEN 'F' THEN '_fail_succ' ELSE '_Succ' END AS stem, o_orderkey, o_custkey FROM orders),
+ g AS (SELECT *, '/c/' || folder || '/' || stem || '.gif' AS path FROM f), h AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY folder ORDER BY path) <= 200)
+ SELECT 'task ' || o_custkey AS task, path AS frames, folder, CASE WHEN contains(stem, 'Closs') THEN 'suboptimal' WHEN contains(stem, 'fail') THEN 'failure' ELSE 'successful' END AS quality_label FROM h WHERE o_custkey % 4 <> 0""")
+def labelled_clips(spark, d):
+    o = table(spark, d, "orders")
+    word = F.when(F.col("o_orderstatus") == "P", "_Closs_Succ").when(F.col("o_orderstatus") == "F", "_fail_succ").otherwise("_Succ")
+    files = o.select(F.concat(F.lit("/c/"), "o_orderpriority", F.lit("/"), "o_orderkey", word, F.lit(".gif")).alias("path"))
+    known = o.where("o_custkey % 4 <> 0").select(F.col("o_orderkey").cast("string").alias("episode"), F.concat(F.lit("task "), "o_custkey").alias("task"))
+    return layouts.labelled_clips(files, known, 200)
+
+
+@query(f"""WITH {_IMAGES}, e AS (SELECT CASE t WHEN 'A' THEN 'push the cube' ELSE t END AS task, view, string_agg(stem, ',' ORDER BY TRY_CAST(stem AS BIGINT) NULLS LAST, stem) AS images, CASE attempt WHEN 'Ground_Truth' THEN 'successful' ELSE 'failure' END AS quality_label FROM im WHERE view <> 'top' GROUP BY t, seed, attempt, view),
+ s AS (SELECT CASE WHEN o_custkey % 3 = 0 THEN 'A' ELSE 'grasp ' || (o_custkey % 10) END AS task, CASE o_orderkey % 2 WHEN 0 THEN 'front' ELSE 'wrist' END AS view, CAST(o_orderkey AS VARCHAR) AS images, CASE WHEN o_orderstatus = 'F' THEN 'failure' ELSE 'successful' END AS quality_label FROM orders),
+ u AS (SELECT * FROM e UNION ALL SELECT * FROM s) SELECT * FROM u WHERE task IN (SELECT task FROM u GROUP BY 1 HAVING count(DISTINCT quality_label) = 2)""")
+def failure_episodes(spark, d):
+    """Whole episodes and all sub-episodes of three views."""
+    o = table(spark, d, "orders")
+    image = F.concat(F.lit("/d/"), F.when(F.col("o_orderkey") % 2 == 0, "front").otherwise("wrist"), F.lit("/"), "o_orderkey", F.lit(".png"))
+    rows = o.select(
+        F.lit("A").alias("task"), F.lit("A").alias("instruction"), F.when(F.col("o_custkey") % 3 == 0, "").otherwise(F.concat(F.lit("grasp "), F.col("o_custkey") % 10)).alias("sub_task"),
+        F.when(F.col("o_orderstatus") == "F", "slip").when(F.col("o_orderstatus") == "O", "None").alias("failure_type"), F.array(image, F.lit("/d/top/1.png")).alias("image"),
+    )
+    known = table(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.col("l_returnflag").alias("task_name"), F.lit("push the cube").alias("instruction")).distinct()
+    out = layouts.failure_episodes(_images(spark, d), rows, known, 7, part=1.0)
+    return out.select("task", "view", F.array_join(F.transform("images", lambda p: F.regexp_extract(p, r"([^/]*)\.png$", 1)), ",").alias("images"), "quality_label")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracklake.functions import text as tx
 from tracklake.schema import normalize_quality
-from tracklake.sources.readers import first_limit
+from tracklake.sources.readers import cap_per_folder, embodiments, first_limit, sub_episodes
 
 
 def path_part(path: Column, k: int) -> Column:
@@ -98,6 +98,35 @@ def tasks_with_both(df: DataFrame, good: str = "successful", bad: str = "failure
     return df.join(flags.where("__g and __b").select("task"), "task", "left_semi")
 
 
+def failure_episodes(images: DataFrame, rows: DataFrame, instructions: DataFrame, seed: int, views: Sequence[str] = ("front", "side", "wrist"), part: float = 1 / 3) -> DataFrame:
+    """Whole episodes and, for each view, a drawn part of the sub-episodes ``rows``; only tasks with a success and a failure."""
+    out = attempt_episodes(images, instructions, views).select("task", "view", "images", "quality_label")
+    for view in views:
+        out = out.unionByName(sub_episodes(rows, f"/{view}/", seed, part).withColumn("view", F.lit(view)))
+    return tasks_with_both(out)
+
+
+def camera_rows(files: DataFrame, attributes: DataFrame, cameras: Sequence[str] = ("right", "left")) -> DataFrame:
+    """Files (task_name, path, description, cameras array) of tasks with attributes: a row for each known camera that is there."""
+    known = F.filter(F.array(*map(F.lit, cameras)), lambda c: F.array_contains("cameras", c))
+    joined = files.join(embodiments(attributes).withColumnRenamed("task", "task_name"), "task_name")
+    return joined.select("task_name", F.col("description").alias("task"), F.col("path").alias("frames"), "is_robot", F.explode(known).alias("part"))
+
+
+def runs_of_tasks(frames: DataFrame, tasks: DataFrame, key: str, order: str) -> DataFrame:
+    """Frames that ``readers.sessionize`` numbered, as episodes (part, run, first, last, n) with the texts of their tasks (``key``, task)."""
+    episodes = frames.groupBy("part", "run", key).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n"))
+    return episodes.join(tasks, key)
+
+
+def labelled_clips(files: DataFrame, instructions: DataFrame, most: int | None = None) -> DataFrame:
+    """Clips (path) {folder}/{episode}_{words}.gif: the quality by words of the name, the task by the episode (episode, task), at most ``most`` of a folder."""
+    stem = F.regexp_replace(path_part(F.col("path"), -1), r"\.[^.]*$", "")
+    rows = files.where(F.lower("path").endswith(".gif")).select("path", path_part(F.col("path"), -2).alias("folder"), F.split_part(stem, F.lit("_"), F.lit(1)).alias("episode"), stem.alias("stem"))
+    held = rows if most is None or most < 0 else cap_per_folder(rows, "folder", most)
+    return held.join(instructions, "episode").select("task", F.col("path").alias("frames"), "folder", tx.quality_from_stem(F.col("stem")).alias("quality_label"))
+
+
 def numbered_episodes(images: DataFrame, labels: DataFrame, instructions: DataFrame, dataset: str, skip: int = 10, most: int | None = None) -> DataFrame:
     """Images (path) {task}/{episode}/frame{n}.png with labels (task, episode, label) and instructions (task_name, instruction).
 
@@ -140,7 +169,8 @@ def dataset_videos(files: DataFrame, tasks: DataFrame, up: int = -4) -> DataFram
 def robot_of_path(path: Column) -> Column:
     """stretch: a robot; human: none; another path is an error."""
     low = F.lower(path)
-    return F.when(low.contains("stretch"), True).when(low.contains("human"), False).otherwise(F.raise_error(F.concat(F.lit("neither robot nor human: "), path)).cast("boolean"))
+    unknown = F.raise_error(F.concat(F.lit("neither robot nor human: "), path)).cast("boolean")
+    return F.when(low.contains("stretch"), True).when(low.contains("human"), False).otherwise(unknown)
 
 
 def folders_with(files: DataFrame, name: str = "videos/color.mp4") -> DataFrame:
