@@ -140,3 +140,17 @@ def test_circular(spark):
                         want.append(v)
             assert [m[1] for m in mine] == want and [m[0] for m in mine] == list(range(1, len(want) + 1))
         assert not [r for r in got if r.task == "t0"]  # one partial success only
+
+
+def test_tasks_by_their_labels(spark):
+    from tracklake.operators import curate
+    from tracklake.sources import readers
+
+    rows = [(1, "a", "successful"), (2, "a", "failure"), (3, "b", "successful"), (4, None, "failure"), (5, None, "successful"), (6, "c", None), (7, "c", "failure"), (1, "a", "successful")]
+    df = spark.createDataFrame(rows, "id int, task string, quality_label string")
+    assert sorted(r.id for r in curate.keep_mixed_tasks(df).collect()) == [1, 1, 2, 4, 5]
+    assert sorted(r.id for r in curate.keep_mixed_tasks(df, ["successful"]).collect()) == [1, 1, 2, 3, 4, 5]
+    assert curate.keep_mixed_tasks(df.limit(0)).count() == 0
+    assert readers.need_success(df.where("task <> 'c'")).count() == 4
+    with pytest.raises(Exception, match="no success of task c"):
+        readers.need_success(df).collect()

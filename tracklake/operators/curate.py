@@ -40,15 +40,14 @@ def keep_tasks_with_success(df: DataFrame) -> DataFrame:
 
 
 def keep_mixed_tasks(df: DataFrame, labels: Sequence[str] = ("successful", "failure")) -> DataFrame:
-    """Rows of tasks that have every one of the labels."""
-    w = Window.partitionBy("task")
-    for k, label in enumerate(labels):
-        df = df.withColumn(f"__has{k}", F.max((F.col("quality_label") == label).cast("int")).over(w))
-    keep = [F.col(f"__has{k}") == 1 for k in range(len(labels))]
-    out = df
-    for c in keep:
-        out = out.where(c)
-    return out.drop(*[f"__has{k}" for k in range(len(labels))])
+    """Rows of tasks that have every one of the labels; rows without a task count as one.
+
+    Flags are gathered a task before they are joined, so the rows of a task never meet.
+    """
+    flags = df.groupBy(F.col("task").alias("__task")).agg(*[F.bool_or(F.col("quality_label") == label).alias(f"__has{k}") for k, label in enumerate(labels)])
+    for k in range(len(labels)):
+        flags = flags.where(f"__has{k}")
+    return df.join(flags.select("__task"), F.col("task").eqNullSafe(F.col("__task")), "left_semi")
 
 
 def progress_weight(preference_only: Sequence[str] = ()) -> Column:

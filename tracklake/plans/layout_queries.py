@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracklake.functions import frames as fr
 from tracklake.functions import text as tx
-from tracklake.operators import pairs, sampling
+from tracklake.operators import curate, pairs, sampling
 from tracklake.plans.canonical import TRAJ, table, trajectories
 from tracklake.plans.queries import _joined, query, r6
 from tracklake.sources import layouts
@@ -69,7 +69,7 @@ def _images(spark, d):
 def attempt_episodes(spark, d):
     """Whole episodes by task, seed, attempt and view, of tasks with a success and a failure."""
     known = table(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.col("l_returnflag").alias("task_name"), F.lit("push the cube").alias("instruction")).distinct()
-    out = layouts.tasks_with_both(layouts.attempt_episodes(_images(spark, d), known))
+    out = curate.keep_mixed_tasks(layouts.attempt_episodes(_images(spark, d), known))
     names = F.transform("images", lambda p: F.regexp_extract(p, r"([^/]*)\.png$", 1))
     return out.withColumn("images", F.array_join(names, ","))
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracklake.functions import text as tx
-from tracklake.operators import models
+from tracklake.operators import curate, models
 from tracklake.plans.canonical import TRAJ, table, trajectories
 from tracklake.plans.queries import _joined, query, r6
 from tracklake.schema import normalize_quality
-from tracklake.sources import layouts
 from tracklake.sources import readers as rd
 
 _REWARDS = "r AS (SELECT event_id, event_id % 7 AS reward FROM events WHERE event_id % 7 BETWEEN 1 AND 5)"
@@ -106,7 +105,7 @@ def quality_of_names(spark, d):
 
 @query(f"WITH {TRAJ}, g AS (SELECT task FROM traj GROUP BY 1 HAVING bool_or(rank = 3) AND bool_or(rank = 1)) SELECT id, task FROM traj WHERE task IN (SELECT task FROM g)")
 def tasks_need_both(spark, d):
-    return layouts.tasks_with_both(trajectories(spark, d)).select("id", "task")
+    return curate.keep_mixed_tasks(trajectories(spark, d)).select("id", "task")
 
 
 @query(f"WITH {TRAJ} SELECT id, task FROM traj QUALIFY row_number() OVER (PARTITION BY task ORDER BY id) <= 3")

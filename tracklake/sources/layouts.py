@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklake.functions import text as tx
+from tracklake.operators.curate import keep_mixed_tasks
 from tracklake.schema import normalize_quality
 from tracklake.sources.readers import cap_per_folder, embodiments, first_limit, sub_episodes
 
@@ -92,18 +93,12 @@ def attempt_episodes(images: DataFrame, instructions: DataFrame, views: Sequence
     return named.select(F.coalesce("instruction", "task_name").alias("task"), "seed", "attempt", "view", "images", label.alias("quality_label"))
 
 
-def tasks_with_both(df: DataFrame, good: str = "successful", bad: str = "failure") -> DataFrame:
-    """Rows of tasks with a success and a failure: two flags a task are counted, the rows of a task never meet."""
-    flags = df.groupBy("task").agg(F.bool_or(F.col("quality_label") == good).alias("__g"), F.bool_or(F.col("quality_label") == bad).alias("__b"))
-    return df.join(flags.where("__g and __b").select("task"), "task", "left_semi")
-
-
 def failure_episodes(images: DataFrame, rows: DataFrame, instructions: DataFrame, seed: int, views: Sequence[str] = ("front", "side", "wrist"), part: float = 1 / 3) -> DataFrame:
     """Whole episodes and, for each view, a drawn part of the sub-episodes ``rows``; only tasks with a success and a failure."""
     out = attempt_episodes(images, instructions, views).select("task", "view", "images", "quality_label")
     for view in views:
         out = out.unionByName(sub_episodes(rows, f"/{view}/", seed, part).withColumn("view", F.lit(view)))
-    return tasks_with_both(out)
+    return keep_mixed_tasks(out)
 
 
 def camera_rows(files: DataFrame, attributes: DataFrame, cameras: Sequence[str] = ("right", "left")) -> DataFrame:

@@ -252,8 +252,9 @@ def dictionary_or_contains(files: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def need_success(df: DataFrame) -> DataFrame:
     """The rows; a task without a success is an error when they are read."""
-    some = F.max((F.col("quality_label") == "successful").cast("int")).over(Window.partitionBy("task")) == 1
-    return df.withColumn("__s", F.when(some, True).otherwise(F.raise_error(F.concat(F.lit("no success of task "), "task")))).where("__s").drop("__s")
+    flags = df.groupBy(F.col("task").alias("__task")).agg(F.coalesce(F.bool_or(F.col("quality_label") == "successful"), F.lit(False)).alias("__s"))
+    joined = df.join(flags, F.col("task").eqNullSafe(F.col("__task")))
+    return joined.where(F.when(F.col("__s"), True).otherwise(F.raise_error(F.concat(F.lit("no success of task "), F.coalesce("task", F.lit("null")))))).drop("__task", "__s")
 
 
 def cap_per_folder(df: DataFrame, folder: str, k: int) -> DataFrame:
