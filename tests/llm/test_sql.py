@@ -9,7 +9,7 @@ queries = pytest.importorskip("tracklake.llm.queries")
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op2_license_scan", "op7_quality_rules", "op8_decontaminate", "op10_sharding", "op11_chat_format", "op12_fill_in_middle", "op13_hard_negatives"])
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op2_license_scan", "op3_minhash", "op6_suffix_dedup", "op7_quality_rules", "op8_decontaminate", "op10_sharding", "op11_chat_format", "op12_fill_in_middle", "op13_hard_negatives"])
 def test_sql(spark, name):
     db = duckdb.connect()
     for f in os.listdir(SF):

@@ -137,4 +137,4 @@ def oracle_sql() -> dict[str, str]:
     """The others are held against brute force, a round trip or held-out labels in tests/llm."""
     from tracklake.llm import sql
 
-    return {"op2_license_scan": sql.license_scan(), "op7_quality_rules": sql.quality_rules(), "op8_decontaminate": sql.decontaminate(), "op10_sharding": sql.sharding(), "op11_chat_format": sql.chat_format(), "op12_fill_in_middle": sql.fill_in_middle(), "op13_hard_negatives": sql.hard_negatives()}
+    return {"op1_line_dedup": sql.line_dedup(), "op2_license_scan": sql.license_scan(), "op3_minhash": sql.minhash(), "op6_suffix_dedup": sql.suffix_dedup(), "op7_quality_rules": sql.quality_rules(), "op8_decontaminate": sql.decontaminate(), "op10_sharding": sql.sharding(), "op11_chat_format": sql.chat_format(), "op12_fill_in_middle": sql.fill_in_middle(), "op13_hard_negatives": sql.hard_negatives()}

@@ -66,6 +66,47 @@ def license_scan() -> str:
  FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN l ON d.doc_id = l.doc_id"""
 
 
+def line_dedup() -> str:
+    # The first line of each set of words stands for it; sets that are alike share a rare word, as with the shingles below.
+    return r"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents), l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM d),
+ w AS MATERIALIZED (SELECT doc_id, i, line, list_sort(list_distinct(regexp_extract_all(lower(line), '(?:[0-9a-z]|[^\x00-\x7F])+'))) AS g FROM l),
+ s AS MATERIALIZED (SELECT g, len(g) AS n, min({'d': doc_id, 'i': i}) AS first FROM w WHERE len(g) > 0 GROUP BY g),
+ e AS (SELECT first, n, unnest(g) AS k FROM s), f AS (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM e),
+ p AS MATERIALIZED (SELECT first, n, k FROM f QUALIFY row_number() OVER (PARTITION BY first ORDER BY c, k) <= n - (4 * n + 4) // 5 + 1),
+ m AS (SELECT DISTINCT a.first AS a, b.first AS b FROM p AS a JOIN p AS b ON a.k = b.k AND b.first < a.first AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
+ v AS (SELECT m.a, len(list_intersect(s.g, u.g)) AS i, s.n + u.n AS n FROM m JOIN s ON s.first = m.a JOIN s AS u ON u.first = m.b),
+ r AS (SELECT DISTINCT a FROM v WHERE 5 * i >= 4 * (n - i)),
+ k AS (SELECT w.doc_id, w.i, w.line, len(w.g) > 0 AS worded, coalesce({'d': w.doc_id, 'i': w.i} > s.first OR r.a IS NOT NULL, false) AS gone FROM w LEFT JOIN s USING (g) LEFT JOIN r ON r.a = s.first),
+ t AS (SELECT doc_id, count(*) FILTER (worded) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM k GROUP BY doc_id)
+ SELECT doc_id, n_lines, n_removed, CAST(length(kept) AS BIGINT) AS n_kept_chars, sha256(kept) AS kept_sha256 FROM t"""
+
+
+def minhash() -> str:
+    # All pairs by rare shingles first: two sets of n and m shingles that are alike share one of the first n - ceil(0.8 n) + 1 of each.
+    return r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), t AS MATERIALIZED (SELECT x, min(doc_id) AS rep, regexp_extract_all(lower(x), '(?:[0-9a-z]|[^\x00-\x7F])+') AS w FROM d GROUP BY x),
+ s AS MATERIALIZED (SELECT rep, list_distinct(CASE WHEN len(w) < 5 THEN list_filter([array_to_string(w, ' ')], lambda y: y <> '') ELSE list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' ')) END) AS g FROM t),
+ e AS (SELECT rep, len(g) AS n, unnest(g) AS k FROM s), f AS (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM e),
+ p AS (SELECT rep, n, k FROM f QUALIFY row_number() OVER (PARTITION BY rep ORDER BY c, k) <= n - (4 * n + 4) // 5 + 1),
+ m AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM p AS a JOIN p AS b ON a.k = b.k AND a.rep < b.rep AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
+ v AS MATERIALIZED (SELECT m.a, m.b, len(list_intersect(s.g, u.g)) AS i, len(s.g) + len(u.g) AS n FROM m JOIN s ON s.rep = m.a JOIN s AS u ON u.rep = m.b),
+ l AS MATERIALIZED (SELECT a, b FROM v WHERE 5 * i >= 4 * (n - i) UNION SELECT b, a FROM v WHERE 5 * i >= 4 * (n - i)),
+ r AS (SELECT rep AS a, rep AS b FROM t UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), z AS (SELECT a, min(b) AS class_id FROM r GROUP BY a)
+ SELECT doc_id, class_id FROM d JOIN t USING (x) JOIN z ON z.a = t.rep"""
+
+
+def suffix_dedup() -> str:
+    # Every start of 100 bytes by its md5; starts at most 100 apart are one run.
+    return """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+ w AS (SELECT doc_id, s, md5(h[s + 1:s + 100]) AS k FROM (SELECT doc_id, h, unnest(range(n - 99)) AS s FROM d)),
+ r AS (SELECT doc_id, s FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1),
+ g AS (SELECT *, CASE WHEN s <= 100 + lag(s) OVER (PARTITION BY doc_id ORDER BY s) THEN 0 ELSE 1 END AS fresh FROM r),
+ i AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM g),
+ m AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM i GROUP BY doc_id, run),
+ p AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM m UNION ALL SELECT d.doc_id, coalesce(max(b), 0), any_value(n) FROM d LEFT JOIN m USING (doc_id) GROUP BY d.doc_id),
+ k AS (SELECT doc_id, sha256(unhex(string_agg(hex(h[a + 1:b]), '' ORDER BY a, b))) AS kept_sha256 FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+ SELECT d.doc_id, n AS n_bytes, CAST(coalesce(sum(b - a), 0) AS BIGINT) AS n_removed, count(a) AS n_spans, any_value(kept_sha256) AS kept_sha256 FROM d JOIN k USING (doc_id) LEFT JOIN m USING (doc_id) GROUP BY d.doc_id, n"""
+
+
 def decontaminate() -> str:
     marks = dc.PUNCTUATION.replace("'", "''")
     later = " || ' ' || ".join(["c", *[f"lead(c, {k}) OVER p" for k in range(1, dc.WINDOW)]])
