@@ -121,3 +121,25 @@ def test_similar_names(spark):
     got = rows.select("n", similarity(F.col("n"), F.lit("move the mug")).alias("s"), best_match(F.col("n"), ["move the mug", "move the cap", "cup"]).alias("b")).collect()
     assert got[0].b == "move the cap" and got[1].b == "cup" and got[2].b is None and got[3].b is None and got[3].s is None
     assert got[0].s == pytest.approx(__import__("difflib").SequenceMatcher(None, "move the cup", "move the mug").ratio())
+
+
+def test_frame_geometry_and_held_losses(spark):
+    import math
+
+    from tracklake.operators import metrics
+
+    sides = [(w, h) for w in (90, 101, 240, 305, 641) for h in (91, 240, 480)]
+    df = spark.createDataFrame(sides, "w int, h int")
+    for crop in (False, True):
+        for r in df.select("w", "h", fr.resize_geometry(F.col("w"), F.col("h"), 240, crop).alias("g")).collect():
+            edge = min(r.w, r.h)
+            wide, high = (edge, edge) if crop else (r.w, r.h)
+            even = lambda n: n if n % 2 == 0 else n + 1
+            want = ((r.w - edge) // 2 if crop else 0, (r.h - edge) // 2 if crop else 0, even(int(wide * (240 / edge))), even(int(high * (240 / edge))))
+            assert tuple(r.g) == want, (r, crop)
+    scores = [(a, b) for a in (-1e4, -60.0, -1.5, 0.0, 30.0, 80.0) for b in (-70.0, 0.25, 49.0, 1e6)]
+    hold = lambda x: max(-50.0, min(50.0, x))
+    out = spark.createDataFrame(scores, "a double, b double").select("a", "b", metrics.similarity_loss(F.col("a"), F.col("b"), 2.0).alias("s"), metrics.preference_loss(F.col("a"), F.lit(1.0)).alias("p"))
+    for r in out.collect():
+        z = hold(2 * (hold(r.a) - hold(r.b)))
+        assert r.s == pytest.approx(math.log1p(math.exp(-z))) and r.p == pytest.approx(math.log1p(math.exp(-hold(r.a))))

@@ -268,11 +268,13 @@ def gather(values: Column, indices: Column) -> Column:
     return F.transform(indices, lambda i: F.get(values, i))
 
 
-def resize_geometry(width: Column, height: Column, shortest: int) -> Column:
-    """Width and height of the resized frame: the shortest edge as given, both even."""
-    scale = shortest / F.least(width, height)
-    even = lambda x: (F.rint(x * scale / 2) * 2).cast("int")
-    return F.struct(even(width).alias("width"), even(height).alias("height"))
+def resize_geometry(width: Column, height: Column, shortest: int, crop: bool = False) -> Column:
+    """Where a frame is cut (x, y: the middle square if ``crop``) and its width and height then: the shortest edge as given, cut to whole numbers, odd ones one more."""
+    edge = F.least(width, height)
+    x, y = ((F.floor((side - edge) / 2) if crop else F.lit(0)).cast("int") for side in (width, height))
+    cut = lambda side: F.floor((edge if crop else side) * (F.lit(float(shortest)) / edge)).cast("int")
+    even = lambda n: n + n % 2
+    return F.struct(x.alias("x"), y.alias("y"), even(cut(width)).alias("width"), even(cut(height)).alias("height"))
 
 
 def discrete_target(target: Column, bins: int) -> Column:

@@ -245,15 +245,23 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
+def held(x: Column) -> Column:
+    """A score within -50 .. 50."""
+    return F.least(F.greatest(x, F.lit(-50.0)), F.lit(50.0))
+
+
 def preference_loss(logit: Column, label: Column) -> Column:
-    """Binary cross-entropy with logits."""
-    return softplus(logit) - logit * label
+    """Binary cross-entropy with logits, which are held to -50 .. 50."""
+    return softplus(held(logit)) - held(logit) * label
+
+
+def similarity_margin(sim: Column, diff: Column) -> Column:
+    return held(sim) - held(diff)
 
 
 def similarity_loss(sim: Column, diff: Column, beta: float) -> Column:
-    """softplus(-beta (sim - diff)) with both scores held to -50 .. 50."""
-    held = lambda x: F.least(F.greatest(x, F.lit(-50.0)), F.lit(50.0))
-    return softplus(-beta * (held(sim) - held(diff)))
+    """softplus of the negative margin times beta; both scores and the product are held to -50 .. 50."""
+    return softplus(-held(beta * similarity_margin(sim, diff)))
 
 
 def leaderboard(df: DataFrame, models: list[str]) -> DataFrame:

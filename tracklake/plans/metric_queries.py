@@ -293,3 +293,25 @@ def filter_by_source(spark, d):
 @query("""SELECT * FROM (VALUES ('id', 'string', 'bigint'), ('lang_vector', 'array<float>', NULL), ('frames', 'string', NULL), ('partial_success', 'float', 'double')) v("column", expected, found)""")
 def type_violations(spark, d):
     return curate.type_violations(trajectories(spark, d))
+
+
+_HELD = "least(greatest({}, -50), 50)"
+
+
+@query(f"""WITH s AS (SELECT l_returnflag, {_HELD.format('l_extendedprice / 500 - 60')} AS a, {_HELD.format('l_quantity * 3 - 60')} AS b, CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END AS y FROM lineitem), z AS (SELECT *, {_HELD.format('2 * (a - b)')} AS z FROM s)
+ SELECT l_returnflag, round(avg(greatest(-z, 0) + ln(1 + exp(-abs(z)))), 6) AS similarity_loss, round(avg(a - b), 6) AS margin, round(avg(CASE WHEN a > b THEN 1.0 ELSE 0.0 END), 6) AS ranked, round(avg(greatest(a, 0) + ln(1 + exp(-abs(a))) - a * y), 6) AS preference_loss FROM z GROUP BY 1""")
+def held_losses(spark, d):
+    """Losses and margins of scores of which many lie beyond the bounds."""
+    sim, diff = F.col("l_extendedprice") / 500 - 60, F.col("l_quantity") * 3 - 60
+    margin = metrics.similarity_margin(sim, diff)
+    means = {"similarity_loss": metrics.similarity_loss(sim, diff, 2.0), "margin": margin, "ranked": (margin > 0).cast("double"), "preference_loss": metrics.preference_loss(sim, (F.col("l_tax") > 0.04).cast("int"))}
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(*[r6(F.avg(c)).alias(n) for n, c in means.items()])
+
+
+@query("""WITH g AS (SELECT p_partkey, CAST(p_size * 13 + 100 AS BIGINT) AS w, p_partkey % 400 + 90 AS h FROM part), s AS (SELECT *, least(w, h) AS e FROM g),
+ f AS (SELECT *, CAST(floor(w * (240::DOUBLE / e)) AS BIGINT) AS a, CAST(floor(h * (240::DOUBLE / e)) AS BIGINT) AS b, CAST(floor(e * (240::DOUBLE / e)) AS BIGINT) AS c FROM s)
+ SELECT p_partkey, CAST(a + a % 2 AS INTEGER) AS width, CAST(b + b % 2 AS INTEGER) AS height, CAST(floor((w - e) / 2) AS INTEGER) AS x, CAST(floor((h - e) / 2) AS INTEGER) AS y, CAST(c + c % 2 AS INTEGER) AS side FROM f""")
+def frame_geometry(spark, d):
+    w, h = (F.col("p_size") * 13 + 100).cast("bigint"), F.col("p_partkey") % 400 + 90
+    plain, cut = fr.resize_geometry(w, h, 240), fr.resize_geometry(w, h, 240, crop=True)
+    return table(spark, d, "part").select("p_partkey", plain["width"].alias("width"), plain["height"].alias("height"), cut["x"].alias("x"), cut["y"].alias("y"), cut["width"].alias("side"))
