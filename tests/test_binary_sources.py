@@ -306,3 +306,14 @@ def test_poses_and_actions(spark, tmp_path):
         got[r.path.rsplit("/", 1)[1], r.row] = r.action
     want = {("p.h5", k): joint[k].tolist() for k in range(4)} | {("q.h5", k): [*end[k].ravel(), *turn[k].ravel()] for k in range(5)} | {("r.h5", k): end[k].ravel().tolist() for k in range(5)}
     assert got == want
+
+
+def test_small_archives_share_tasks(spark, tmp_path):
+    from tracklake.sources import archives, ranges
+
+    for k in range(600):
+        (tmp_path / f"{k:03d}.tar").write_bytes(bytes(1024))
+    few = max(spark.sparkContext.defaultParallelism, -(-600 // ranges.TASK_FILES))
+    assert archives.tar_index(spark, str(tmp_path)).rdd.getNumPartitions() == few and archives.tar_index(spark, str(tmp_path)).count() == 0
+    assert ranges.dealt(spark, [("a", ranges.TASK_BYTES * 9), ("b", ranges.TASK_BYTES * 9)]).rdd.getNumPartitions() == 2
+    assert ranges.dealt(spark, []).count() == 0

@@ -1,6 +1,6 @@
 """Members of .tar archives by byte ranges: an index of the headers, then reads of bounded size, in batch or as a stream.
 
-The index task of an archive reads its headers alone and seeks over the contents.  The
+The index of an archive is read from its headers alone, with seeks over the contents.  The
 members are dealt to tasks by bytes, and each task holds one member at a time.  The index
 saved with ``save_index`` has a file for each part of an archive; a stream over these files
 takes a few parts a micro-batch, and its checkpoint goes on in mid-archive.
@@ -89,10 +89,8 @@ def _indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def tar_index(spark: SparkSession, path: str, pattern: str = "*.tar") -> DataFrame:
-    """``INDEX`` of the plain archives below a path, one task an archive."""
-    found = ranges.listed(path, pattern)
-    files = spark.createDataFrame(found, "path string, bytes bigint").repartition(max(1, len(found)))
-    return files.mapInPandas(_indexed, INDEX)
+    """``INDEX`` of the plain archives below a path; a task reads one archive after the other."""
+    return ranges.dealt(spark, ranges.listed(path, pattern)).mapInPandas(_indexed, INDEX)
 
 
 def in_parts(index: DataFrame, part_bytes: int = 1 << 28) -> DataFrame:
@@ -140,13 +138,14 @@ def contents(index: DataFrame) -> DataFrame:
 
 
 def tar_contents(index: DataFrame, part_bytes: int = 1 << 28) -> DataFrame:
-    """The members with their contents; a task reads whole parts, one member at a time.
+    """The members with their contents; a task reads whole parts, one member at a time, and several parts where they are small and many.
 
     Filter the index first: what it does not hold is not read.
     """
     parts = in_parts(index, part_bytes)
     total = index.agg(F.sum("size")).first()[0] or 0
-    dealt = parts.repartition(max(1, -(-int(total) // part_bytes)), "path", "part").sortWithinPartitions("path", "offset")
+    tasks = min(-(-int(total) // part_bytes), max(ranges.TASK_FILES, -(-int(total) // ranges.TASK_BYTES)))
+    dealt = parts.repartition(max(1, tasks), "path", "part").sortWithinPartitions("path", "offset")
     return contents(dealt).drop("part")
 
 

@@ -7,6 +7,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
+
+#: Bytes and files that are dealt to one task.
+TASK_BYTES, TASK_FILES = 1 << 28, 256
 
 
 def store(path: str) -> tuple[pafs.FileSystem, str]:
@@ -41,3 +45,12 @@ def cuts(size: int, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of at most ``limit`` bytes."""
     for a in range(0, size, limit):
         yield a, min(a + limit, size)
+
+
+def dealt(spark: SparkSession, found: list[tuple[str, int]]) -> DataFrame:
+    """(path, bytes) of listed files, in tasks of about ``TASK_BYTES`` and ``TASK_FILES``; few files have a task each, so that all cores work.
+
+    The driver keeps a record of each task, so many small files must share one.
+    """
+    tasks = max(spark.sparkContext.defaultParallelism, -(-sum(n for _, n in found) // TASK_BYTES), -(-len(found) // TASK_FILES))
+    return spark.createDataFrame(found, "path string, bytes bigint").repartition(max(1, min(len(found), tasks)))
