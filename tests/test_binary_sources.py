@@ -317,3 +317,13 @@ def test_small_archives_share_tasks(spark, tmp_path):
     assert archives.tar_index(spark, str(tmp_path)).rdd.getNumPartitions() == few and archives.tar_index(spark, str(tmp_path)).count() == 0
     assert ranges.dealt(spark, [("a", ranges.TASK_BYTES * 9), ("b", ranges.TASK_BYTES * 9)]).rdd.getNumPartitions() == 2
     assert ranges.dealt(spark, []).count() == 0
+
+
+def test_small_hdf5_files_share_tasks(spark, tmp_path):
+    from tracklake.sources import hdf5, ranges
+
+    for k in range(600):
+        (tmp_path / f"{k:03d}.hdf5").write_bytes(bytes(8))
+    paths = hdf5.files(spark, str(tmp_path))
+    assert paths.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-600 // ranges.TASK_FILES))
+    assert hdf5.members(paths).where("error is not null").count() == 600
