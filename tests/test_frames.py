@@ -143,3 +143,29 @@ def test_frame_geometry_and_held_losses(spark):
     for r in out.collect():
         z = hold(2 * (hold(r.a) - hold(r.b)))
         assert r.s == pytest.approx(math.log1p(math.exp(-z))) and r.p == pytest.approx(math.log1p(math.exp(-hold(r.a))))
+
+
+def test_rounded_as_floating_point(spark):
+    import duckdb
+
+    from tracklake.operators import metrics
+
+    values = [0.285, 1.005, 2.675, 57007.784999999996, 70955.415, 53748.604999999996, -0.285, -2.5, 0.0, 1e300] + [k / 200 for k in range(1, 4000, 2)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r[0] for r in df.select(metrics.rounded(F.col("x"), 2)).collect()] == [v for (v,) in duckdb.connect().sql(f"SELECT round(x, 2) FROM (SELECT unnest({values}::DOUBLE[]) AS x)").fetchall()]
+
+
+def test_ranking_by_reward_rounds_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    from tracklake.plans.queries import QUERIES, SQL
+
+    db = duckdb.connect()
+    prices = {1: [57007.78, 57007.79], 2: [57007.78, 57007.78], 3: [70955.41, 70955.42], 4: [70955.41, 70955.41], 5: [53748.6, 53748.61], 6: [53748.6, 53748.6]}
+    db.sql("CREATE TABLE customer AS SELECT CAST(k AS BIGINT) AS c_custkey, 'BUILDING' AS c_mktsegment FROM range(1, 4) t(k)")
+    db.sql("CREATE TABLE orders AS SELECT CAST(k AS BIGINT) AS o_orderkey, CAST((k + 1) // 2 AS BIGINT) AS o_custkey, CASE k % 2 WHEN 0 THEN 'F' ELSE 'P' END AS o_orderstatus, 1.0::DOUBLE AS o_totalprice FROM range(1, 7) t(k)")
+    db.sql("CREATE TABLE lineitem AS SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, {i + 1}, {p}::DOUBLE)" for k, of in prices.items() for i, p in enumerate(of)) + ") t(l_orderkey, l_linenumber, l_extendedprice)")
+    for t in ("customer", "orders", "lineitem"):
+        db.sql(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    got = QUERIES["ranking_by_reward"](spark, str(tmp_path)).select("kind", "correct", "total", "accuracy").collect()
+    assert sorted(map(tuple, got)) == sorted(db.sql(SQL["ranking_by_reward"]).fetchall())

@@ -15,6 +15,11 @@ def trajectory_reward(predictions: Column, how: str) -> Column:
     return F.when(n > 0, {"last": F.try_element_at(predictions, F.lit(-1)), "sum": total, "average": total / F.greatest(n, F.lit(1))}[how])
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Half away from zero of the value itself, as floating point scales it: 0.285 to two digits is 0.28, since 28.499999999999996 is rounded, not its decimal text."""
+    return F.round(x * 10.0**digits, 0) / 10.0**digits
+
+
 def preference_accuracy(df: DataFrame, *by: str) -> DataFrame:
     """correct, total, skipped and accuracy of prediction against label; null predictions or labels are skipped."""
     valid = F.col("prediction").isNotNull() & F.col("label").isNotNull()

@@ -100,7 +100,7 @@ _THREE = f"""{TRAJ}, li AS (SELECT l_orderkey AS id, array_agg(l_extendedprice O
 def ranking_by_reward(spark, d):
     s = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_extendedprice"))).alias("s"))
     t = trajectories(spark, d).drop("reward").join(s.select("id", F.transform("s", lambda x: x["l_extendedprice"]).alias("p")), "id")
-    long = evals.rewards_long(t, "p").withColumn("reward", F.when(F.col("kind") == "last", F.col("reward")).otherwise(F.round("reward", 2)))
+    long = evals.rewards_long(t, "p").withColumn("reward", F.when(F.col("kind") == "last", F.col("reward")).otherwise(metrics.rounded(F.col("reward"), 2)))
     return evals.ranking_by_reward(long).withColumn("accuracy", r6(F.col("accuracy")))
 
 
