@@ -154,3 +154,31 @@ def test_tasks_by_their_labels(spark):
     assert readers.need_success(df.where("task <> 'c'")).count() == 4
     with pytest.raises(Exception, match="no success of task c"):
         readers.need_success(df).collect()
+
+
+def test_mixed_tasks_of_any_size(spark):
+    from tracklake.operators.curate import keep_mixed_tasks
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", "c", None, "d", "e"]), rng.choice(["successful", "failure", "suboptimal", None]), k) for k in range(3000)]
+    rows = [(t, q if t not in ("b", "d") or q != "failure" else "suboptimal", k) for t, q, k in rows] + [("f", "failure", -1), ("f", "successful", -2), ("g", "failure", -3)]
+    df = spark.createDataFrame(rows, "task string, quality_label string, id int").withColumn("__m", F.create_map("id", "id")).withColumn("x.y", F.lit(1))
+    want = sorted(k for t, _, k in rows if {"successful", "failure"} <= {q for s, q, _ in rows if s == t})
+    for large in (1, 100, 10**9):
+        got = keep_mixed_tasks(df, large=large)
+        assert got.columns == df.columns and sorted(r.id for r in got.collect()) == want
+
+
+def test_rows_of_a_large_task_are_dealt(spark):
+    from tracklake.operators.curate import keep_mixed_tasks
+
+    df = spark.range(40_000).select("id", F.lit("one").alias("task"), F.when(F.col("id") % 2 == 0, "successful").otherwise("failure").alias("quality_label"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", False)
+        sizes = keep_mixed_tasks(df, large=1000).rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 40_000 and max(sizes) < 20_000

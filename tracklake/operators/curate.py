@@ -39,15 +39,28 @@ def keep_tasks_with_success(df: DataFrame) -> DataFrame:
     return joined.where(F.col("partial_success").isNotNull() | F.col("task").isNull() | F.col("__task").isNotNull()).drop("__task")
 
 
-def keep_mixed_tasks(df: DataFrame, labels: Sequence[str] = ("successful", "failure")) -> DataFrame:
+#: Tasks of more rows are looked up in a list that every task of Spark holds.
+LARGE_TASK = 100_000
+
+
+def keep_mixed_tasks(df: DataFrame, labels: Sequence[str] = ("successful", "failure"), large: int = LARGE_TASK) -> DataFrame:
     """Rows of tasks that have every one of the labels; rows without a task count as one.
 
-    Flags are gathered a task before they are joined, so the rows of a task never meet.
+    Flags are gathered a task before they are joined, so the rows of a task never meet: tasks
+    of ``large`` rows and more are at most rows / large, and are broadcast; their rows are
+    dealt by a salt where the others meet their flags.
     """
-    flags = df.groupBy(F.col("task").alias("__task")).agg(*[F.bool_or(F.col("quality_label") == label).alias(f"__has{k}") for k, label in enumerate(labels)])
+    flags = df.groupBy(F.col("task").alias("__task")).agg(F.count(F.lit(1)).alias("__n"), *[F.coalesce(F.bool_or(F.col("quality_label") == label), F.lit(False)).alias(f"__has{k}") for k, label in enumerate(labels)])
+    flags = flags.withColumn("__mixed", F.lit(True))
     for k in range(len(labels)):
-        flags = flags.where(f"__has{k}")
-    return df.join(flags.select("__task"), F.col("task").eqNullSafe(F.col("__task")), "left_semi")
+        flags = flags.withColumn("__mixed", F.col("__mixed") & F.col(f"__has{k}"))
+    of_large = F.broadcast(flags.where(F.col("__n") >= large).select(F.col("__task").alias("__t"), F.col("__mixed").alias("__large")))
+    of_others = flags.where((F.col("__n") < large) & F.col("__mixed")).select("__task", F.lit(0).alias("__s"), F.lit(True).alias("__other"))
+    marked = df.join(of_large, F.col("task").eqNullSafe(F.col("__t")), "left").where(F.coalesce("__large", F.lit(True)))
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]), F.lit(4096)) + 1
+    marked = marked.withColumn("__salt", F.when(F.col("__large"), spread).otherwise(0).cast("int"))
+    met = marked.join(of_others, F.col("task").eqNullSafe(F.col("__task")) & (F.col("__salt") == F.col("__s")), "left")
+    return met.where(F.coalesce("__large", "__other", F.lit(False))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def progress_weight(preference_only: Sequence[str] = ()) -> Column:

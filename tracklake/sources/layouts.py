@@ -88,7 +88,7 @@ def attempt_episodes(images: DataFrame, instructions: DataFrame, views: Sequence
     p = F.col("path")
     rows = images.where(F.lower(p).endswith(".png")).select(*[path_part(p, k).alias(c) for c, k in (("task_name", -5), ("seed", -4), ("attempt", -3), ("view", -2))], p)
     episodes = rows.where(F.col("view").isin(*views)).groupBy("task_name", "seed", "attempt", "view").agg(sort_images(F.collect_list("path")).alias("images"))
-    named = episodes.join(instructions, "task_name", "left")
+    named = episodes.join(F.broadcast(instructions), "task_name", "left")  # a short list of tasks
     label = F.when(F.col("attempt") == success, "successful").otherwise("failure")
     return named.select(F.coalesce("instruction", "task_name").alias("task"), "seed", "attempt", "view", "images", label.alias("quality_label"))
 
