@@ -182,3 +182,14 @@ def test_rows_of_a_large_task_are_dealt(spark):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert sum(sizes) == 40_000 and max(sizes) < 20_000
+
+
+def test_reply_blocks_are_looked_for_once(spark):
+    from tracklake.functions import text as tx
+
+    item = '{"frame_number": 1, "task_completion_percentage": 50}'
+    texts = [f"```json\n[{item}]\n```", f"so [{item}] and", "none", "```\n{}\n```", "```json\n[{\n```", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.reply_items(F.col("t")).alias("r"))
+    assert [None if r[0] is None else [tuple(x) for x in r[0]] for r in df.collect()][:4] == [[(1, 50.0)], [(1, 50.0)], None, None]
+    assert df.collect()[5][0] is None
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 2

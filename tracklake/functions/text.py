@@ -31,8 +31,9 @@ def json_block(text: Column) -> Column:
 
 def reply_items(text: Column) -> Column:
     """The list of {frame_number, task_completion_percentage} in a reply; null if there is none or it cannot be read."""
-    block = json_block(text)
-    return F.when(block.startswith("["), F.from_json(block, "array<struct<frame_number: int, task_completion_percentage: double>>", {"mode": "PERMISSIVE"}))
+    read = lambda b: F.when(b.startswith("["), F.from_json(b, "array<struct<frame_number: int, task_completion_percentage: double>>", {"mode": "PERMISSIVE"}))
+    # An array of one block, so that it is looked for once.
+    return F.get(F.transform(F.array(json_block(text)), read), F.lit(0))
 
 
 def reply_completion(text: Column, permutation: Column) -> Column:
