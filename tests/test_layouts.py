@@ -193,3 +193,17 @@ def test_reply_blocks_are_looked_for_once(spark):
     assert [None if r[0] is None else [tuple(x) for x in r[0]] for r in df.collect()][:4] == [[(1, 50.0)], [(1, 50.0)], None, None]
     assert df.collect()[5][0] is None
     assert df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 2
+
+
+def test_failure_episodes_of_large_tasks(spark, monkeypatch):
+    """Whole episodes and sub-episodes of one large task are the same rows however the task is looked up."""
+    from tracklake.operators import curate
+
+    images = paths(spark, *[f"/d/Pick/{k}/{'Ground_Truth' if k % 2 else 'slip'}/front/{n}.png" for k in range(60) for n in (2, 1)], "/d/Push/1/slip/front/1.png")
+    rows = spark.createDataFrame([("Pick", "pick it", "", "slip" if k % 3 else None, [f"/d/front/{k}.png"]) for k in range(60)], "task string, instruction string, sub_task string, failure_type string, image array<string>")
+    known = spark.createDataFrame([("Pick", "pick it")], "task_name string, instruction string")
+    seen = []
+    for large in (1, 10**9):
+        monkeypatch.setattr(curate.keep_mixed_tasks, "__defaults__", (("successful", "failure"), large))
+        seen.append(sorted(map(repr, layouts.failure_episodes(images, rows, known, 7, part=1.0).collect())))
+    assert seen[0] == seen[1] and len(seen[0]) == 120
