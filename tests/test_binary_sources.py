@@ -109,6 +109,44 @@ def test_written_records_come_back(spark, tmp_path):
         rlds.chosen_split(d, True)
 
 
+def test_many_records_at_once(tmp_path, monkeypatch):
+    """Messages, frames, checksums and headers of many records are those of single ones, and small records are not read one by one."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tracklake.sources import ranges, tfrecord
+
+    rng = random.Random(9)
+    texts = lambda: [rng.randbytes(rng.choice([0, 3, 127, 128, 700, 5000])) for _ in range(rng.randint(0, 4))]
+    kinds = [lambda: (texts(), None, None), lambda: (None, [1.5, -2.0][: rng.randint(0, 2)], None), lambda: (None, None, [rng.randint(-(2**63), 2**63 - 1) for _ in range(rng.randint(0, 3))]), lambda: (None, None, None)]
+    features = [{f"{n}é{k}": rng.choice(kinds)() for k in range(rng.randint(0, 4)) for n in ("b", "a")} for _ in range(300)]
+    arrow = pa.array([[(k, dict(zip(("bytes", "floats", "ints"), v, strict=True))) for k, v in f.items()] for f in features], tfrecord.ARROW.field("features").type)
+    payloads = list(tfrecord.messages(arrow))
+    assert payloads == [tfrecord.message(f) for f in features]
+    assert list(tfrecord.messages(arrow.slice(70, 100))) == payloads[70:170]
+    whole = b"".join(map(tfrecord.framed, payloads))
+    assert tfrecord.framed_all(payloads) == whole
+    rows = [("f", k, len(p), tfrecord.parsed(p) if k % 7 else None, None if k % 7 else "e") for k, p in enumerate(payloads)]
+    batch = tfrecord.batch_of(rows)
+    got = [None if f is None else {k: (v["bytes"], v["floats"], v["ints"]) for k, v in f} for f in batch.column("features").to_pylist()]
+    assert got == [r[3] for r in rows] and batch.column("error").to_pylist() == [r[4] for r in rows]
+    data = np.frombuffer(whole, np.uint8)
+    at = np.array([0, 5, 5, 9000]), np.array([4, 0, 6000, 4095])
+    assert tfrecord.masked_crcs(data, *at).tolist() == [tfrecord.masked(tfrecord.crc32c(whole[a : a + n])) for a, n in zip(*at, strict=True)]
+    (tmp_path / "r").write_bytes(whole)
+    reads = []
+    monkeypatch.setattr(ranges, "at", lambda f, a, n, old=ranges.at: reads.append(n) or old(f, a, n))
+    with ranges.opened(str(tmp_path / "r")) as f:
+        for half in (0, len(whole) // 2):
+            reads.clear()
+            seen = [p for *_, p, error in tfrecord.records(f, half, len(whole), len(whole)) if error is None]
+            assert seen == payloads[300 - len(seen) :] and len(reads) < 100
+        assert len(seen) in range(1, 300)
+    for limit, tasks in ((1 << 30, 1), (len(whole) // 100, 101), (1000, 128)):  # small splits share a task
+        splits = tfrecord.TfRecordReader({"path": str(tmp_path), "pathglobfilter": "r", "splitbytes": str(limit)}).partitions()
+        assert 0 < len(splits) <= tasks and sum(s.end - s.start for p in splits for s in p.splits) == len(whole)
+
+
 def test_camera_rows(spark, tmp_path):
     from tracklake.sources import rlds
     from tracklake.sources.tfrecord import framed, message

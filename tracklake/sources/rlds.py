@@ -18,6 +18,8 @@ from tracklake.sources.tfrecord import TfRecords
 #: Names under which an episode may hold its instruction, in order: fixed values of the format.
 INSTRUCTIONS = ("natural_language_instruction", "language_instruction", "instruction", "language_instruction1", "language_instruction2", "language_instruction3")
 SPLIT = r"-([^-/.]+)\.tfrecord[^/]*$"
+#: Rows of a batch that is written: Spark sizes the nested columns of a batch anew for each row of it.
+WRITTEN_ROWS = 250
 PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -40,8 +42,14 @@ def chosen_split(path: str, evaluation: bool = False) -> str:
 
 def write_records(df: DataFrame, path: str, prefix: str = "data", split: str = "train") -> None:
     """Writes the column ``features`` as one split."""
-    df.sparkSession.dataSource.register(TfRecords)
-    df.select("features").write.format("tfrecord").option("prefix", prefix).option("split", split).mode("append").save(path)
+    spark, rows = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.dataSource.register(TfRecords)
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, str(WRITTEN_ROWS))
+    try:
+        df.select("features").write.format("tfrecord").option("prefix", prefix).option("split", split).mode("append").save(path)
+    finally:
+        spark.conf.set(rows, before)
 
 
 def _value(name: str) -> Column:
