@@ -155,3 +155,12 @@ def test_dominated_pairs_by_all_pairs(spark):
     many = spark.range(60_000).select(F.lit("g").alias("g"), F.md5(F.col("id").cast("string")).alias("x"), F.md5(F.concat(F.lit("y"), F.col("id").cast("string"))).alias("y"))
     r = metrics.dominated_pairs(many, ["g"], "x", F.col("y")).first()
     assert r.total == 60_000 * 59_999 // 2 and abs(r.up / r.total - 0.5) < 0.01
+
+
+def test_draws_are_made_once(spark):
+    """A try draws once, however many expressions take its draw; partners compute their rows once."""
+    df = spark.range(20).withColumns({"task": F.col("id").cast("string"), "data_source": F.lit("s"), "quality_label": F.lit("successful"), "is_robot": F.lit(True), "partial_success": F.lit(0.5), "num_frames": F.lit(5)}).repartition(2)
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    can = {n: F.col("id") % k == 0 for k, n in enumerate("abcd", 2)}
+    assert plan(df.select(samples.tried(dict.fromkeys("abcd", 1.0), can, 3, "p"))).count("md5(") <= 2
+    assert "Range" not in plan(samples.partners(df, 3))
