@@ -37,7 +37,7 @@ def _total(c):
 @query(f"""WITH {_VIEWS}, {_PAIRS} SELECT pr.id, v.task, v.indices AS chosen_indices, w.indices AS rejected_indices, v.progress AS chosen_progress, w.progress AS rejected_progress, v.quality_label AS chosen_label, w.quality_label AS rejected_label FROM pr JOIN v ON v.id = c JOIN v w ON w.id = r""")
 def pair_views(spark, d):
     """Evaluation pairs joined to the frames, targets and labels of both sides."""
-    p = batches.sides(_quality_pairs(spark, d), _rows(spark, d), ["chosen", "rejected"], 4, SEED, preference_only=ONLY).where("chosen is not null and rejected is not null")
+    p = batches.sides(_quality_pairs(spark, d), _rows(spark, d), ["chosen", "rejected"], 4, SEED, preference_only=ONLY, need=["chosen", "rejected"])
     return p.select("id", "chosen.task", *[_joined(F.col(f"{s}.indices")).alias(f"{s}_indices") for s in ("chosen", "rejected")], *[_total(F.col(f"{s}.target_progress")).alias(f"{s}_progress") for s in ("chosen", "rejected")], *[F.col(f"{s}.quality_label").alias(f"{s}_label") for s in ("chosen", "rejected")])
 
 
@@ -46,7 +46,7 @@ def ranking_views(spark, d):
     """Each trajectory as one policy-ranking sample: its view, with the last frame as its step."""
     rows = _rows(spark, d)
     s = rows.select(F.col("id").alias("key"), F.col("id").alias("trajectory_id"))
-    v = batches.sides(s, rows, ["trajectory"], 4, SEED, "key", ONLY).select("trajectory.*")
+    v = batches.sides(s, rows, ["trajectory"], 4, SEED, ONLY).select("trajectory.*")
     return v.select("id", "task", _joined(F.col("indices")).alias("indices"), (F.col("num_frames") - 1).alias("frame_step"), _total(F.col("target_progress")).alias("progress"), _total(F.col("success_label")).alias("success"), _total(F.col("predict_last_frame_mask")).alias("masked"), _total(F.col("padding_mask")).alias("shown"))
 
 
