@@ -157,6 +157,21 @@ def test_dominated_pairs_by_all_pairs(spark):
     assert r.total == 60_000 * 59_999 // 2 and abs(r.up / r.total - 0.5) < 0.01
 
 
+def test_dominated_pairs_in_one_pass(spark):
+    """Few values on either side give the pairs, by sums along one chain of rows that is not joined to itself."""
+    import random
+
+    from tracklake.operators import metrics
+
+    rng = random.Random(6)
+    rows = [(g, rng.randint(0, few), rng.randint(0, 60 // (few + 1))) for g, few in (("a", 2), ("b", 40), ("c", 0)) for _ in range(120)]
+    out = metrics.dominated_pairs(spark.createDataFrame(rows, "g string, x int, y int"), ["g"], "x", F.col("y"))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for r in out.collect():
+        pairs = [(a, b) for h, *a in rows for k, *b in rows if h == k == r.g and a[0] < b[0]]
+        assert (r.up, r.equal, r.total) == (sum(a[1] < b[1] for a, b in pairs), sum(a[1] == b[1] for a, b in pairs), len(pairs))
+
+
 def test_draws_are_made_once(spark):
     """A try draws once, however many expressions take its draw; partners compute their rows once."""
     df = spark.range(20).withColumns({"task": F.col("id").cast("string"), "data_source": F.lit("s"), "quality_label": F.lit("successful"), "is_robot": F.lit(True), "partial_success": F.lit(0.5), "num_frames": F.lit(5)}).repartition(2)

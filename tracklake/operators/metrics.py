@@ -58,29 +58,28 @@ def ordered_pairs(df: DataFrame, by: list[str], level: str, order: str) -> DataF
 def dominated_pairs(df: DataFrame, by: list[str], level: str, order: Column) -> DataFrame:
     """(by, up, equal, total): pairs of rows of different levels, and how many have the lower level before, or an equal order.
 
-    For levels of many values.  Orders become ranks 0, 1, ...; two ranks first differ in one
-    binary digit, so the rows that share the digits above it are one small problem for each
-    digit: how many rows of digit 0 and a lower level each row of digit 1 has.  Sums that
-    run along the levels answer it.  The work is n log n for n different rows of a group.
+    For levels of many values.  Levels and orders become ranks 0, 1, ...; two ranks first
+    differ in one binary digit, so the rows that share the digits above it are one small
+    problem for each digit: how many rows of digit 0 and a lower rank on the other side each
+    row of digit 1 has.  Sums that run along the other side answer it; the side of fewer
+    values gives the digits.  The work is n log n for n different rows of a group.
     """
     given = df.where(F.col(level).isNotNull() & order.isNotNull()).select(*by, F.col(level).alias("__level"), order.alias("__order"))
     rows = given.groupBy(*by, "__level", "__order").agg(F.count(F.lit(1)).alias("__n"))
-    group = Window.partitionBy(*by)
-    rows = rows.select(*by, "__n", (F.dense_rank().over(group.orderBy("__level")) - 1).alias("__l"), (F.dense_rank().over(group.orderBy("__order")) - 1).alias("__r"))
-    rows = rows.withColumn("__digits", F.length(F.bin(F.max("__r").over(group))))
-    each = rows.select(*by, "__n", "__l", "__r", F.explode(F.sequence(F.lit(0), F.col("__digits") - 1)).alias("__bit"))
-    bit = F.expr("shiftright(__r, __bit) & 1")
-    each = each.withColumn("__above", F.expr("shiftright(__r, __bit + 1)"))
-    sides = each.groupBy(*by, "__bit", "__above", "__l").agg(F.sum(F.when(bit == 0, F.col("__n")).otherwise(0)).alias("__lo"), F.sum(F.when(bit == 1, F.col("__n")).otherwise(0)).alias("__hi"))
-    below = F.sum("__lo").over(Window.partitionBy(*by, "__bit", "__above").orderBy("__l").rowsBetween(Window.unboundedPreceding, -1))
-    up = sides.withColumn("__below", F.coalesce(below, F.lit(0))).groupBy(*by).agg(F.sum(F.col("__hi") * F.col("__below")).alias("up"))
-    # Pairs that are equal in one thing, or differ in it, follow from sums of squares.
-    n = F.col("__n")
-    squares = rows.groupBy(*by).agg(F.sum(n).alias("__all"), F.sum(n * n).alias("__q"))
-    same = lambda c, to: rows.groupBy(*by, c).agg(F.sum("__n").alias("__s")).groupBy(*by).agg(F.sum(F.col("__s") * F.col("__s")).alias(to))
-    out = up.join(squares, by).join(same("__l", "__ql"), by).join(same("__r", "__qr"), by)
-    half = lambda c: F.expr(f"({c}) div 2")
-    return out.select(*by, "up", half("__qr - __q").alias("equal"), half("__all * __all - __ql").alias("total"))
+    group, n = Window.partitionBy(*by), F.col("__n")
+    # Twice the pairs that are equal in one thing, or differ in it, are the rows' shares in sums over the group.
+    rows = rows.withColumns({"__l": F.dense_rank().over(group.orderBy("__level")) - 1, "__like": F.sum(n).over(Window.partitionBy(*by, "__level"))}).drop("__level")
+    rows = rows.withColumns({"__r": F.dense_rank().over(group.orderBy("__order")) - 1, "__even": F.sum(n).over(Window.partitionBy(*by, "__order"))}).drop("__order")
+    rows = rows.withColumns({"__ml": F.max("__l").over(group), "__mr": F.max("__r").over(group), "__all": F.sum(n).over(group)})
+    fewer = F.col("__ml") < F.col("__mr")
+    rows = rows.select(*by, "__n", (n * (F.col("__even") - n)).alias("__e"), (n * (F.col("__all") - F.col("__like"))).alias("__t"), F.when(fewer, F.col("__l")).otherwise(F.col("__r")).alias("__d"), F.when(fewer, F.col("__r")).otherwise(F.col("__l")).alias("__s"), F.length(F.bin(F.least("__ml", "__mr").cast("bigint"))).alias("__digits"))
+    each = rows.withColumn("__bit", F.explode(F.sequence(F.lit(0), F.col("__digits") - 1)))
+    one = F.expr("shiftright(__d, __bit) & 1") == 1
+    once = lambda c: F.when(F.col("__bit") == 0, F.col(c)).otherwise(0)
+    each = each.select(*by, "__bit", F.expr("shiftright(__d, __bit + 1)").alias("__above"), "__s", F.when(one, 0).otherwise(n).alias("__lo"), F.when(one, n).otherwise(0).alias("__hi"), once("__e").alias("__e"), once("__t").alias("__t"))
+    below = F.sum("__lo").over(Window.partitionBy(*by, "__bit", "__above").orderBy("__s").rangeBetween(Window.unboundedPreceding, -1))
+    sums = each.withColumn("__below", F.coalesce(below, F.lit(0))).groupBy(*by).agg(F.sum(F.col("__hi") * F.col("__below")).alias("up"), F.sum("__e").alias("__e"), F.sum("__t").alias("__t"))
+    return sums.select(*by, "up", F.expr("__e div 2").alias("equal"), F.expr("__t div 2").alias("total"))
 
 
 def ranking_pairs(df: DataFrame, level: str, strict: bool = False) -> DataFrame:
