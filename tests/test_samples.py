@@ -172,6 +172,29 @@ def test_dominated_pairs_in_one_pass(spark):
         assert (r.up, r.equal, r.total) == (sum(a[1] < b[1] for a, b in pairs), sum(a[1] == b[1] for a, b in pairs), len(pairs))
 
 
+def test_ranking_pairs_in_one_pass(spark):
+    """Pairs of levels with equal rewards, equal and null ids, by sums along one chain of rows that is not joined to itself."""
+    import random
+
+    from tracklake.operators import metrics
+
+    rng = random.Random(7)
+    rows = [(rng.choice([None, *range(60)]), rng.choice("abc"), rng.choice([1, 2, 3]), rng.choice([None, *map(float, range(8))])) for _ in range(240)] + [(1, "d", 2, 1.0), (2, "e", 1, 1.0), (3, "e", 3, 2.0)]
+    df = spark.createDataFrame(rows, "id bigint, task string, rank int, reward double")
+    for strict in (False, True):
+        out = metrics.ranking_pairs(df, "rank", strict)
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+        want = {}
+        for i, t, k, x in rows:
+            for j, s, m, y in rows:
+                if t == s and k < m and x is not None and y is not None:
+                    w = want.setdefault((t, k, m), [0, 0, 0, 0])
+                    tie = x == y and not strict and i is not None and j is not None and i < j
+                    for n, hit in enumerate((x < y or tie, x < y, x == y, True)):
+                        w[n] += hit
+        assert {(r.task, r.lower, r.higher): [r.correct, r.up, r.equal, r.total] for r in out.collect()} == want
+
+
 def test_draws_are_made_once(spark):
     """A try draws once, however many expressions take its draw; partners compute their rows once."""
     df = spark.range(20).withColumns({"task": F.col("id").cast("string"), "data_source": F.lit("s"), "quality_label": F.lit("successful"), "is_robot": F.lit(True), "partial_success": F.lit(0.5), "num_frames": F.lit(5)}).repartition(2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,25 +38,6 @@ def preference_from_progress(df: DataFrame) -> DataFrame:
     return df.agg(F.try_divide(right, total).alias("accuracy"), right.alias("correct"), total.alias("total"), (F.count(F.lit(1)) - total).alias("skipped"))
 
 
-def ordered_pairs(df: DataFrame, by: list[str], level: str, order: str) -> DataFrame:
-    """(by, lower, higher, up, equal, total): pairs of rows of two levels, and how many of them have their orders likewise, or equal.
-
-    No pairs of rows are formed: rows of equal level and order are counted together, each
-    count takes part in the pairs of levels of its group, and sums that run along the order
-    give how many rows of the lower level come before.  The work is rows x levels of a group.
-    """
-    counts = df.where(F.col(level).isNotNull() & F.col(order).isNotNull()).groupBy(*by, level, order).agg(F.count(F.lit(1)).alias("__n"))
-    others = counts.select(*by, F.col(level).alias("__other")).distinct()
-    met = counts.join(others, by).where(F.col(level) != F.col("__other"))
-    upper = F.col(level) > F.col("__other")
-    sides = met.groupBy(*by, F.least(level, "__other").alias("lower"), F.greatest(level, "__other").alias("higher"), order).agg(
-        F.sum(F.when(upper, 0).otherwise(F.col("__n"))).alias("__lo"), F.sum(F.when(upper, F.col("__n")).otherwise(0)).alias("__hi")
-    )
-    before = F.sum("__lo").over(Window.partitionBy(*by, "lower", "higher").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    sides = sides.withColumn("__before", F.coalesce(before, F.lit(0)))
-    return sides.groupBy(*by, "lower", "higher").agg(F.sum(F.col("__hi") * F.col("__before")).alias("up"), F.sum(F.col("__hi") * F.col("__lo")).alias("equal"), (F.sum("__lo") * F.sum("__hi")).alias("total"))
-
-
 def dominated_pairs(df: DataFrame, by: list[str], level: str, order: Column) -> DataFrame:
     """(by, up, equal, total): pairs of rows of different levels, and how many have the lower level before, or an equal order.
 
@@ -82,18 +65,31 @@ def dominated_pairs(df: DataFrame, by: list[str], level: str, order: Column) ->
     return sums.select(*by, "up", F.expr("__e div 2").alias("equal"), F.expr("__t div 2").alias("total"))
 
 
-def ranking_pairs(df: DataFrame, level: str, strict: bool = False) -> DataFrame:
-    """(task, lower, higher, correct, up, equal, total): pairs of one task and two levels whose rewards stand in their order.
+def ranking_pairs(df: DataFrame, level: str, strict: bool = False, levels: Sequence[int] = tuple(QUALITY_RANK.values())) -> DataFrame:
+    """(task, lower, higher, correct, up, equal, total): pairs of one task and two levels whose rewards stand in their order, or are equal.
 
     Equal rewards count as right if the lower level has the smaller id, which keeps the
-    rule of comparing each pair once in the order of the rows; strict: never.
+    rule of comparing each pair once in the order of the rows; strict: never.  No pairs of
+    rows are formed: sums of each of the few ``levels`` run along the ids of equal rewards,
+    then along the rewards of a task, so a task of Spark holds its rows and no tables of groups.
     """
-    rows = df.where(F.col("reward").isNotNull())
-    pairs = ordered_pairs(rows, ["task"], level, "reward")
-    if strict:
-        return pairs.withColumn("correct", F.col("up"))
-    ties = ordered_pairs(rows, ["task", "reward"], level, "id").groupBy("task", "lower", "higher").agg(F.sum("up").alias("__ties"))
-    return pairs.join(ties, ["task", "lower", "higher"], "left").withColumn("correct", F.col("up") + F.coalesce("__ties", F.lit(0))).drop("__ties")
+    rows = df.where(F.col("reward").isNotNull() & F.col(level).isin(*levels)).select("task", "reward", "id", F.col(level).alias("__level"))
+    low, pairs = sorted(levels)[:-1], [(i, j) for i in sorted(levels) for j in sorted(levels) if i < j]
+    equals = Window.partitionBy("task", "reward")
+    of = lambda k: ((F.col("__level") == k) & F.col("id").isNotNull()).cast("bigint")
+    if not strict:
+        rows = rows.withColumns({f"__upto{k}": F.sum(of(k)).over(equals.orderBy("id")) for k in low})
+        rows = rows.withColumns({f"__same{k}": F.sum(of(k)).over(Window.partitionBy("task", "reward", "id")) for k in low})
+    rows = rows.withColumn("__first", F.row_number().over(equals.orderBy("id")))
+    known = {f"__n{k}": F.sum((F.col("__level") == k).cast("bigint")).over(equals) for k in levels}
+    ties = {f"__t{i}_{j}": F.lit(0).cast("bigint") if strict else F.sum(of(j) * (F.col(f"__upto{i}") - F.col(f"__same{i}"))).over(equals) for i, j in pairs}
+    counts = rows.withColumns(known | ties).where("__first = 1").select("task", "reward", *known, *ties)
+    along = Window.partitionBy("task").orderBy("reward").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({f"__below{k}": F.coalesce(F.sum(f"__n{k}").over(along), F.lit(0)) for k in low})
+    n = lambda k: F.col(f"__n{k}")
+    sums = counts.groupBy("task").agg(*[F.sum(n(k)).alias(f"__all{k}") for k in levels], *[x for i, j in pairs for x in (F.sum(f"__t{i}_{j}").alias(f"__t{i}_{j}"), F.sum(n(j) * F.col(f"__below{i}")).alias(f"__up{i}_{j}"), F.sum(n(j) * n(i)).alias(f"__eq{i}_{j}"))])
+    each = [F.struct(F.lit(i).alias("lower"), F.lit(j).alias("higher"), (F.col(f"__up{i}_{j}") + F.col(f"__t{i}_{j}")).alias("correct"), F.col(f"__up{i}_{j}").alias("up"), F.col(f"__eq{i}_{j}").alias("equal"), (F.col(f"__all{i}") * F.col(f"__all{j}")).alias("total")) for i, j in pairs]
+    return sums.select("task", F.explode(F.array(*each)).alias("p")).select("task", "p.*").where("total > 0")
 
 
 def _ranked(df: DataFrame) -> DataFrame:
