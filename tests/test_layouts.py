@@ -207,3 +207,20 @@ def test_failure_episodes_of_large_tasks(spark, monkeypatch):
         monkeypatch.setattr(curate.keep_mixed_tasks, "__defaults__", (("successful", "failure"), large))
         seen.append(sorted(map(repr, layouts.failure_episodes(images, rows, known, 7, part=1.0).collect())))
     assert seen[0] == seen[1] and len(seen[0]) == 120
+
+
+def test_failure_episodes_of_a_large_task_are_dealt(spark):
+    """120,000 episodes of one task do not meet in one task of Spark."""
+    n = 120_000  # more than curate.LARGE_TASK
+    images = spark.range(n).select(F.concat(F.lit("/d/Pick/"), "id", F.when(F.col("id") % 2 == 0, "/Ground_Truth").otherwise("/slip"), F.lit("/front/1.png")).alias("path"))
+    rows = spark.createDataFrame([("Push", "push it", "", None, ["/d/front/1.png"])], "task string, instruction string, sub_task string, failure_type string, image array<string>")
+    known = spark.createDataFrame([("Pick", "pick it")], "task_name string, instruction string")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", False)
+        sizes = [r["count"] for r in layouts.failure_episodes(images, rows, known, 7, part=1.0).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == n and max(sizes) < n // 2

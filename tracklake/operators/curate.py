@@ -54,8 +54,10 @@ def keep_mixed_tasks(df: DataFrame, labels: Sequence[str] = ("successful", "fail
     flags = flags.withColumn("__mixed", F.lit(True))
     for k in range(len(labels)):
         flags = flags.withColumn("__mixed", F.col("__mixed") & F.col(f"__has{k}"))
-    of_large = F.broadcast(flags.where(F.col("__n") >= large).select(F.col("__task").alias("__t"), F.col("__mixed").alias("__large")))
-    of_others = flags.where((F.col("__n") < large) & F.col("__mixed")).select("__task", F.lit(0).alias("__s"), F.lit(True).alias("__other"))
+    is_large = F.col("__n") >= large
+    of_large = F.broadcast(flags.where(is_large).select(F.col("__task").alias("__t"), F.col("__mixed").alias("__large")))
+    # Their salt is computed (0): a literal would be folded out of the join's keys, and rows would be dealt by the task alone.
+    of_others = flags.where(~is_large & F.col("__mixed")).select("__task", is_large.cast("int").alias("__s"), F.lit(True).alias("__other"))
     marked = df.join(of_large, F.col("task").eqNullSafe(F.col("__t")), "left").where(F.coalesce("__large", F.lit(True)))
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]), F.lit(4096)) + 1
     marked = marked.withColumn("__salt", F.when(F.col("__large"), spread).otherwise(0).cast("int"))
