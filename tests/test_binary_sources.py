@@ -365,3 +365,26 @@ def test_small_hdf5_files_share_tasks(spark, tmp_path):
     paths = hdf5.files(spark, str(tmp_path))
     assert paths.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-600 // ranges.TASK_FILES))
     assert hdf5.members(paths).where("error is not null").count() == 600
+
+
+def test_rows_of_listed_files_are_no_small_table(spark, tmp_path):
+    """What is read of a few files may be large: a join is planned by its rows, and not broadcast for the size of the list."""
+    import io
+    import tarfile
+
+    from tracklake.sources import archives
+
+    n = 20_000
+    with tarfile.open(tmp_path / "a.tar", "w") as tar:
+        for k in range(n):
+            tar.addfile(tarfile.TarInfo(str(k)), io.BytesIO())
+    rows = [archives.tar_index(spark, str(tmp_path)).select(F.col("member").cast("bigint").alias("row"), "path")]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        for read in rows:
+            joined = read.join(spark.range(n).withColumnRenamed("id", "row"), "row")
+            assert len(joined.collect()) == n
+            assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -50,7 +50,11 @@ def cuts(size: int, limit: int) -> Iterator[tuple[int, int]]:
 def dealt(spark: SparkSession, found: list[tuple[str, int]]) -> DataFrame:
     """(path, bytes) of listed files, in tasks of about ``TASK_BYTES`` and ``TASK_FILES``; few files have a task each, so that all cores work.
 
-    The driver keeps a record of each task, so many small files must share one.
+    The driver keeps a record of each task, so many small files must share one.  The list
+    is not shuffled: from the few bytes of a shuffle Spark would take all that is read of
+    the files for small, and join it by a broadcast through the driver.
     """
     tasks = max(spark.sparkContext.defaultParallelism, -(-sum(n for _, n in found) // TASK_BYTES), -(-len(found) // TASK_FILES))
-    return spark.createDataFrame(found, "path string, bytes bigint").repartition(max(1, min(len(found), tasks)))
+    tasks = max(1, min(len(found), tasks))
+    turns = [f for k in range(tasks) for f in found[k::tasks]]
+    return spark.createDataFrame(spark.sparkContext.parallelize(turns, tasks), "path string, bytes bigint")
