@@ -372,13 +372,16 @@ def test_rows_of_listed_files_are_no_small_table(spark, tmp_path):
     import io
     import tarfile
 
-    from tracklake.sources import archives
+    import numpy as np
+
+    from tracklake.sources import archives, hdf5
 
     n = 20_000
+    (tmp_path / "a.hdf5").write_bytes(hdf5.Tree({"x": np.zeros((n, 2))}).bytes())
     with tarfile.open(tmp_path / "a.tar", "w") as tar:
         for k in range(n):
             tar.addfile(tarfile.TarInfo(str(k)), io.BytesIO())
-    rows = [archives.tar_index(spark, str(tmp_path)).select(F.col("member").cast("bigint").alias("row"), "path")]
+    rows = [hdf5.array_rows(hdf5.files(spark, str(tmp_path)), "x").select("row", "path"), archives.tar_index(spark, str(tmp_path)).select(F.col("member").cast("bigint").alias("row"), "path")]
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
     try:
